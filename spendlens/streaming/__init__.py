@@ -1,0 +1,5 @@
+"""Nothing to stream: every operator of this package is a batch job.
+
+Lags, directional fills and carry-over need row-order windows over whole
+series, which Structured Streaming does not offer.
+"""
