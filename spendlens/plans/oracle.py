@@ -19,8 +19,17 @@ LASSO_SWEEPS = 400
 
 
 def _r(expression: str, name: str, digits: int = 4) -> str:
-    """A rounded column; adding 0.0 turns -0.0 into 0.0."""
-    return f"round({expression}, {digits}) + 0.0 AS {name}"
+    """A rounded column. Spelled out, since engines round a tie each in their own way."""
+    return f"{_round(expression, digits)} AS {name}"
+
+
+def _round(expression: str, digits: int = 4) -> str:
+    return f"floor(({expression}) * 1e{digits} + 0.5) / 1e{digits}"
+
+
+def _shown(expression: str, name: str) -> str:
+    """Two decimals, as the operator itself shows them."""
+    return f"round({expression}, 2) + 0.0 AS {name}"
 
 
 def _rs(names: Sequence[str], digits: int = 4) -> str:
@@ -179,12 +188,12 @@ FLAG_ROWS = _stacked(
 )
 DESCRIBE_ROWS = _stacked(
     [
-        f"SELECT '{c}' AS column_name, count({c}) AS n_values, {_r(f'avg({c})', 'mean', 2)}, "
-        f"{_r(f'stddev_samp({c})', 'std', 2)}, {_r(f'CAST(min({c}) AS DOUBLE)', 'min', 2)}, "
-        f"{_r(f'quantile_cont({c}, 0.25)', 'p25', 2)}, "
-        f"{_r(f'quantile_cont({c}, 0.5)', 'p50', 2)}, "
-        f"{_r(f'quantile_cont({c}, 0.75)', 'p75', 2)}, "
-        f"{_r(f'CAST(max({c}) AS DOUBLE)', 'max', 2)} FROM panel"
+        f"SELECT '{c}' AS column_name, count({c}) AS n_values, {_shown(f'avg({c})', 'mean')}, "
+        f"{_shown(f'stddev_samp({c})', 'std')}, {_shown(f'CAST(min({c}) AS DOUBLE)', 'min')}, "
+        f"{_shown(f'quantile_cont({c}, 0.25)', 'p25')}, "
+        f"{_shown(f'quantile_cont({c}, 0.5)', 'p50')}, "
+        f"{_shown(f'quantile_cont({c}, 0.75)', 'p75')}, "
+        f"{_shown(f'CAST(max({c}) AS DOUBLE)', 'max')} FROM panel"
         for c in [
             *SPEND, *SEEN, "impression_organic", "revenue", "conversions", "cost_void",
             "impression_void", "population", "market_share",
@@ -253,7 +262,7 @@ def _adstocked(decay: dict[str, float]) -> str:
 
 ADSTOCK_POISON = _with(
     "SELECT a.geo, a.week, CASE WHEN count(*) = count(b.impression_high) THEN "
-    "round(sum(b.impression_high * pow(0.4, a.rn - b.rn)), 4) + 0.0 END "
+    f"{_round('sum(b.impression_high * pow(0.4, a.rn - b.rn))')} END "
     "AS impression_high_adstocked FROM numbered a JOIN numbered b "
     "ON a.geo = b.geo AND b.rn <= a.rn GROUP BY a.geo, a.week",
     NUMBERED,
@@ -629,13 +638,13 @@ def _run_results() -> str:
     ]
     for name, column in (("r2_score", "r2"), ("rmse", "rmse"), ("mae", "mae")):
         selects.append(
-            f"SELECT 'model_evaluation', 'model_metrics.{name}', round({column}, 4) + 0.0, NULL FROM metrics"
+            f"SELECT 'model_evaluation', 'model_metrics.{name}', {_round(column)}, NULL FROM metrics"
         )
     for kind, factor in (("elasticity", ""), ("contribution", " * 100")):
         for i, c in enumerate(SPEND, 1):
             selects.append(
                 f"SELECT 'model_evaluation', '{kind}.{c}', "
-                f"round(w{i} * m{i} / my{factor}, 4) + 0.0, NULL FROM weights, stats"
+                f"{_round(f'w{i} * m{i} / my{factor}')}, NULL FROM weights, stats"
             )
     return model.sql(_stacked(selects), model.metrics_cte())
 
@@ -685,7 +694,7 @@ ORACLE_SQL: dict[str, str] = {
     "import_panel": _with(COST_ROWS),
     "import_without_promotions": _panel(f"{_rs([*SPEND, 'revenue'])}, conversions"),
     "coerce_numeric": _panel(
-        "CASE WHEN promo_description IS NULL THEN round(cost_high, 4) + 0.0 END AS cost_high, "
+        f"CASE WHEN promo_description IS NULL THEN {_round('cost_high')} END AS cost_high, "
         f"{_r('revenue', 'revenue')}, CAST(conversions AS DOUBLE) AS conversions, "
         "CAST(CAST(impression_high AS BIGINT) AS VARCHAR) AS impression_high"
     ),

@@ -76,11 +76,17 @@ def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.join_promotions(left, promotions(spark, sf_dir), hot_key_rows=None)
 
 
+def _round(column: Column, digits: int) -> Column:
+    """Spelled out, since engines round a tie each in their own way."""
+    scale = 10.0**digits
+    return F.floor(column * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round doubles: sums differ in their last bits with the order of the rows."""
     return df.select(
         *[
-            F.round(f.name, digits).alias(f.name)
+            _round(F.col(f.name), digits).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f.name)
             for f in df.schema.fields
@@ -91,7 +97,7 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 def _metrics(df: DataFrame) -> DataFrame:
     """Metrics rounded by their size: squared errors are the largest numbers here."""
     digits = {"r2": 8, "rmse": 4, "mae": 4, "mse": 0}
-    return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
+    return df.withColumns({c: _round(F.col(c), d) for c, d in digits.items()})
 
 
 def _keyed(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
@@ -496,8 +502,8 @@ def preprocess_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         total(sets["geo_fixed_effects"]).alias("geo_dummies"),
         total(sets["week_fixed_effects"]).alias("week_dummies"),
         total(sets["seasonal_features"]).alias("seasonal_dummies"),
-        F.round(total(sets["lagged_spend_features"]), 4).alias("lagged"),
-        F.round(total(sets["spend_features_log"]), 6).alias("logged"),
+        _round(total(sets["lagged_spend_features"]), 4).alias("lagged"),
+        _round(total(sets["spend_features_log"]), 6).alias("logged"),
         total(sets["promotional_features"]).alias("promo_sum"),
     )
 
@@ -536,7 +542,7 @@ def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "section",
         "name",
-        F.round(number, 4).alias("number"),
+        _round(number, 4).alias("number"),
         F.when(number.isNull(), F.col("value")).alias("text"),
     )
 
@@ -582,7 +588,7 @@ QUERIES: dict[str, Query] = {
     "promo_by_geo": _report(profile.promo_by_geo),
     "promo_samples": _report(profile.promo_samples),
     "promo_flag_counts": _report(profile.promo_flag_counts),
-    "describe_numeric": _report(profile.describe_numeric, 2),
+    "describe_numeric": lambda s, d: profile.describe_numeric(panel(s, d)),
     "preprocess_summary": preprocess_summary_query,
     "spend_lags": _spend_lags(series.MAX_SERIES_ROWS),
     "spend_lags_segmented": _spend_lags(SEGMENT_ROWS),
