@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.columns import iso_week_of, month_of, quarter_of
+from spendlens.functions import sql_text as sql
 
 MAX_LEVELS = 5_000
 
@@ -55,41 +55,56 @@ def distinct_levels(
     return {c: sorted_levels(found[c]) for c in columns}
 
 
-def dummies(value: Column, levels: Sequence, prefix: str) -> dict[str, Column]:
-    """0/1 columns for all but the first of the sorted levels; null gives 0."""
+def dummies(value: str, levels: Sequence, prefix: str) -> dict[str, str]:
+    """0/1 expressions (as SQL text) for all but the first of the sorted levels.
+
+    A null value gives 0 in all of them.
+    """
     return {
-        f"{prefix}_{level}": F.coalesce(value == F.lit(level), F.lit(False)).cast("int")
+        f"{prefix}_{level}": f"CAST({value} <=> {sql.literal(level)} AS INT)"
         for level in levels[1:]
     }
 
 
-def geo_dummies(levels: Sequence[str], geo: str = "geo") -> dict[str, Column]:
-    return dummies(F.col(geo), levels, "geo_fe")
+def geo_dummies(levels: Sequence[str], geo: str = "geo") -> dict[str, str]:
+    return dummies(sql.name(geo), levels, "geo_fe")
 
 
-def week_dummies(levels: Sequence[str], week: str = "week") -> dict[str, Column]:
+def week_dummies(levels: Sequence[str], week: str = "week") -> dict[str, str]:
     dates = [dt.date.fromisoformat(level) for level in levels]
-    return dummies(F.col(week), dates, "week_fe")
+    return dummies(sql.name(week), dates, "week_fe")
 
 
-def calendar_dummies(weeks: Sequence[str], week: str = "week") -> dict[str, Column]:
+def calendar_dummies(weeks: Sequence[str], week: str = "week") -> dict[str, str]:
     """Month, quarter and ISO-week dummies of the levels that occur in ``weeks``."""
     dates = [dt.date.fromisoformat(w) for w in weeks]
+    column = sql.name(week)
     return {
-        **dummies(month_of(week), sorted({d.month for d in dates}), "month"),
-        **dummies(quarter_of(week), sorted({(d.month + 2) // 3 for d in dates}), "quarter"),
+        **dummies(f"month({column})", sorted({d.month for d in dates}), "month"),
+        **dummies(
+            f"quarter({column})", sorted({(d.month + 2) // 3 for d in dates}), "quarter"
+        ),
         **dummies(
-            iso_week_of(week), sorted({d.isocalendar().week for d in dates}), "week_of_year"
+            f"weekofyear({column})",
+            sorted({d.isocalendar().week for d in dates}),
+            "week_of_year",
         ),
     }
 
 
+def with_dummies(df: DataFrame, encoded: dict[str, str]) -> DataFrame:
+    """Add all dummies in one select; chained additions would be analysed again each."""
+    return df.selectExpr("*", *[sql.named(e, n) for n, e in encoded.items()])
+
+
 def add_geo_fixed_effects(df: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
-    return df.withColumns(geo_dummies(distinct_levels(df, ["geo"], max_levels)["geo"]))
+    levels = distinct_levels(df, ["geo"], max_levels)["geo"]
+    return with_dummies(df, geo_dummies(levels))
 
 
 def add_week_fixed_effects(df: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
-    return df.withColumns(week_dummies(distinct_levels(df, ["week"], max_levels)["week"]))
+    levels = distinct_levels(df, ["week"], max_levels)["week"]
+    return with_dummies(df, week_dummies(levels))
 
 
 def add_calendar_dummies(
@@ -100,8 +115,8 @@ def add_calendar_dummies(
     """Add the dummies of some or all calendar parts."""
     weeks = distinct_levels(df, ["week"], max_levels)["week"]
     wanted = {
-        name: column
-        for name, column in calendar_dummies(weeks).items()
-        if name.rpartition("_")[0] in parts
+        column: expression
+        for column, expression in calendar_dummies(weeks).items()
+        if column.rpartition("_")[0] in parts
     }
-    return df.withColumns(wanted)
+    return with_dummies(df, wanted)

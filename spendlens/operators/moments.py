@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions import sql_text as sql
 from spendlens.operators.checks import require_columns
 
 # Up to this many columns the statistics are plain SQL aggregates.
@@ -49,7 +50,9 @@ def regression_moments(df: DataFrame, features: Sequence[str], target: str) -> M
         raise ValueError(f"{len(features)} features; at most {MAX_FEATURES} fit this method")
     columns = [*features, target]
     require_columns(df, columns)
-    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    numbers = df.selectExpr(
+        *[f"CAST({sql.name(c)} AS DOUBLE) AS c{i}" for i, c in enumerate(columns)]
+    )
     gather = _by_sql if len(columns) <= SQL_COLUMNS else _by_arrow
     n, bad, mean, cov, constant = gather(numbers, len(columns))
     if n == 0:

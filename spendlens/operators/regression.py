@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.functions import sql_text as sql
 from spendlens.operators.checks import require_columns
 from spendlens.operators.moments import Moments, regression_moments
 from spendlens.operators.nulls import fill_zero
@@ -200,14 +201,6 @@ def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_std") ->
     return df.withColumns(out)
 
 
-def sum_of(terms: list[Column]) -> Column:
-    """Add terms pairwise: hundreds of them stay a shallow expression."""
-    while len(terms) > 1:
-        pairs = [terms[i : i + 2] for i in range(0, len(terms), 2)]
-        terms = [p[0] + p[1] if len(p) == 2 else p[0] for p in pairs]
-    return terms[0]
-
-
 def prediction(model: LinearModel, scale: str = "original") -> Column:
     """The model as a column expression, on the target's or on the model's scale."""
     _check_scale(scale)
@@ -216,9 +209,9 @@ def prediction(model: LinearModel, scale: str = "original") -> Column:
         weights = model.coefficients / model.x_scale
         intercept = model.intercept - float(weights @ model.x_mean)
     terms = [
-        F.lit(float(w)) * F.col(f"`{c}`").cast("double") for c, w in zip(model.features, weights)
+        f"{sql.literal(float(w))} * {sql.name(c)}" for c, w in zip(model.features, weights)
     ]
-    return F.lit(float(intercept)) + sum_of(terms)
+    return F.expr(sql.total([sql.literal(float(intercept)), *terms]))
 
 
 def predict(

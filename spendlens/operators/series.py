@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from spendlens.operators.checks import require_columns
+from spendlens.operators.checks import largest_group, require_columns
 from spendlens.session import shared_root
 
 MAX_SERIES_ROWS = 2_000_000
@@ -342,31 +342,27 @@ def adstock_channels(
     return adstock(series, decay, null_policy=null_policy).result()
 
 
-def count_per_key(
-    df: DataFrame,
-    column: str,
-    name: str,
-    keys: Sequence[str] = ("week", "geo"),
-) -> DataFrame:
-    """Give every row the number of non-null ``column`` values on its key.
-
-    Counted first and joined back, so a crowded key is combined before the shuffle
-    and its rows can be split over tasks; a window would put them in one. A row with
-    a null key gets null.
-    """
-    counts = df.groupBy(*keys).agg(F.count(column).alias(name))
-    renamed = counts.withColumnsRenamed({k: f"_of_{k}" for k in keys})
-    same = F.lit(True)
-    for key in keys:
-        same = same & (F.col(key) == F.col(f"_of_{key}"))
-    return df.join(renamed, same, "left").drop(*[f"_of_{k}" for k in keys])
-
-
 def promo_intensity(
     df: DataFrame,
     column: str = "promo_description",
-    keys: Sequence[str] = ("week", "geo"),
+    keys: Sequence[str] = ("geo", "week"),
     name: str = "promo_intensity",
+    max_rows: int = MAX_SERIES_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Number of active promotions in the row's week and geo."""
-    return count_per_key(df, column, name, keys)
+    """Number of active promotions (non-null texts) in the row's geo and week.
+
+    ``largest`` bounds the rows of a key if the caller knows it; else it is counted.
+    Small keys use a window, which reuses a partitioning by geo. A key above
+    ``max_rows`` is counted first, with map-side combine, and the count joined back:
+    adaptive execution can split the rows of a crowded key there. Rows with a null key
+    get null.
+    """
+    if largest is None:
+        largest = largest_group(df, keys)
+    known = _known_key(keys)
+    if largest <= max_rows:
+        count = F.count(column).over(Window.partitionBy(*keys))
+        return df.withColumn(name, F.when(known, count))
+    counts = df.where(known).groupBy(*keys).agg(F.count(column).alias(name))
+    return df.join(counts, list(keys), "left").select(*df.columns, name)

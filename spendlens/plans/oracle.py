@@ -293,8 +293,7 @@ LOGGED_PANEL = (
     + ", ".join(f"{c}, ln({c} + 1) AS {c}_log" for c in SPEND)
     + ", CAST(promo_description IS NOT NULL AS BIGINT) AS has_promotion, "
     + FLAGS
-    + f", {_discount()} AS discount_percent, "
-    + "count(promo_description) OVER (PARTITION BY week, geo) AS promo_intensity FROM panel)"
+    + f", {_discount()} AS discount_percent FROM panel)"
 )
 
 
@@ -686,6 +685,13 @@ def _promo_impact() -> str:
     return PROMO.sql(_stacked(selects))
 
 
+INTENSITY = _with(
+        "SELECT p.geo, p.week, promos.promo_description, count(promos.promo_description) "
+        "OVER (PARTITION BY p.week, p.geo) AS promo_intensity FROM panel p "
+        "LEFT JOIN promos ON p.week = promos.week AND p.geo = promos.geo"
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "build_panel": _with(f"SELECT {_whole_panel()} FROM panel"),
     "build_promotions": _with("SELECT week, geo, promo_description FROM promos"),
@@ -787,11 +793,8 @@ ORACLE_SQL: dict[str, str] = {
     "spend_lags_segmented": _panel(LAGS),
     "organic_lag": ORGANIC_LAG,
     "organic_lag_segmented": ORGANIC_LAG,
-    "promo_intensity": _with(
-        "SELECT p.geo, p.week, promos.promo_description, count(promos.promo_description) "
-        "OVER (PARTITION BY p.week, p.geo) AS promo_intensity FROM panel p "
-        "LEFT JOIN promos ON p.week = promos.week AND p.geo = promos.geo"
-    ),
+    "promo_intensity": INTENSITY,
+    "promo_intensity_hot_key": INTENSITY,
     "adstock": _adstocked({"cost_high": 0.5}),
     "adstock_null_poison": ADSTOCK_POISON,
     "adstock_channels": _adstocked(DECAY),

@@ -10,8 +10,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions import sql_text as sql
 from spendlens.functions.columns import log_plus_one
 from spendlens.operators.channels import Channels, discover_channels, drop_columns_like
+from spendlens.operators.checks import largest_group
 from spendlens.operators.encode import (
     MAX_LEVELS,
     calendar_dummies,
@@ -124,7 +126,6 @@ def preprocess(df: DataFrame, config: Mapping[str, Any] | None = None) -> Prepar
         derived.update(promo_columns())
         promo_features = promo_feature_names()
         if keyed:
-            df = promo_intensity(df)
             late.append("promo_intensity")
         else:
             promo_features.remove("promo_intensity")
@@ -134,15 +135,21 @@ def preprocess(df: DataFrame, config: Mapping[str, Any] | None = None) -> Prepar
 
     lags = lag_names(channels.cost_columns, settings["lag_periods"])
     lagged = settings["create_lags"] and keyed
+    # No week of a geo has more rows than the geo: one bound serves both windows, and
+    # both run on one partitioning by geo.
+    longest = max(counts["geo"].values(), default=0) if "geo" in counts else None
+    if longest is None and (lagged or late):
+        longest = largest_group(df, ["geo"])
+    if late:
+        df = promo_intensity(df, max_rows=settings["max_series_rows"], largest=longest)
     if lagged:
-        longest = max(counts["geo"].values(), default=0) if "geo" in counts else None
         series = as_series(df, max_rows=settings["max_series_rows"], longest=longest)
         wanted = {**lags, **({"log_organic_lag1": ("log_organic", 1)} if organic else {})}
         df = lag_columns(series, wanted).result()
         late += list(lags)
         steps.append(f"added lags {list(settings['lag_periods'])}")
 
-    encoded = {}
+    encoded: dict[str, str] = {}
     if settings["create_fixed_effects"]:
         if "geo" in counts:
             encoded.update(geo_dummies(sorted_levels(counts["geo"])))
@@ -162,10 +169,9 @@ def preprocess(df: DataFrame, config: Mapping[str, Any] | None = None) -> Prepar
     tail = ["log_organic"] if organic else []
     if organic and lagged:
         tail.append("log_organic_lag1")
-    # One select for the hundreds of dummies: chained additions would be re-analysed.
-    df = df.select(
-        *[F.col(f"`{c}`") for c in [*raw_columns, *derived, *late]],
-        *[column.alias(name) for name, column in encoded.items()],
+    df = df.selectExpr(
+        *[sql.name(c) for c in [*raw_columns, *derived, *late]],
+        *[sql.named(expression, name) for name, expression in encoded.items()],
         *tail,
     )
     return Prepared(df, channels, feature_sets(df, channels, promo_features), steps)
@@ -174,9 +180,8 @@ def preprocess(df: DataFrame, config: Mapping[str, Any] | None = None) -> Prepar
 def preprocess_summary(prepared: Prepared) -> DataFrame:
     """Shape, channels, nulls and completeness of the feature table, in one pass."""
     df, channels = prepared.df, prepared.channels
-    nulls = F.lit(0).cast("long")
-    for c in nullable_columns(df):
-        nulls = nulls + F.count(F.lit(1)) - F.count(F.col(f"`{c}`"))
+    gaps = [f"(count(*) - count({sql.name(c)}))" for c in nullable_columns(df)]
+    nulls = F.expr(sql.total(gaps)) if gaps else F.lit(0).cast("long")
     cells = F.count(F.lit(1)) * F.lit(len(df.columns))
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendlens.functions import sql_text as sql
 from spendlens.functions.columns import (
     has_value,
     iso_week_of,
@@ -318,9 +319,12 @@ def _organic_lag(max_rows: int) -> Query:
     return query
 
 
-def promo_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fanned_out(spark, sf_dir).select("geo", "week", "promo_description")
-    return series.promo_intensity(rows)
+def _promo_intensity(max_rows: int) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = fanned_out(spark, sf_dir).select("geo", "week", "promo_description")
+        return series.promo_intensity(rows, max_rows=max_rows)
+
+    return query
 
 
 def adstock(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,7 +400,7 @@ def _calendar_dummies(part: str) -> Query:
 
 def log_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log spend, promotion features and revenue: what the log models are fitted on."""
-    source = series.promo_intensity(panel(spark, sf_dir))
+    source = panel(spark, sf_dir)
     return source.withColumns({**features.log_columns(SPEND), **features.promo_columns()})
 
 
@@ -493,7 +497,7 @@ def preprocess_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = _prepared(spark, sf_dir)
 
     def total(names: Sequence[str]) -> Column:
-        return regression.sum_of([F.col(c) for c in names])
+        return F.expr(sql.total([sql.name(c) for c in names]))
 
     sets = prepared.sets
     return prepared.df.select(
@@ -594,7 +598,8 @@ QUERIES: dict[str, Query] = {
     "spend_lags_segmented": _spend_lags(SEGMENT_ROWS),
     "organic_lag": _organic_lag(series.MAX_SERIES_ROWS),
     "organic_lag_segmented": _organic_lag(SEGMENT_ROWS),
-    "promo_intensity": promo_intensity,
+    "promo_intensity": _promo_intensity(series.MAX_SERIES_ROWS),
+    "promo_intensity_hot_key": _promo_intensity(0),
     "adstock": adstock,
     "adstock_null_poison": adstock_null_poison,
     "adstock_channels": _adstock_channels(series.MAX_SERIES_ROWS),
