@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from spendlens.functions.columns import shorten
 from spendlens.functions.promo_text import KEYWORD_CATEGORIES, matches_any, promo_flags
 from spendlens.operators.channels import Channels, discover_channels
-from spendlens.operators.quantiles import exact_quantiles
+from spendlens.operators.quantiles import column_stats, exact_quantiles
 
 PROMO = "promo_description"
 
@@ -202,33 +202,17 @@ def promo_flag_counts(
 def describe_numeric(df: DataFrame, decimals: int | None = 2) -> DataFrame:
     """Count, mean, deviation (n-1), extremes and exact quartiles per numeric column."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    schema = (
-        "column_name string, n_values long, mean double, std double, min double, "
-        "p25 double, p50 double, p75 double, max double"
-    )
-    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
-
-    def shown(value: Column) -> Column:
-        value = value.cast("double")
-        return value if decimals is None else F.round(value, decimals)
-
-    rows = []
-    for c in numeric:
-        p25, p50, p75 = (F.lit(q).cast("double") for q in quartiles[c])
-        rows.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.count(c).alias("n_values"),
-                shown(F.avg(c)).alias("mean"),
-                shown(F.stddev_samp(c)).alias("std"),
-                shown(F.min(c)).alias("min"),
-                shown(p25).alias("p25"),
-                shown(p50).alias("p50"),
-                shown(p75).alias("p75"),
-                shown(F.max(c)).alias("max"),
-            )
-        )
-    return _unpivoted(df, rows, schema)
+    stats = column_stats(df, numeric)
+    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], stats=stats)
+    rows = [
+        (c, s.rows, s.mean, s.std, s.low, *quartiles[c], s.high) for c, s in stats.items()
+    ]
+    measures = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+    schema = "column_name string, n_values long, " + ", ".join(f"{m} double" for m in measures)
+    table = df.sparkSession.createDataFrame(rows, schema)
+    if decimals is None:
+        return table
+    return table.withColumns({m: F.round(m, decimals) for m in measures})
 
 
 def data_report(df: DataFrame) -> dict[str, DataFrame]:

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions import sql_text as sql
+
 BINS = 1024
 MAX_SORTED_ROWS = 100_000
 
@@ -30,42 +32,62 @@ class _Range:
     rows: int
 
 
+@dataclass(frozen=True)
+class ColumnStats:
+    """One pass worth of facts about a column; None where it has no values."""
+
+    rows: int
+    mean: float | None
+    std: float | None
+    low: float | None
+    high: float | None
+
+
+def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats]:
+    """Count, mean, sample deviation and extremes of all columns in one aggregation."""
+    if not columns:
+        return {}
+    wanted = []
+    for i, c in enumerate(columns):
+        value = f"CAST({sql.name(c)} AS DOUBLE)"
+        wanted += [
+            f"count({value}) AS rows_{i}",
+            f"avg({value}) AS mean_{i}",
+            f"stddev_samp({value}) AS std_{i}",
+            f"min({value}) AS low_{i}",
+            f"max({value}) AS high_{i}",
+        ]
+    row = df.selectExpr(*wanted).first()
+    return {
+        c: ColumnStats(*[row[f"{part}_{i}"] for part in ("rows", "mean", "std", "low", "high")])
+        for i, c in enumerate(columns)
+    }
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     fractions: Sequence[float],
     max_sorted_rows: int = MAX_SORTED_ROWS,
+    stats: Mapping[str, ColumnStats] | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column, nulls skipped.
 
     The result has one list per column, in the order of ``fractions``; a column
-    without values gives None.
+    without values gives None. ``stats`` saves a pass if they are known.
     """
-    if not columns:
-        return {}
-    bounds = df.agg(
-        *[
-            F.struct(
-                F.count(c).alias("rows"),
-                F.min(c).cast("double").alias("low"),
-                F.max(c).cast("double").alias("high"),
-            ).alias(c)
-            for c in columns
-        ]
-    ).first()
+    stats = column_stats(df, columns) if stats is None else stats
     wanted: dict[_Range, set[int]] = {}
     for c in columns:
-        b = bounds[c]
-        if b["rows"] == 0:
+        known = stats[c]
+        if known.rows == 0:
             continue
-        if math.isinf(b["low"]) or math.isinf(b["high"]) or math.isnan(b["high"]):
+        if not (math.isfinite(known.low) and math.isfinite(known.high)):
             raise ValueError(f"column {c} holds infinite or NaN values")
-        ranks = {r for f in fractions for r in _ranks(f, b["rows"])}
-        wanted[_Range(c, b["low"], b["high"], 0, b["rows"])] = ranks
+        ranks = {r for f in fractions for r in _ranks(f, known.rows)}
+        wanted[_Range(c, known.low, known.high, 0, known.rows)] = ranks
     values = _select_ranks(df, wanted, max_sorted_rows)
-    return {
-        c: [_interpolate(values, c, f, bounds[c]["rows"]) for f in fractions] for c in columns
-    }
+    return {c: [_interpolate(values, c, f, stats[c].rows) for f in fractions] for c in columns}
 
 
 def exact_median(df: DataFrame, column: str, **options: int) -> float | None:
@@ -111,20 +133,17 @@ def _in_ranges(df: DataFrame, spans: Sequence[_Range], binned: bool) -> DataFram
     """Rows (span, bin, value) of every span a value falls in; the rest goes early."""
     hits = []
     for number, span in enumerate(spans):
-        value = F.col(f"`{span.column}`").cast("double")
-        width = span.high - span.low
-        if math.isinf(width):
-            share = (value / 2 - span.low / 2) / (span.high / 2 - span.low / 2)
-        else:
-            share = (value - F.lit(span.low)) / F.lit(width)
-        bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
-        hit = F.struct(
-            F.lit(number).alias("span"),
-            (bin_ if binned else F.lit(0)).alias("bin"),
-            value.alias("value"),
+        value = f"CAST({sql.name(span.column)} AS DOUBLE)"
+        low, high = sql.literal(span.low), sql.literal(span.high)
+        # Halved where the width itself would overflow.
+        part = "" if math.isfinite(span.high - span.low) else " / 2"
+        share = f"({value}{part} - {low}{part}) / ({high}{part} - {low}{part})"
+        place = f"CAST(least(floor({share} * {BINS}), {BINS - 1}) AS INT)" if binned else "0"
+        hits.append(
+            f"CASE WHEN {value} BETWEEN {low} AND {high} THEN "
+            f"named_struct('span', {number}, 'bin', {place}, 'value', {value}) END"
         )
-        hits.append(F.when(value.between(span.low, span.high), hit))
-    return df.select(F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("hit.*")
+    return df.selectExpr(f"inline(array_compact(array({', '.join(hits)})))")
 
 
 def _sorted_ranks(
@@ -132,17 +151,17 @@ def _sorted_ranks(
 ) -> dict[tuple[str, int], float]:
     """Pick the ranks out of ranges proven to hold few rows."""
     order = list(spans)
-    wanted = F.lit(None)
-    for number, span in enumerate(order):
-        picks = F.array(*[F.lit(r - span.below + 1) for r in sorted(spans[span])])
-        wanted = F.when(F.col("span") == number, picks).otherwise(wanted)
+    places = {
+        number: ", ".join(str(r - span.below + 1) for r in sorted(spans[span]))
+        for number, span in enumerate(order)
+    }
+    cases = " ".join(f"WHEN {number} THEN array({p})" for number, p in places.items())
     rows = (
         _in_ranges(df, order, binned=False)
         .groupBy("span")
         .agg(F.sort_array(F.collect_list("value")).alias("values"))
-        .select(
-            "span",
-            F.transform(wanted, lambda p: F.element_at("values", p)).alias("picked"),
+        .selectExpr(
+            "span", f"transform(CASE span {cases} END, p -> element_at(values, p)) AS picked"
         )
         .collect()
     )
