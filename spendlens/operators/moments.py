@@ -7,6 +7,7 @@ do not grow with the rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -59,6 +60,7 @@ def regression_moments(df: DataFrame, features: Sequence[str], target: str) -> M
         raise ValueError("no rows to fit a model on")
     if bad:
         raise ValueError(f"{bad} rows have a null in a feature or the target")
+    cov, mean = cov.copy(), np.asarray(mean)
     cov[constant, :] = 0.0
     cov[:, constant] = 0.0
     return Moments(tuple(features), target, n, mean, cov)
@@ -87,75 +89,52 @@ def _by_sql(df: DataFrame, k: int) -> tuple[int, int, np.ndarray, np.ndarray, np
 
 
 def _by_arrow(df: DataFrame, k: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """Each task reduces its rows to k^2 sums; Spark adds the sums of all tasks.
+    """Each task reduces its rows to k^2 numbers; those are merged as a tree.
 
-    A task centres on its own mean, so the products stay accurate when a mean is
-    large against its spread. The total is put together from within-task and
-    between-task parts.
+    Products are taken around the mean of the rows at hand and corrected when two parts
+    are merged, so they stay accurate when a mean is large against its spread. The
+    merging functions are nested: Spark ships them by value, so workers need numpy and
+    pyarrow only.
     """
-    upper = np.triu_indices(k)
-    m = len(upper[0])
+
+    def merge(a: tuple, b: tuple) -> tuple:
+        n_a, bad_a, mean_a, within_a, low_a, high_a = a
+        n_b, bad_b, mean_b, within_b, low_b, high_b = b
+        if n_a == 0 or n_b == 0:
+            kept = b if n_a == 0 else a
+            return (kept[0], bad_a + bad_b, *kept[2:])
+        n = n_a + n_b
+        gap = mean_b - mean_a
+        return (
+            n,
+            bad_a + bad_b,
+            mean_a + gap * (n_b / n),
+            within_a + within_b + np.outer(gap, gap) * (n_a / n * n_b),
+            np.minimum(low_a, low_b),
+            np.maximum(high_a, high_b),
+        )
+
+    nothing = (0, 0, np.zeros(k), np.zeros((k, k)), np.zeros(k), np.zeros(k))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, bad = 0, 0
-        mean, within = np.zeros(k), np.zeros((k, k))
-        low, high = np.full(k, np.inf), np.full(k, -np.inf)
+        total = nothing
         for batch in batches:
             x = np.column_stack(
                 [np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in batch.columns]
             )
             complete = ~np.isnan(x).any(axis=1)
-            bad += int((~complete).sum())
-            x = x[complete]
-            if not len(x):
-                continue
-            low, high = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
-            batch_mean = x.mean(axis=0)
-            centred = x - batch_mean
-            gap = batch_mean - mean
-            total = n + len(x)
-            within += centred.T @ centred + np.outer(gap, gap) * (n * len(x) / total)
-            mean += gap * (len(x) / total)
-            n = total
-        parts = [
-            ("n", [n]),
-            ("bad", [bad]),
-            ("sum", n * mean),
-            ("within", within[upper]),
-            ("between", n * np.outer(mean, mean)[upper]),
-        ]
-        if n:
-            parts += [("low", low), ("high", high)]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "part": np.concatenate([[name] * len(v) for name, v in parts]),
-                "place": np.concatenate([np.arange(len(v)) for _, v in parts]),
-                "value": np.concatenate([np.asarray(v, dtype=float) for _, v in parts]),
-            }
-        )
-
-    partial = df.mapInArrow(summarise, "part string, place long, value double")
-    merged = (
-        partial.groupBy("part", "place")
-        .agg(
-            F.sum("value").alias("total"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-        )
-        .toPandas()
-    )
-
-    def vector(part: str, value: str, size: int) -> np.ndarray:
-        rows = merged[merged["part"] == part].sort_values("place")
-        return rows[value].to_numpy() if len(rows) else np.zeros(size)
-
-    n, bad = (int(vector(part, "total", 1)[0]) for part in ("n", "bad"))
-    if n == 0:
-        return bad, bad, np.zeros(k), np.zeros((k, k)), np.zeros(k, dtype=bool)
-    mean = vector("sum", "total", k) / n
-    cov = np.zeros((k, k))
-    cov[upper] = (vector("within", "total", m) + vector("between", "total", m)) / n
-    cov[upper] -= np.outer(mean, mean)[upper]
-    cov = np.triu(cov) + np.triu(cov, 1).T
-    constant = vector("low", "low", k) == vector("high", "high", k)
-    return n + bad, bad, mean, cov, constant
+            bad, x = int((~complete).sum()), x[complete]
+            part = (0, bad, *nothing[2:])
+            if len(x):
+                mean = x.mean(axis=0)
+                centred = x - mean
+                part = (len(x), bad, mean, centred.T @ centred, x.min(axis=0), x.max(axis=0))
+            total = merge(total, part)
+        yield pa.RecordBatch.from_pydict({"part": [pickle.dumps(total)]})
+
+    partial = df.mapInArrow(summarise, "part binary")
+    n, bad, mean, within, low, high = partial.rdd.map(
+        lambda row: pickle.loads(bytes(row.part))
+    ).treeAggregate(nothing, merge, merge, depth=3)
+    cov = within / n if n else within
+    return n + bad, bad, mean, (cov + cov.T) / 2, low == high
