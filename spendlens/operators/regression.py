@@ -277,6 +277,20 @@ def coefficient_table(spark: SparkSession, model: LinearModel) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def model_summary(spark: SparkSession, model: LinearModel, metrics: DataFrame) -> DataFrame:
+    """Type, size and target of a model, its coefficients and its metrics, as rows."""
+    found = metrics.where(F.col("model_type") == model.model_type).first()
+    facts = [
+        ("model", "type", model.model_type),
+        ("model", "features", str(len(model.features))),
+        ("model", "target", model.target),
+    ]
+    weights = [*zip(model.features, model.coefficients), ("intercept", model.intercept)]
+    facts += [("coefficient", name, f"{float(w):.6f}") for name, w in weights]
+    facts += [("metric", name, f"{found[name]:.4f}") for name in ("r2", "rmse", "mae", "mse")]
+    return spark.createDataFrame(facts, "section string, name string, value string")
+
+
 def model_table(spark: SparkSession, model: LinearModel) -> DataFrame:
     """All that is needed to load the model again, one row per feature."""
     rows = [

@@ -25,6 +25,7 @@ from spendlens.session import shared_root
 MAX_SERIES_ROWS = 2_000_000
 
 _SEGMENT = "_segment"
+_TIE = "_tie"
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ class Series:
         return Series(df, self.keys, self.order, self.longest, self.segmented)
 
     def result(self) -> DataFrame:
-        return self.df.drop(_SEGMENT)
+        return self.df.drop(_SEGMENT, _TIE)
 
 
 def as_series(
@@ -62,9 +63,9 @@ def as_series(
 ) -> Series:
     """Decide how to lay out ``df`` as series of ``keys`` ordered by ``order``.
 
-    Rows with equal ``order`` values have no defined sequence: add a tie-breaking
-    column to ``order`` or see ``assert_unique_key``. ``longest`` is the length of the
-    longest series if the caller knows it; else it is counted.
+    Rows with equal ``order`` values come in any sequence: add a tie-breaking column to
+    ``order``, or see ``assert_unique_key``. ``longest`` is the length of the longest
+    series if the caller knows it; else it is counted.
     """
     require_columns(df, [*keys, *order])
     total = None
@@ -76,13 +77,20 @@ def as_series(
         return Series(df, tuple(keys), tuple(order), longest, False)
     total = df.count() if total is None else total
     shared_root(df.sparkSession)
+    order = tuple(order)
+    if largest_group(df, [*keys, *order]) > max_rows:
+        # Rows at one place of the order can only be cut apart by numbering them. Read
+        # back from the checkpoint they come in a fixed sequence, so a lost task that
+        # runs again gives them the same numbers.
+        df = df.checkpoint(eager=True).withColumn(_TIE, F.monotonically_increasing_id())
+        order = (*order, _TIE)
     # Range bounds come from a sample of the rows, so the cut is written down once.
     cut = (
         df.repartitionByRange(max(2, 2 * ceil(total / max_rows)), *keys, *order)
         .withColumn(_SEGMENT, F.spark_partition_id())
         .checkpoint(eager=True)
     )
-    return Series(cut, tuple(keys), tuple(order), longest, True)
+    return Series(cut, tuple(keys), order, longest, True)
 
 
 def _known_key(keys: Sequence[str]) -> Column:

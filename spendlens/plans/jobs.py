@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -118,25 +119,47 @@ def _step(config: Mapping[str, Any], name: str, shared: str) -> dict[str, Any] |
 
 
 def run(
-    spark: SparkSession, config: Mapping[str, Any], panel: DataFrame | None = None
+    spark: SparkSession,
+    config: Mapping[str, Any],
+    panel: DataFrame | None = None,
+    results: dict[str, Any] | None = None,
 ) -> dict[str, Any]:
     """Import, train, evaluate and export, each step if it is switched on.
 
-    A ``panel`` stands in for a switched-off import. The result is nested and small:
-    counts, metrics and one number per channel. A failing step raises.
+    A ``panel`` stands in for a switched-off import. The results are nested and small:
+    counts, metrics and one number per channel. A failing step raises; pass a
+    ``results`` dict to see how far the run came.
     """
-    results: dict[str, Any] = {}
+    results = {} if results is None else results
+    status = results.setdefault("run", {})
+    status["start_time"] = dt.datetime.now(dt.timezone.utc).isoformat()
+    try:
+        _run_steps(spark, config, panel, results)
+    except Exception as error:
+        status.update(status="FAILED", error=str(error))
+        raise
+    status.update(status="SUCCESS", end_time=dt.datetime.now(dt.timezone.utc).isoformat())
+    return results
+
+
+def _run_steps(
+    spark: SparkSession,
+    config: Mapping[str, Any],
+    panel: DataFrame | None,
+    results: dict[str, Any],
+) -> None:
     data_config = _step(config, "data_import", "data")
     if data_config is not None:
         panel = import_panel(spark, **data_config)
         found = import_metadata(panel).first()
         results["data_import"] = {
+            "status": "SUCCESS",
             "shape": [found["n_rows"], found["n_columns"]],
             "date_range": {"start": found["week_start"], "end": found["week_end"]},
         }
     model_config = _step(config, "model_training", "model")
     if model_config is None:
-        return results
+        return
     if panel is None:
         raise ValueError("training needs an import step or a panel")
     job = fit_spend_model(
@@ -148,19 +171,19 @@ def run(
     )
     try:
         results["model_training"] = {
+            "status": "SUCCESS",
             "model_type": job.model.model_type,
             "model_alpha": job.model.alpha,
         }
         if _step(config, "model_evaluation", "evaluation") is not None:
-            results["model_evaluation"] = _evaluation(job)
+            results["model_evaluation"] = {"status": "SUCCESS", **_evaluation(job)}
         output = _step(config, "data_export", "output")
         if output is not None:
             table = results_table(spark, results)
             files = export_by_config(spark, job.prepared.df, job.model, table, output)
-            results["data_export"] = {"output_files": files}
+            results["data_export"] = {"status": "SUCCESS", "output_files": files}
     finally:
         job.close()
-    return results
 
 
 def _evaluation(job: FittedJob) -> dict[str, dict[str, float]]:
@@ -199,13 +222,14 @@ def results_table(spark: SparkSession, results: Mapping[str, Any]) -> DataFrame:
 
 
 def summary_table(spark: SparkSession, results: Mapping[str, Any], top: int = 5) -> DataFrame:
-    """The short report: shape, model, metrics, and the strongest channels."""
+    """The short report: status, shape, model, metrics, and the strongest channels."""
     short = {k: v for k, v in results.items() if k != "data_export"}
     judged = short.get("model_evaluation")
     if judged:
         by_size = sorted(judged["elasticity"].items(), key=lambda kv: -abs(kv[1]))[:top]
         by_value = sorted(judged["contribution"].items(), key=lambda kv: -kv[1])[:top]
         short["model_evaluation"] = {
+            "status": judged["status"],
             "model_metrics": {
                 k: v for k, v in judged["model_metrics"].items() if k != "mse"
             },

@@ -632,6 +632,10 @@ def _run_results() -> str:
         f"SELECT 'data_import', 'shape.1', {len(PANEL_COLUMNS) - 1}, NULL",
         "SELECT 'data_import', 'date_range.start', NULL, CAST(min(week) AS VARCHAR) FROM panel",
         "SELECT 'data_import', 'date_range.end', NULL, CAST(max(week) AS VARCHAR) FROM panel",
+        "SELECT 'run', 'status', NULL, 'SUCCESS'",
+        "SELECT 'data_import', 'status', NULL, 'SUCCESS'",
+        "SELECT 'model_training', 'status', NULL, 'SUCCESS'",
+        "SELECT 'model_evaluation', 'status', NULL, 'SUCCESS'",
         "SELECT 'model_training', 'model_type', NULL, 'ridge'",
         "SELECT 'model_training', 'model_alpha', 1.0, NULL",
     ]

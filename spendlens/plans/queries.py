@@ -540,8 +540,7 @@ def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
     }
     results = jobs.run(spark, config)
-    results.pop("data_export")
-    found = jobs.summary_table(spark, results)
+    found = jobs.summary_table(spark, results).where("name not in ('start_time', 'end_time')")
     number = F.col("value").try_cast("double")
     return found.select(
         "section",

@@ -96,10 +96,15 @@ def coerce_numeric(df: DataFrame, name_parts: list[str] | None = None) -> DataFr
 
 
 def parse_week(df: DataFrame, column: str = "week", format: str | None = None) -> DataFrame:
-    """Make the week a date. A bad value fails the job (ANSI mode)."""
+    """Make the week a date. A bad value fails the job, whatever the ANSI setting."""
     if isinstance(df.schema[column].dataType, T.DateType):
         return df
-    return df.withColumn(column, F.to_date(F.col(column), format))
+    given = F.col(column)
+    parsed = F.try_to_date(given, format)
+    unreadable = F.raise_error(F.concat(F.lit(f"not a date in {column}: "), given.cast("string")))
+    return df.withColumn(
+        column, F.when(given.isNotNull() & parsed.isNull(), unreadable).otherwise(parsed)
+    )
 
 
 def import_panel(

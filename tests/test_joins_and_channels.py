@@ -40,7 +40,7 @@ def test_promotions_fan_out_and_null_keys_match(panel, promos, hot_key_rows):
 
 @pytest.mark.parametrize("hot_key_rows", HOT)
 def test_identical_rows_of_a_hot_key_are_all_kept(spark, panel, promos, hot_key_rows):
-    many = promos.where("geo = 'a'").crossJoin(spark.range(500)).drop("id")
+    many = promos.where("geo = 'a'").selectExpr("*", "explode(sequence(1, 500)) as copy").drop("copy")
     got = join_promotions(panel.where("revenue = 1"), many, hot_key_rows=hot_key_rows)
     assert got.count() == 1000
 

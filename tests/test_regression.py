@@ -13,6 +13,7 @@ from spendlens.operators.regression import (
     evaluate,
     fit,
     model_from_table,
+    model_summary,
     model_table,
     predict,
     solve,
@@ -236,6 +237,15 @@ def test_coefficient_table_ends_with_the_intercept(spark, data):
     assert [r["feature"] for r in rows] == [*names, "intercept"]
 
 
+def test_model_summary(spark, data):
+    df, names = table(spark, *data)
+    model = fit(df, names, "y")
+    rows = {(r[0], r[1]): r[2] for r in model_summary(spark, model, evaluate(df, model)).collect()}
+    assert rows["model", "features"] == "3" and rows["model", "target"] == "y"
+    assert float(rows["coefficient", "x0"]) == pytest.approx(model.coefficients[0], abs=1e-6)
+    assert len(rows) == 3 + 4 + 4
+
+
 def test_model_comparison_equals_single_fits(spark, data):
     df, names = table(spark, *data)
     rows = {r["model_type"]: r for r in compare_models(df, names, "y").collect()}

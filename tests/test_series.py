@@ -173,6 +173,22 @@ def test_lags_across_segments(spark, max_rows):
             assert found[geo] == brute_lag([v["xy".index(column)] for v in values], k, 0.0)
 
 
+def test_crowded_week_is_cut_too(spark):
+    """A third of the rows share geo and week, and are copies of each other."""
+    copies = [("a", monday(3), 1.0, None)] * 200
+    rest = [(g, monday(i), 1.0, None) for g in ("a", "b") for i in range(200) if (g, i) != ("a", 3)]
+    df = spark.createDataFrame(copies + rest, SCHEMA)
+    series = as_series(df, max_rows=50)
+    crowded = series.df.where("geo = 'a' and week = '2022-01-24'")
+    assert crowded.select("_segment").distinct().count() > 2
+    got = adstock(lag_columns(series, {"l1": ("x", 1)}), {"x": 1.0}).result()
+    assert got.columns == ["geo", "week", "x", "y", "l1", "x_adstocked"]
+    for geo, n in (("a", 399), ("b", 200)):
+        rows = got.where(f"geo = '{geo}'").collect()
+        assert sorted(r["x_adstocked"] for r in rows) == [float(i + 1) for i in range(n)]
+        assert sorted(r["l1"] for r in rows) == [0.0] + [1.0] * (n - 1)
+
+
 def test_duplicate_keys_are_reported(spark):
     df = frame(spark, {"a": pairs(1.0, 2.0)})
     assert assert_unique_key(df, ["geo", "week"]) is df
