@@ -134,7 +134,7 @@ def build_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     deep = (
         read(spark, sf_dir, "lineitem")
-        .where(_discount() >= 0.085)
+        .where(F.col("l_discount") >= 0.085)
         .select("l_orderkey", "l_partkey", "l_discount")
         .join(part, F.col("l_partkey") == part.p_partkey)
         .select(F.col("l_orderkey").alias("o_orderkey"), text.alias("promo_description"))
