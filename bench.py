@@ -3,7 +3,9 @@
 BENCH_SF_DIR picks the tables, BENCH_CPUS the cores, BENCH_RUNS how often each query
 runs (the fastest run counts, the JVM being warm then). ``panel_*`` queries read the
 weekly panel of nations, persisted beforehand; ``fine_*`` queries the much larger panel
-with one geo per customer, ``hot_geo_*`` the same with one geo holding a third of it. ``build_*`` read the raw tables each time.
+with one geo per customer, ``hot_geo_*`` the same with one geo holding a third of it. ``million_*``
+read a parquet table of BENCH_COPIES copies of the fine panel under different geos.
+``build_*`` read the raw tables each time.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from spendlens.operators.features import add_spend_lags
 from spendlens.operators.joins import join_promotions
 from spendlens.plans import jobs, queries, trade_panel
 from spendlens.plans.preprocess import preprocess
-from spendlens.session import local_session
+from spendlens.session import local_session, shared_path
+from spendlens.sources.writers import write_parquet
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+COPIES = int(os.environ.get("BENCH_COPIES", "10"))
 
 
 def drain(df: DataFrame) -> None:
@@ -47,7 +51,18 @@ def main() -> None:
     hot = fine.withColumn("customer", F.col("geo")).withColumn(
         "geo", F.when(is_hot, "hot").otherwise(F.col("geo"))
     )
-    rows = {"panel": panel.count(), "fine": fine.count(), "promotions": promotions.count()}
+    copied = fine.selectExpr("*", f"explode(sequence(1, {COPIES})) AS copy")
+    copied = copied.withColumn("geo", F.concat_ws("-", "geo", "copy")).drop("copy")
+    million = spark.read.parquet(
+        write_parquet(copied.repartition(int(CPUS) * 2), shared_path(spark, "bench"))
+    )
+    no_effects = {**config, "create_fixed_effects": False}
+    rows = {
+        "panel": panel.count(),
+        "fine": fine.count(),
+        "million": million.count(),
+        "promotions": promotions.count(),
+    }
     lines = queries.trade_panel.read(spark, SF_DIR, "lineitem").count()
 
     def report() -> None:
@@ -98,6 +113,20 @@ def main() -> None:
             handle_null="zero",
         ),
     }
+    timed.update(
+        {
+            "million_lags": lambda: drain(
+                add_spend_lags(series.as_series(million), spend).result()
+            ),
+            "million_adstock": lambda: drain(
+                series.adstock_channels(million, spend, queries.DECAY)
+            ),
+            "million_preprocess": lambda: drain(preprocess(million, no_effects).df),
+            "million_describe": lambda: drain(profile.describe_numeric(million)),
+            "million_spend_summary": lambda: drain(profile.spend_summary(million)),
+            "million_fit_ols": lambda: regression.fit(million, spend, "revenue"),
+        }
+    )
     seconds: dict[str, float] = {}
     for name, run in timed.items():
         best = float("inf")

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from spendlens.functions import sql_text as sql
 from spendlens.operators.checks import require_columns
 
-# Up to this many columns the statistics are plain SQL aggregates.
-SQL_COLUMNS = 8
+# Up to this many columns the statistics are plain SQL aggregates. Beyond, their buffers
+# make the generated code slow, and matrix products in Arrow batches are faster.
+SQL_COLUMNS = 3
 MAX_FEATURES = 2_000
 
 
@@ -119,16 +120,19 @@ def _by_arrow(df: DataFrame, k: int) -> tuple[int, int, np.ndarray, np.ndarray,
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = nothing
         for batch in batches:
-            x = np.column_stack(
-                [np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in batch.columns]
-            )
-            complete = ~np.isnan(x).any(axis=1)
-            bad, x = int((~complete).sum()), x[complete]
+            # One row of x per column: batches are columnar, so each is copied whole.
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            incomplete = np.isnan(x).any(axis=0)
+            bad = int(incomplete.sum())
+            if bad:
+                x = x[:, ~incomplete]
             part = (0, bad, *nothing[2:])
-            if len(x):
-                mean = x.mean(axis=0)
-                centred = x - mean
-                part = (len(x), bad, mean, centred.T @ centred, x.min(axis=0), x.max(axis=0))
+            if x.shape[1]:
+                mean = x.mean(axis=1)
+                centred = x - mean[:, None]
+                part = (
+                    x.shape[1], bad, mean, centred @ centred.T, x.min(axis=1), x.max(axis=1),
+                )
             total = merge(total, part)
         yield pa.RecordBatch.from_pydict({"part": [pickle.dumps(total)]})
 

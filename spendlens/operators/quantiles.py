@@ -1,9 +1,10 @@
 """Exact quantiles without gathering a column in one task.
 
 ``percentile`` and ``median`` keep every distinct value of a column in the memory of
-one task. Here the wanted ranks are narrowed down instead: each round counts the rows
-of a value range in equal bins (at most ``BINS`` groups per range leave a map task) and
-keeps only the bin that holds the rank, until few enough rows are left to sort.
+one task. Here the wanted ranks are narrowed down instead. A sketch gives a first short
+range around each rank, checked by exact counts. Each round then counts the rows of a
+range in equal bins (at most ``BINS`` groups per range leave a map task) and keeps only
+the bin that holds the rank, until few enough rows are left to sort.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from spendlens.functions import sql_text as sql
 
 BINS = 1024
 MAX_SORTED_ROWS = 100_000
+ACCURACY = 1_000  # of the sketch: its ranks are off by at most 1/ACCURACY of the rows
 
 
 @dataclass(frozen=True)
@@ -86,6 +88,7 @@ def exact_quantiles(
             raise ValueError(f"column {c} holds infinite or NaN values")
         ranks = {r for f in fractions for r in _ranks(f, known.rows)}
         wanted[_Range(c, known.low, known.high, 0, known.rows)] = ranks
+    wanted = _bracketed(df, wanted, max_sorted_rows)
     values = _select_ranks(df, wanted, max_sorted_rows)
     return {c: [_interpolate(values, c, f, stats[c].rows) for f in fractions] for c in columns}
 
@@ -109,6 +112,46 @@ def _interpolate(
     return a + (b - a) * (fraction * (rows - 1) - low)
 
 
+def _bracketed(
+    df: DataFrame, wanted: dict[_Range, set[int]], max_sorted_rows: int
+) -> dict[_Range, set[int]]:
+    """Close in on the ranks of long columns with a sketch, then count exactly.
+
+    The sketch is only a guess at a short range around each rank. One more pass counts
+    the rows below and inside it, so a wrong guess is seen and the whole range kept.
+    """
+    long = {s: r for s, r in wanted.items() if s.rows > max_sorted_rows and s.low < s.high}
+    if not long:
+        return wanted
+    places = [(span, rank) for span, ranks in long.items() for rank in sorted(ranks)]
+    sketches = []
+    for span, ranks in long.items():
+        shares = [
+            str(min(max(rank / (span.rows - 1) + side * 2 / ACCURACY, 0.0), 1.0))
+            for rank in sorted(ranks)
+            for side in (-1, 1)
+        ]
+        sketches.append(
+            f"percentile_approx(CAST({sql.name(span.column)} AS DOUBLE), "
+            f"array({', '.join(shares)}), {ACCURACY})"
+        )
+    guesses = [g for found in df.selectExpr(*sketches).first() for g in found]
+    ends = list(zip(guesses[::2], guesses[1::2]))
+    counts = []
+    for (span, _), (low, high) in zip(places, ends):
+        value = f"CAST({sql.name(span.column)} AS DOUBLE)"
+        for upto in (f"< {sql.literal(low)}", f"<= {sql.literal(high)}"):
+            counts.append(f"count_if({value} {upto})")
+    counted = list(df.selectExpr(*[f"{c} AS n{i}" for i, c in enumerate(counts)]).first())
+    closer: dict[_Range, set[int]] = {s: r for s, r in wanted.items() if s not in long}
+    for i, ((span, rank), (low, high)) in enumerate(zip(places, ends)):
+        below, upto = counted[2 * i], counted[2 * i + 1]
+        if below <= rank < upto:
+            span = _Range(span.column, low, high, below, upto - below)
+        closer.setdefault(span, set()).add(rank)
+    return closer
+
+
 def _select_ranks(
     df: DataFrame, wanted: dict[_Range, set[int]], max_sorted_rows: int
 ) -> dict[tuple[str, int], float]:
