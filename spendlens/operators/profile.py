@@ -6,6 +6,8 @@ the job is one row per column, channel, category or geo.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,11 +20,25 @@ from spendlens.operators.quantiles import column_stats, exact_quantiles
 PROMO = "promo_description"
 
 
-def _unpivoted(df: DataFrame, rows: list[Column], schema: str) -> DataFrame:
-    """Run all aggregates of ``rows`` (structs) in one pass; one output row each."""
-    if not rows:
-        return df.sparkSession.createDataFrame([], schema)
-    return df.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
+@dataclass(frozen=True)
+class _Report:
+    """A table made of aggregates: one struct of them per row, then a filter and order."""
+
+    rows: list[Column]
+    schema: str
+    order: tuple[str | Column, ...] = ()
+    keep: Column | None = None
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """All rows from one aggregation over ``df``."""
+        if not self.rows:
+            return df.sparkSession.createDataFrame([], self.schema)
+        found = df.agg(F.array(*self.rows).alias("_rows")).select(F.inline("_rows"))
+        return self.finish(found)
+
+    def finish(self, found: DataFrame) -> DataFrame:
+        found = found if self.keep is None else found.where(self.keep)
+        return found.orderBy(*self.order) if self.order else found
 
 
 def report_channels(df: DataFrame) -> Channels:
@@ -46,8 +62,7 @@ def data_quality(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_report(df: DataFrame) -> DataFrame:
-    """Null count and percentage of every column that has nulls, most first."""
+def _missing(df: DataFrame) -> _Report:
     missing = [F.count(F.lit(1)) - F.count(F.col(f"`{c}`")) for c in df.columns]
     rows = [
         F.struct(
@@ -57,16 +72,20 @@ def missing_report(df: DataFrame) -> DataFrame:
         )
         for c, n in zip(df.columns, missing)
     ]
-    schema = "column_name string, missing_count long, missing_pct double"
-    return (
-        _unpivoted(df, rows, schema)
-        .where(F.col("missing_count") > 0)
-        .orderBy(F.desc("missing_count"), "column_name")
+    return _Report(
+        rows,
+        "column_name string, missing_count long, missing_pct double",
+        (F.desc("missing_count"), "column_name"),
+        F.col("missing_count") > 0,
     )
 
 
-def spend_summary(df: DataFrame) -> DataFrame:
-    """Total, mean, least and most spend per channel, largest total first."""
+def missing_report(df: DataFrame) -> DataFrame:
+    """Null count and percentage of every column that has nulls, most first."""
+    return _missing(df).table(df)
+
+
+def _spend(df: DataFrame) -> _Report:
     channels = report_channels(df)
     rows = [
         F.struct(
@@ -82,11 +101,15 @@ def spend_summary(df: DataFrame) -> DataFrame:
         "channel string, total_spend double, avg_spend double, "
         "min_spend double, max_spend double"
     )
-    return _unpivoted(df, rows, schema).orderBy(F.desc("total_spend"), "channel")
+    return _Report(rows, schema, (F.desc("total_spend"), "channel"))
 
 
-def impression_summary(df: DataFrame) -> DataFrame:
-    """Total and mean impressions of the channels that have a spend column."""
+def spend_summary(df: DataFrame) -> DataFrame:
+    """Total, mean, least and most spend per channel, largest total first."""
+    return _spend(df).table(df)
+
+
+def _impressions(df: DataFrame) -> _Report:
     channels = report_channels(df)
     rows = [
         F.struct(
@@ -98,27 +121,48 @@ def impression_summary(df: DataFrame) -> DataFrame:
         if f"impression_{name}" in df.columns
     ]
     schema = "channel string, total_impressions double, avg_impressions double"
-    return _unpivoted(df, rows, schema).orderBy("channel")
+    return _Report(rows, schema, ("channel",))
 
 
-def kpi_summary(df: DataFrame) -> DataFrame:
-    """Revenue and conversion totals, of whichever of the two columns there is."""
-    columns = []
+def impression_summary(df: DataFrame) -> DataFrame:
+    """Total and mean impressions of the channels that have a spend column."""
+    return _impressions(df).table(df)
+
+
+def _kpi(df: DataFrame) -> _Report:
+    columns, schema = [], []
     if "revenue" in df.columns:
+        kind = df.schema["revenue"].dataType
+        total_kind = "long" if isinstance(kind, T.IntegralType) else "double"
         columns += [
             F.sum("revenue").alias("total_revenue"),
             F.avg("revenue").alias("avg_revenue"),
             F.min("revenue").alias("min_revenue"),
             F.max("revenue").alias("max_revenue"),
         ]
+        schema += [
+            f"total_revenue {total_kind}",
+            "avg_revenue double",
+            f"min_revenue {kind.simpleString()}",
+            f"max_revenue {kind.simpleString()}",
+        ]
     if "conversions" in df.columns:
+        kind = df.schema["conversions"].dataType
+        total_kind = "long" if isinstance(kind, T.IntegralType) else "double"
         columns += [
             F.sum("conversions").alias("total_conversions"),
             F.avg("conversions").alias("avg_conversions"),
         ]
-    if not columns:
+        schema += [f"total_conversions {total_kind}", "avg_conversions double"]
+    return _Report([F.struct(*columns)] if columns else [], ", ".join(schema))
+
+
+def kpi_summary(df: DataFrame) -> DataFrame:
+    """Revenue and conversion totals, of whichever of the two columns there is."""
+    report = _kpi(df)
+    if not report.rows:
         raise ValueError("the data has neither revenue nor conversions")
-    return df.agg(*columns)
+    return report.table(df)
 
 
 def promo_coverage(df: DataFrame, column: str = PROMO) -> DataFrame:
@@ -133,12 +177,7 @@ def promo_coverage(df: DataFrame, column: str = PROMO) -> DataFrame:
     )
 
 
-def promo_keywords(
-    df: DataFrame,
-    column: str = PROMO,
-    categories: dict[str, list[str]] | None = None,
-) -> DataFrame:
-    """How many promotion texts fall in each keyword category; empty ones left out."""
+def _keywords(column: str, categories: dict[str, list[str]] | None) -> _Report:
     text = F.col(column)
     rows = []
     for name, patterns in (categories or KEYWORD_CATEGORIES).items():
@@ -150,13 +189,23 @@ def promo_keywords(
                 F.try_divide(n * F.lit(100.0), F.count(text)).alias("promo_pct"),
             )
         )
-    return (
-        _unpivoted(df, rows, "category string, n_promos long, promo_pct double")
-        .where(F.col("n_promos") > 0)
-        .orderBy(F.desc("n_promos"), "category")
+    return _Report(
+        rows,
+        "category string, n_promos long, promo_pct double",
+        (F.desc("n_promos"), "category"),
+        F.col("n_promos") > 0,
     )
 
 
+def promo_keywords(
+    df: DataFrame,
+    column: str = PROMO,
+    categories: dict[str, list[str]] | None = None,
+) -> DataFrame:
+    """How many promotion texts fall in each keyword category; empty ones left out."""
+    return _keywords(column, categories).table(df)
+
+
 def promo_by_geo(df: DataFrame, column: str = PROMO) -> DataFrame:
     """Rows with a promotion, all rows and the share, per geo (null geo left out)."""
     with_promo, total = F.count(column), F.count(F.lit(1))
@@ -181,10 +230,7 @@ def promo_samples(df: DataFrame, column: str = PROMO, n: int = 5, length: int =
     )
 
 
-def promo_flag_counts(
-    df: DataFrame, column: str = PROMO, patterns: dict[str, list[str]] | None = None
-) -> DataFrame:
-    """Rows per promotion type, and with any promotion, with their share of all rows."""
+def _flag_counts(column: str, patterns: dict[str, list[str]] | None) -> _Report:
     flags = promo_flags(column, patterns)
     rows = [
         F.struct(
@@ -194,11 +240,20 @@ def promo_flag_counts(
         )
         for name, flag in flags.items()
     ]
-    return _unpivoted(df, rows, "promo_type string, n_rows long, row_pct double").orderBy(
-        F.desc("n_rows"), "promo_type"
+    return _Report(
+        rows,
+        "promo_type string, n_rows long, row_pct double",
+        (F.desc("n_rows"), "promo_type"),
     )
 
 
+def promo_flag_counts(
+    df: DataFrame, column: str = PROMO, patterns: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """Rows per promotion type and their share of all rows."""
+    return _flag_counts(column, patterns).table(df)
+
+
 def describe_numeric(df: DataFrame, decimals: int | None = 2) -> DataFrame:
     """Count, mean, deviation (n-1), extremes and exact quartiles per numeric column."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -216,19 +271,31 @@ def describe_numeric(df: DataFrame, decimals: int | None = 2) -> DataFrame:
 
 
 def data_report(df: DataFrame) -> dict[str, DataFrame]:
-    """All reports by name. Persist ``df`` first if it is costly to read."""
+    """All reports by name.
+
+    Those made of plain aggregates share one pass and hold its few rows; the others
+    (distinct counts, per geo, samples, quartiles) read ``df`` on their own, so persist
+    it first if it is costly to read.
+    """
+    shared = {
+        "missing": _missing(df),
+        "spend": _spend(df),
+        "impressions": _impressions(df),
+        "kpi": _kpi(df),
+    }
+    if PROMO in df.columns:
+        shared["promo_keywords"] = _keywords(PROMO, None)
+        shared["promo_flags"] = _flag_counts(PROMO, None)
+    shared = {name: report for name, report in shared.items() if report.rows}
+    facts = df.agg(*[F.array(*r.rows).alias(name) for name, r in shared.items()]).first()
     reports = {
-        "data_quality": data_quality(df),
-        "missing": missing_report(df),
-        "spend": spend_summary(df),
-        "impressions": impression_summary(df),
-        "describe": describe_numeric(df),
+        name: report.finish(df.sparkSession.createDataFrame(facts[name], report.schema))
+        for name, report in shared.items()
     }
-    if "revenue" in df.columns or "conversions" in df.columns:
-        reports["kpi"] = kpi_summary(df)
+    reports["data_quality"] = data_quality(df)
+    reports["describe"] = describe_numeric(df)
     if PROMO in df.columns:
         reports["promo_coverage"] = promo_coverage(df)
-        reports["promo_keywords"] = promo_keywords(df)
         reports["promo_by_geo"] = promo_by_geo(df)
         reports["promo_samples"] = promo_samples(df)
     return reports

@@ -142,7 +142,19 @@ def test_reports(small):
     assert words == {"Discount %": 1, "Free Item": 1, "Min Purchase": 1}
     assert [tuple(r) for r in profile.promo_by_geo(small).collect()] == [("a", 2, 2, 100.0)]
     assert [r["sample"] for r in profile.promo_samples(small).collect()] == ["Rabat", "free od"]
-    assert set(profile.data_report(small)) >= {"kpi", "describe", "promo_by_geo"}
+    together = profile.data_report(small)
+    alone = {
+        "missing": profile.missing_report, "spend": profile.spend_summary,
+        "impressions": profile.impression_summary, "kpi": profile.kpi_summary,
+        "promo_keywords": profile.promo_keywords, "promo_flags": profile.promo_flag_counts,
+        "data_quality": profile.data_quality, "promo_coverage": profile.promo_coverage,
+        "promo_by_geo": profile.promo_by_geo, "promo_samples": profile.promo_samples,
+        "describe": profile.describe_numeric,
+    }
+    assert set(together) == set(alone)
+    for name, report in alone.items():
+        assert together[name].columns == report(small).columns
+        assert together[name].collect() == report(small).collect(), name
 
 
 def test_reports_of_no_rows(small):
