@@ -30,13 +30,17 @@ LASSO_TOLERANCE = 1e-13
 MODEL_SCHEMA = (
     "model_type string, alpha double, target string, position int, feature string, "
     "coefficient double, x_mean double, x_scale double, y_mean double, y_scale double, "
-    "intercept double, rank int, n long"
+    "feature_mean double, target_mean double, intercept double, rank int, n long"
 )
 
 
 @dataclass(frozen=True)
 class LinearModel:
-    """A fitted model; k numbers per field. Coefficients are on the model scale."""
+    """A fitted model; k numbers per field. Coefficients are on the model scale.
+
+    ``x_mean`` to ``y_scale`` lead to that scale and are 0 and 1 for an unscaled fit;
+    ``feature_means`` and ``target_mean`` are those of the training rows in any case.
+    """
 
     model_type: str
     alpha: float
@@ -48,6 +52,8 @@ class LinearModel:
     x_scale: np.ndarray
     y_mean: float
     y_scale: float
+    feature_means: np.ndarray
+    target_mean: float
     rank: int
     n: int
 
@@ -147,7 +153,8 @@ def solve(
     intercept = 0.0 if standardize else float(moments.mean[k] - weights @ moments.mean[:k])
     return LinearModel(
         model_type, alpha, moments.features, moments.target, weights, intercept,
-        x_mean, scale[:k].copy(), y_mean, float(scale[k]), rank, moments.n,
+        x_mean, scale[:k].copy(), y_mean, float(scale[k]),
+        moments.mean[:k].copy(), float(moments.mean[k]), rank, moments.n,
     )
 
 
@@ -297,6 +304,7 @@ def model_table(spark: SparkSession, model: LinearModel) -> DataFrame:
         (
             model.model_type, model.alpha, model.target, i, f, float(model.coefficients[i]),
             float(model.x_mean[i]), float(model.x_scale[i]), model.y_mean, model.y_scale,
+            float(model.feature_means[i]), model.target_mean,
             model.intercept, model.rank, model.n,
         )
         for i, f in enumerate(model.features)
@@ -316,7 +324,8 @@ def model_from_table(table: DataFrame) -> LinearModel:
     return LinearModel(
         head["model_type"], head["alpha"], tuple(r["feature"] for r in rows), head["target"],
         vector("coefficient"), head["intercept"], vector("x_mean"), vector("x_scale"),
-        head["y_mean"], head["y_scale"], head["rank"], head["n"],
+        head["y_mean"], head["y_scale"], vector("feature_mean"), head["target_mean"],
+        head["rank"], head["n"],
     )
 
 

@@ -3,13 +3,17 @@
 ``coef_scale="model"`` combines the coefficients of the standardised fit with means
 and totals on the original scale; ``"original"`` uses coefficients per unit of spend.
 The tables say which was used.
+
+Where a function takes ``df=None``, means and totals are those of the training rows, which
+the model holds: no further pass over the data is needed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions.columns import channel_of
@@ -17,21 +21,39 @@ from spendlens.operators.checks import require_columns
 from spendlens.operators.regression import LinearModel
 
 
-def _rows_of(df: DataFrame, aggregates: Sequence[Column], rows: list[Column]) -> DataFrame:
-    """One aggregation over ``df``, then one output row per struct."""
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+def _averages(df: DataFrame | None, model: LinearModel, features: Sequence[str]) -> DataFrame:
+    """One row: the mean target as ``_y`` and the mean of each feature as ``_m_<name>``."""
+    if df is not None:
+        require_columns(df, [*features, model.target])
+        return df.agg(
+            F.avg(model.target).alias("_y"), *[F.avg(f).alias(f"_m_{f}") for f in features]
+        )
+    known = dict(zip(model.features, model.feature_means))
+    missing = [f for f in features if f not in known]
+    if missing:
+        raise ValueError(f"features not in the model: {', '.join(missing)}")
+    return SparkSession.active().range(1).select(
+        F.lit(model.target_mean).alias("_y"),
+        *[F.lit(float(known[f])).alias(f"_m_{f}") for f in features],
+    )
+
+
+def _rows_of(one_row: DataFrame, rows: list[Column], schema: str) -> DataFrame:
+    """One output row per struct."""
+    if not rows:
+        return one_row.sparkSession.createDataFrame([], schema)
+    return one_row.select(F.inline(F.array(*rows)))
 
 
 def elasticity(
-    df: DataFrame,
+    df: DataFrame | None,
     model: LinearModel,
     features: Sequence[str] | None = None,
     coef_scale: str = "model",
 ) -> DataFrame:
     """coefficient * mean(feature) / mean(target); 0 where either mean is 0."""
     features = list(model.features if features is None else features)
-    require_columns(df, [*features, model.target])
-    means = [F.avg(model.target).alias("_y"), *[F.avg(f).alias(f"_m_{f}") for f in features]]
+    means = _averages(df, model, features)
     weights = dict(zip(model.features, model.by_scale(coef_scale)))
     rows = []
     for f in features:
@@ -46,11 +68,11 @@ def elasticity(
                 F.lit(coef_scale).alias("coef_scale"),
             )
         )
-    return _rows_of(df, means, rows)
+    return _rows_of(means, rows, "feature string, elasticity double, coef_scale string")
 
 
 def log_elasticity(
-    df: DataFrame, model: LinearModel, log_features: Sequence[str], coef_scale: str = "model"
+    df: DataFrame | None, model: LinearModel, log_features: Sequence[str], coef_scale: str = "model"
 ) -> DataFrame:
     """The same for log-spend features in the model, named by channel."""
     features = [f for f in log_features if f in model.features]
@@ -59,14 +81,10 @@ def log_elasticity(
 
 
 def contribution(
-    df: DataFrame, model: LinearModel, coef_scale: str = "model"
+    df: DataFrame | None, model: LinearModel, coef_scale: str = "model"
 ) -> DataFrame:
     """Share of the mean target explained by each feature, in percent, largest first."""
-    require_columns(df, [*model.features, model.target])
-    means = [
-        F.avg(model.target).alias("_y"),
-        *[F.avg(f).alias(f"_m_{f}") for f in model.features],
-    ]
+    means = _averages(df, model, model.features)
     rows = []
     for f, w in zip(model.features, model.by_scale(coef_scale)):
         effect = F.lit(float(w)) * F.col(f"_m_{f}")
@@ -78,7 +96,8 @@ def contribution(
                 F.lit(coef_scale).alias("coef_scale"),
             )
         )
-    return _rows_of(df, means, rows).orderBy(F.desc("contribution_pct"), "feature")
+    schema = "feature string, contribution_pct double, coef_scale string"
+    return _rows_of(means, rows, schema).orderBy(F.desc("contribution_pct"), "feature")
 
 
 def top_elasticity(table: DataFrame, n: int = 5) -> DataFrame:
@@ -100,7 +119,7 @@ def spend_column_of(feature: str, raw: DataFrame | None) -> str | None:
 
 
 def marginal_roas(
-    df: DataFrame,
+    df: DataFrame | None,
     model: LinearModel,
     spend_features: Sequence[str],
     raw_spend: DataFrame | None = None,
@@ -113,23 +132,26 @@ def marginal_roas(
     Features outside the model and channels without positive spend are left out.
     """
     used = [f for f in spend_features if f in model.features]
-    require_columns(df, [model.target])
     basis = {f: spend_column_of(f, raw_spend) for f in used}
+    measured = [f for f in used if basis[f] is not None]
     approximated = [f for f in used if basis[f] is None]
     spend: dict[str, float | None] = {}
-    measured = [f for f in used if basis[f] is not None]
     if measured:
         totals = raw_spend.agg(*[F.sum(basis[f]).alias(f) for f in measured]).first()
         spend.update({f: totals[f] for f in measured})
-    sales_row = df.agg(
-        F.sum(model.target).cast("double").alias("_sales"),
-        *[
-            (F.expm1(F.avg(f)) if f.endswith("_log") else F.avg(f)).alias(f)
-            for f in approximated
-        ],
-    ).first()
-    spend.update({f: sales_row[f] for f in approximated})
-    total_sales = sales_row["_sales"]
+    means = dict(zip(model.features, model.feature_means))
+    total_sales: float | None = model.target_mean * model.n
+    if df is not None:
+        require_columns(df, [model.target, *approximated])
+        found = df.agg(
+            F.sum(model.target).cast("double").alias("_sales"),
+            *[F.avg(f).alias(f) for f in approximated],
+        ).first()
+        total_sales = found["_sales"]
+        means = {f: found[f] for f in approximated}
+    for f in approximated:
+        undone = f.endswith("_log") and means[f] is not None
+        spend[f] = math.expm1(means[f]) if undone else means[f]
     rows = [
         (
             f, model.coefficient(f, coef_scale), total_sales, float(spend[f]),
@@ -142,7 +164,7 @@ def marginal_roas(
         "feature string, coefficient double, total_sales double, total_spend double, "
         "spend_basis string, coef_scale string"
     )
-    table = df.sparkSession.createDataFrame(rows, schema)
+    table = SparkSession.active().createDataFrame(rows, schema)
     mroas = F.col("coefficient") * (F.col("total_sales") / F.col("total_spend"))
     return (
         table.withColumn("channel", channel_of("feature"))
@@ -159,16 +181,13 @@ def marginal_roas(
 
 
 def promo_impact(
-    df: DataFrame,
+    df: DataFrame | None,
     model: LinearModel,
     promo_features: Sequence[str],
     coef_scale: str = "model",
 ) -> DataFrame:
     """Coefficient per promotion feature; has_promotion times the mean target."""
     used = [f for f in promo_features if f in model.features]
-    schema = "feature string, coefficient double, impact double"
-    if not used:
-        return df.sparkSession.createDataFrame([], schema)
     rows = []
     for f in used:
         weight = F.lit(model.coefficient(f, coef_scale))
@@ -178,7 +197,8 @@ def promo_impact(
                 F.lit(f).alias("feature"), weight.alias("coefficient"), impact.alias("impact")
             )
         )
-    return _rows_of(df, [F.avg(model.target).alias("_y")], rows)
+    schema = "feature string, coefficient double, impact double"
+    return _rows_of(_averages(df, model, []), rows, schema)
 
 
 def scenario_lift(
@@ -211,4 +231,10 @@ def scenario_lift(
             )
         )
     totals = [F.sum(c).alias(f"_t_{c}") for c in spend_factors]
-    return _rows_of(raw_spend, totals, rows)
+    schema = (
+        "spend_column string, factor double, current_spend double, scenario_spend double, "
+        "coefficient double, lift double, lift_pct double"
+    )
+    if not rows:
+        return raw_spend.sparkSession.createDataFrame([], schema)
+    return _rows_of(raw_spend.agg(*totals), rows, schema)

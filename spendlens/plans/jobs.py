@@ -98,15 +98,24 @@ def fit_full_model(
 
 
 def full_analysis(raw: DataFrame, config: Mapping[str, Any] | None = None) -> dict[str, DataFrame]:
-    """Everything the full model tells, as tables. Spend totals come from ``raw``."""
+    """Everything the full model tells, as tables of a few rows each.
+
+    The prepared rows are read twice, for the fit and for the metrics; means and sales
+    come with the model, spend totals from ``raw``.
+    """
     job = fit_full_model(raw, config)
-    spark, sets = raw.sparkSession, job.prepared.sets
+    model, sets = job.model, job.prepared.sets
+    try:
+        metrics = evaluate(job.data, model)
+        metrics = raw.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
+    finally:
+        job.close()
     return {
-        "coefficients": coefficient_table(spark, job.model),
-        "metrics": evaluate(job.data, job.model),
-        "mroas": marginal_roas(job.data, job.model, sets["spend_features_log"], raw),
-        "elasticity": log_elasticity(job.data, job.model, sets["spend_features_log"]),
-        "promo_impact": promo_impact(job.data, job.model, sets["promotional_features"]),
+        "coefficients": coefficient_table(raw.sparkSession, model),
+        "metrics": metrics,
+        "mroas": marginal_roas(None, model, sets["spend_features_log"], raw),
+        "elasticity": log_elasticity(None, model, sets["spend_features_log"]),
+        "promo_impact": promo_impact(None, model, sets["promotional_features"]),
     }
 
 
@@ -188,8 +197,8 @@ def _run_steps(
 
 def _evaluation(job: FittedJob) -> dict[str, dict[str, float]]:
     metrics = evaluate(job.data, job.model).first()
-    shares = contribution(job.data, job.model).collect()
-    sensitivities = elasticity(job.data, job.model).collect()
+    shares = contribution(None, job.model).collect()
+    sensitivities = elasticity(None, job.model).collect()
     return {
         "model_metrics": {
             "r2_score": metrics["r2"],

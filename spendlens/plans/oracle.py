@@ -460,7 +460,8 @@ class Model:
                 f"'{basis}' AS spend_basis, 'model' AS coef_scale FROM weights, stats"
             )
         return (
-            f"SELECT feature, channel, {_rs(['coefficient', 'total_sales', 'total_spend'])}, "
+            f"SELECT feature, channel, {_r('coefficient', 'coefficient')}, "
+            f"{_rs(['total_sales', 'total_spend'], 2)}, "
             f"{_r('coefficient * total_sales / total_spend', 'mroas')}, spend_basis, coef_scale, "
             "printf('$%.2f revenue per $1 spend', coefficient * total_sales / total_spend) "
             f"AS mroas_interpretation FROM ({_stacked(selects)}) WHERE total_spend > 0"

@@ -60,7 +60,11 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFram
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "panel", trade_panel.build_full_panel)
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = _once(spark, sf_dir, "base", trade_panel.build_panel)
+        return trade_panel.build_full_panel(spark, sf_dir, base, promotions(spark, sf_dir))
+
+    return _once(spark, sf_dir, "panel", build)
 
 
 def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +105,12 @@ def _metrics(df: DataFrame) -> DataFrame:
     return df.withColumns({c: _round(F.col(c), d) for c, d in digits.items()})
 
 
+def _money(df: DataFrame) -> DataFrame:
+    """Totals in cents, ratios with four decimals."""
+    digits = {"coefficient": 4, "total_sales": 2, "total_spend": 2, "mroas": 4}
+    return df.withColumns({c: _round(F.col(c), d) for c, d in digits.items()})
+
+
 def _keyed(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
     return rounded(df.select("geo", "week", *columns), digits)
 
@@ -461,14 +471,14 @@ def mroas_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No raw spend given: the mean of the logged feature, undone, stands in."""
     source = log_panel(spark, sf_dir)
     model = regression.fit(source, SPEND_LOG, "revenue")
-    return rounded(returns.marginal_roas(source, model, SPEND_LOG))
+    return _money(returns.marginal_roas(source, model, SPEND_LOG))
 
 
 def mroas(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = log_panel(spark, sf_dir)
     model = regression.fit(source, SPEND_LOG, "revenue")
     raw = panel(spark, sf_dir).select(*SPEND)
-    return rounded(returns.marginal_roas(source, model, SPEND_LOG, raw))
+    return _money(returns.marginal_roas(source, model, SPEND_LOG, raw))
 
 
 def scenario_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -524,7 +534,7 @@ def full_model_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_model_mroas(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = jobs.full_analysis(panel(spark, sf_dir), PANEL_CONFIG)
-    return rounded(tables["mroas"])
+    return _money(tables["mroas"])
 
 
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -660,7 +670,9 @@ QUERIES: dict[str, Query] = {
         digits=6,
     ),
     "mroas_1": _with_model(
-        lambda df, m: returns.marginal_roas(df, m, ["cost_high"], df), ["cost_high"]
+        lambda df, m: _money(returns.marginal_roas(df, m, ["cost_high"], df)),
+        ["cost_high"],
+        digits=None,
     ),
     "mroas": mroas,
     "mroas_fallback": mroas_fallback,

@@ -149,13 +149,15 @@ def build_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def build_cost_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_cost_revenue(
+    spark: SparkSession, sf_dir: str, panel: DataFrame | None = None
+) -> DataFrame:
     """The panel with population and market share, still without promotion text.
 
     Week totals are joined back rather than windowed, so one crowded week is never a
-    single task. The panel is read twice for that, hence the persist.
+    single task. That reads the panel twice: give a persisted one if it is costly.
     """
-    panel = build_panel(spark, sf_dir).persist()
+    panel = build_panel(spark, sf_dir) if panel is None else panel
     population = geo_of_customer(spark, sf_dir).groupBy("geo").agg(
         F.count(F.lit(1)).alias("population")
     )
@@ -170,9 +172,16 @@ def build_cost_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def build_full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_full_panel(
+    spark: SparkSession,
+    sf_dir: str,
+    panel: DataFrame | None = None,
+    promotions: DataFrame | None = None,
+) -> DataFrame:
     """The panel with one promotion text per (geo, week), null where none ran."""
-    text = build_promotions(spark, sf_dir).groupBy("week", "geo").agg(
+    promotions = build_promotions(spark, sf_dir) if promotions is None else promotions
+    text = promotions.groupBy("week", "geo").agg(
         F.max("promo_description").alias("promo_description")
     )
-    return build_cost_revenue(spark, sf_dir).join(text, ["week", "geo"], "left")
+    costs = build_cost_revenue(spark, sf_dir, panel)
+    return costs.join(text, ["week", "geo"], "left")

@@ -18,7 +18,7 @@ def model(features, weights, x_scale=None, y_scale=2.0):
     k = len(features)
     return LinearModel(
         "ols", 0.0, tuple(features), "revenue", np.array(weights, float), 0.0,
-        np.zeros(k), np.array(x_scale or [1.0] * k), 0.0, y_scale, k, 3,
+        np.zeros(k), np.array(x_scale or [1.0] * k), 0.0, y_scale, np.full(k, 2.0), 20.0, k, 3,
     )
 
 
@@ -40,6 +40,18 @@ def test_elasticity(df):
         elasticity(df, m, ["cost_z_log"])
 
 
+def test_training_rows_need_no_further_pass(spark, df):
+    """The model above holds the means of ``df`` for its first feature."""
+    m = model(["cost_a_log"], [0.5])
+    assert elasticity(None, m).collect() == elasticity(df, m).collect()
+    assert contribution(None, m).collect() == contribution(df, m).collect()
+    for raw in (None, spark.createDataFrame([(40.0,)], "cost_a double")):
+        known = marginal_roas(None, m, ["cost_a_log"], raw).collect()
+        assert known == marginal_roas(df, m, ["cost_a_log"], raw).collect()
+    with pytest.raises(ValueError, match="not in the model"):
+        elasticity(None, m, ["cost_b_log"])
+
+
 def test_zero_mean_target_gives_zero(spark):
     df = spark.createDataFrame([(1.0, -1.0), (2.0, 1.0)], "cost_a double, revenue double")
     m = model(["cost_a"], [3.0])
