@@ -554,22 +554,93 @@ MATRIX_SEASONS = [
 ]
 
 
+MATRIX_NATIONS = sorted(f"NATION_{i}" for i in range(25))[1 : MATRIX_GEOS + 1]
+MATRIX_MEASURES = {
+    **{f"{c}_log": f"ln({c} + 1)" for c in SPEND},
+    "population": "population",
+    "market_share": "market_share",
+    "log_organic": "log_organic",
+    "log_organic_lag1": _lag("log_organic", 1),
+}
+MATRIX_FLAGS = {
+    **{n: _flag(n) for n in PROMO_TYPE_PATTERNS},
+    "discount_percent": _discount(),
+    "promo_intensity": "promo_intensity",
+    **{f"geo_fe_{g}": f"CAST(geo = '{g}' AS INTEGER)" for g in MATRIX_NATIONS},
+    **{name: f"CAST({test} AS INTEGER)" for name, test in MATRIX_SEASONS},
+}
+
+
 def _matrix_sql() -> str:
-    nations = sorted(f"NATION_{i}" for i in range(25))
     columns = [
-        *[_r(f"ln({c} + 1)", f"{c}_log") for c in SPEND],
-        "population", _r("market_share", "market_share"), _r("log_organic", "log_organic"),
-        _r(_lag("log_organic", 1), "log_organic_lag1"),
-        FLAGS, f"{_discount()} AS discount_percent", "promo_intensity",
-        *[
-            f"CAST(geo = '{g}' AS INTEGER) AS geo_fe_{g}"
-            for g in nations[1 : MATRIX_GEOS + 1]
-        ],
-        *[f"CAST({test} AS INTEGER) AS {name}" for name, test in MATRIX_SEASONS],
+        *[e if n == "population" else _r(e, n) for n, e in MATRIX_MEASURES.items()],
+        *[f"{e} AS {n}" for n, e in MATRIX_FLAGS.items()],
     ]
     return _with(f"SELECT geo, week, {', '.join(columns)} FROM filled", FILLED)
 
 
+def _full_model(body: str) -> str:
+    """Least squares on all matrix columns by elimination, table rows as matrix rows.
+
+    A pivot that vanishes belongs to a column the earlier ones already span; it is left
+    out. That is a least-squares solution too: fitted values are the same for all of
+    them, and so are the coefficients of columns outside the collinear groups.
+    """
+    expressions = [*MATRIX_MEASURES.values(), *MATRIX_FLAGS.values()]
+    k = len(expressions)
+    cells = ", ".join(f"CAST({e} AS DOUBLE)" for e in [*expressions, "revenue"])
+    return _recursive(
+        body,
+        FILLED,
+        f"matrix AS (SELECT row_number() OVER () AS id, [{cells}] AS v FROM filled)",
+        "cells AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM matrix)",
+        "stats AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM cells GROUP BY i)",
+        "scaled AS (SELECT id, i, CASE WHEN s < 1e-12 THEN 0.0 ELSE (x - m) / s END AS z "
+        "FROM cells JOIN stats USING (i))",
+        "gram AS (SELECT a.i, b.i AS j, avg(a.z * b.z) AS g FROM scaled a JOIN scaled b "
+        "USING (id) GROUP BY a.i, b.i)",
+        f"elim AS (SELECT 0 AS p, i, list(g ORDER BY j) AS r, false AS used FROM gram "
+        f"WHERE i <= {k} GROUP BY i UNION ALL "
+        "SELECT e.p + 1, e.i, CASE WHEN pr.r[e.p + 1] < 1e-9 THEN e.r "
+        "WHEN e.i = e.p + 1 THEN list_transform(e.r, lambda x: x / e.r[e.p + 1]) "
+        "ELSE list_transform(list_zip(e.r, pr.r), "
+        "lambda t: t[1] - t[2] * e.r[e.p + 1] / pr.r[e.p + 1]) END, "
+        "e.used OR (e.i = e.p + 1 AND e.r[e.p + 1] >= 1e-9) "
+        f"FROM elim e JOIN elim pr ON pr.i = e.p + 1 AND pr.p = e.p WHERE e.p < {k})",
+        f"weights AS (SELECT i, CASE WHEN used THEN r[{k + 1}] ELSE 0.0 END AS w, used "
+        f"FROM elim WHERE p = {k})",
+        f"target AS (SELECT m, s FROM stats WHERE i = {k + 1})",
+        f"errors AS (SELECT any_value(v[{k + 1}]) AS y, any_value(v[{k + 1}]) "
+        "- (any_value(m) + any_value(s) * sum(w * z)) AS e "
+        "FROM scaled JOIN weights USING (i) JOIN matrix USING (id), target GROUP BY id)",
+    )
+
+
+FULL_MODEL_METRICS = _full_model(
+    "SELECT 'ols' AS model_type, "
+    f"{_r('1 - sum(e * e) / (count(*) * var_pop(y))', 'r2', 8)}, "
+    f"{_r('sqrt(avg(e * e))', 'rmse')}, {_r('avg(abs(e))', 'mae')}, {_r('avg(e * e)', 'mse', 0)}, "
+    "(SELECT CAST(count(*) AS INTEGER) FROM weights WHERE used) AS rank, count(*) AS n FROM errors"
+)
+
+
+def _full_model_mroas() -> str:
+    selects = [
+        f"SELECT '{c}_log' AS feature, '{c[5:]}' AS channel, w AS coefficient, "
+        "(SELECT sum(revenue) FROM panel) AS total_sales, "
+        f"(SELECT sum({c}) FROM panel) AS total_spend FROM weights WHERE i = {i}"
+        for i, c in enumerate(SPEND, 1)
+    ]
+    return _full_model(
+        f"SELECT feature, channel, {_r('coefficient', 'coefficient')}, "
+        f"{_rs(['total_sales', 'total_spend'], 2)}, "
+        f"{_r('coefficient * total_sales / total_spend', 'mroas')}, "
+        "'total' AS spend_basis, 'model' AS coef_scale, "
+        "printf('$%.2f revenue per $1 spend', coefficient * total_sales / total_spend) "
+        f"AS mroas_interpretation FROM ({_stacked(selects)})"
+    )
+
+
 PREPROCESS = _with(
     "SELECT geo, week, "
     + ", ".join(
@@ -886,5 +957,7 @@ ORACLE_SQL: dict[str, str] = {
     "preprocess": PREPROCESS,
     "preprocess_wide": PREPROCESS_WIDE,
     "spend_model_job": RIDGE.coefficients(),
+    "full_model_job": FULL_MODEL_METRICS,
+    "full_model_mroas": _full_model_mroas(),
     "run_results": _run_results(),
 }
