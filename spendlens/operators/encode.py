@@ -7,18 +7,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens.functions import sql_text as sql
 
 MAX_LEVELS = 5_000
 
+Level = str | int
+
 
 def level_counts(
     df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS
-) -> dict[str, dict[str | None, int]]:
-    """Rows per level (as text, null included) of each column, found in one job.
+) -> dict[str, dict[Level | None, int]]:
+    """Rows per level (null included) of each column, found in one job.
 
-    Levels become columns of the plan, so their number is bounded: more than
+    Levels are text, or numbers where the column holds whole numbers. They become columns of the plan, so their number is bounded: more than
     ``max_levels`` of them is an error, and no more than that is ever collected.
     """
     pairs = F.array(
@@ -35,7 +38,14 @@ def level_counts(
         .limit(bound + 1)
         .collect()
     )
-    counts = {c: {r["level"]: r["rows"] for r in found if r["name"] == c} for c in columns}
+    counts: dict[str, dict[Level | None, int]] = {}
+    for c in columns:
+        whole = isinstance(df.schema[c].dataType, T.IntegralType)
+        counts[c] = {
+            int(r["level"]) if whole and r["level"] is not None else r["level"]: r["rows"]
+            for r in found
+            if r["name"] == c
+        }
     if len(found) > bound or any(len(v.keys() - {None}) > max_levels for v in counts.values()):
         raise ValueError(
             f"more than {max_levels} levels in {', '.join(columns)}; dummies would not fit a table"
@@ -43,13 +53,13 @@ def level_counts(
     return counts
 
 
-def sorted_levels(counts: dict[str | None, int]) -> list[str]:
+def sorted_levels(counts: dict[Level | None, int]) -> list[Level]:
     return sorted(level for level in counts if level is not None)
 
 
 def distinct_levels(
     df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS
-) -> dict[str, list[str]]:
+) -> dict[str, list[Level]]:
     """Sorted non-null levels of each column."""
     found = level_counts(df, columns, max_levels)
     return {c: sorted_levels(found[c]) for c in columns}
@@ -66,7 +76,7 @@ def dummies(value: str, levels: Sequence, prefix: str) -> dict[str, str]:
     }
 
 
-def geo_dummies(levels: Sequence[str], geo: str = "geo") -> dict[str, str]:
+def geo_dummies(levels: Sequence[Level], geo: str = "geo") -> dict[str, str]:
     return dummies(sql.name(geo), levels, "geo_fe")
 
 

@@ -16,6 +16,7 @@ from spendlens.operators.channels import Channels, discover_channels, drop_colum
 from spendlens.operators.checks import largest_group
 from spendlens.operators.encode import (
     MAX_LEVELS,
+    Level,
     calendar_dummies,
     distinct_levels,
     geo_dummies,
@@ -109,7 +110,7 @@ def preprocess(df: DataFrame, config: Mapping[str, Any] | None = None) -> Prepar
     steps.append(f"found {len(channels.names)} channels")
     raw_columns = df.columns
 
-    counts: dict[str, dict[str | None, int]] = {}
+    counts: dict[str, dict[Level | None, int]] = {}
     effects = [c for c in ("geo", "week") if c in df.columns]
     if settings["create_fixed_effects"] and effects:
         counts = level_counts(df, effects, settings["max_levels"])

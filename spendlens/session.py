@@ -22,6 +22,24 @@ def local_session(cpus: int | str = 8, app: str = "spendlens") -> SparkSession:
     )
 
 
+def cluster_settings(total_cores: int) -> dict[str, str]:
+    """Settings for large panels, to be given to the session builder or spark-submit.
+
+    Shuffles start with three partitions per core and adaptive execution merges small
+    ones up to 256 MB, so sorts and windows fit a task; partitions above that are split
+    in skewed joins. Scans are cut into 256 MB pieces.
+    """
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256MB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(3 * total_cores),
+        "spark.sql.files.maxPartitionBytes": "256MB",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, readable by every executor.
 

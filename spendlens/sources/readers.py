@@ -16,6 +16,10 @@ log = logging.getLogger(__name__)
 # Columns whose lower-cased name holds one of these become numbers.
 NUMERIC_NAME_PARTS = ["cost", "revenue", "conversion"]
 
+# Names of the two tables of a dataset.
+PANEL_TABLE = "cost_revenue"
+PROMOTIONS_TABLE = "promotions"
+
 # Plain decimal notation; Spark alone would also read Java suffixes such as "1d".
 _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
@@ -114,13 +118,15 @@ def import_panel(
     schema: T.StructType | str | None = None,
     table: str | None = None,
     promotions: str | None = None,
+    dataset: str | None = None,
     format: str | None = None,
     **options: str,
 ) -> DataFrame:
     """Load the panel from a CSV file (``local``) or from tables (``warehouse``).
 
     The warehouse form joins the optional promotions table and makes numbers of
-    text columns. Both forms give NULL for NaN; the week stays as it is stored.
+    text columns. A ``dataset`` names the schema that holds both tables under their
+    usual names. Both forms give NULL for NaN; the week stays as it is stored.
     """
     if source == "local":
         if path is None:
@@ -128,8 +134,11 @@ def import_panel(
         return nan_to_null(read_csv(spark, path, schema))
     if source not in ("warehouse", "gcp"):
         raise ValueError(f"unknown source {source!r}: use 'local' or 'warehouse'")
+    if dataset is not None:
+        table = table or f"{dataset}.{PANEL_TABLE}"
+        promotions = promotions or f"{dataset}.{PROMOTIONS_TABLE}"
     if table is None:
-        raise ValueError("a warehouse import needs a table")
+        raise ValueError("a warehouse import needs a table or a dataset")
     panel = read_table(spark, table, format, **options)
     promos = read_optional_table(spark, promotions, format, **options)
     if promos is not None:

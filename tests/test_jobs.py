@@ -256,6 +256,13 @@ def test_import_sources(spark, raw):
     stored = writers.write_parquet(promos, shared_path(spark, "p"))
     joined = readers.import_panel(spark, "warehouse", table=table, promotions=stored)
     assert joined.count() == raw.count()
+    spark.sql("CREATE SCHEMA IF NOT EXISTS marketing")
+    for name, part in (("cost_revenue", raw.drop("promo_description")), ("promotions", promos)):
+        part.write.mode("overwrite").option("path", shared_path(spark, name)).saveAsTable(
+            f"marketing.{name}"
+        )
+    by_name = readers.import_panel(spark, "warehouse", dataset="marketing")
+    assert by_name.count() == raw.count() and "promo_description" in by_name.columns
     raw.limit(3).createOrReplaceTempView("weekly_view")
     assert readers.read_table(spark, "weekly_view").count() == 3
     for broken in ({"source": "ftp"}, {"source": "local"}, {"source": "warehouse"}):

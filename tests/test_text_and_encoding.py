@@ -86,6 +86,13 @@ def test_geo_dummies_in_text_order_and_null(spark):
     assert rows == {"Geo1": (0, 0, 0), "Geo10": (1, 0, 0), "Geo2": (0, 1, 0), "O'x": (0, 0, 1), None: (0, 0, 0)}
 
 
+def test_whole_number_geos_are_ordered_as_numbers(spark):
+    df = spark.createDataFrame([(10,), (2,), (None,)], "geo int")
+    got = add_geo_fixed_effects(df)
+    assert got.columns == ["geo", "geo_fe_10"]
+    assert {r["geo"]: r["geo_fe_10"] for r in got.collect()} == {10: 1, 2: 0, None: 0}
+
+
 def test_single_level_gives_no_column(spark):
     df = spark.createDataFrame([("a",), ("a",)], "geo string")
     assert add_geo_fixed_effects(df).columns == ["geo"]
