@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spendlens.functions import sql_text as sql
+
 # Patterns of each promotion type (case-insensitive, any may match).
 PROMO_TYPE_PATTERNS = {
     "free_shipping_promo": [
@@ -45,22 +47,29 @@ KEYWORD_CATEGORIES = {
 DISCOUNT_PATTERN = r"-(\d+)%"
 
 
-def matches_any(text: Column, patterns: list[str]) -> Column:
-    """Whether a pattern occurs in the lower-cased text; null text gives null.
+def matches_any(text: str, patterns: list[str]) -> str:
+    """SQL text: whether a pattern occurs in the lower-cased text; null gives null.
 
     ``(?U)`` makes \\w, \\d and \\s cover Polish letters and the like.
     """
-    return F.lower(text).rlike("(?U)(?iu)" + "|".join(patterns))
+    return f"(lower({text}) RLIKE {sql.literal('(?U)(?iu)' + '|'.join(patterns))})"
 
 
 def promo_flags(
     text: str = "promo_description", patterns: dict[str, list[str]] | None = None
 ) -> dict[str, Column]:
     """A 0/1 column per promotion type; null text gives 0."""
-    filled = F.coalesce(F.col(text), F.lit(""))
     return {
-        name: matches_any(filled, alternatives).cast("long")
-        for name, alternatives in (patterns or PROMO_TYPE_PATTERNS).items()
+        name: F.expr(flag)
+        for name, flag in promo_flags_sql(text, patterns or PROMO_TYPE_PATTERNS).items()
+    }
+
+
+def promo_flags_sql(text: str, patterns: dict[str, list[str]]) -> dict[str, str]:
+    filled = f"coalesce({sql.name(text)}, '')"
+    return {
+        name: f"CAST({matches_any(filled, alternatives)} AS BIGINT)"
+        for name, alternatives in patterns.items()
     }
 
 

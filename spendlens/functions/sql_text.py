@@ -36,3 +36,9 @@ def total(terms: Sequence[str]) -> str:
             f"({' + '.join(terms[i : i + 2])})" for i in range(0, len(terms), 2)
         ]
     return terms[0]
+
+
+def struct(**fields: str) -> str:
+    """A row of named expressions."""
+    inside = ", ".join(f"{literal(field)}, {value}" for field, value in fields.items())
+    return f"named_struct({inside})"

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendlens.operators.tables import small_table
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     """Double and long columns: the types channels and features are looked up in."""
@@ -41,7 +43,8 @@ def channel_table(df: DataFrame, channels: Channels | None = None) -> DataFrame:
     """One row per channel: its columns and how many rows have a value in them."""
     channels = channels or discover_channels(df)
     if not channels.names:
-        return df.sparkSession.createDataFrame(
+        return small_table(
+            df.sparkSession,
             [],
             "channel string, cost_column string, impression_column string, "
             "cost_rows long, impression_rows long",

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from spendlens.functions.columns import cost_per_mille, has_value, log_plus_one
 from spendlens.functions.promo_text import PROMO_TYPE_PATTERNS, discount_percent, promo_flags
 from spendlens.operators.channels import Channels, discover_channels, numeric_columns
 from spendlens.operators.series import Series, lag_columns
+from spendlens.operators.tables import small_table
 
 PROMO = "promo_description"
 ORGANIC = "impression_organic"
@@ -102,8 +102,8 @@ def feature_set_table(df: DataFrame, sets: FeatureSets) -> DataFrame:
         for name, features in sets.items()
         for position, feature in enumerate(features)
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "set_name string, position int, feature string"
+    return small_table(
+        df.sparkSession, rows, "set_name string, position int, feature string"
     )
 
 

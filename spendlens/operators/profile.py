@@ -12,19 +12,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendlens.functions import sql_text as sql
 from spendlens.functions.columns import shorten
-from spendlens.functions.promo_text import KEYWORD_CATEGORIES, matches_any, promo_flags
+from spendlens.functions.promo_text import (
+    KEYWORD_CATEGORIES,
+    PROMO_TYPE_PATTERNS,
+    matches_any,
+    promo_flags_sql,
+)
 from spendlens.operators.channels import Channels, discover_channels
 from spendlens.operators.quantiles import column_stats, exact_quantiles
+from spendlens.operators.tables import small_table
 
 PROMO = "promo_description"
 
 
 @dataclass(frozen=True)
 class _Report:
-    """A table made of aggregates: one struct of them per row, then a filter and order."""
+    """A table made of aggregates: one struct (SQL text) per row, then filter and order."""
 
-    rows: list[Column]
+    rows: list[str]
     schema: str
     order: tuple[str | Column, ...] = ()
     keep: Column | None = None
@@ -32,10 +39,13 @@ class _Report:
     def table(self, df: DataFrame) -> DataFrame:
         """All rows from one aggregation over ``df``."""
         if not self.rows:
-            return df.sparkSession.createDataFrame([], self.schema)
-        found = df.agg(F.array(*self.rows).alias("_rows")).select(F.inline("_rows"))
+            return small_table(df.sparkSession, [], self.schema)
+        found = df.selectExpr(self.aggregate("_rows")).selectExpr("inline(_rows)")
         return self.finish(found)
 
+    def aggregate(self, name: str) -> str:
+        return sql.named(f"array({', '.join(self.rows)})", name)
+
     def finish(self, found: DataFrame) -> DataFrame:
         found = found if self.keep is None else found.where(self.keep)
         return found.orderBy(*self.order) if self.order else found
@@ -63,15 +73,16 @@ def data_quality(df: DataFrame) -> DataFrame:
 
 
 def _missing(df: DataFrame) -> _Report:
-    missing = [F.count(F.lit(1)) - F.count(F.col(f"`{c}`")) for c in df.columns]
-    rows = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            n.alias("missing_count"),
-            F.round(F.try_divide(n * F.lit(100.0), F.count(F.lit(1))), 2).alias("missing_pct"),
+    rows = []
+    for c in df.columns:
+        missing = f"(count(*) - count({sql.name(c)}))"
+        rows.append(
+            sql.struct(
+                column_name=sql.literal(c),
+                missing_count=missing,
+                missing_pct=f"round(try_divide({missing} * 100D, count(*)), 2)",
+            )
         )
-        for c, n in zip(df.columns, missing)
-    ]
     return _Report(
         rows,
         "column_name string, missing_count long, missing_pct double",
@@ -88,12 +99,12 @@ def missing_report(df: DataFrame) -> DataFrame:
 def _spend(df: DataFrame) -> _Report:
     channels = report_channels(df)
     rows = [
-        F.struct(
-            F.lit(name).alias("channel"),
-            F.coalesce(F.sum(c), F.lit(0.0)).alias("total_spend"),
-            F.avg(c).alias("avg_spend"),
-            F.min(c).alias("min_spend"),
-            F.max(c).alias("max_spend"),
+        sql.struct(
+            channel=sql.literal(name),
+            total_spend=f"coalesce(sum({sql.name(c)}), 0D)",
+            avg_spend=f"avg({sql.name(c)})",
+            min_spend=f"CAST(min({sql.name(c)}) AS DOUBLE)",
+            max_spend=f"CAST(max({sql.name(c)}) AS DOUBLE)",
         )
         for name, c in zip(channels.names, channels.cost_columns)
     ]
@@ -110,16 +121,17 @@ def spend_summary(df: DataFrame) -> DataFrame:
 
 
 def _impressions(df: DataFrame) -> _Report:
-    channels = report_channels(df)
-    rows = [
-        F.struct(
-            F.lit(name).alias("channel"),
-            F.coalesce(F.sum(f"impression_{name}"), F.lit(0.0)).alias("total_impressions"),
-            F.avg(f"impression_{name}").alias("avg_impressions"),
-        )
-        for name in sorted(channels.names)
-        if f"impression_{name}" in df.columns
-    ]
+    rows = []
+    for name in sorted(report_channels(df).names):
+        seen = f"impression_{name}"
+        if seen in df.columns:
+            rows.append(
+                sql.struct(
+                    channel=sql.literal(name),
+                    total_impressions=f"coalesce(sum({sql.name(seen)}), 0D)",
+                    avg_impressions=f"avg({sql.name(seen)})",
+                )
+            )
     schema = "channel string, total_impressions double, avg_impressions double"
     return _Report(rows, schema, ("channel",))
 
@@ -130,31 +142,19 @@ def impression_summary(df: DataFrame) -> DataFrame:
 
 
 def _kpi(df: DataFrame) -> _Report:
-    columns, schema = [], []
+    fields: dict[str, str] = {}
+    schema: list[str] = []
     if "revenue" in df.columns:
-        kind = df.schema["revenue"].dataType
-        total_kind = "long" if isinstance(kind, T.IntegralType) else "double"
-        columns += [
-            F.sum("revenue").alias("total_revenue"),
-            F.avg("revenue").alias("avg_revenue"),
-            F.min("revenue").alias("min_revenue"),
-            F.max("revenue").alias("max_revenue"),
-        ]
-        schema += [
-            f"total_revenue {total_kind}",
-            "avg_revenue double",
-            f"min_revenue {kind.simpleString()}",
-            f"max_revenue {kind.simpleString()}",
-        ]
+        for name, f in (("total", "sum"), ("avg", "avg"), ("min", "min"), ("max", "max")):
+            fields[f"{name}_revenue"] = f"CAST({f}(revenue) AS DOUBLE)"
+            schema.append(f"{name}_revenue double")
     if "conversions" in df.columns:
-        kind = df.schema["conversions"].dataType
-        total_kind = "long" if isinstance(kind, T.IntegralType) else "double"
-        columns += [
-            F.sum("conversions").alias("total_conversions"),
-            F.avg("conversions").alias("avg_conversions"),
-        ]
-        schema += [f"total_conversions {total_kind}", "avg_conversions double"]
-    return _Report([F.struct(*columns)] if columns else [], ", ".join(schema))
+        whole = isinstance(df.schema["conversions"].dataType, T.IntegralType)
+        kind = "long" if whole else "double"
+        fields["total_conversions"] = f"CAST(sum(conversions) AS {kind})"
+        fields["avg_conversions"] = "CAST(avg(conversions) AS DOUBLE)"
+        schema += [f"total_conversions {kind}", "avg_conversions double"]
+    return _Report([sql.struct(**fields)] if fields else [], ", ".join(schema))
 
 
 def kpi_summary(df: DataFrame) -> DataFrame:
@@ -178,15 +178,15 @@ def promo_coverage(df: DataFrame, column: str = PROMO) -> DataFrame:
 
 
 def _keywords(column: str, categories: dict[str, list[str]] | None) -> _Report:
-    text = F.col(column)
+    text = sql.name(column)
     rows = []
     for name, patterns in (categories or KEYWORD_CATEGORIES).items():
-        n = F.count_if(matches_any(text, patterns))
+        n = f"count_if({matches_any(text, patterns)})"
         rows.append(
-            F.struct(
-                F.lit(name).alias("category"),
-                n.alias("n_promos"),
-                F.try_divide(n * F.lit(100.0), F.count(text)).alias("promo_pct"),
+            sql.struct(
+                category=sql.literal(name),
+                n_promos=n,
+                promo_pct=f"try_divide({n} * 100D, count({text}))",
             )
         )
     return _Report(
@@ -231,14 +231,13 @@ def promo_samples(df: DataFrame, column: str = PROMO, n: int = 5, length: int =
 
 
 def _flag_counts(column: str, patterns: dict[str, list[str]] | None) -> _Report:
-    flags = promo_flags(column, patterns)
     rows = [
-        F.struct(
-            F.lit(name).alias("promo_type"),
-            F.coalesce(F.sum(flag), F.lit(0)).cast("long").alias("n_rows"),
-            F.try_divide(F.sum(flag) * F.lit(100.0), F.count(F.lit(1))).alias("row_pct"),
+        sql.struct(
+            promo_type=sql.literal(name),
+            n_rows=f"coalesce(sum({flag}), 0L)",
+            row_pct=f"try_divide(sum({flag}) * 100D, count(*))",
         )
-        for name, flag in flags.items()
+        for name, flag in promo_flags_sql(column, patterns or PROMO_TYPE_PATTERNS).items()
     ]
     return _Report(
         rows,
@@ -264,7 +263,7 @@ def describe_numeric(df: DataFrame, decimals: int | None = 2) -> DataFrame:
     ]
     measures = ["mean", "std", "min", "p25", "p50", "p75", "max"]
     schema = "column_name string, n_values long, " + ", ".join(f"{m} double" for m in measures)
-    table = df.sparkSession.createDataFrame(rows, schema)
+    table = small_table(df.sparkSession, rows, schema)
     if decimals is None:
         return table
     return table.withColumns({m: F.round(m, decimals) for m in measures})
@@ -287,9 +286,9 @@ def data_report(df: DataFrame) -> dict[str, DataFrame]:
         shared["promo_keywords"] = _keywords(PROMO, None)
         shared["promo_flags"] = _flag_counts(PROMO, None)
     shared = {name: report for name, report in shared.items() if report.rows}
-    facts = df.agg(*[F.array(*r.rows).alias(name) for name, r in shared.items()]).first()
+    facts = df.selectExpr(*[r.aggregate(name) for name, r in shared.items()]).first()
     reports = {
-        name: report.finish(df.sparkSession.createDataFrame(facts[name], report.schema))
+        name: report.finish(small_table(df.sparkSession, facts[name], report.schema))
         for name, report in shared.items()
     }
     reports["data_quality"] = data_quality(df)

@@ -19,6 +19,7 @@ from spendlens.functions import sql_text as sql
 from spendlens.operators.checks import require_columns
 from spendlens.operators.moments import Moments, regression_moments
 from spendlens.operators.nulls import fill_zero
+from spendlens.operators.tables import small_table
 
 # Default penalty per model type, and the iteration limit of the lasso.
 DEFAULT_ALPHA = {"ols": 0.0, "ridge": 1.0, "lasso": 0.01}
@@ -27,6 +28,9 @@ LASSO_MAX_ITERATIONS = 10_000
 RANK_TOLERANCE = 1e-10
 LASSO_TOLERANCE = 1e-13
 
+METRICS_SCHEMA = (
+    "model_type string, r2 double, rmse double, mae double, mse double, rank int, n long"
+)
 MODEL_SCHEMA = (
     "model_type string, alpha double, target string, position int, feature string, "
     "coefficient double, x_mean double, x_scale double, y_mean double, y_scale double, "
@@ -281,7 +285,7 @@ def coefficient_table(spark: SparkSession, model: LinearModel) -> DataFrame:
     ]
     rows.append((len(rows), "intercept", float(model.intercept), model.raw_intercept))
     schema = "position int, feature string, coef_std double, coef_raw double"
-    return spark.createDataFrame(rows, schema)
+    return small_table(spark, rows, schema)
 
 
 def model_summary(spark: SparkSession, model: LinearModel, metrics: DataFrame) -> DataFrame:
@@ -295,7 +299,7 @@ def model_summary(spark: SparkSession, model: LinearModel, metrics: DataFrame) -
     weights = [*zip(model.features, model.coefficients), ("intercept", model.intercept)]
     facts += [("coefficient", name, f"{float(w):.6f}") for name, w in weights]
     facts += [("metric", name, f"{found[name]:.4f}") for name in ("r2", "rmse", "mae", "mse")]
-    return spark.createDataFrame(facts, "section string, name string, value string")
+    return small_table(spark, facts, "section string, name string, value string")
 
 
 def model_table(spark: SparkSession, model: LinearModel) -> DataFrame:
@@ -309,7 +313,7 @@ def model_table(spark: SparkSession, model: LinearModel) -> DataFrame:
         )
         for i, f in enumerate(model.features)
     ]
-    return spark.createDataFrame(rows, MODEL_SCHEMA)
+    return small_table(spark, rows, MODEL_SCHEMA)
 
 
 def model_from_table(table: DataFrame) -> LinearModel:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.columns import channel_of
 from spendlens.operators.checks import require_columns
 from spendlens.operators.regression import LinearModel
+from spendlens.operators.tables import small_table
 
 
 def _averages(df: DataFrame | None, model: LinearModel, features: Sequence[str]) -> DataFrame:
@@ -41,7 +42,7 @@ def _averages(df: DataFrame | None, model: LinearModel, features: Sequence[str])
 def _rows_of(one_row: DataFrame, rows: list[Column], schema: str) -> DataFrame:
     """One output row per struct."""
     if not rows:
-        return one_row.sparkSession.createDataFrame([], schema)
+        return small_table(one_row.sparkSession, [], schema)
     return one_row.select(F.inline(F.array(*rows)))
 
 
@@ -164,7 +165,7 @@ def marginal_roas(
         "feature string, coefficient double, total_sales double, total_spend double, "
         "spend_basis string, coef_scale string"
     )
-    table = SparkSession.active().createDataFrame(rows, schema)
+    table = small_table(SparkSession.active(), rows, schema)
     mroas = F.col("coefficient") * (F.col("total_sales") / F.col("total_spend"))
     return (
         table.withColumn("channel", channel_of("feature"))
@@ -236,5 +237,5 @@ def scenario_lift(
         "coefficient double, lift double, lift_pct double"
     )
     if not rows:
-        return raw_spend.sparkSession.createDataFrame([], schema)
+        return small_table(raw_spend.sparkSession, [], schema)
     return _rows_of(raw_spend.agg(*totals), rows, schema)

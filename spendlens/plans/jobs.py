@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.operators.features import balanced_features
 from spendlens.operators.regression import (
+    METRICS_SCHEMA,
     LinearModel,
     coefficient_table,
     design,
@@ -25,6 +26,7 @@ from spendlens.operators.returns import (
     marginal_roas,
     promo_impact,
 )
+from spendlens.operators.tables import small_table
 from spendlens.plans.preprocess import Prepared, preprocess
 from spendlens.sources.readers import import_metadata, import_panel
 from spendlens.sources.writers import export_by_config
@@ -107,7 +109,7 @@ def full_analysis(raw: DataFrame, config: Mapping[str, Any] | None = None) -> di
     model, sets = job.model, job.prepared.sets
     try:
         metrics = evaluate(job.data, model)
-        metrics = raw.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
+        metrics = small_table(raw.sparkSession, metrics.collect(), METRICS_SCHEMA)
     finally:
         job.close()
     return {
@@ -227,7 +229,7 @@ def results_table(spark: SparkSession, results: Mapping[str, Any]) -> DataFrame:
 
     for section, content in results.items():
         add(section, "", content)
-    return spark.createDataFrame(rows, RESULT_SCHEMA)
+    return small_table(spark, rows, RESULT_SCHEMA)
 
 
 def summary_table(spark: SparkSession, results: Mapping[str, Any], top: int = 5) -> DataFrame:
