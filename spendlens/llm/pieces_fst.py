@@ -27,8 +27,8 @@ from spendlens.llm.arrow import texts
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Parts remembered by a task, and the longest one remembered.
-MEMORY, LONGEST = 200_000, 48
+#: Parts remembered by a task, in each of two generations, and the longest one remembered.
+MEMORY, LONGEST = 250_000, 48
 ID = np.dtype("<i4")
 
 
@@ -104,6 +104,7 @@ class Transducer:
         self.bigrams = {piece[i : i + 2] for piece in model.ids for i in range(len(piece) - 1)}
         self.edges: dict[tuple[str, bool], tuple[tuple[str, float], ...]] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the parts known before; those met again move on
 
     # The lexicon: a piece's arc, or the arcs of a character that is none.
     def _output(self, symbol: str) -> bytes:
@@ -220,14 +221,15 @@ class Transducer:
         return path[::-1]
 
     def _part(self, text: str) -> bytes:
-        found = self.known.get(text)
+        found = self.older.get(text)
         if found is None:
             path = self._least_path(text) if self.model.unigram else self._finite_path(text)
             found = b"".join(map(self._output, path))
-            if len(text) <= LONGEST:
-                if len(self.known) > MEMORY:
-                    self.known.clear()
-                self.known[text] = found
+        if len(text) <= LONGEST:
+            if len(self.known) >= MEMORY:
+                self.older = self.known.copy()
+                self.known.clear()
+            self.known[text] = found
         return found
 
     def encode(self, text: str) -> bytes:
