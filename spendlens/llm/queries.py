@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import html, pieces_fst, quality, simhash, topk, toxicity
+from spendlens.llm import decontaminate, html, pieces_fst, quality, simhash, substring, suffixes, topk, toxicity
 from spendlens.llm.tables import fold, id_and_text, table
 from spendlens.session import shared_root
 
@@ -23,6 +23,10 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 5) == 0
     labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("toxic").alias("label"))
@@ -50,12 +54,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removals(_documents(spark, sf_dir)).drop("kept")
+
+
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removals(_documents(spark, sf_dir)).drop("kept")
+
+
 QUERIES: dict[str, Query] = {
     "op1_html": op1_html,
+    "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
     "op6_topk": op6_topk,
     "op7_simhash": op7_simhash,
+    "op8_substring": op8_substring,
+    "op9_suffixes": op9_suffixes,
     "op10_pieces": op10_pieces,
 }
 
