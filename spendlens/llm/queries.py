@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import decontaminate, html, pieces_fst, quality, simhash, substring, suffixes, topk, toxicity
+from spendlens.llm import decontaminate, html, mixing, pieces_fst, quality, simhash, substring, suffixes, topk, toxicity
 from spendlens.llm.tables import fold, id_and_text, table
 from spendlens.session import shared_root
 
@@ -34,6 +34,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(_documents(spark, sf_dir), fold("doc_id", 7) == 2)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 3) == 1
     labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label"))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op1_html": op1_html,
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
+    "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_topk": op6_topk,
     "op7_simhash": op7_simhash,
