@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.arrow import pieces, texts
+from spendlens.llm.tables import NO_ID
 
 FILTER_BITS = 1 << 28
 CHUNK_BITS = 1 << 20
@@ -34,8 +35,6 @@ KEY_SEGMENTS = 256
 BATCH_SEGMENTS = 4000
 #: Text bytes laid out at a time.
 AT_ONCE = 1 << 20
-#: A null id counts as this one, larger than any other.
-NO_ID = (1 << 63) - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -249,9 +248,14 @@ class Method:
     solve: Callable[[list[bytes], np.ndarray, np.ndarray], list[bytes]]
 
 
-def _identified(docs: DataFrame) -> DataFrame:
+def _identified(docs: DataFrame, *others: Column) -> DataFrame:
     """(doc_id, print, text): a text is known by its id and its hash, so rows that share an id do not mix."""
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("print"), "text")
+    named = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        *others,
+    )
+    return named.withColumn("print", F.xxhash64("text"))
 
 
 def _segment(laid: Laid, raw: bytes, run: Runs, i: int, width: int) -> bytes:
@@ -435,8 +439,10 @@ def answered(docs: DataFrame, method: Method, bound: int = KEY_SEGMENTS, bits: i
     return found
 
 
-def with_answers(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, text, spans array<struct<first, answer>>) of every row of ``docs``; no answers: null."""
+def with_answers(docs: DataFrame, found: DataFrame, *others: Column) -> DataFrame:
+    """(doc_id, text, spans array<struct<first, answer>>, others...) of every row of ``docs``.
+
+    No answers: null. ``others`` are columns of ``docs`` to carry along.
+    """
     spans = found.groupBy("doc_id", "print").agg(F.collect_list(F.struct("first", "answer")).alias("spans"))
-    joined = _identified(docs).join(spans.hint("shuffle_hash"), ["doc_id", "print"], "left")
-    return joined.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "spans")
+    return _identified(docs, *others).join(spans.hint("shuffle_hash"), ["doc_id", "print"], "left").drop("print")

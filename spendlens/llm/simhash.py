@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from spendlens.llm.arrow import flat, pieces
 from spendlens.llm.components import components
+from spendlens.llm.tables import NO_ID
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
 #: Rows of a bucket above which it is cut again.
@@ -58,7 +59,8 @@ def fingerprint(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp long) of every row of (doc_id, text)."""
+    """Every row of (..., text) with its fingerprint, fp (long), for the text."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=1 << 20):
@@ -68,9 +70,9 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> Dat
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
             hashes = np.array([h for x in found for h in x], np.uint64)
             fp = fingerprint(hashes, ends).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(fp)], [*others, "fp"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, docs.select(*others).schema.add("fp", "long"))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -262,23 +264,27 @@ def links(codes: DataFrame, distance: int = DISTANCE, bound: int = BUCKET_ROWS)
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _rooted(classes: DataFrame, distance: int, bound: int) -> DataFrame:
+    """(fp, least, root) of (fp, least) rows, one a fingerprint: root names its component."""
+    found = components(links(classes.select("fp"), distance, bound))
+    joined = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    return joined.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, bound: int = BUCKET_ROWS
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of (doc_id, text).
 
     ``fingerprint`` is 16 lowercase hex digits; ``component_id`` is the least doc_id
-    reachable over links of ``distance`` differing bits, the document itself included. Texts without words
-    have fingerprint zero, linked like any other. Texts shorter than a shingle count as
-    one. Rows that repeat an id keep one row each. Equal fingerprints are reduced to one
+    reachable over links of ``distance`` differing bits, the document itself included. Texts
+    without words have fingerprint zero, linked like any other. Texts shorter than a
+    shingle count as one. Rows that repeat an id keep one row each; a null id has the
+    component's least id, or null if it has none. Equal fingerprints are reduced to one
     before any search, so thousands of copies are one node.
     """
-    marks = fingerprints(docs, width).checkpoint()
-    classes = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(classes.select("fp"), distance, bound))
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    marks = fingerprints(docs.select("doc_id", "text"), width).checkpoint()
+    rooted = _rooted(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), distance, bound)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # One row per fingerprint, then per document; both are plain joins that can be split.
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
@@ -287,3 +293,22 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
+
+
+def representatives(
+    docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, bound: int = BUCKET_ROWS
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each component of near-duplicates.
+
+    It is that of the least doc_id (a null one is the largest), then of the least hash of the text; of rows equal in
+    both any one stays.
+    """
+    row = F.struct("*").alias("row")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    named = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text)
+    named = named.withColumn("print", F.xxhash64("text"))
+    marks = fingerprints(named.select("id", "print", "text"), width).checkpoint()
+    rooted = _rooted(marks.groupBy("fp").agg(F.min(F.struct("id", "print")).alias("least")), distance, bound)
+    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.print")
+    kept = named.drop("text").join(stay, ["id", "print"], "left_semi").dropDuplicates(["id", "print"])
+    return kept.select("row.*")

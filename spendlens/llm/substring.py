@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens.llm.arrow import pieces, texts
-from spendlens.llm.repeats import KEY_SEGMENTS, NO_ID, Method, answered, as_words, with_answers
+from spendlens.llm.repeats import KEY_SEGMENTS, Method, answered, as_words, with_answers
+from spendlens.llm.tables import NO_ID
 
 WIDTH = 13
 #: Words of the grams that windows are first filed under.
@@ -144,8 +146,19 @@ def without(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def _kept(text: bytes, spans: list[dict] | None, doc_id: int, width: int) -> tuple[bytes, list[bytes], int]:
+    """(the text without removed words, the kept words, the number of removed ones)."""
+    words = text.split()
+    if spans:
+        gone = covered(spans, doc_id, len(words), width)
+        lost = int(gone.sum())
+        if lost:
+            return without(text, gone), [w for w, drop in zip(words, gone.tolist()) if not drop], lost
+    return text, words, 0
+
+
 def removals(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) -> DataFrame:
-    """(doc_id, text, n_words, n_removed, kept_sha256, kept) of every row of (doc_id, text).
+    """(doc_id, n_words, n_removed, kept_sha256, kept) of every row of (doc_id, text).
 
     Words are what stands between ASCII white space. A word goes if a window of ``width``
     words that covers it also starts in a document with a smaller id; windows are those of the
@@ -157,24 +170,14 @@ def removals(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            ids, counts, removed, prints, kept = [], [], [], [], []
+            rows = []
             for doc_id, text, spans in zip(
                 batch.column("doc_id").to_pylist(), texts(batch.column("text")), batch.column("spans").to_pylist()
             ):
-                words = text.split()
-                if spans:
-                    gone = covered(spans, NO_ID if doc_id is None else doc_id, len(words), width)
-                    lost = int(gone.sum())
-                    if lost:
-                        text = without(text, gone)
-                        words = [w for w, drop in zip(words, gone.tolist()) if not drop]
-                else:
-                    lost = 0
-                ids.append(doc_id)
-                counts.append(len(words) + lost)
-                removed.append(lost)
-                prints.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                kept.append(text.decode())
+                kept, words, lost = _kept(text, spans, doc_id, width)
+                name = None if doc_id == NO_ID else doc_id
+                rows.append((name, len(words) + lost, lost, hashlib.sha256(b" ".join(words)).hexdigest(), kept.decode()))
+            ids, counts, removed, prints, kept = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(prints), pa.array(kept)],
@@ -182,3 +185,35 @@ def removals(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) ->
             )
 
     return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+def rewritten(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) -> DataFrame:
+    """The rows of ``docs``, all columns, with the removed words taken out of ``text``.
+
+    Texts that lose nothing stay as they are, null included. A column ``n_chars`` follows the text.
+    """
+    found = with_answers(docs, answered(docs, _method(width), bound), F.struct(*docs.columns).alias("row"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            new = []
+            for doc_id, text, spans in zip(
+                batch.column("doc_id").to_pylist(), texts(batch.column("text")), batch.column("spans").to_pylist()
+            ):
+                kept, _, lost = _kept(text, spans, doc_id, width)
+                new.append(kept.decode() if lost else None)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], ["row", "kept"])
+
+    changed = found.select("row", "doc_id", "text", "spans").mapInArrow(
+        run, T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType())])
+    )
+    columns = []
+    for name in docs.columns:
+        old = F.col(f"row.`{name}`")
+        if name == "text":
+            old = F.coalesce("kept", old)
+        elif name == "n_chars":
+            kind = docs.schema[name].dataType
+            old = F.when(F.col("kept").isNotNull(), F.length("kept").cast(kind)).otherwise(old)
+        columns.append(old.alias(name))
+    return changed.select(*columns)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from spendlens.llm.arrow import pieces, texts
 from spendlens.llm.repeats import KEY_SEGMENTS, Laid, Method, answered, as_bytes, with_answers
+from spendlens.llm.tables import NO_ID
 
 WIDTH = 200
 #: Bytes of the grams that windows are first filed under.
@@ -180,6 +181,7 @@ def removals(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
+            ids = [None if i == NO_ID else i for i in batch.column("doc_id").to_pylist()]
             rows = []
             for text, spans in zip(texts(batch.column("text")), batch.column("spans").to_pylist()):
                 cuts = removed_spans(spans, width)
@@ -188,7 +190,7 @@ def removals(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) ->
                 rows.append((len(text), len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept))
             sizes, removed, counts, prints, kept = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(counts, pa.int64()), pa.array(prints), pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )

@@ -343,35 +343,43 @@ def learn(docs: DataFrame, training_labels: DataFrame, sample: int = SAMPLE) ->
     return train([(r["text"].encode(), r["label"]) for r in rows], shares)
 
 
+class _Scorer:
+    """Scores texts, remembering the words it has met."""
+
+    def __init__(self, network: Network):
+        self.network, self.lexicon, self.held = network, Lexicon(), 0
+        self.gates = {way: np.zeros((1024, 3 * HIDDEN), np.float32) for way in "fb"}
+
+    def scores(self, values: list[bytes]) -> np.ndarray:
+        if not values:
+            return np.zeros(0)
+        if len(self.lexicon.words) > MEMORY:
+            self.lexicon.clear()
+            self.held = 0
+        numbers, number = self.lexicon.numbers, self.lexicon.number
+        found = [[numbers.get(w) or number(w) for w in words_of(text)] for text in values]
+        size, held = len(self.lexicon.words), self.held
+        if size > held:
+            new = self.network.gates(self.network.inputs(*slots(self.lexicon.words[held:])))
+            for way, rows in new.items():
+                if size > len(self.gates[way]):
+                    more = np.zeros((size, 3 * HIDDEN), np.float32)
+                    self.gates[way] = np.concatenate([self.gates[way], more])
+                self.gates[way][held:size] = rows
+            self.held = size
+        ids, live, firsts = _laid_out(found)
+        x = self.network.document(_logits(self.network, self.gates, ids, live), firsts)
+        return _sigmoid(x @ self.network.head)
+
+
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """(doc_id, score, predicted) of every row of (doc_id, text), whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        lexicon = Lexicon()
-        held = 0
-        gates = {way: np.zeros((1024, 3 * HIDDEN), np.float32) for way in "fb"}
+        scorer = _Scorer(shared.value)
         for batch in pieces(batches, limit=1 << 20):
-            if len(lexicon.words) > MEMORY:
-                lexicon.clear()
-                held = 0
-            numbers, number = lexicon.numbers, lexicon.number
-            found = []
-            for text in texts(batch.column("text")):
-                words = words_of(text)
-                found.append([numbers.get(w) or number(w) for w in words])
-            size = len(lexicon.words)
-            if size > held:
-                new = model.gates(model.inputs(*slots(lexicon.words[held:])))
-                for way, rows in new.items():
-                    if size > len(gates[way]):
-                        gates[way] = np.concatenate([gates[way], np.zeros((size, 3 * HIDDEN), np.float32)])
-                    gates[way][held:size] = rows
-                held = size
-            ids, live, firsts = _laid_out(found)
-            x = model.document(_logits(model, gates, ids, live), firsts)
-            result = _sigmoid(x @ model.head)
+            result = scorer.scores(texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(result), pa.array((result >= 0.5).astype(np.int32))],
                 ["doc_id", "score", "predicted"],
@@ -380,6 +388,18 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, network: Network, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose whole text scores below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for batch in pieces(batches, limit=1 << 20):
+            yield batch.filter(pa.array(scorer.scores(texts(batch.column("text"))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, training_labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score, predicted): how likely each whole text is toxic.
 
