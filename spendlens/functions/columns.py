@@ -47,5 +47,5 @@ def shorten(text: ColumnOrName, length: int = 65) -> Column:
 
 
 def channel_of(feature: ColumnOrName) -> Column:
-    """``cost_tv_log`` -> ``tv``."""
-    return F.replace(F.replace(_col(feature), F.lit("cost_")), F.lit("_log"))
+    """``cost_tv_log`` -> ``tv``: only the start and the end of the name are cut."""
+    return F.regexp_replace(_col(feature), "^cost_|_log$", "")

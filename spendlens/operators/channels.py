@@ -26,16 +26,25 @@ class Channels:
     impression_columns: list[str]
 
 
+def after(name: str, prefix: str) -> str | None:
+    """What follows ``prefix`` and an underscore at the start of a name, whatever its case."""
+    head = f"{prefix}_"
+    return name[len(head) :] if name.lower().startswith(head) and len(name) > len(head) else None
+
+
 def discover_channels(
     df: DataFrame, cost: str = "cost", impression: str = "impression"
 ) -> Channels:
-    """Numeric columns whose lower-cased name contains the cost or impression word."""
-    numeric = numeric_columns(df)
-    cost_columns = [c for c in numeric if cost in c.lower()]
+    """Numeric columns named ``cost_<channel>`` and ``impression_<channel>``.
+
+    Only the start of a name counts: a channel may be called ``low_cost_air`` or ``logistics``.
+    """
+    of = {kind: {c: after(c, kind) for c in numeric_columns(df)} for kind in (cost, impression)}
+    spent = {c: name for c, name in of[cost].items() if name}
     return Channels(
-        names=[c.replace("cost_", "") for c in cost_columns],
-        cost_columns=cost_columns,
-        impression_columns=[c for c in numeric if impression in c.lower()],
+        names=list(spent.values()),
+        cost_columns=list(spent),
+        impression_columns=[c for c, name in of[impression].items() if name],
     )
 
 

@@ -11,45 +11,22 @@ from pyspark.sql import types as T
 
 from spendlens.functions import sql_text as sql
 
-MAX_LEVELS = 5_000
-
 Level = str | int
 
 
-def level_counts(
-    df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS
-) -> dict[str, dict[Level | None, int]]:
-    """Rows per level (null included) of each column, found in one job.
+def level_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[Level | None, int]]:
+    """Rows per level (null included) of each column.
 
-    Levels are text, or numbers where the column holds whole numbers. They become columns of the plan, so their number is bounded: more than
-    ``max_levels`` of them is an error, and no more than that is ever collected.
+    Levels are text, or numbers where the column holds whole numbers. They become columns of
+    the plan, so they are brought to the driver; for a category with more levels than
+    a table can have columns, see :func:`add_sparse_effects`.
     """
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("level"))
-            for c in columns
-        ]
-    )
-    bound = len(columns) * (max_levels + 1)
-    found = (
-        df.select(F.inline(pairs))
-        .groupBy("name", "level")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .limit(bound + 1)
-        .collect()
-    )
     counts: dict[str, dict[Level | None, int]] = {}
     for c in columns:
         whole = isinstance(df.schema[c].dataType, T.IntegralType)
-        counts[c] = {
-            int(r["level"]) if whole and r["level"] is not None else r["level"]: r["rows"]
-            for r in found
-            if r["name"] == c
-        }
-    if len(found) > bound or any(len(v.keys() - {None}) > max_levels for v in counts.values()):
-        raise ValueError(
-            f"more than {max_levels} levels in {', '.join(columns)}; dummies would not fit a table"
-        )
+        level = F.col(c) if whole else F.col(c).cast("string")
+        found = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect()
+        counts[c] = {r["level"]: r["rows"] for r in found}
     return counts
 
 
@@ -57,11 +34,9 @@ def sorted_levels(counts: dict[Level | None, int]) -> list[Level]:
     return sorted(level for level in counts if level is not None)
 
 
-def distinct_levels(
-    df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS
-) -> dict[str, list[Level]]:
+def distinct_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[Level]]:
     """Sorted non-null levels of each column."""
-    found = level_counts(df, columns, max_levels)
+    found = level_counts(df, columns)
     return {c: sorted_levels(found[c]) for c in columns}
 
 
@@ -107,26 +82,63 @@ def with_dummies(df: DataFrame, encoded: dict[str, str]) -> DataFrame:
     return df.selectExpr("*", *[sql.named(e, n) for n, e in encoded.items()])
 
 
-def add_geo_fixed_effects(df: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
-    levels = distinct_levels(df, ["geo"], max_levels)["geo"]
+def add_geo_fixed_effects(df: DataFrame) -> DataFrame:
+    levels = distinct_levels(df, ["geo"])["geo"]
     return with_dummies(df, geo_dummies(levels))
 
 
-def add_week_fixed_effects(df: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
-    levels = distinct_levels(df, ["week"], max_levels)["week"]
+def add_week_fixed_effects(df: DataFrame) -> DataFrame:
+    levels = distinct_levels(df, ["week"])["week"]
     return with_dummies(df, week_dummies(levels))
 
 
 def add_calendar_dummies(
     df: DataFrame,
     parts: Sequence[str] = ("month", "quarter", "week_of_year"),
-    max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """Add the dummies of some or all calendar parts."""
-    weeks = distinct_levels(df, ["week"], max_levels)["week"]
+    weeks = distinct_levels(df, ["week"])["week"]
     wanted = {
         column: expression
         for column, expression in calendar_dummies(weeks).items()
         if column.rpartition("_")[0] in parts
     }
     return with_dummies(df, wanted)
+
+
+def level_index(df: DataFrame, column: str) -> DataFrame:
+    """(level, place) of the sorted non-null levels, from 0; nothing is collected."""
+    levels = df.where(F.col(column).isNotNull()).select(F.col(column).alias("level")).distinct()
+    numbered = levels.orderBy("level").rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1]))
+    schema = T.StructType(
+        [T.StructField("level", df.schema[column].dataType), T.StructField("place", T.LongType())]
+    )
+    return df.sparkSession.createDataFrame(numbered, schema)
+
+
+def add_sparse_effects(
+    df: DataFrame, columns: Sequence[str] = ("geo", "week"), name: str = "fixed_effects"
+) -> DataFrame:
+    """All effects of the columns as one sparse 0/1 vector, for any number of levels.
+
+    ``name`` is a struct of ``size``, ``indices`` and ``values``: the first level of each
+    column is left out, the others follow in sorted order, one column's after the other's. A null has no
+    entry.
+    """
+    places, offset = [], 0
+    for number, c in enumerate(columns):
+        index = level_index(df, c).withColumnsRenamed(
+            {"level": f"_level_{number}", "place": f"_place_{number}"}
+        )
+        df = df.join(index, F.col(c) == F.col(f"_level_{number}"), "left")
+        place = F.col(f"_place_{number}")
+        places.append(F.when(place > 0, place - 1 + F.lit(offset)))
+        offset += max(index.count() - 1, 0)
+    indices = F.array_compact(F.array(*places))
+    vector = F.struct(
+        F.lit(offset).cast("long").alias("size"),
+        indices.alias("indices"),
+        F.transform(indices, lambda _: F.lit(1.0)).alias("values"),
+    )
+    helpers = [f"_{part}_{i}" for i in range(len(columns)) for part in ("level", "place")]
+    return df.withColumn(name, vector).drop(*helpers)

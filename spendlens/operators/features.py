@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from spendlens.functions.columns import cost_per_mille, has_value, log_plus_one
 from spendlens.functions.promo_text import PROMO_TYPE_PATTERNS, discount_percent, promo_flags
-from spendlens.operators.channels import Channels, discover_channels, numeric_columns
+from spendlens.operators.channels import Channels, numeric_columns
 from spendlens.operators.series import Series, lag_columns
 from spendlens.operators.tables import small_table
 
@@ -65,34 +65,24 @@ def add_organic_lag(series: Series) -> Series:
     return lag_columns(logged, {"log_organic_lag1": ("log_organic", 1)}, fill=0.0)
 
 
-def feature_sets(
-    df: DataFrame, channels: Channels | None = None, promo_features: Sequence[str] | None = None
-) -> FeatureSets:
-    """Sort the columns of a prepared panel into named sets, by naming rules."""
-    channels = channels or discover_channels(df)
-    columns = df.columns
-    if promo_features is None:
-        known = promo_feature_names()
-        promo_features = [c for c in known if c in columns] or ["has_promotion"]
-    organic = [c for c in columns if "organic" in c and c.startswith("log_")]
-    seasonal = ("month_", "quarter_", "week_of_year_")
-    return {
-        "target": ["revenue"],
-        "spend_features": list(channels.cost_columns),
-        "spend_features_log": [
-            f"{c}_log" for c in channels.cost_columns if f"{c}_log" in columns
-        ],
-        "lagged_spend_features": [c for c in columns if "_lag" in c],
-        "impression_features": list(channels.impression_columns),
-        "control_vars": ["population", "market_share", *organic],
-        "promotional_features": list(promo_features),
-        "geo_fixed_effects": [c for c in columns if c.startswith("geo_fe")],
-        "week_fixed_effects": [c for c in columns if c.startswith("week_fe")],
-        "seasonal_features": [c for c in columns if any(s in c for s in seasonal)],
-        "all_features": [
-            c for c in numeric_columns(df) if c != "revenue" and PROMO not in c
-        ],
-    }
+# The names of the sets, and the columns that always belong to two of them.
+SET_NAMES = (
+    "target", "spend_features", "spend_features_log", "lagged_spend_features",
+    "impression_features", "control_vars", "promotional_features", "geo_fixed_effects",
+    "week_fixed_effects", "seasonal_features", "all_features",
+)
+TARGET = "revenue"
+CONTROLS = ["population", "market_share"]
+
+
+def empty_sets() -> FeatureSets:
+    """Sets that the preparation steps add their columns to."""
+    return {name: [] for name in SET_NAMES} | {"target": [TARGET], "control_vars": list(CONTROLS)}
+
+
+def numeric_features(df: DataFrame) -> list[str]:
+    """Every double or long column but the target."""
+    return [c for c in numeric_columns(df) if c != TARGET]
 
 
 def feature_set_table(df: DataFrame, sets: FeatureSets) -> DataFrame:

@@ -8,24 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.operators.checks import largest_group
 
-# Above this many right rows on one key the join is split into inner and anti parts.
-HOT_KEY_ROWS = 1_000_000
-
-
-def left_join_null_safe(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    hot_key_rows: int | None = HOT_KEY_ROWS,
-) -> DataFrame:
+def left_join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left equi-join in which a null key matches a null key; many matches fan out.
 
-    No side is hinted: adaptive execution broadcasts the right one when its measured
-    size allows. In a left join Spark can split a hot key of the left side only, so
-    when the right side holds a hot key the join becomes inner (either side can be
-    split) plus the unmatched left rows. ``hot_key_rows=None`` skips that check.
+    It is written as the matches plus the left rows without one. In an inner join adaptive
+    execution can split a crowded key of either side (in a left join only the left's), and no
+    side is hinted: the right one is broadcast when its measured size allows.
     """
     shared = [c for c in right.columns if c in left.columns and c not in keys]
     if shared:
@@ -35,31 +24,22 @@ def left_join_null_safe(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
     )
     extra = [c for c in right.columns if c not in keys]
-    if hot_key_rows is None or largest_group(right, keys) <= hot_key_rows:
-        return left.join(renamed, same, "left").select(*left.columns, *extra)
     matched = left.join(renamed, same, "inner").select(*left.columns, *extra)
     right_keys = renamed.select(*[f"_right_{k}" for k in keys]).distinct()
     unmatched = left.join(right_keys, same, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
-def join_common_columns(
-    left: DataFrame, right: DataFrame, hot_key_rows: int | None = HOT_KEY_ROWS
-) -> DataFrame:
+def join_common_columns(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left join on every column both sides have; the left side as it is if none."""
     keys = sorted(set(left.columns) & set(right.columns))
-    if not keys:
-        return left
-    return left_join_null_safe(left, right, keys, hot_key_rows)
+    return left_join_null_safe(left, right, keys) if keys else left
 
 
 def join_promotions(
-    panel: DataFrame,
-    promotions: DataFrame,
-    keys: Sequence[str] = ("week", "geo"),
-    hot_key_rows: int | None = HOT_KEY_ROWS,
+    panel: DataFrame, promotions: DataFrame, keys: Sequence[str] = ("week", "geo")
 ) -> DataFrame:
     """Left join on (week, geo), or on all common columns when one of them is missing."""
     if all(k in panel.columns and k in promotions.columns for k in keys):
-        return left_join_null_safe(panel, promotions, list(keys), hot_key_rows)
-    return join_common_columns(panel, promotions, hot_key_rows)
+        return left_join_null_safe(panel, promotions, list(keys))
+    return join_common_columns(panel, promotions)

@@ -14,16 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from spendlens.functions import sql_text as sql
 from spendlens.operators.checks import require_columns
 
-# Up to this many columns the statistics are plain SQL aggregates. Beyond, their buffers
-# make the generated code slow, and matrix products in Arrow batches are faster.
-SQL_COLUMNS = 3
-MAX_FEATURES = 2_000
-
 
 @dataclass(frozen=True)
 class Moments:
@@ -48,15 +42,12 @@ def regression_moments(df: DataFrame, features: Sequence[str], target: str) -> M
         raise ValueError("a model needs at least one feature")
     if len(set(features)) < len(features) or target in features:
         raise ValueError("feature names must differ from each other and from the target")
-    if len(features) > MAX_FEATURES:
-        raise ValueError(f"{len(features)} features; at most {MAX_FEATURES} fit this method")
     columns = [*features, target]
     require_columns(df, columns)
     numbers = df.selectExpr(
         *[f"CAST({sql.name(c)} AS DOUBLE) AS c{i}" for i, c in enumerate(columns)]
     )
-    gather = _by_sql if len(columns) <= SQL_COLUMNS else _by_arrow
-    n, bad, mean, cov, constant = gather(numbers, len(columns))
+    n, bad, mean, cov, constant = _gathered(numbers, len(columns))
     if n == 0:
         raise ValueError("no rows to fit a model on")
     if bad:
@@ -67,29 +58,7 @@ def regression_moments(df: DataFrame, features: Sequence[str], target: str) -> M
     return Moments(tuple(features), target, n, mean, cov)
 
 
-def _by_sql(df: DataFrame, k: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    names = [f"c{i}" for i in range(k)]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    null_row = F.greatest(*[F.col(c).isNull() | F.isnan(c) for c in names])
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(null_row).alias("bad"),
-        *[F.avg(c).alias(f"mean_{c}") for c in names],
-        *[(F.min(c) == F.max(c)).alias(f"constant_{c}") for c in names],
-        *[F.covar_pop(names[i], names[j]).alias(f"cov_{i}_{j}") for i, j in pairs],
-    ).first()
-    mean = np.zeros(k)
-    cov = np.zeros((k, k))
-    constant = np.zeros(k, dtype=bool)
-    if row["n"] and not row["bad"]:
-        mean[:] = [row[f"mean_{c}"] for c in names]
-        constant[:] = [row[f"constant_{c}"] for c in names]
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = row[f"cov_{i}_{j}"]
-    return row["n"], row["bad"], mean, cov, constant
-
-
-def _by_arrow(df: DataFrame, k: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+def _gathered(df: DataFrame, k: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
     """Each task reduces its rows to k^2 numbers; those are merged as a tree.
 
     Products are taken around the mean of the rows at hand and corrected when two parts

@@ -26,7 +26,7 @@ DEFAULT_ALPHA = {"ols": 0.0, "ridge": 1.0, "lasso": 0.01}
 LASSO_MAX_ITERATIONS = 10_000
 
 RANK_TOLERANCE = 1e-10
-LASSO_TOLERANCE = 1e-13
+LASSO_TOLERANCE = 1e-12
 
 METRICS_SCHEMA = (
     "model_type string, r2 double, rmse double, mae double, mse double, rank int, n long"
@@ -189,8 +189,8 @@ def _soft_threshold_descent(xx: np.ndarray, xy: np.ndarray, alpha: float) -> np.
                 weights[j] = new
                 largest_step = max(largest_step, abs(step) * np.sqrt(curvature[j]))
         if largest_step <= LASSO_TOLERANCE:
-            break
-    return weights
+            return weights
+    raise RuntimeError(f"the lasso did not settle in {LASSO_MAX_ITERATIONS} sweeps")
 
 
 def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_std") -> DataFrame:
@@ -238,17 +238,17 @@ def evaluate(
 ) -> DataFrame:
     """R2, RMSE, MAE and MSE on ``df``, one row per model, in one pass for all.
 
-    A constant target gives R2 1 for a perfect fit and else 0.
+    All of them are over the rows that have a target and every feature; ``n`` counts
+    those. A constant target gives R2 1 for a perfect fit and else 0.
     """
     named = {models.model_type: models} if isinstance(models, LinearModel) else dict(models)
     aggregates = []
-    targets = sorted({m.target for m in named.values()})
-    for t in targets:
-        aggregates.append((F.count(t) * F.var_pop(t)).alias(f"total_{t}"))
-        aggregates.append((F.min(t) == F.max(t)).alias(f"constant_{t}"))
     for name, model in named.items():
         error = F.col(model.target).cast("double") - prediction(model, scale)
+        seen = F.when(error.isNotNull(), F.col(model.target))
         aggregates += [
+            (F.count(seen) * F.var_pop(seen)).alias(f"total_{name}"),
+            (F.min(seen) == F.max(seen)).alias(f"constant_{name}"),
             F.count(error).alias(f"n_{name}"),
             F.sum(error * error).alias(f"squared_{name}"),
             F.sum(F.abs(error)).alias(f"absolute_{name}"),
@@ -256,7 +256,7 @@ def evaluate(
     rows = []
     for name, model in named.items():
         n, squared = F.col(f"n_{name}"), F.col(f"squared_{name}")
-        constant, total = F.col(f"constant_{model.target}"), F.col(f"total_{model.target}")
+        constant, total = F.col(f"constant_{name}"), F.col(f"total_{name}")
         r2 = F.when(
             constant, F.when(squared == 0, 1.0).otherwise(0.0)
         ).otherwise(F.lit(1.0) - F.try_divide(squared, total))

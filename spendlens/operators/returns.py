@@ -110,13 +110,9 @@ def top_contribution(table: DataFrame, n: int = 5) -> DataFrame:
 
 
 def spend_column_of(feature: str, raw: DataFrame | None) -> str | None:
-    """The raw spend column of a feature: its own name, else without ``_log``."""
-    if raw is None:
-        return None
-    if feature in raw.columns:
-        return feature
-    base = feature.replace("_log", "") if feature.endswith("_log") else None
-    return base if base in raw.columns else None
+    """The raw spend column of a feature: its own name, else that without a final ``_log``."""
+    known = [] if raw is None else raw.columns
+    return next((c for c in (feature, feature.removesuffix("_log")) if c in known), None)
 
 
 def marginal_roas(

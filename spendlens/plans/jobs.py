@@ -31,11 +31,9 @@ from spendlens.plans.preprocess import Prepared, preprocess
 from spendlens.sources.readers import import_metadata, import_panel
 from spendlens.sources.writers import export_by_config
 
-# The model of the configured run, and the sizes of the full model.
+# The model of the configured run.
 RUN_MODEL_TYPE = "ridge"
 RUN_ALPHA = 1.0
-FULL_MODEL_GEOS = 10
-FULL_MODEL_SEASONS = 20
 
 RESULT_SCHEMA = "section string, name string, value string"
 
@@ -90,10 +88,14 @@ def fit_full_model(
     config: Mapping[str, Any] | None = None,
     model_type: str = "ols",
     alpha: float | None = None,
-    n_geo: int | None = FULL_MODEL_GEOS,
-    n_seasonal: int | None = FULL_MODEL_SEASONS,
+    n_geo: int | None = None,
+    n_seasonal: int | None = None,
 ) -> FittedJob:
-    """Preprocess, then fit revenue on the balanced feature list, nulls read as 0."""
+    """Preprocess, then fit revenue on the balanced feature list, nulls read as 0.
+
+    All geo and seasonal effects are in it, unless ``n_geo`` or ``n_seasonal`` asks for
+    the first few.
+    """
     prepared = preprocess(raw, config)
     features = balanced_features(prepared.sets, n_geo, n_seasonal)
     return _fit_job(prepared, features, model_type, alpha, "zero")

@@ -7,6 +7,7 @@ repeated coordinate steps) in chained subqueries.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from spendlens.functions.promo_text import KEYWORD_CATEGORIES, PROMO_TYPE_PATTERNS
@@ -16,6 +17,8 @@ SPEND = [f"cost_{c}" for c in CHANNELS]
 SEEN = [f"impression_{c}" for c in CHANNELS]
 SPEND_LOG = [f"{c}_log" for c in SPEND]
 LASSO_SWEEPS = 400
+# Weeks of the orders in the generated tables.
+FIRST_MONDAY, N_WEEKS = dt.date(1994, 12, 26), 345
 
 
 def _r(expression: str, name: str, digits: int = 4) -> str:
@@ -107,6 +110,18 @@ def _with(body: str, *more: str) -> str:
     return "WITH " + ",\n".join([PANEL.strip(), *more]) + "\n" + body
 
 
+# The panel joined with all promotions: several rows per geo and week.
+FAN = """
+fan AS (
+  SELECT panel.* EXCLUDE (promo_description), promos.promo_description
+  FROM panel LEFT JOIN promos ON panel.week = promos.week AND panel.geo = promos.geo
+)"""
+
+
+def _fanned(body: str, *more: str) -> str:
+    return _with(body, FAN.strip(), *more)
+
+
 def _recursive(body: str, *more: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([PANEL.strip(), *more]) + "\n" + body
 
@@ -175,14 +190,14 @@ KEYWORD_ROWS = _stacked(
     [
         f"SELECT '{name}' AS category, "
         f"count(*) FILTER (WHERE {_any_of('promo_description', patterns)}) AS n_promos, "
-        f"count(promo_description) AS with_promo FROM panel"
+        f"count(promo_description) AS with_promo FROM fan"
         for name, patterns in KEYWORD_CATEGORIES.items()
     ]
 )
 FLAG_ROWS = _stacked(
     [
         f"SELECT '{name}' AS promo_type, CAST(sum({_flag(name)}) AS BIGINT) AS n_rows, "
-        f"{_r(f'sum({_flag(name)}) * 100.0 / count(*)', 'row_pct')} FROM panel"
+        f"{_r(f'sum({_flag(name)}) * 100.0 / count(*)', 'row_pct')} FROM fan"
         for name in PROMO_TYPE_PATTERNS
     ]
 )
@@ -214,8 +229,13 @@ CHANNEL_ROWS = _stacked(
 NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY geo ORDER BY week) AS rn FROM panel)"
 
 
-def _lag(column: str, k: int) -> str:
-    return f"coalesce(lag({column}, {k}) OVER (PARTITION BY geo ORDER BY week), 0.0)"
+def _lag(column: str, k: int, order: str = "week") -> str:
+    return f"coalesce(lag({column}, {k}) OVER (PARTITION BY geo ORDER BY {order}), 0.0)"
+
+
+def _promo_lag(column: str, k: int) -> str:
+    """Where a week has several rows, in the order of their texts."""
+    return _lag(column, k, "week, promo_description NULLS FIRST")
 
 
 LAGS = ", ".join(_r(_lag(c, k), f"{c}_lag{k}") for c in SPEND for k in (1, 2))
@@ -271,21 +291,19 @@ ADSTOCK_POISON = _with(
 # --- encodings -------------------------------------------------------------------------
 
 
-def _pivoted(label: str, level: str) -> str:
-    """Dummies of all levels but the first, from a pivot on the level's column name."""
-    return _with(
-        "SELECT * FROM (PIVOT named ON name USING CAST(coalesce(max(one), 0) AS INTEGER) "
-        "GROUP BY geo, week)",
-        f"leveled AS (SELECT geo, week, {level} AS level FROM panel)",
-        f"""named AS (
-  SELECT geo, week, '{label}_' || level AS name, 1 AS one FROM leveled
-  WHERE level <> (SELECT min(level) FROM leveled)
-  UNION ALL
-  SELECT a.geo, a.week, '{label}_' || l.level, 0
-  FROM leveled a CROSS JOIN (SELECT max(level) AS level FROM leveled) l)""",
+def _dummies(label: str, level: str, levels: Sequence[str]) -> str:
+    """A 0/1 column for each of the levels: all that occur but the first."""
+    columns = ", ".join(
+        f"CAST(coalesce({level} = {value}, false) AS INTEGER) AS \"{label}_{value.strip(chr(39))}\""
+        for value in levels
     )
+    return _with(f"SELECT geo, week, {columns} FROM panel")
 
 
+# The levels of the generated tables.
+NATIONS = sorted(f"NATION_{i}" for i in range(25))
+MONDAYS = [FIRST_MONDAY + dt.timedelta(weeks=i) for i in range(N_WEEKS)]
+
 # --- models ----------------------------------------------------------------------------
 
 LOGGED_PANEL = (
@@ -297,6 +315,15 @@ LOGGED_PANEL = (
 )
 
 
+# What each source of a model needs before it.
+SOURCES = {
+    "logpanel": [LOGGED_PANEL],
+    "fan": [FAN.strip()],
+    "logfan": [FAN.strip(), LOGGED_PANEL.replace("logpanel", "logfan").replace("FROM panel", "FROM fan")],
+    "complete": ["complete AS (SELECT * FROM panel WHERE impression_high IS NOT NULL)"],
+}
+
+
 class Model:
     """Chained subqueries that end in ``weights``: one row w1..wk per standardised feature.
 
@@ -372,7 +399,7 @@ class Model:
         )
 
     def sql(self, body: str, *more: str) -> str:
-        before = [LOGGED_PANEL] if self.source == "logpanel" else []
+        before = SOURCES.get(self.source, [])
         return _recursive(body, *before, *self.ctes, *more)
 
     @property
@@ -477,8 +504,9 @@ WITH_ORGANIC = Model([*SPEND, "impression_organic"])
 PROMO = Model(
     ["cost_high_log", "has_promotion", "free_shipping_promo", "discount_percent_promo",
      "bundle_multibuy_promo"],
-    "logpanel",
+    "logfan",
 )
+WITH_NULLS = Model(["cost_high", "impression_high"], "complete")
 
 
 def _comparison() -> str:
@@ -540,27 +568,27 @@ def _feature_set_sql() -> str:
 
 
 FILLED = (
-    "filled AS (SELECT * REPLACE (coalesce(impression_high, "
-    "(SELECT median(impression_high) FROM panel)) AS impression_high), "
+    FAN.strip()
+    + ", filled AS (SELECT * REPLACE (coalesce(impression_high, "
+    "(SELECT median(impression_high) FROM fan)) AS impression_high), "
     "count(promo_description) OVER (PARTITION BY week, geo) AS promo_intensity, "
-    "ln(impression_organic + 1) AS log_organic FROM panel)"
+    "ln(impression_organic + 1) AS log_organic FROM fan)"
 )
 
-MATRIX_GEOS = 10
 MATRIX_SEASONS = [
     *[(f"month_{m}", f"{MONTH} = {m}") for m in range(2, 13)],
     *[(f"quarter_{q}", f"{QUARTER} = {q}") for q in range(2, 5)],
-    *[(f"week_of_year_{w}", f"{ISO_WEEK} = {w}") for w in range(2, 8)],
+    *[(f"week_of_year_{w}", f"{ISO_WEEK} = {w}") for w in range(2, 54)],
 ]
 
 
-MATRIX_NATIONS = sorted(f"NATION_{i}" for i in range(25))[1 : MATRIX_GEOS + 1]
+MATRIX_NATIONS = sorted(f"NATION_{i}" for i in range(25))[1:]
 MATRIX_MEASURES = {
     **{f"{c}_log": f"ln({c} + 1)" for c in SPEND},
     "population": "population",
     "market_share": "market_share",
     "log_organic": "log_organic",
-    "log_organic_lag1": _lag("log_organic", 1),
+    "log_organic_lag1": _promo_lag("log_organic", 1),
 }
 MATRIX_FLAGS = {
     **{n: _flag(n) for n in PROMO_TYPE_PATTERNS},
@@ -627,8 +655,8 @@ FULL_MODEL_METRICS = _full_model(
 def _full_model_mroas() -> str:
     selects = [
         f"SELECT '{c}_log' AS feature, '{c[5:]}' AS channel, w AS coefficient, "
-        "(SELECT sum(revenue) FROM panel) AS total_sales, "
-        f"(SELECT sum({c}) FROM panel) AS total_spend FROM weights WHERE i = {i}"
+        "(SELECT sum(revenue) FROM fan) AS total_sales, "
+        f"(SELECT sum({c}) FROM fan) AS total_spend FROM weights WHERE i = {i}"
         for i, c in enumerate(SPEND, 1)
     ]
     return _full_model(
@@ -653,13 +681,13 @@ PREPROCESS = _with(
             f"{_flag('bundle_multibuy_promo')} AS bundle_multibuy_promo",
             f"{_discount()} AS discount_percent",
             "promo_intensity",
-            _r(_lag("cost_high", 1), "cost_high_lag1", 6),
-            _r(_lag("cost_low", 2), "cost_low_lag2", 6),
+            _r(_promo_lag("cost_high", 1), "cost_high_lag1", 6),
+            _r(_promo_lag("cost_low", 2), "cost_low_lag2", 6),
             f"CAST({MONTH} = 12 AS INTEGER) AS month_12",
             f"CAST({QUARTER} = 4 AS INTEGER) AS quarter_4",
             f"CAST({ISO_WEEK} = 30 AS INTEGER) AS week_of_year_30",
             _r("log_organic", "log_organic", 6),
-            _r(_lag("log_organic", 1), "log_organic_lag1", 6),
+            _r(_promo_lag("log_organic", 1), "log_organic_lag1", 6),
             _r("market_share", "market_share", 6),
             "population",
         ]
@@ -673,7 +701,7 @@ PREPROCESS_WIDE = _with(
     "CAST(week <> (SELECT min(week) FROM panel) AS INTEGER) AS week_dummies, "
     f"CAST({MONTH} > 1 AS INTEGER) + CAST({QUARTER} > 1 AS INTEGER) + "
     f"CAST({ISO_WEEK} > 1 AS INTEGER) AS seasonal_dummies, "
-    + _r(" + ".join([*[_lag(c, k) for c in SPEND for k in (1, 2)], _lag("log_organic", 1)]), "lagged")
+    + _r(" + ".join([*[_promo_lag(c, k) for c in SPEND for k in (1, 2)], _promo_lag("log_organic", 1)]), "lagged")
     + ", "
     + _r(" + ".join(f"ln({c} + 1)" for c in SPEND), "logged", 6)
     + ", CAST("
@@ -682,7 +710,7 @@ PREPROCESS_WIDE = _with(
     FILLED,
 )
 
-PREPROCESS_SUMMARY = _with(
+PREPROCESS_SUMMARY = _fanned(
     "SELECT count(*) AS n_rows, CAST(54 + (count(DISTINCT geo) - 1) + (count(DISTINCT week) - 1) "
     f"+ (count(DISTINCT {MONTH}) - 1) + (count(DISTINCT {QUARTER}) - 1) "
     f"+ (count(DISTINCT {ISO_WEEK}) - 1) AS BIGINT) AS n_columns, "
@@ -692,16 +720,16 @@ PREPROCESS_SUMMARY = _with(
     "round((1 - (count(*) - count(promo_description)) / (count(*) * (54 + (count(DISTINCT geo) - 1) "
     f"+ (count(DISTINCT week) - 1) + (count(DISTINCT {MONTH}) - 1) + (count(DISTINCT {QUARTER}) - 1) "
     f"+ (count(DISTINCT {ISO_WEEK}) - 1)))) * 100, 1) AS completeness_pct, "
-    "CAST(9 AS BIGINT) AS n_steps FROM panel"
+    "CAST(9 AS BIGINT) AS n_steps FROM fan"
 )
 
 
 def _run_results() -> str:
-    model = Model(SPEND, ridge=1.0)
+    model = Model(SPEND, "fan", ridge=1.0)
     selects = [
         "SELECT 'data_import' AS section, 'shape.0' AS name, CAST(count(*) AS DOUBLE) AS number, "
-        "CAST(NULL AS VARCHAR) AS text FROM panel",
-        f"SELECT 'data_import', 'shape.1', {len(PANEL_COLUMNS) - 1}, NULL",
+        "CAST(NULL AS VARCHAR) AS text FROM fan",
+        f"SELECT 'data_import', 'shape.1', {len(PANEL_COLUMNS)}, NULL",
         "SELECT 'data_import', 'date_range.start', NULL, CAST(min(week) AS VARCHAR) FROM panel",
         "SELECT 'data_import', 'date_range.end', NULL, CAST(max(week) AS VARCHAR) FROM panel",
         "SELECT 'run', 'status', NULL, 'SUCCESS'",
@@ -768,6 +796,114 @@ INTENSITY = _with(
     )
 
 
+def _report_rows() -> str:
+    """Every report on the joined rows, one row per cell: (section, row_key, name, number, text)."""
+    quality = (
+        f"SELECT count(*) AS n_rows, {len(PANEL_COLUMNS)} AS n_columns, CAST(min(week) AS VARCHAR) "
+        "AS week_start, CAST(max(week) AS VARCHAR) AS week_end, count(DISTINCT geo) AS n_geos FROM fan"
+    )
+    kpi = (
+        f"SELECT {_r('sum(revenue)', 'total_revenue')}, {_r('avg(revenue)', 'avg_revenue')}, "
+        f"{_r('min(revenue)', 'min_revenue')}, {_r('max(revenue)', 'max_revenue')}, "
+        "sum(conversions) AS total_conversions, "
+        f"{_r('avg(conversions)', 'avg_conversions')} FROM fan"
+    )
+    coverage = (
+        "SELECT count(*) AS total_rows, count(promo_description) AS promo_rows, "
+        "count(*) - count(promo_description) AS no_promo_rows, "
+        f"{_r('count(promo_description) * 100.0 / count(*)', 'promo_pct')}, "
+        "count(DISTINCT promo_description) AS distinct_promos FROM fan"
+    )
+    by_geo = (
+        "SELECT geo, count(promo_description) AS promo_rows, count(*) AS total_rows, "
+        f"{_r('count(promo_description) * 100.0 / count(*)', 'promo_pct')} FROM fan GROUP BY geo"
+    )
+    keywords = (
+        f"SELECT category, n_promos, {_r('n_promos * 100.0 / with_promo', 'promo_pct')} "
+        f"FROM ({KEYWORD_ROWS}) WHERE n_promos > 0"
+    )
+    parts = [
+        ("missing", "column_name", f"SELECT * FROM ({MISSING_ROWS}) WHERE missing_count > 0",
+         ["missing_count", "missing_pct"]),
+        ("spend", "channel", SPEND_ROWS, ["total_spend", "avg_spend", "min_spend", "max_spend"]),
+        ("impressions", "channel", SEEN_ROWS, ["total_impressions", "avg_impressions"]),
+        ("kpi", "''", kpi, ["total_revenue", "avg_revenue", "min_revenue", "max_revenue",
+                            "total_conversions", "avg_conversions"]),
+        ("promo_keywords", "category", keywords, ["n_promos", "promo_pct"]),
+        ("promo_flags", "promo_type", FLAG_ROWS, ["n_rows", "row_pct"]),
+        ("data_quality", "''", quality, ["n_rows", "n_columns", "n_geos", "week_start", "week_end"]),
+        ("promo_coverage", "''", coverage,
+         ["total_rows", "promo_rows", "no_promo_rows", "promo_pct", "distinct_promos"]),
+        ("promo_by_geo", "geo", by_geo, ["promo_rows", "total_rows", "promo_pct"]),
+    ]
+    cells = []
+    for section, key, body, names in parts:
+        rows = body.replace("FROM panel", "FROM fan")
+        for name in names:
+            text = name.startswith("week_")
+            cells.append(
+                f"SELECT '{section}' AS section, {key} AS row_key, '{name}' AS name, "
+                f"{'CAST(NULL AS DOUBLE)' if text else f'CAST({name} AS DOUBLE)'} AS number, "
+                f"{name if text else 'CAST(NULL AS VARCHAR)'} AS text FROM ({rows})"
+            )
+    return _fanned(_stacked(cells))
+
+
+def _logistics() -> str:
+    renamed = {"high": "logistics", "low": "low_cost_air"}
+    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in renamed.items())
+    name = f"CASE channel {cases} ELSE channel END"
+    return LOGS.sql(
+        f"SELECT {name} AS channel, 'cost_' || {name} || '_log' AS feature, total_spend, mroas, "
+        f"spend_basis, true AS has_cpm FROM ({LOGS.mroas_rows()})"
+    )
+
+
+def _summary() -> str:
+    rows = [
+        ("model", "type", "CAST(NULL AS DOUBLE)", "'ols'"),
+        ("model", "features", str(float(len(SPEND))), "NULL"),
+        ("model", "target", "NULL", "'revenue'"),
+        *[("coefficient", c, _round(f"w{i}"), "NULL") for i, c in enumerate(SPEND, 1)],
+        ("coefficient", "intercept", "0.0", "NULL"),
+        *[("metric", m, _round(m, 0 if m == "mse" else 2), "NULL") for m in ("r2", "rmse", "mae", "mse")],
+    ]
+    selects = [
+        f"SELECT '{section}' AS section, '{name}' AS name, {number} AS number, {text} AS text "
+        "FROM weights, metrics"
+        for section, name, number, text in rows
+    ]
+    return PLAIN.sql(_stacked(selects), PLAIN.metrics_cte())
+
+
+def _feature_table() -> str:
+    """Every column that the preparation makes, on the joined rows."""
+    columns = [
+        "geo", "week", "promo_description", "conversions", "population",
+        *[_r(c, c, 6) for c in RAW_KEPT if c not in ("conversions", "population")],
+        *[_r(f"cost_{c} / (impression_{c} / 1000 + 1)", f"cpm_{c}", 6) for c in CHANNELS],
+        *[_r(f"ln({c} + 1)", f"{c}_log", 6) for c in LOG_ALL],
+        "CAST(promo_description IS NOT NULL AS BIGINT) AS has_promotion",
+        *[f"{_flag(n)} AS {n}" for n in PROMO_TYPE_PATTERNS],
+        f"{_discount()} AS discount_percent",
+        "promo_intensity",
+        *[_r(_promo_lag(c, k), f"{c}_lag{k}", 6) for c in SPEND for k in (1, 2)],
+        *[f"CAST(geo = '{n}' AS INTEGER) AS geo_fe_{n}" for n in NATIONS[1:]],
+        *[f"CAST(week = DATE '{d}' AS INTEGER) AS \"week_fe_{d}\"" for d in MONDAYS[1:]],
+        *[f"CAST({test} AS INTEGER) AS {name}" for name, test in MATRIX_SEASONS],
+        _r("log_organic", "log_organic", 6),
+        _r(_promo_lag("log_organic", 1), "log_organic_lag1", 6),
+    ]
+    return _with(f"SELECT {', '.join(columns)} FROM filled", FILLED)
+
+
+LAGS_OF_PROMOTIONS = _fanned(
+    "SELECT geo, week, promo_description, "
+    + ", ".join(_r(_promo_lag(c, k), f"{c}_lag{k}") for c in SPEND for k in (1, 2))
+    + " FROM fan"
+)
+
+
 ORACLE_SQL: dict[str, str] = {
     "build_panel": _with(f"SELECT {_whole_panel()} FROM panel"),
     "build_promotions": _with("SELECT week, geo, promo_description FROM promos"),
@@ -824,7 +960,6 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "has_promotion": _panel("CAST(promo_description IS NOT NULL AS BIGINT) AS has_promotion"),
     "join_promotions": JOINED,
-    "join_promotions_hot_key": JOINED,
     "join_common_columns": _with(
         "SELECT p.geo, p.week, p.conversions, people.population AS customers "
         "FROM panel p LEFT JOIN people ON p.geo = people.geo"
@@ -843,26 +978,31 @@ ORACLE_SQL: dict[str, str] = {
         "CAST(min(week) AS VARCHAR) AS week_start, CAST(max(week) AS VARCHAR) AS week_end, "
         "count(DISTINCT geo) AS n_geos FROM panel"
     ),
-    "promo_coverage": _with(
+    "promo_coverage": _fanned(
         "SELECT count(*) AS total_rows, count(promo_description) AS promo_rows, "
         "count(*) - count(promo_description) AS no_promo_rows, "
         f"{_r('count(promo_description) * 100.0 / count(*)', 'promo_pct')}, "
-        "count(DISTINCT promo_description) AS distinct_promos FROM panel"
+        "count(DISTINCT promo_description) AS distinct_promos FROM fan"
     ),
-    "promo_keywords": _with(
+    "promo_keywords": _fanned(
         f"SELECT category, n_promos, {_r('n_promos * 100.0 / with_promo', 'promo_pct')} "
         f"FROM ({KEYWORD_ROWS}) WHERE n_promos > 0"
     ),
-    "promo_by_geo": _with(
+    "promo_by_geo": _fanned(
         "SELECT geo, count(promo_description) AS promo_rows, count(*) AS total_rows, "
-        f"{_r('count(promo_description) * 100.0 / count(*)', 'promo_pct')} FROM panel GROUP BY geo"
+        f"{_r('count(promo_description) * 100.0 / count(*)', 'promo_pct')} FROM fan GROUP BY geo"
+    ),
+    "promo_samples_short": _fanned(
+        "SELECT week, geo, CASE WHEN length(promo_description) > 12 "
+        "THEN substr(promo_description, 1, 12) || '...' ELSE promo_description END AS sample "
+        "FROM fan WHERE promo_description IS NOT NULL ORDER BY week, geo, promo_description LIMIT 20"
     ),
-    "promo_samples": _with(
+    "promo_samples": _fanned(
         "SELECT week, geo, CASE WHEN length(promo_description) > 65 "
         "THEN substr(promo_description, 1, 65) || '...' ELSE promo_description END AS sample "
-        "FROM panel WHERE promo_description IS NOT NULL ORDER BY week, geo LIMIT 5"
+        "FROM fan WHERE promo_description IS NOT NULL ORDER BY week, geo, promo_description LIMIT 5"
     ),
-    "promo_flag_counts": _with(FLAG_ROWS),
+    "promo_flag_counts": _fanned(FLAG_ROWS),
     "describe_numeric": _with(DESCRIBE_ROWS),
     "preprocess_summary": PREPROCESS_SUMMARY,
     "spend_lags": _panel(LAGS),
@@ -896,11 +1036,22 @@ ORACLE_SQL: dict[str, str] = {
         f"CAST({MONTH} AS INTEGER) AS month, CAST({QUARTER} AS INTEGER) AS quarter, "
         f"CAST({ISO_WEEK} AS INTEGER) AS iso_week"
     ),
-    "geo_fixed_effects": _pivoted("geo_fe", "geo"),
-    "week_fixed_effects": _pivoted("week_fe", "week"),
-    "month_dummies": _pivoted("month", MONTH),
-    "quarter_dummies": _pivoted("quarter", QUARTER),
-    "week_of_year_dummies": _pivoted("week_of_year", ISO_WEEK),
+    "geo_fixed_effects": _dummies("geo_fe", "geo", [f"'{n}'" for n in NATIONS[1:]]),
+    "week_fixed_effects": _dummies(
+        "week_fe", "CAST(week AS VARCHAR)", [f"'{d}'" for d in MONDAYS[1:]]
+    ),
+    "month_dummies": _dummies("month", MONTH, [str(i) for i in range(2, 13)]),
+    "quarter_dummies": _dummies("quarter", QUARTER, [str(i) for i in range(2, 5)]),
+    "week_of_year_dummies": _dummies("week_of_year", ISO_WEEK, [str(i) for i in range(2, 54)]),
+    "sparse_fixed_effects": _with(
+        "SELECT geo, week, sizes.size, concat_ws(',', CASE WHEN g > 1 THEN CAST(g - 2 AS VARCHAR) END, "
+        "CASE WHEN w > 1 THEN CAST(w - 2 + n_geos - 1 AS VARCHAR) END) AS indices, "
+        "CAST((g > 1)::INTEGER + (w > 1)::INTEGER AS DOUBLE) AS total FROM ranked, sizes",
+        "ranked AS (SELECT geo, week, dense_rank() OVER (ORDER BY geo) AS g, "
+        "dense_rank() OVER (ORDER BY week) AS w FROM panel)",
+        "sizes AS (SELECT count(DISTINCT geo) AS n_geos, "
+        "count(DISTINCT geo) + count(DISTINCT week) - 2 AS size FROM panel)",
+    ),
     "standardize": _panel(
         ", ".join(
             _r(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()", f"{c}_std", 6)
@@ -954,6 +1105,12 @@ ORACLE_SQL: dict[str, str] = {
     "promo_impact": _promo_impact(),
     "scenario_lift": _scenario(),
     "model_comparison": _comparison(),
+    "evaluate_null_features": WITH_NULLS.metrics("ols"),
+    "logistics_channel": _logistics(),
+    "model_summary": _summary(),
+    "lags_of_promotions": LAGS_OF_PROMOTIONS,
+    "data_report": _report_rows(),
+    "feature_table": _feature_table(),
     "preprocess": PREPROCESS,
     "preprocess_wide": PREPROCESS_WIDE,
     "spend_model_job": RIDGE.coefficients(),

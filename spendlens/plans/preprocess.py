@@ -15,7 +15,6 @@ from spendlens.functions.columns import log_plus_one
 from spendlens.operators.channels import Channels, discover_channels, drop_columns_like
 from spendlens.operators.checks import largest_group
 from spendlens.operators.encode import (
-    MAX_LEVELS,
     Level,
     calendar_dummies,
     distinct_levels,
@@ -29,9 +28,10 @@ from spendlens.operators.features import (
     PROMO,
     FeatureSets,
     cpm_columns,
-    feature_sets,
+    empty_sets,
     lag_names,
     log_columns,
+    numeric_features,
     promo_columns,
     promo_feature_names,
 )
@@ -55,8 +55,10 @@ DEFAULT_CONFIG: dict[str, Any] = {
     # Which column the first setting fills and which channel the second drops.
     "fill_columns": ["impression_tv"],
     "drop_patterns": ["outdoor2"],
-    # Bounds: dummies per category, and rows of a series kept in one task.
-    "max_levels": MAX_LEVELS,
+    # Columns that order the rows of one geo and week, for lags and fills; the promotion
+    # text if none is named.
+    "tie_break": None,
+    # Rows of a series kept in one task.
     "max_series_rows": MAX_SERIES_ROWS,
 }
 
@@ -88,15 +90,21 @@ def preprocess(df: DataFrame, config: Mapping[str, Any] | None = None) -> Prepar
     """
     settings = with_defaults(config)
     steps: list[str] = []
+    sets = empty_sets()
     if "week" in df.columns:
         df = parse_week(df)
     keyed = "geo" in df.columns and "week" in df.columns
+    ties = settings["tie_break"]
+    if ties is None:
+        ties = [PROMO] if PROMO in df.columns else []
+    order = ["week", *ties]
 
     if settings["fill_tv_impressions"]:
         for column in settings["fill_columns"]:
             if column in df.columns:
                 df = fill_column(
-                    df, column, settings["fillna_method"], max_rows=settings["max_series_rows"]
+                    df, column, settings["fillna_method"], order=order,
+                    max_rows=settings["max_series_rows"],
                 )
                 steps.append(f"filled {column} by {settings['fillna_method']}")
     if settings["remove_outdoor2"]:
@@ -109,28 +117,31 @@ def preprocess(df: DataFrame, config: Mapping[str, Any] | None = None) -> Prepar
     channels = discover_channels(df)
     steps.append(f"found {len(channels.names)} channels")
     raw_columns = df.columns
+    sets["spend_features"] += channels.cost_columns
+    sets["impression_features"] += channels.impression_columns
 
     counts: dict[str, dict[Level | None, int]] = {}
     effects = [c for c in ("geo", "week") if c in df.columns]
     if settings["create_fixed_effects"] and effects:
-        counts = level_counts(df, effects, settings["max_levels"])
+        counts = level_counts(df, effects)
 
     derived = cpm_columns(channels)
     if derived:
         steps.append("added cost per mille")
     if settings["log_transform"]:
-        derived.update(log_columns([*channels.cost_columns, *channels.impression_columns]))
+        logged = log_columns(channels.cost_columns)
+        sets["spend_features_log"] += logged
+        derived.update({**logged, **log_columns(channels.impression_columns)})
         steps.append("added logarithms")
-    promo_features: list[str] | None = None
     late: list[str] = []
     if settings["handle_promotions"] and PROMO in df.columns:
         derived.update(promo_columns())
-        promo_features = promo_feature_names()
-        if keyed:
-            late.append("promo_intensity")
-        else:
-            promo_features.remove("promo_intensity")
-        steps.append(f"added {len(promo_features)} promotion features")
+        late += ["promo_intensity"] if keyed else []
+        made = [c for c in promo_feature_names() if c in derived or c in late]
+        sets["promotional_features"] += made
+        steps.append(f"added {len(made)} promotion features")
+    else:
+        sets["promotional_features"].append("has_promotion")
     organic = ORGANIC in df.columns
     df = df.withColumns({**derived, **({"log_organic": log_plus_one(ORGANIC)} if organic else {})})
 
@@ -144,38 +155,46 @@ def preprocess(df: DataFrame, config: Mapping[str, Any] | None = None) -> Prepar
     if late:
         df = promo_intensity(df, max_rows=settings["max_series_rows"], largest=longest)
     if lagged:
-        series = as_series(df, max_rows=settings["max_series_rows"], longest=longest)
+        series = as_series(
+            df, order=order, max_rows=settings["max_series_rows"], longest=longest
+        )
         wanted = {**lags, **({"log_organic_lag1": ("log_organic", 1)} if organic else {})}
         df = lag_columns(series, wanted).result()
-        late += list(lags)
+        late += lags
+        sets["lagged_spend_features"] += wanted
         steps.append(f"added lags {list(settings['lag_periods'])}")
 
     encoded: dict[str, str] = {}
     if settings["create_fixed_effects"]:
         if "geo" in counts:
-            encoded.update(geo_dummies(sorted_levels(counts["geo"])))
+            sets["geo_fixed_effects"] += (of_geo := geo_dummies(sorted_levels(counts["geo"])))
+            encoded.update(of_geo)
         if "week" in counts:
-            encoded.update(week_dummies(sorted_levels(counts["week"])))
+            sets["week_fixed_effects"] += (of_week := week_dummies(sorted_levels(counts["week"])))
+            encoded.update(of_week)
         steps.append(f"added {len(encoded)} fixed effects")
     if settings["create_seasonality"] and "week" in raw_columns:
         weeks = (
             sorted_levels(counts["week"])
             if "week" in counts
-            else distinct_levels(df, ["week"], settings["max_levels"])["week"]
+            else distinct_levels(df, ["week"])["week"]
         )
         seasonal = calendar_dummies(weeks)
         encoded.update(seasonal)
+        sets["seasonal_features"] += seasonal
         steps.append(f"added {len(seasonal)} seasonal dummies")
 
     tail = ["log_organic"] if organic else []
     if organic and lagged:
         tail.append("log_organic_lag1")
+    sets["control_vars"] += tail
     df = df.selectExpr(
         *[sql.name(c) for c in [*raw_columns, *derived, *late]],
         *[sql.named(expression, name) for name, expression in encoded.items()],
         *tail,
     )
-    return Prepared(df, channels, feature_sets(df, channels, promo_features), steps)
+    sets["all_features"] += numeric_features(df)
+    return Prepared(df, channels, sets, steps)
 
 
 def preprocess_summary(prepared: Prepared) -> DataFrame:

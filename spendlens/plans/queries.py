@@ -78,7 +78,7 @@ def cost_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel joined with all promotions: several rows per week and geo."""
     left = cost_revenue(spark, sf_dir)
-    return joins.join_promotions(left, promotions(spark, sf_dir), hot_key_rows=None)
+    return joins.join_promotions(left, promotions(spark, sf_dir))
 
 
 def _round(column: Column, digits: int) -> Column:
@@ -228,7 +228,7 @@ def drop_empty_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf_dir: str, **changes: object) -> Prepared:
-    return preprocess(panel(spark, sf_dir), {**PANEL_CONFIG, **changes})
+    return preprocess(fanned_out(spark, sf_dir), {**PANEL_CONFIG, **changes})
 
 
 def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,9 +238,7 @@ def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = _prepared(spark, sf_dir)
-    names = features.balanced_features(
-        prepared.sets, jobs.FULL_MODEL_GEOS, jobs.FULL_MODEL_SEASONS
-    )
+    names = features.balanced_features(prepared.sets)
     return _keyed(nulls.fill_zero(prepared.df.select("geo", "week", *names)), names)
 
 
@@ -281,12 +279,6 @@ def join_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joins.join_promotions(left, promotions(spark, sf_dir)))
 
 
-def join_promotions_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows by the way taken when a key has too many promotions."""
-    left = cost_revenue(spark, sf_dir).select("geo", "week", "revenue")
-    return rounded(joins.join_promotions(left, promotions(spark, sf_dir), hot_key_rows=1))
-
-
 def join_common_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = panel(spark, sf_dir).select("geo", "week", "conversions")
     customers = trade_panel.geo_of_customer(spark, sf_dir).groupBy("geo").agg(
@@ -298,8 +290,40 @@ def join_common_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports ----------------------------------------------------------------------
 
 
-def _report(report: Callable[[DataFrame], DataFrame], digits: int = 4) -> Query:
-    return lambda spark, sf_dir: rounded(report(panel(spark, sf_dir)), digits)
+def _report(report: Callable[[DataFrame], DataFrame], source: Query = panel) -> Query:
+    return lambda spark, sf_dir: rounded(report(source(spark, sf_dir)))
+
+
+def data_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report, all promotions included, as rows (section, row_key, name, value)."""
+    keys = {
+        "missing": "column_name", "spend": "channel", "impressions": "channel",
+        "promo_keywords": "category", "promo_flags": "promo_type", "promo_by_geo": "geo",
+    }
+    rows = None
+    for section, table in profile.data_report(fanned_out(spark, sf_dir)).items():
+        if section in ("describe", "promo_samples"):
+            continue  # registered on their own
+        key = keys.get(section)
+        cells = [
+            F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))
+            for c in rounded(table).columns
+            if c != key
+        ]
+        part = rounded(table).select(
+            F.lit(section).alias("section"),
+            (F.col(key) if key else F.lit("")).alias("row_key"),
+            F.inline(F.array(*cells)),
+        )
+        rows = part if rows is None else rows.unionAll(part)
+    number = F.col("value").try_cast("double")
+    return rows.select(
+        "section",
+        "row_key",
+        "name",
+        number.alias("number"),
+        F.when(number.isNull(), F.col("value")).alias("text"),
+    )
 
 
 def preprocess_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,6 +423,19 @@ def week_fixed_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.add_week_fixed_effects(panel(spark, sf_dir).select("geo", "week"))
 
 
+def sparse_fixed_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector's parts as text, so that any engine compares them alike."""
+    rows = encode.add_sparse_effects(panel(spark, sf_dir).select("geo", "week"))
+    entries = F.transform("fixed_effects.indices", lambda i: i.cast("string"))
+    return rows.select(
+        "geo",
+        "week",
+        F.col("fixed_effects.size").alias("size"),
+        F.concat_ws(",", entries).alias("indices"),
+        F.aggregate("fixed_effects.values", F.lit(0.0), lambda a, v: a + v).alias("total"),
+    )
+
+
 def _calendar_dummies(part: str) -> Query:
     return lambda spark, sf_dir: encode.add_calendar_dummies(
         panel(spark, sf_dir).select("geo", "week"), [part]
@@ -410,7 +447,10 @@ def _calendar_dummies(part: str) -> Query:
 
 def log_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log spend, promotion features and revenue: what the log models are fitted on."""
-    source = panel(spark, sf_dir)
+    return _logged(panel(spark, sf_dir))
+
+
+def _logged(source: DataFrame) -> DataFrame:
     return source.withColumns({**features.log_columns(SPEND), **features.promo_columns()})
 
 
@@ -438,11 +478,12 @@ def _with_model(
     model_type: str = "ols",
     logs: bool = False,
     digits: int | None = 4,
+    of: Query = panel,
 ) -> Query:
     """Fit on the panel (or on its logarithms), then derive a table from the model."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        source = log_panel(spark, sf_dir) if logs else panel(spark, sf_dir)
+        source = _logged(of(spark, sf_dir)) if logs else of(spark, sf_dir)
         model = regression.fit(source, names, "revenue", model_type)
         table = use(source, model)
         return table if digits is None else rounded(table, digits)
@@ -460,6 +501,62 @@ def _predicted(scale: str) -> Callable[[DataFrame, regression.LinearModel], Data
     )
 
 
+def evaluate_null_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics where a feature is null in many rows: they are over the complete ones."""
+    source = panel(spark, sf_dir)
+    names = ["cost_high", "impression_high"]
+    model = regression.fit(source, names, "revenue", handle_null="drop")
+    return _metrics(regression.evaluate(source, model))
+
+
+def logistics_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels whose names hold the words that columns are recognised by."""
+    named = {
+        "cost_high": "cost_logistics", "impression_high": "impression_logistics",
+        "cost_low": "cost_low_cost_air", "impression_low": "impression_low_cost_air",
+    }
+    raw = panel(spark, sf_dir).withColumnsRenamed(named).drop("cost_void", "impression_void")
+    found = ch.discover_channels(raw)
+    logs = features.log_columns(found.cost_columns)
+    model = regression.fit(raw.withColumns(logs), list(logs), "revenue")
+    table = _money(returns.marginal_roas(None, model, list(logs), raw))
+    per_mille = list(features.cpm_columns(found))
+    return table.select(
+        "channel", "feature", "total_spend", "mroas", "spend_basis",
+        F.concat(F.lit("cpm_"), "channel").isin(per_mille).alias("has_cpm"),
+    )
+
+
+def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = panel(spark, sf_dir)
+    model = regression.fit(source, SPEND, "revenue")
+    rows = regression.model_summary(spark, model, regression.evaluate(source, model))
+    number = F.col("value").try_cast("double")
+    whole = F.col("name") == "mse"
+    few = F.col("section") == "metric"
+    return rows.select(
+        "section",
+        "name",
+        F.when(whole, _round(number, 0))
+        .when(few, _round(number, 2))
+        .otherwise(_round(number, 4))
+        .alias("number"),
+        F.when(number.isNull(), F.col("value")).alias("text"),
+    )
+
+
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole feature table, column by column."""
+    return rounded(_prepared(spark, sf_dir).df, 6)
+
+
+def lags_of_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags where a week has several rows: in the order of the texts, however the rows come."""
+    shuffled = fanned_out(spark, sf_dir).repartition(7, F.xxhash64("promo_description", "week"))
+    lagged = preprocess(shuffled, {**PANEL_CONFIG, "create_fixed_effects": False}).df
+    return _keyed(lagged, ["promo_description", *features.lag_names(SPEND, [1, 2])])
+
+
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = regression.compare_models(
         panel(spark, sf_dir), SPEND, "revenue", dict.fromkeys(["ols", "ridge", "lasso"], 1.0)
@@ -524,24 +621,26 @@ def preprocess_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spend_model_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = jobs.fit_spend_model(panel(spark, sf_dir), PANEL_CONFIG)
+    job.close()
     return rounded(regression.coefficient_table(spark, job.model))
 
 
 def full_model_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = jobs.full_analysis(panel(spark, sf_dir), PANEL_CONFIG)
+    tables = jobs.full_analysis(fanned_out(spark, sf_dir), PANEL_CONFIG)
     return _metrics(tables["metrics"])
 
 
 def full_model_mroas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = jobs.full_analysis(panel(spark, sf_dir), PANEL_CONFIG)
+    tables = jobs.full_analysis(fanned_out(spark, sf_dir), PANEL_CONFIG)
     return _money(tables["mroas"])
 
 
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import from tables, train, evaluate; counts and metrics as rows."""
     table = writers.write_parquet(cost_revenue(spark, sf_dir), shared_path(spark, "cost_revenue"))
+    promos = writers.write_parquet(promotions(spark, sf_dir), shared_path(spark, "promotions"))
     config = {
-        "data": {"source": "warehouse", "table": table},
+        "data": {"source": "warehouse", "table": table, "promotions": promos},
         "preprocessing": PANEL_CONFIG,
         "model": {"type": "ridge", "alpha": 1.0},
         "output": {
@@ -589,18 +688,21 @@ QUERIES: dict[str, Query] = {
     "model_dataset": model_dataset,
     "has_promotion": has_promotion,
     "join_promotions": join_promotions,
-    "join_promotions_hot_key": join_promotions_hot_key,
     "join_common_columns": join_common_columns,
     "spend_summary": _report(profile.spend_summary),
     "impression_summary": _report(profile.impression_summary),
     "kpi_summary": _report(profile.kpi_summary),
     "missing_report": _report(profile.missing_report),
     "data_quality": _report(profile.data_quality),
-    "promo_coverage": _report(profile.promo_coverage),
-    "promo_keywords": _report(profile.promo_keywords),
-    "promo_by_geo": _report(profile.promo_by_geo),
-    "promo_samples": _report(profile.promo_samples),
-    "promo_flag_counts": _report(profile.promo_flag_counts),
+    "promo_coverage": _report(profile.promo_coverage, fanned_out),
+    "promo_keywords": _report(profile.promo_keywords, fanned_out),
+    "promo_by_geo": _report(profile.promo_by_geo, fanned_out),
+    "promo_samples": _report(profile.promo_samples, fanned_out),
+    "promo_samples_short": _report(
+        lambda df: profile.promo_samples(df, n=20, length=12), fanned_out
+    ),
+    "promo_flag_counts": _report(profile.promo_flag_counts, fanned_out),
+    "data_report": data_report,
     "describe_numeric": lambda s, d: profile.describe_numeric(panel(s, d)),
     "preprocess_summary": preprocess_summary_query,
     "spend_lags": _spend_lags(series.MAX_SERIES_ROWS),
@@ -627,6 +729,7 @@ QUERIES: dict[str, Query] = {
     ),
     "geo_fixed_effects": geo_fixed_effects,
     "week_fixed_effects": week_fixed_effects,
+    "sparse_fixed_effects": sparse_fixed_effects,
     "month_dummies": _calendar_dummies("month"),
     "quarter_dummies": _calendar_dummies("quarter"),
     "week_of_year_dummies": _calendar_dummies("week_of_year"),
@@ -682,9 +785,15 @@ QUERIES: dict[str, Query] = {
         ),
         PROMO_MODEL,
         logs=True,
+        of=fanned_out,
     ),
     "scenario_lift": scenario_lift,
     "model_comparison": model_comparison,
+    "evaluate_null_features": evaluate_null_features,
+    "logistics_channel": logistics_channel,
+    "model_summary": model_summary,
+    "feature_table": feature_table,
+    "lags_of_promotions": lags_of_promotions,
     "preprocess": preprocess_query,
     "preprocess_wide": preprocess_wide,
     "spend_model_job": spend_model_job,

@@ -120,13 +120,16 @@ def import_panel(
     promotions: str | None = None,
     dataset: str | None = None,
     format: str | None = None,
+    gcp_project: str | None = None,
+    gcp_dataset: str | None = None,
     **options: str,
 ) -> DataFrame:
     """Load the panel from a CSV file (``local``) or from tables (``warehouse``).
 
     The warehouse form joins the optional promotions table and makes numbers of
     text columns. A ``dataset`` names the schema that holds both tables under their
-    usual names. Both forms give NULL for NaN; the week stays as it is stored.
+    usual names; ``gcp_dataset``, with the project it is in, is another word for it.
+    Both forms give NULL for NaN; the week stays as it is stored.
     """
     if source == "local":
         if path is None:
@@ -134,6 +137,8 @@ def import_panel(
         return nan_to_null(read_csv(spark, path, schema))
     if source not in ("warehouse", "gcp"):
         raise ValueError(f"unknown source {source!r}: use 'local' or 'warehouse'")
+    if dataset is None and gcp_dataset is not None:
+        dataset = f"{gcp_project}.{gcp_dataset}" if gcp_project else gcp_dataset
     if dataset is not None:
         table = table or f"{dataset}.{PANEL_TABLE}"
         promotions = promotions or f"{dataset}.{PROMOTIONS_TABLE}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 from typing import Any
 
@@ -76,10 +77,15 @@ def export_by_config(
     results: DataFrame,
     config: Mapping[str, Any],
 ) -> dict[str, dict[str, str]]:
-    """Write to each place that is switched on: ``local`` by default, ``remote`` if asked."""
+    """Write to each place that is switched on: ``local`` by default, others if asked.
+
+    ``remote`` has a path, ``gcs`` a bucket and a path in it. Without an ``output_prefix``
+    the names start with the time, so that no run replaces another's results.
+    """
     if not config.get("save_results", True):
         return {}
-    prefix = config.get("output_prefix", DEFAULT_PREFIX)
+    stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
+    prefix = config.get("output_prefix") or f"{DEFAULT_PREFIX}_{stamp}"
     places: dict[str, str] = {}
     local = config.get("local", {})
     if local.get("enabled", True):
@@ -92,6 +98,11 @@ def export_by_config(
         if not remote.get("path"):
             raise ValueError("output.remote is on but has no path")
         places["remote"] = remote["path"]
+    bucket = config.get("gcs", {})
+    if bucket.get("enabled", False):
+        if not bucket.get("bucket"):
+            raise ValueError("output.gcs is on but has no bucket")
+        places["gcs"] = f"gs://{bucket['bucket']}/{bucket.get('path', '').strip('/')}".rstrip("/")
     return {
         place: export_results(spark, df, model, results, folder, prefix)
         for place, folder in places.items()

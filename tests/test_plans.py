@@ -89,7 +89,7 @@ def test_predictions_stay_in_generated_code(stored):
     "name",
     [
         "build_panel", "build_promotions", "import_panel", "join_promotions",
-        "join_promotions_hot_key", "join_common_columns", "median_fill",
+        "join_common_columns", "median_fill",
         "ffill_bfill_segmented", "spend_lags_segmented", "adstock_channels_segmented",
         "promo_intensity_hot_key", "preprocess_wide", "feature_matrix", "mroas",
     ],

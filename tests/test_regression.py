@@ -5,7 +5,6 @@ from hypothesis import strategies as st
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 
-from spendlens.operators import moments as moments_module
 from spendlens.operators.moments import regression_moments
 from spendlens.operators.regression import (
     coefficient_table,
@@ -54,10 +53,7 @@ def brute_lasso(x, y, alpha, rounds=20000):
     return w
 
 
-@pytest.mark.parametrize("by_arrow", [False, True])
-def test_statistics_equal_numpy(spark, data, by_arrow, monkeypatch):
-    if by_arrow:
-        monkeypatch.setattr(moments_module, "SQL_COLUMNS", 0)
+def test_statistics_equal_numpy(spark, data):
     x, y = data
     df, names = table(spark, x, y)
     got = regression_moments(df, names, "y")
@@ -67,11 +63,8 @@ def test_statistics_equal_numpy(spark, data, by_arrow, monkeypatch):
     assert got.cov == pytest.approx(np.cov(full.T, bias=True), rel=1e-9)
 
 
-@pytest.mark.parametrize("by_arrow", [False, True])
 @pytest.mark.parametrize("partitions", [1, 3, 16])
-def test_statistics_do_not_depend_on_partitions(spark, data, by_arrow, partitions, monkeypatch):
-    if by_arrow:
-        monkeypatch.setattr(moments_module, "SQL_COLUMNS", 0)
+def test_statistics_do_not_depend_on_partitions(spark, data, partitions):
     x, y = data
     df, names = table(spark, x + 1e6, y, partitions)
     got = regression_moments(df, names, "y")
@@ -81,10 +74,7 @@ def test_statistics_do_not_depend_on_partitions(spark, data, by_arrow, partition
     assert got.cov / unit == pytest.approx(np.cov(full.T, bias=True) / unit, abs=1e-6)
 
 
-@pytest.mark.parametrize("by_arrow", [False, True])
-def test_nulls_and_emptiness_are_errors(spark, by_arrow, monkeypatch):
-    if by_arrow:
-        monkeypatch.setattr(moments_module, "SQL_COLUMNS", 0)
+def test_nulls_and_emptiness_are_errors(spark):
     df = spark.createDataFrame([(1.0, 2.0), (None, 1.0), (2.0, None), (float("nan"), 1.0)], "x double, y double")
     with pytest.raises(ValueError, match="3 rows have a null"):
         fit(df, ["x"], "y")
@@ -291,3 +281,17 @@ def test_calendar_dummies_are_collinear_but_fitted_values_hold(spark):
     expected = np.array([y[month == m].mean() for m in month])
     got = [r["prediction"] for r in predict(df, model).collect()]
     assert got == pytest.approx(expected, abs=1e-6)
+
+
+def test_metrics_are_over_complete_rows(spark):
+    rng = np.random.default_rng(5)
+    x, noise = rng.normal(size=200), rng.normal(size=200)
+    rows = [(float(a), float(2 * a + e)) for a, e in zip(x, noise)]
+    whole = spark.createDataFrame(rows, "x double, y double")
+    model = fit(whole, ["x"], "y")
+    gaps = [(None if i % 3 == 0 else a, b) for i, (a, b) in enumerate(rows)]
+    found = evaluate(spark.createDataFrame(gaps, "x double, y double"), model).first()
+    kept = [(a, b) for a, b in gaps if a is not None]
+    expected = evaluate(spark.createDataFrame(kept, "x double, y double"), model).first()
+    assert found["n"] == len(kept)
+    assert found["r2"] == pytest.approx(expected["r2"], abs=1e-12)

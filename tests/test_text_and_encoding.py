@@ -9,6 +9,7 @@ from spendlens.operators import profile
 from spendlens.operators.encode import (
     add_calendar_dummies,
     add_geo_fixed_effects,
+    add_sparse_effects,
     add_week_fixed_effects,
     distinct_levels,
 )
@@ -111,11 +112,25 @@ def test_calendar_levels_come_from_the_data(spark):
     assert add_week_fixed_effects(df).columns[1:] == ["week_fe_2021-01-03", "week_fe_2021-01-04", "week_fe_2021-05-03"]
 
 
-def test_too_many_levels_are_refused(spark):
-    df = spark.range(30).selectExpr("cast(id as string) as geo")
-    assert len(distinct_levels(df, ["geo"], 30)["geo"]) == 30
-    with pytest.raises(ValueError, match="more than 29 levels"):
-        distinct_levels(df, ["geo"], 29)
+def test_any_number_of_levels(spark):
+    df = spark.range(6_000).selectExpr("cast(id as string) as geo")
+    assert len(distinct_levels(df, ["geo"])["geo"]) == 6_000
+    rows = {r["geo"]: r["fixed_effects"] for r in add_sparse_effects(df, ["geo"]).collect()}
+    order = sorted(rows)
+    assert rows[order[0]]["indices"] == [] and rows[order[0]]["size"] == 5_999
+    assert all(rows[g]["indices"] == [i] and rows[g]["values"] == [1.0] for i, g in enumerate(order[1:]))
+
+
+PROMO_CASES = [  # text, what it is
+    ("Rabat -15% na buty", "discount_percent_promo"),
+    ("Darmowa dostawa od dzis", "free_shipping_promo"),
+]
+
+
+def test_literal_promotion_texts(spark):
+    df = spark.createDataFrame(PROMO_CASES, "promo_description string, kind string")
+    flags = df.select("kind", *[c.alias(n) for n, c in promo_flags().items()]).collect()
+    assert all(r[r["kind"]] == 1 for r in flags)
 
 
 # --- reports on edge cases ---------------------------------------------------------------
