@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from spendlens.llm.tables import NO_ID
 FILTER_BITS = 1 << 28
 CHUNK_BITS = 1 << 20
 #: Distinct segments of one key above which the key is filed again under longer grams.
-KEY_SEGMENTS = 256
+KEY_SEGMENTS = 1000
 #: Segments that a task solves together.
 BATCH_SEGMENTS = 4000
 #: Text bytes laid out at a time.
@@ -286,11 +287,8 @@ def _repeated_keys(docs: DataFrame, method: Method) -> DataFrame:
     return ends.filter("a < b").select("key")
 
 
-def _occurrences(docs: DataFrame, method: Method, shared, wanted: bool, whole: bool) -> DataFrame:
-    """Segments under keys of the filter: with their bytes and counts if ``wanted``, else each place.
-
-    ``whole``: each place with the bytes.
-    """
+def _segments(docs: DataFrame, method: Method, shared, distinct: bool) -> DataFrame:
+    """Segments under keys of the filter: the distinct ones of each piece, with their bytes, or each place."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen: Filter = shared.value
@@ -304,37 +302,30 @@ def _occurrences(docs: DataFrame, method: Method, shared, wanted: bool, whole: b
             mark = laid.hashes(found.first, found.first + found.n + method.width - 2).view(np.int64)
             key = found.key.view(np.int64)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[found.text]
-            raw = laid.data.tobytes() if wanted or whole else b""
-            if wanted:
-                # One row a distinct segment: its least id and how often it occurs.
-                order = np.lexsort((ids, mark, key))
-                k, m = key[order], mark[order]
-                heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])]))
-                times = np.diff(np.concatenate([heads, [len(k)]]))
-                lead = order[heads]
-                segments = [_segment(laid, raw, found, i, method.width) for i in lead.tolist()]
+            if not distinct:
+                prints = batch.column("print").to_numpy(zero_copy_only=False)[found.text]
+                first = (found.first - laid.first[found.text]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[lead]), pa.array(mark[lead]), pa.array(ids[lead]), pa.array(times),
-                     pa.array(segments, pa.binary())],
-                    ["key", "mark", "least", "times", "segment"],
-                )
+                    [pa.array(c) for c in (key, mark, ids, prints, first)], ["key", "mark", "doc_id", "print", "first"]
+                )
                 continue
-            columns = [
-                pa.array(key), pa.array(mark), pa.array(ids),
-                pa.array(batch.column("print").to_numpy(zero_copy_only=False)[found.text]),
-                pa.array((found.first - laid.first[found.text]).astype(np.int32)),
-            ]
-            names = ["key", "mark", "doc_id", "print", "first"]
-            if whole:
-                segments = [_segment(laid, raw, found, i, method.width) for i in range(len(key))]
-                columns.append(pa.array(segments, pa.binary()))
-                names.append("segment")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    if wanted:
+            # One row a distinct segment: its least id and how often it occurs.
+            order = np.lexsort((ids, mark, key))
+            k, m = key[order], mark[order]
+            heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])]))
+            times = np.diff(np.concatenate([heads, [len(k)]]))
+            lead = order[heads]
+            raw = laid.data.tobytes()
+            segments = [_segment(laid, raw, found, i, method.width) for i in lead.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[lead]), pa.array(mark[lead]), pa.array(ids[lead]), pa.array(times),
+                 pa.array(segments, pa.binary())],
+                ["key", "mark", "least", "times", "segment"],
+            )
+
+    if distinct:
         return docs.mapInArrow(run, "key long, mark long, least long, times long, segment binary")
-    schema = "key long, mark long, doc_id long, print long, first int" + ", segment binary" * whole
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "key long, mark long, doc_id long, print long, first int")
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -343,8 +334,15 @@ def _distinct(rows: DataFrame) -> DataFrame:
     )
 
 
+def _crowded(distinct: DataFrame, bound: int) -> DataFrame:
+    return distinct.groupBy("key").count().filter(F.col("count") > bound).select("key").checkpoint()
+
+
+_REFILED = "key long, mark long, whole_key long, whole_mark long, offset int, least long, times long, segment binary"
+
+
 def _refiled(rows: DataFrame, method: Method, gram: int) -> DataFrame:
-    """Occurrences with bytes, cut into segments under keys of longer grams."""
+    """Segments cut under keys of longer grams; ``whole_key``, ``whole_mark`` and ``offset`` say of what."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "segment", AT_ONCE):
@@ -352,17 +350,19 @@ def _refiled(rows: DataFrame, method: Method, gram: int) -> DataFrame:
             found = runs(laid, method.width, gram)
             raw = laid.data.tobytes()
             mark = laid.hashes(found.first, found.first + found.n + method.width - 2).view(np.int64)
-            offset = (found.first - laid.first[found.text]).astype(np.int32)
-            old = {c: batch.column(c).to_numpy(zero_copy_only=False)[found.text] for c in ("doc_id", "print", "first")}
-            segments = [_segment(laid, raw, found, i, method.width) for i in range(len(offset))]
+            old = {
+                c: batch.column(c).to_numpy(zero_copy_only=False)[found.text]
+                for c in ("whole_key", "whole_mark", "offset", "least", "times")
+            }
+            old["offset"] = (old["offset"] + found.first - laid.first[found.text]).astype(np.int32)
+            segments = [_segment(laid, raw, found, i, method.width) for i in range(len(mark))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found.key.view(np.int64)), pa.array(mark), pa.array(old["doc_id"]), pa.array(old["print"]),
-                 pa.array(old["first"] + offset), pa.array(segments, pa.binary())],
-                ["key", "mark", "doc_id", "print", "first", "segment"],
+                [pa.array(found.key.view(np.int64)), pa.array(mark), *(pa.array(c) for c in old.values()),
+                 pa.array(segments, pa.binary())],
+                ["key", "mark", *old, "segment"],
             )
 
-    schema = "key long, mark long, doc_id long, print long, first int, segment binary"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, _REFILED)
 
 
 def _answers(distinct: DataFrame, method: Method) -> DataFrame:
@@ -400,49 +400,77 @@ def _answers(distinct: DataFrame, method: Method) -> DataFrame:
     return dealt.mapInArrow(run, "key long, mark long, answer binary")
 
 
+def _all_answers(distinct: DataFrame, method: Method, bound: int) -> DataFrame:
+    """(key, mark, offset, answer): what is known of each distinct segment from its unit ``offset`` on."""
+    crowded = _crowded(distinct, bound)
+    if crowded.isEmpty():
+        return _answers(distinct, method).withColumn("offset", F.lit(0))
+    few = distinct.join(crowded, "key", "left_anti")
+    parts = [_answers(few, method).withColumn("offset", F.lit(0))]
+    rows = distinct.join(crowded, "key", "left_semi").selectExpr(
+        "key AS whole_key", "mark AS whole_mark", "0 AS offset", "least", "times", "segment"
+    )
+    gram = method.gram
+    while True:
+        # Half as many grams in a window each time; the last one is the window.
+        gram = method.width - (method.width - gram) // 2
+        rows = _refiled(rows, method, gram).checkpoint()
+        own = _distinct(rows).checkpoint()
+        still = _crowded(own, bound)
+        last = gram == method.width or still.isEmpty()
+        solved = _answers(own if last else own.join(still, "key", "left_anti"), method)
+        parts.append(
+            rows.select("key", "mark", "whole_key", "whole_mark", "offset")
+            .join(solved, ["key", "mark"])
+            .selectExpr("whole_key AS key", "whole_mark AS mark", "offset", "answer")
+        )
+        if last:
+            break
+        rows = rows.join(still, "key", "left_semi").drop("key", "mark")
+    found = parts[0].select("key", "mark", "offset", "answer")
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def answered(docs: DataFrame, method: Method, bound: int = KEY_SEGMENTS, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, print, first, answer): the answers of a text's segments that may repeat.
 
-    ``docs`` has (doc_id, text). ``first`` is the unit at which the segment starts. A text
+    ``docs`` has (doc_id, text). ``first`` is the unit at which the answer starts. A text
     is known by its id (a null one as ``NO_ID``) and ``print``, its hash.
     """
     known = _identified(docs)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(filter_of(_repeated_keys(known, method), bits))
-    distinct = _distinct(_occurrences(known, method, shared, True, False)).checkpoint()
-    crowded = distinct.groupBy("key").count().filter(F.col("count") > bound).select("key").checkpoint()
-    parts = []
-    places = _occurrences(known, method, shared, False, False)
-    if not crowded.isEmpty():
-        few = context.broadcast(filter_of(crowded, bits))
-        rows = _occurrences(known, method, few, False, True).join(crowded, "key", "left_semi")
-        gram = method.gram
-        while True:
-            # Half as many grams in a window each time; the last one is the window.
-            gram = method.width - (method.width - gram) // 2
-            rows = _refiled(rows, method, gram).checkpoint()
-            own = _distinct(rows.withColumn("times", F.lit(1).cast("long")).withColumnRenamed("doc_id", "least"))
-            own = own.checkpoint()
-            still = own.groupBy("key").count().filter(F.col("count") > bound).select("key").checkpoint()
-            last = gram == method.width or still.isEmpty()
-            fine = own if last else own.join(still, "key", "left_anti")
-            parts.append(rows.drop("segment").join(_answers(fine, method), ["key", "mark"]))
-            if last:
-                break
-            rows = rows.join(still, "key", "left_semi")
-        distinct = distinct.join(crowded, "key", "left_anti")
-    parts.append(places.join(_answers(distinct, method), ["key", "mark"]))
-    found = None
-    for part in parts:
-        part = part.select("doc_id", "print", "first", "answer")
-        found = part if found is None else found.unionAll(part)
-    return found
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(_repeated_keys(known, method), bits))
+    distinct = _distinct(_segments(known, method, shared, True)).checkpoint()
+    places = _segments(known, method, shared, False)
+    found = places.join(_all_answers(distinct, method, bound), ["key", "mark"])
+    return found.select("doc_id", "print", (F.col("first") + F.col("offset")).alias("first"), "answer")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``text`` compressed, for a shuffle."""
+    others = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in pieces(batches):
+            small = [press(text) for text in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(small)], [*others, "text"])
+
+    return docs.mapInArrow(run, docs.select(*others).schema.add("text", "binary"))
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    """The texts that ``packed`` has compressed."""
+    loose = zstandard.ZstdDecompressor().decompress
+    return [loose(value) for value in column.to_pylist()]
 
 
 def with_answers(docs: DataFrame, found: DataFrame, *others: Column) -> DataFrame:
     """(doc_id, text, spans array<struct<first, answer>>, others...) of every row of ``docs``.
 
-    No answers: null. ``others`` are columns of ``docs`` to carry along.
+    No answers: null. ``others`` are columns of ``docs`` to carry along; the text comes ``packed``.
     """
     spans = found.groupBy("doc_id", "print").agg(F.collect_list(F.struct("first", "answer")).alias("spans"))
-    return _identified(docs, *others).join(spans.hint("shuffle_hash"), ["doc_id", "print"], "left").drop("print")
+    small = packed(_identified(docs, *others))
+    return small.join(spans.hint("shuffle_hash"), ["doc_id", "print"], "left").drop("print")

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.llm.arrow import pieces, texts
-from spendlens.llm.repeats import KEY_SEGMENTS, Method, answered, as_words, with_answers
+from spendlens.llm.arrow import pieces
+from spendlens.llm.repeats import KEY_SEGMENTS, Method, answered, as_words, unpacked, with_answers
 from spendlens.llm.tables import NO_ID
 
 WIDTH = 13
 #: Words of the grams that windows are first filed under.
-GRAM = 5
+GRAM = 6
 
 
 class Automaton:
@@ -172,7 +172,7 @@ def removals(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) ->
         for batch in pieces(batches):
             rows = []
             for doc_id, text, spans in zip(
-                batch.column("doc_id").to_pylist(), texts(batch.column("text")), batch.column("spans").to_pylist()
+                batch.column("doc_id").to_pylist(), unpacked(batch.column("text")), batch.column("spans").to_pylist()
             ):
                 kept, words, lost = _kept(text, spans, doc_id, width)
                 name = None if doc_id == NO_ID else doc_id
@@ -192,28 +192,32 @@ def rewritten(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) ->
 
     Texts that lose nothing stay as they are, null included. A column ``n_chars`` follows the text.
     """
-    found = with_answers(docs, answered(docs, _method(width), bound), F.struct(*docs.columns).alias("row"))
+    others = F.struct(F.col("text").isNull().alias("text"), *[c for c in docs.columns if c != "text"]).alias("row")
+    found = with_answers(docs, answered(docs, _method(width), bound), others)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            new = []
+            new, changed = [], []
             for doc_id, text, spans in zip(
-                batch.column("doc_id").to_pylist(), texts(batch.column("text")), batch.column("spans").to_pylist()
+                batch.column("doc_id").to_pylist(), unpacked(batch.column("text")), batch.column("spans").to_pylist()
             ):
                 kept, _, lost = _kept(text, spans, doc_id, width)
-                new.append(kept.decode() if lost else None)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], ["row", "kept"])
+                new.append(kept.decode())
+                changed.append(lost > 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(new, pa.string()), pa.array(changed, pa.bool_())],
+                ["row", "kept", "changed"],
+            )
 
-    changed = found.select("row", "doc_id", "text", "spans").mapInArrow(
-        run, T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType())])
-    )
+    rows = found.select("row", "doc_id", "text", "spans")
+    schema = T.StructType([rows.schema["row"], T.StructField("kept", T.StringType()), T.StructField("changed", T.BooleanType())])
     columns = []
     for name in docs.columns:
         old = F.col(f"row.`{name}`")
         if name == "text":
-            old = F.coalesce("kept", old)
+            old = F.when(~old, F.col("kept"))
         elif name == "n_chars":
             kind = docs.schema[name].dataType
-            old = F.when(F.col("kept").isNotNull(), F.length("kept").cast(kind)).otherwise(old)
+            old = F.when(F.col("changed"), F.length("kept").cast(kind)).otherwise(old)
         columns.append(old.alias(name))
-    return changed.select(*columns)
+    return rows.mapInArrow(run, schema).select(*columns)

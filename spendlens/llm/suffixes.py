@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spendlens.llm.arrow import pieces, texts
-from spendlens.llm.repeats import KEY_SEGMENTS, Laid, Method, answered, as_bytes, with_answers
+from spendlens.llm.arrow import pieces
+from spendlens.llm.repeats import KEY_SEGMENTS, Laid, Method, answered, as_bytes, unpacked, with_answers
 from spendlens.llm.tables import NO_ID
 
 WIDTH = 200
@@ -183,7 +183,7 @@ def removals(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) ->
         for batch in pieces(batches):
             ids = [None if i == NO_ID else i for i in batch.column("doc_id").to_pylist()]
             rows = []
-            for text, spans in zip(texts(batch.column("text")), batch.column("spans").to_pylist()):
+            for text, spans in zip(unpacked(batch.column("text")), batch.column("spans").to_pylist()):
                 cuts = removed_spans(spans, width)
                 edges = [0, *cuts.reshape(-1).tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
