@@ -28,7 +28,7 @@ from spendlens.llm.arrow import texts
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts remembered by a task, in each of two generations, and the longest one remembered.
-MEMORY, LONGEST = 250_000, 48
+MEMORY, LONGEST = 400_000, 48
 ID = np.dtype("<i4")
 
 
@@ -103,6 +103,7 @@ class Transducer:
         self.lexicon = {piece: np.array([i], ID).tobytes() for piece, i in model.ids.items()}
         self.bigrams = {piece[i : i + 2] for piece in model.ids for i in range(len(piece) - 1)}
         self.edges: dict[tuple[str, bool], tuple[tuple[str, float], ...]] = {}
+        self.arcs: dict[str, dict[str, bool]] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the parts known before; those met again move on
 
@@ -151,13 +152,11 @@ class Transducer:
         either side rules the pair out. (Of equal scores the leftmost is due first.)
         """
         scores = self.model.scores
-        if left[-1] + right[0] not in self.bigrams:
-            return bool(self._edge(left, True)) and bool(self._edge(right, False))
-        if left + right in scores:
-            return False
         mine, other = self._edge(left, True), self._edge(right, False)
-        if not mine or not other:
-            return False  # merging never makes this piece
+        if not mine or not other or left + right in scores:
+            return False  # merging never makes one of them, or goes on to join them
+        if left[-1] + right[0] not in self.bigrams:
+            return True
         i = j = 0
         least = -float("inf")
         while True:
@@ -173,34 +172,47 @@ class Transducer:
             else:
                 j += 1
 
+    def _followers(self, left: str) -> dict[str, bool]:
+        """What is known yet of the acceptor's arcs from the state of a piece."""
+        found = self.arcs.get(left)
+        if found is None:
+            if len(self.arcs) >= MEMORY:
+                self.arcs.clear()
+            found = self.arcs[left] = {}
+        return found
+
     def _finite_path(self, text: str) -> list[str]:
         """The one path of finite weight through lexicon and acceptor: longest arcs first."""
-        lexicon, n = self.lexicon, len(text)
+        lexicon, longest, n = self.lexicon, self.longest, len(text)
         path: list[str] = []
         ends: list[int] = []
-        at, length = 0, min(self.longest, n)
+        at, length = 0, min(longest, n)
         met = bytearray(n + 1)
+        arcs = None  # any piece may come first
         while at < n:
-            while length > 0:
-                piece = text[at : at + length]
-                if (
-                    not met[at + length]
-                    and (length == 1 or piece in lexicon)
-                    and (not path or self.accepts(path[-1], piece))
-                ):
-                    break
+            while length:
+                end = at + length
+                piece = text[at:end]
+                if (piece in lexicon or length == 1) and not met[end]:
+                    if arcs is None:
+                        break
+                    accepted = arcs.get(piece)
+                    if accepted is None:
+                        accepted = arcs[piece] = self.accepts(path[-1], piece)
+                    if accepted:
+                        break
                 length -= 1
             if length:
-                met[at + length] = 1
+                met[end] = 1
                 path.append(piece)
                 ends.append(at)
-                at += length
-                length = min(self.longest, n - at)
+                at, length = end, min(longest, n - end)
             else:
                 if not path:
                     raise AssertionError("no path of finite weight")
                 length = len(path.pop()) - 1
                 at = ends.pop()
+            arcs = self._followers(path[-1]) if path else None
         return path
 
     def _least_path(self, text: str) -> list[str]:
@@ -223,8 +235,15 @@ class Transducer:
     def _part(self, text: str) -> bytes:
         found = self.older.get(text)
         if found is None:
-            path = self._least_path(text) if self.model.unigram else self._finite_path(text)
-            found = b"".join(map(self._output, path))
+            # Neighbours that no piece holds side by side are never joined: cut there.
+            bigrams = self.bigrams
+            cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in bigrams]
+            if cuts:
+                bounds = zip([0, *cuts], [*cuts, len(text)])
+                found = b"".join([self.known.get(s) or self._part(s) for s in (text[a:b] for a, b in bounds)])
+            else:
+                path = self._least_path(text) if self.model.unigram else self._finite_path(text)
+                found = b"".join(map(self._output, path))
         if len(text) <= LONGEST:
             if len(self.known) >= MEMORY:
                 self.older = self.known.copy()
