@@ -4,8 +4,7 @@ A text is a sequence of tokens: its words, A-Z in lower case, then one end. A fr
 is a path in a Huffman tree, bit by bit; any other is an escape, followed by its bytes, bit
 by bit, where the text itself is coded (bits per byte), or by its share among rare
 training words, all unseen words being one type, where tokens are scored as the base does.
-Several predictors see the same bit under hashed contexts: the node alone; with the word
-before; with the two before; with the two last common words. A match predictor expects the word
+Several predictors see the same bit under hashed contexts: the node alone; with the two words before; with the two last common words. A match predictor expects the word
 that came last time after the same two words in this text. Their logits are mixed
 by a weight set that a gate chooses (depth, match), learnt online, and the mix is refined by an
 adaptive map from gate and logit to what bits came out.
@@ -64,6 +63,8 @@ class Code:
     def __post_init__(self):
         self.escape, self.end = len(self.words), len(self.words) + 1
         self.n_nodes = len(self.words) + 1
+        size = np.diff(self.first)
+        self.depth = (np.arange(self.first[-1]) - np.repeat(self.first[:-1], size)).astype(np.int8)
 
 
 def huffman(words: list[bytes], counts: list[int], escapes: int, ends: int) -> Code:
@@ -104,27 +105,28 @@ def huffman(words: list[bytes], counts: list[int], escapes: int, ends: int) -> C
 
 @dataclass
 class Bits:
-    """Coded bits: per predictor the slot in its table, per bit the gate and which token it belongs to."""
+    """Coded bits: per predictor the slot in its table, per bit the gate, per token its first bit."""
 
     bit: np.ndarray
     slots: list[np.ndarray]
     extra: np.ndarray | None  # the match predictor's expectation: -1, 0 or 1
     gate: np.ndarray
-    token: np.ndarray
+    first: np.ndarray
 
 
 def _slot(context: np.ndarray, place: np.ndarray, slots: int) -> np.ndarray:
-    mixed = (context ^ place) * _K[3]
-    return (mixed >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
+    """``context`` is overwritten."""
+    context ^= place
+    context *= _K[3]
+    context >>= np.uint64(64 - (slots.bit_length() - 1))
+    return context.view(np.int64)
 
 
 def word_bits(code: Code, ids: np.ndarray, starts: np.ndarray) -> Bits:
     """Of token numbers; ``starts`` has the first token of each text."""
     n = len(ids)
     place = np.arange(n)
-    text = np.zeros(n, np.int64)
-    text[starts] = 1
-    begin = starts[np.cumsum(text) - 1]
+    begin = np.repeat(starts, np.diff(np.concatenate([starts, [n]])))
     before = np.where(place > begin, np.concatenate([[code.end], ids[:-1]]), code.end)
     second = np.where(place > begin + 1, np.concatenate([[code.end] * 2, ids[:-2]])[:n], code.end)
     # The two last common words before each token.
@@ -134,57 +136,64 @@ def word_bits(code: Code, ids: np.ndarray, starts: np.ndarray) -> Bits:
     earlier = np.where(last >= begin, kind[np.maximum(last, 0)], COMMON)
     # What came after the same two words, last time in this text.
     pair = (before.astype(np.uint64) * _K[0] + second.astype(np.uint64) * _K[1]) ^ (begin.astype(np.uint64) * _K[2])
-    order = np.argsort(pair, kind="stable")
+    low = np.uint64(0xFFFFFFFF)
+    order = np.sort((pair & ~low) | place.astype(np.uint64))
+    same = np.flatnonzero((order[1:] ^ order[:-1]) <= low)
+    order = (order & low).astype(np.int64)
     expected = np.full(n, -1)
-    same = np.flatnonzero(pair[order][1:] == pair[order][:-1])
     expected[order[same + 1]] = ids[order[same]]
 
-    size = (code.first[1:] - code.first[:-1])[ids]
-    token = np.repeat(place, size)
-    depth = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-    at = code.first[ids][token] + depth
-    node, bit = code.nodes[at].astype(np.int64), code.bits[at]
-    spread = (node.astype(np.uint64) + np.uint64(1)) * _K[1]
+    start = code.first[ids]
+    size = code.first[ids + 1] - start
+    first = np.cumsum(size) - size
+    total = int(first[-1] + size[-1]) if n else 0
+    at = np.repeat(start - first, size)
+    at += np.arange(total)
+    node, bit, depth = code.nodes.take(at), code.bits.take(at), code.depth.take(at)
+    spread = node.astype(np.uint64)
+    spread += np.uint64(1)
+    spread *= _K[1]
     contexts = [
-        before.astype(np.uint64) * _K[0],
         before.astype(np.uint64) * _K[0] + (second.astype(np.uint64) + np.uint64(7)) * _K[2],
         (kind.astype(np.uint64) + np.uint64(3)) * _K[2] + earlier.astype(np.uint64) * _K[0],
     ]
-    slots = [node, *(_slot(c[token], spread, WORD_SLOTS) for c in contexts)]
-    extra = np.zeros(len(token), np.int8)
-    hope = np.flatnonzero(expected[token] >= 0)
-    word = expected[token[hope]]
-    there = code.first[word] + np.minimum(depth[hope], code.first[word + 1] - code.first[word] - 1)
-    agrees = code.nodes[there] == node[hope]
-    extra[hope[agrees]] = 2 * code.bits[there[agrees]] - 1
-    gate = np.minimum(depth, DEPTHS - 1) + DEPTHS * (extra != 0)
-    return Bits(bit, slots, extra, gate, token)
+    slots = [node, *(_slot(np.repeat(c, size), spread, WORD_SLOTS) for c in contexts)]
+    extra = np.zeros(total, np.int8)
+    hoped = np.flatnonzero(expected >= 0)
+    if len(hoped):
+        # As far as the expected word's path is this word's.
+        own = np.repeat(first[hoped], size[hoped])
+        step = np.arange(len(own)) - np.repeat(np.cumsum(size[hoped]) - size[hoped], size[hoped])
+        word = np.repeat(expected[hoped], size[hoped])
+        there = code.first[word] + np.minimum(step, code.first[word + 1] - code.first[word] - 1)
+        agrees = code.nodes[there] == node[own + step]
+        extra[(own + step)[agrees]] = 2 * code.bits[there[agrees]] - 1
+    gate = np.minimum(depth, DEPTHS - 1).astype(np.int32)
+    gate += DEPTHS * (extra != 0)
+    return Bits(bit, slots, extra, gate, first)
 
 
 def letter_bits(words: list[bytes]) -> Bits:
-    """Of words spelled byte by byte, a blank at the end of each; ``token`` numbers the words."""
+    """Of words spelled byte by byte, a blank at the end of each; a token is a word."""
     data = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.int64)
     n = len(data)
     sizes = np.array([len(w) + 1 for w in words], np.int64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    begin = (np.cumsum(sizes) - sizes)[owner]
-    place = np.arange(n)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(n) - np.repeat(first, sizes)
 
     def back(k: int) -> np.ndarray:
-        return np.where(place - begin >= k, np.concatenate([np.zeros(k, np.int64), data])[:n], 32)
+        return np.where(place >= k, np.concatenate([np.zeros(k, np.int64), data])[:n], 32)
 
     a, b, c = back(1), back(2), back(3)
     shift = np.arange(7, -1, -1)
     bit = (data[:, None] >> shift & 1).astype(np.int8).reshape(-1)
     partial = ((data[:, None] | 256) >> (shift + 1)).reshape(-1)  # 1 and the bits so far
-    each = np.repeat(place, 8)
     spread = (partial.astype(np.uint64) + np.uint64(1)) * _K[1]
-    near = a.astype(np.uint64) * _K[0]
-    two = near + (b.astype(np.uint64) + np.uint64(1)) * _K[2]
+    two = a.astype(np.uint64) * _K[0] + (b.astype(np.uint64) + np.uint64(1)) * _K[2]
     three = two ^ ((c.astype(np.uint64) + np.uint64(9)) * _K[3])
-    slots = [a[each] * 256 + partial, *(_slot(x[each], spread, LETTER_SLOTS) for x in (two, three))]
-    gate = np.tile(np.arange(8), n) + 8 * (np.minimum(place - begin, 1))[each]
-    return Bits(bit, slots, None, gate, owner[each])
+    slots = [np.repeat(a * 256, 8) + partial, *(_slot(np.repeat(x, 8), spread, LETTER_SLOTS) for x in (two, three))]
+    gate = np.tile(np.arange(8, dtype=np.int32), n) + np.repeat(8 * np.minimum(place, 1), 8).astype(np.int32)
+    return Bits(bit, slots, None, gate, 8 * first)
 
 
 # Mixing.
@@ -242,16 +251,21 @@ class Mixer:
                 flat = self.refined.reshape(-1)
                 flat += (came - seen * flat) * np.minimum(MAP_RATE, 1 / np.maximum(seen, 1))
 
-    def log2(self, bits: Bits, n_tokens: int) -> np.ndarray:
+    def log2(self, bits: Bits) -> np.ndarray:
         """Per token, the sum of its bits' log2 probabilities."""
         logit = self._mixed(self.inputs(bits), bits.gate)
-        refined = self.refined.reshape(-1).take(bits.gate * BINS + self._bin(logit))
+        at = self._bin(logit)
+        at += bits.gate * np.int32(BINS)
+        refined = self.refined.reshape(-1).take(at)
         np.negative(logit, out=logit)
         np.exp(logit, out=logit)
         logit += 1.0
-        p = 0.5 * (1.0 / logit + refined)  # that the bit is 1
-        p = np.where(bits.bit > 0, p, 1.0 - p)
-        return np.bincount(bits.token, weights=np.log2(np.maximum(p, 1e-7)), minlength=n_tokens)
+        np.reciprocal(logit, out=logit)
+        logit += refined
+        logit *= np.float32(0.5)  # the probability that the bit is 1
+        p = np.abs((1 - bits.bit) - logit)
+        np.maximum(p, np.float32(1e-7), out=p)
+        return np.add.reduceat(np.log2(p, out=p), bits.first, dtype=np.float64)
 
 
 # The whole model.
@@ -284,23 +298,21 @@ class Model:
 
     def laid_out(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(token numbers, first token of each text, the words that are escapes)."""
-        numbers, escape, end = self.numbering(), self.code.escape, self.code.end
-        ids: list[int] = []
-        starts: list[int] = []
-        rare: list[bytes] = []
+        get, escape, end = self.numbering().get, self.code.escape, self.code.end
+        words: list[bytes] = []
+        ends: list[int] = []
         for text in docs:
-            starts.append(len(ids))
-            words = tokens_of(text)
-            own = [numbers.get(w, escape) for w in words]
-            if escape in own:
-                rare += [w for w, i in zip(words, own) if i == escape]
-            ids += own
-            ids.append(end)
-        return np.array(ids, np.int64), np.array(starts, np.int64), rare
+            words += tokens_of(text)
+            ends.append(len(words))
+            words.append(b"")  # the end
+        ids = np.fromiter([get(w, escape) for w in words], np.int64, len(words))
+        ids[ends] = end
+        starts = np.concatenate([[0], np.array(ends, np.int64)[:-1] + 1])
+        return ids, starts, [words[i] for i in np.flatnonzero(ids == escape).tolist()]
 
 
 def _sizes(code: Code) -> list[int]:
-    return [code.n_nodes, WORD_SLOTS, WORD_SLOTS, WORD_SLOTS, 1 << 16, LETTER_SLOTS, LETTER_SLOTS]
+    return [code.n_nodes, WORD_SLOTS, WORD_SLOTS, 1 << 16, LETTER_SLOTS, LETTER_SLOTS]
 
 
 def _gathered(docs: DataFrame, model: Model) -> list[np.ndarray]:
@@ -313,7 +325,7 @@ def _gathered(docs: DataFrame, model: Model) -> list[np.ndarray]:
         tables = [np.zeros(2 * n, np.int32) for n in sizes]
         for batch in pieces(batches, limit=AT_ONCE):
             ids, starts, rare = own.laid_out(texts(batch.column("text")))
-            for at, bits in ((0, word_bits(own.code, ids, starts)), (4, letter_bits(rare) if rare else None)):
+            for at, bits in ((0, word_bits(own.code, ids, starts)), (3, letter_bits(rare) if rare else None)):
                 if bits is not None:
                     for k, slots in enumerate(bits.slots):
                         np.add.at(tables[at + k], 2 * slots + bits.bit, np.int32(1))
@@ -406,8 +418,8 @@ def train(docs: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY) -> M
     tables = _gathered(docs.filter(~sampled), model)
     rows = docs.filter(sampled & (F.octet_length("text") <= SAMPLE_BYTES)).collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
-    model.words = Mixer(tables[:4], 2 * DEPTHS, True)
-    model.letters = Mixer(tables[4:], 16, False)
+    model.words = Mixer(tables[:3], 2 * DEPTHS, True)
+    model.letters = Mixer(tables[3:], 16, False)
     if rows:
         ids, starts, rare = model.laid_out([r["text"].encode() for r in rows])
         model.words.learn(word_bits(code, ids, starts))
@@ -478,10 +490,10 @@ def score(docs: DataFrame, held_out: Column, vocabulary: int = VOCABULARY) -> Da
         for batch in pieces(batches, limit=AT_ONCE):
             raw = texts(batch.column("text"))
             ids, starts, rare = own.laid_out(raw)
-            logs = own.words.log2(word_bits(own.code, ids, starts), len(ids))
+            logs = own.words.log2(word_bits(own.code, ids, starts))
             tokens = np.add.reduceat(logs, starts)
             if rare:
-                logs[np.flatnonzero(ids == own.code.escape)] += own.letters.log2(letter_bits(rare), len(rare))
+                logs[np.flatnonzero(ids == own.code.escape)] += own.letters.log2(letter_bits(rare))
             spelled = np.add.reduceat(logs, starts)
             n = np.diff(np.concatenate([starts, [len(ids)]]))
             base = np.add.reduceat(own.known[ids], starts) - n * whole
