@@ -4,7 +4,7 @@ A text is a sequence of tokens: its words, A-Z in lower case, then one end. A fr
 is a path in a Huffman tree, bit by bit; any other is an escape, followed by its bytes, bit
 by bit, where the text itself is coded (bits per byte), or by its share among rare
 training words, all unseen words being one type, where tokens are scored as the base does.
-Several predictors see the same bit under hashed contexts: the node alone; with the two words before; with the two last common words. A match predictor expects the word
+Several predictors see the same bit under hashed contexts: the node alone; with the word before; with the two last common words. A match predictor expects the word
 that came last time after the same two words in this text. Their logits are mixed
 by a weight set that a gate chooses (depth, match), learnt online, and the mix is refined by an
 adaptive map from gate and logit to what bits came out.
@@ -38,7 +38,7 @@ COMMON = 96
 SAMPLE, SAMPLE_BYTES = 250, 100_000
 #: Text bytes laid out at a time, entries of a shuffled chunk, bits of an online step.
 AT_ONCE, CHUNK, STEP = 1 << 19, 1 << 16, 1024
-RATE, MAP_RATE, PRIOR = 0.02, 0.02, 0.4
+RATE, MAP_RATE, PRIOR = 0.005, 0.02, 0.4
 DEPTHS, BINS, LIMIT = 12, 33, 12.0
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -154,7 +154,7 @@ def word_bits(code: Code, ids: np.ndarray, starts: np.ndarray) -> Bits:
     spread += np.uint64(1)
     spread *= _K[1]
     contexts = [
-        before.astype(np.uint64) * _K[0] + (second.astype(np.uint64) + np.uint64(7)) * _K[2],
+        before.astype(np.uint64) * _K[0],
         (kind.astype(np.uint64) + np.uint64(3)) * _K[2] + earlier.astype(np.uint64) * _K[0],
     ]
     slots = [node, *(_slot(np.repeat(c, size), spread, WORD_SLOTS) for c in contexts)]
@@ -233,7 +233,7 @@ class Mixer:
     def _bin(logit: np.ndarray) -> np.ndarray:
         return ((logit + np.float32(LIMIT)) * np.float32((BINS - 1) / (2 * LIMIT)) + np.float32(0.5)).astype(np.int32)
 
-    def learn(self, bits: Bits, rounds: int = 2) -> None:
+    def learn(self, bits: Bits, rounds: int = 3) -> None:
         """Online, bit by bit in steps of ``STEP``: weights by the gradient, map by what came."""
         for _ in range(rounds):
             for i in range(0, len(bits.bit), STEP):
