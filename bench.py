@@ -56,7 +56,7 @@ def main() -> None:
     million = spark.read.parquet(
         write_parquet(copied.repartition(int(CPUS) * 2), shared_path(spark, "bench"))
     )
-    no_effects = {**config, "create_fixed_effects": False}
+    many_geos = {**config, "fixed_effects_form": "vector"}
     rows = {
         "panel": panel.count(),
         "fine": fine.count(),
@@ -121,7 +121,7 @@ def main() -> None:
             "million_adstock": lambda: drain(
                 series.adstock_channels(million, spend, queries.DECAY)
             ),
-            "million_preprocess": lambda: drain(preprocess(million, no_effects).df),
+            "million_preprocess": lambda: drain(preprocess(million, many_geos).df),
             "million_describe": lambda: drain(profile.describe_numeric(million)),
             "million_spend_summary": lambda: drain(profile.spend_summary(million)),
             "million_fit_ols": lambda: regression.fit(million, spend, "revenue"),

@@ -28,6 +28,7 @@ from spendlens.operators.returns import (
 )
 from spendlens.operators.tables import small_table
 from spendlens.plans.preprocess import Prepared, preprocess
+from spendlens.session import shared_root
 from spendlens.sources.readers import import_metadata, import_panel
 from spendlens.sources.writers import export_by_config
 
@@ -163,7 +164,9 @@ def _run_steps(
 ) -> None:
     data_config = _step(config, "data_import", "data")
     if data_config is not None:
-        panel = import_panel(spark, **data_config)
+        # Written once: everything after reads this, not the source and its join.
+        shared_root(spark)
+        panel = import_panel(spark, **data_config).checkpoint()
         found = import_metadata(panel).first()
         results["data_import"] = {
             "status": "SUCCESS",

@@ -16,6 +16,7 @@ from spendlens.operators.channels import Channels, discover_channels, drop_colum
 from spendlens.operators.checks import largest_group
 from spendlens.operators.encode import (
     Level,
+    add_sparse_effects,
     calendar_dummies,
     distinct_levels,
     geo_dummies,
@@ -51,6 +52,8 @@ DEFAULT_CONFIG: dict[str, Any] = {
     "create_lags": True,
     "lag_periods": [1, 2],
     "create_fixed_effects": True,
+    # "columns": a 0/1 column per level; "vector": one sparse vector, for any number of levels.
+    "fixed_effects_form": "columns",
     "create_seasonality": True,
     # Which column the first setting fills and which channel the second drops.
     "fill_columns": ["impression_tv"],
@@ -122,7 +125,11 @@ def preprocess(df: DataFrame, config: Mapping[str, Any] | None = None) -> Prepar
 
     counts: dict[str, dict[Level | None, int]] = {}
     effects = [c for c in ("geo", "week") if c in df.columns]
-    if settings["create_fixed_effects"] and effects:
+    form = settings["fixed_effects_form"]
+    if form not in ("columns", "vector"):
+        raise ValueError(f"unknown fixed_effects_form {form!r}: use 'columns' or 'vector'")
+    as_vector = settings["create_fixed_effects"] and form == "vector" and bool(effects)
+    if settings["create_fixed_effects"] and effects and not as_vector:
         counts = level_counts(df, effects)
 
     derived = cpm_columns(channels)
@@ -165,7 +172,11 @@ def preprocess(df: DataFrame, config: Mapping[str, Any] | None = None) -> Prepar
         steps.append(f"added lags {list(settings['lag_periods'])}")
 
     encoded: dict[str, str] = {}
-    if settings["create_fixed_effects"]:
+    if as_vector:
+        df = add_sparse_effects(df, effects)
+        late.append("fixed_effects")
+        steps.append(f"added the fixed effects of {', '.join(effects)} as a vector")
+    elif settings["create_fixed_effects"]:
         if "geo" in counts:
             sets["geo_fixed_effects"] += (of_geo := geo_dummies(sorted_levels(counts["geo"])))
             encoded.update(of_geo)

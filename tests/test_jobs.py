@@ -276,3 +276,25 @@ def test_quotes_and_nulls_survive_csv(spark):
     path = writers.write_csv(df, shared_path(spark, "quotes"))
     got = {(r["t"], r["x"]) for r in readers.read_csv(spark, path, df.schema).collect()}
     assert ('say "hi", now', 1.0) in got and (None, None) in got
+
+
+def test_effects_as_a_vector(spark):
+    rows = [(dt.date(2022, 1, 3) + dt.timedelta(weeks=w), g, 1.0 * w, 2.0, 3.0) for w in range(4) for g in "abc"]
+    raw = spark.createDataFrame(rows, "week date, geo string, cost_tv double, impression_tv double, revenue double")
+    wide = preprocess(raw, {"create_seasonality": False})
+    narrow = preprocess(raw, {"create_seasonality": False, "fixed_effects_form": "vector"})
+    names = [*wide.sets["geo_fixed_effects"], *wide.sets["week_fixed_effects"]]
+    dummies = {(r["geo"], r["week"]): [i for i, n in enumerate(names) if r[n]] for r in wide.df.collect()}
+    vectors = {(r["geo"], r["week"]): r["fixed_effects"] for r in narrow.df.collect()}
+    assert all(v["indices"] == dummies[k] and v["size"] == len(names) for k, v in vectors.items())
+
+
+def test_outputs_are_named_by_time_and_reach_a_bucket(spark, monkeypatch):
+    from spendlens.sources import writers
+
+    monkeypatch.setattr(writers, "export_results", lambda *a: {"base": a[4], "prefix": a[5]})
+    config = {"local": {"enabled": False}, "gcs": {"enabled": True, "bucket": "b", "path": "p/"}}
+    found = writers.export_by_config(spark, None, None, None, config)
+    assert found["gcs"]["base"] == "gs://b/p" and found["gcs"]["prefix"].startswith("mmm_results_2")
+    with pytest.raises(ValueError, match="no bucket"):
+        writers.export_by_config(spark, None, None, None, {**config, "gcs": {"enabled": True}})
