@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 
 from spendlens.llm.arrow import pieces, texts
 from spendlens.llm.tables import NO_ID
+from spendlens.session import shared_path
 
 FILTER_BITS = 1 << 28
 CHUNK_BITS = 1 << 20
 #: Distinct segments of one key above which the key is filed again under longer grams.
 KEY_SEGMENTS = 1000
-#: Segments that a task solves together.
-BATCH_SEGMENTS = 4000
+#: Segments that a task solves together, and that it holds to add up equal ones.
+BATCH_SEGMENTS, HELD_SEGMENTS = 4000, 100_000
 #: Text bytes laid out at a time.
 AT_ONCE = 1 << 20
 
@@ -239,7 +240,8 @@ class Method:
     """How an operator sees texts and solves a batch of distinct segments.
 
     ``solve`` takes segments in the order of their keys, with the number of their
-    occurrences and the least id among them; it returns one binary answer for each.
+    occurrences and the least id among them; it returns one binary answer for each, an
+    empty one if there is nothing to say.
     """
 
     lay: Callable[[list[bytes]], Laid]
@@ -287,55 +289,75 @@ def _repeated_keys(docs: DataFrame, method: Method) -> DataFrame:
     return ends.filter("a < b").select("key")
 
 
-def _segments(docs: DataFrame, method: Method, shared, distinct: bool) -> DataFrame:
-    """Segments under keys of the filter: the distinct ones of each piece, with their bytes, or each place."""
+def _filed(batches: Iterable[pa.RecordBatch], method: Method, chosen: Filter) -> Iterator[tuple]:
+    """Per piece: its layout, the segments under keys of the filter, their marks, and ids of their texts."""
+    for batch in pieces(batches, limit=AT_ONCE):
+        laid = method.lay(texts(batch.column("text")))
+        found = runs(laid, method.width, method.gram)
+        keep = chosen.holds(found.key)
+        found = Runs(found.key[keep], found.text[keep], found.first[keep], found.n[keep])
+        if len(found.key):
+            mark = laid.hashes(found.first, found.first + found.n + method.width - 2).view(np.int64)
+            yield batch, laid, found, mark, batch.column("doc_id").to_numpy(zero_copy_only=False)[found.text]
+
+
+def _places(docs: DataFrame, method: Method, shared) -> DataFrame:
+    """(key, mark, doc_id, print, first): where each segment under a key of the filter stands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen: Filter = shared.value
-        for batch in pieces(batches, limit=AT_ONCE):
-            laid = method.lay(texts(batch.column("text")))
-            found = runs(laid, method.width, method.gram)
-            keep = chosen.holds(found.key)
-            found = Runs(found.key[keep], found.text[keep], found.first[keep], found.n[keep])
-            if not len(found.key):
-                continue
-            mark = laid.hashes(found.first, found.first + found.n + method.width - 2).view(np.int64)
-            key = found.key.view(np.int64)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[found.text]
-            if not distinct:
-                prints = batch.column("print").to_numpy(zero_copy_only=False)[found.text]
-                first = (found.first - laid.first[found.text]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (key, mark, ids, prints, first)], ["key", "mark", "doc_id", "print", "first"]
-                )
-                continue
-            # One row a distinct segment: its least id and how often it occurs.
-            order = np.lexsort((ids, mark, key))
-            k, m = key[order], mark[order]
-            heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])]))
-            times = np.diff(np.concatenate([heads, [len(k)]]))
-            lead = order[heads]
-            raw = laid.data.tobytes()
-            segments = [_segment(laid, raw, found, i, method.width) for i in lead.tolist()]
+        for batch, laid, found, mark, ids in _filed(batches, method, shared.value):
+            prints = batch.column("print").to_numpy(zero_copy_only=False)[found.text]
+            first = (found.first - laid.first[found.text]).astype(np.int32)
+            columns = (found.key.view(np.int64), mark, ids, prints, first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[lead]), pa.array(mark[lead]), pa.array(ids[lead]), pa.array(times),
-                 pa.array(segments, pa.binary())],
-                ["key", "mark", "least", "times", "segment"],
-            )
+                [pa.array(c) for c in columns], ["key", "mark", "doc_id", "print", "first"]
+            )
 
-    if distinct:
-        return docs.mapInArrow(run, "key long, mark long, least long, times long, segment binary")
     return docs.mapInArrow(run, "key long, mark long, doc_id long, print long, first int")
 
 
-def _distinct(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key", "mark").agg(
-        F.min("least").alias("least"), F.sum("times").alias("times"), F.first("segment").alias("segment")
-    )
+_SEGMENTS = "key long, mark long, least long, times long, segment binary"
+
+
+def _segments(docs: DataFrame, method: Method, shared) -> DataFrame:
+    """The segments under keys of the filter, those of several pieces that are equal as one row:
+    the least id and how often it occurs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
 
+        def rows() -> pa.RecordBatch:
+            columns = zip(*((k, m, least, times, segment) for (k, m), (least, times, segment) in held.items()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.binary()])],
+                ["key", "mark", "least", "times", "segment"],
+            )
 
-def _crowded(distinct: DataFrame, bound: int) -> DataFrame:
-    return distinct.groupBy("key").count().filter(F.col("count") > bound).select("key").checkpoint()
+        for _, laid, found, mark, ids in _filed(batches, method, shared.value):
+            key = found.key.view(np.int64)
+            order = np.lexsort((ids, mark, key))
+            k, m = key[order], mark[order]
+            heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])]))
+            times = np.diff(np.concatenate([heads, [len(k)]]))
+            lead = order[heads]
+            raw = laid.data.tobytes()
+            a, b = laid.starts[found.first[lead]], laid.ends[found.first[lead] + found.n[lead] + method.width - 2]
+            for name, least, n, i, j in zip(
+                zip(k[heads].tolist(), m[heads].tolist()), ids[lead].tolist(), times.tolist(), a.tolist(), b.tolist()
+            ):
+                known = held.get(name)
+                if known is None:
+                    held[name] = [least, n, raw[i:j]]
+                else:
+                    known[0] = min(known[0], least)
+                    known[1] += n
+            if len(held) >= HELD_SEGMENTS:
+                yield rows()
+                held.clear()
+        if held:
+            yield rows()
+
+    return docs.mapInArrow(run, _SEGMENTS)
 
 
 _REFILED = "key long, mark long, whole_key long, whole_mark long, offset int, least long, times long, segment binary"
@@ -365,69 +387,99 @@ def _refiled(rows: DataFrame, method: Method, gram: int) -> DataFrame:
     return rows.mapInArrow(run, _REFILED)
 
 
-def _answers(distinct: DataFrame, method: Method) -> DataFrame:
-    """(key, mark, answer) of distinct segments, solved in batches that hold whole keys."""
+def _solved(segments: DataFrame, method: Method, bound: int, label: str) -> DataFrame:
+    """(key, mark, answer) of the segments, and those of crowded keys as they are, in a written table.
 
+    Rows of one segment are added up on the way. Keys come sorted, whole keys are solved
+    in batches, and no more than ``bound`` segments of a key are held: beyond, they are passed
+    on (answer null). Segments that share nothing with others have no row.
+    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(table: pa.Table) -> pa.RecordBatch:
-            answers = method.solve(
-                table.column("segment").to_pylist(), table.column("times").to_numpy(), table.column("least").to_numpy()
-            )
+        def written(key, mark, answer, least, times, segment) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+            columns = (key, mark, answer, least, times, segment)
             return pa.RecordBatch.from_arrays(
-                [table.column("key").combine_chunks(), table.column("mark").combine_chunks(),
-                 pa.array(answers, pa.binary())],
-                ["key", "mark", "answer"],
-            )
+                [pa.array(c, t) for c, t in zip(columns, kinds)],
+                ["key", "mark", "answer", "least", "times", "segment"],
+            )
 
-        held, rows = [], 0
-        for whole in batches:
-            for batch in (whole.slice(i, BATCH_SEGMENTS) for i in range(0, whole.num_rows, BATCH_SEGMENTS)):
-                held.append(batch)
-                rows += batch.num_rows
-                if rows < BATCH_SEGMENTS:
-                    continue
-                table = pa.Table.from_batches(held)
-                key = table.column("key").to_numpy()
-                if key[0] == key[-1]:
-                    continue
-                cut = int(np.flatnonzero(key != key[-1])[-1]) + 1  # the last key may go on
-                yield solved(table.slice(0, cut))
-                held, rows = table.slice(cut).to_batches(), len(key) - cut
-        if rows:
-            yield solved(pa.Table.from_batches(held))
-
-    dealt = distinct.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, mark long, answer binary")
-
-
-def _all_answers(distinct: DataFrame, method: Method, bound: int) -> DataFrame:
-    """(key, mark, offset, answer): what is known of each distinct segment from its unit ``offset`` on."""
-    crowded = _crowded(distinct, bound)
-    if crowded.isEmpty():
-        return _answers(distinct, method).withColumn("offset", F.lit(0))
-    few = distinct.join(crowded, "key", "left_anti")
-    parts = [_answers(few, method).withColumn("offset", F.lit(0))]
-    rows = distinct.join(crowded, "key", "left_semi").selectExpr(
-        "key AS whole_key", "mark AS whole_mark", "0 AS offset", "least", "times", "segment"
-    )
+        def solved(ready: list[list]) -> pa.RecordBatch:
+            keys, marks, least, times, segments = zip(*ready)
+            answers = method.solve(list(segments), np.array(times), np.array(least))
+            kept = [i for i, a in enumerate(answers) if a]
+            none = [None] * len(kept)
+            return written([keys[i] for i in kept], [marks[i] for i in kept], [answers[i] for i in kept], none, none, none)
+
+        def passed(rows: list[list]) -> pa.RecordBatch:
+            keys, marks, least, times, segments = zip(*rows)
+            return written(keys, marks, [None] * len(rows), least, times, segments)
+
+        ready: list[list] = []  # of whole keys
+        own: list[list] = []  # of the key at hand
+        crowded = False
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "mark", "least", "times", "segment"))):
+                if own and own[-1][0] == row[0]:
+                    if own[-1][1] == row[1]:
+                        own[-1][2] = min(own[-1][2], row[2])
+                        own[-1][3] += row[3]
+                        continue
+                    if len(own) >= bound:
+                        crowded = True
+                        yield passed(own)
+                        own = []
+                elif own:
+                    if crowded:
+                        yield passed(own)
+                    else:
+                        ready += own
+                    own, crowded = [], False
+                    if len(ready) >= BATCH_SEGMENTS:
+                        yield solved(ready)
+                        ready = []
+                own.append(list(row))
+        if own:
+            if crowded:
+                yield passed(own)
+            else:
+                ready += own
+        if ready:
+            yield solved(ready)
+
+    dealt = segments.repartition("key").sortWithinPartitions("key", "mark")
+    path = shared_path(segments.sparkSession, label)
+    schema = "key long, mark long, answer binary, least long, times long, segment binary"
+    dealt.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return segments.sparkSession.read.schema(schema).parquet(path)
+
+
+def _all_answers(segments: DataFrame, method: Method, bound: int) -> DataFrame:
+    """(key, mark, offset, answer): what is known of each segment from its unit ``offset`` on."""
+    spark = segments.sparkSession
+    table = _solved(segments, method, bound, "segments")
+    parts = [table.filter("answer IS NOT NULL").selectExpr("key", "mark", "0 AS offset", "answer")]
+    left = table.filter("segment IS NOT NULL")
+    rows = left.selectExpr("key AS whole_key", "mark AS whole_mark", "0 AS offset", "least", "times", "segment")
     gram = method.gram
-    while True:
+    while gram < method.width and not left.isEmpty():
         # Half as many grams in a window each time; the last one is the window.
         gram = method.width - (method.width - gram) // 2
-        rows = _refiled(rows, method, gram).checkpoint()
-        own = _distinct(rows).checkpoint()
-        still = _crowded(own, bound)
-        last = gram == method.width or still.isEmpty()
-        solved = _answers(own if last else own.join(still, "key", "left_anti"), method)
+        path = shared_path(spark, "refiled")
+        _refiled(rows, method, gram).write.option("compression", "zstd").parquet(path)
+        rows = spark.read.schema(_REFILED).parquet(path)
+        own = rows.groupBy("key", "mark").agg(
+            F.min("least").alias("least"), F.sum("times").alias("times"), F.first("segment").alias("segment")
+        )
+        # Under a gram as long as the window a key has one segment, but for chance.
+        table = _solved(own, method, bound if gram < method.width else 1 << 40, "segments")
         parts.append(
             rows.select("key", "mark", "whole_key", "whole_mark", "offset")
-            .join(solved, ["key", "mark"])
+            .join(table.filter("answer IS NOT NULL").select("key", "mark", "answer"), ["key", "mark"])
             .selectExpr("whole_key AS key", "whole_mark AS mark", "offset", "answer")
         )
-        if last:
-            break
-        rows = rows.join(still, "key", "left_semi").drop("key", "mark")
-    found = parts[0].select("key", "mark", "offset", "answer")
+        left = table.filter("segment IS NOT NULL")
+        rows = rows.join(left.select("key").distinct(), "key", "left_semi").drop("key", "mark")
+    found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
     return found
@@ -441,9 +493,8 @@ def answered(docs: DataFrame, method: Method, bound: int = KEY_SEGMENTS, bits: i
     """
     known = _identified(docs)
     shared = docs.sparkSession.sparkContext.broadcast(filter_of(_repeated_keys(known, method), bits))
-    distinct = _distinct(_segments(known, method, shared, True)).checkpoint()
-    places = _segments(known, method, shared, False)
-    found = places.join(_all_answers(distinct, method, bound), ["key", "mark"])
+    answers = _all_answers(_segments(known, method, shared), method, bound)
+    found = _places(known, method, shared).join(answers, ["key", "mark"])
     return found.select("doc_id", "print", (F.col("first") + F.col("offset")).alias("first"), "answer")
 
 

@@ -181,48 +181,53 @@ def _forest(index: GrayIndex, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return moved, roots[moved]
 
 
-def _cut(code: int, mask: int, blocks: int) -> list[tuple[int, int]]:
-    """The masks and values of a code's buckets, one per block of the bits outside ``mask``."""
-    free = [b for b in range(BITS) if not mask >> b & 1]
-    out = []
-    for i in range(blocks):
-        part = free[len(free) * i // blocks : len(free) * (i + 1) // blocks]
-        held = mask | sum(1 << b for b in part)
-        out.append((held, code & held))
-    return out
+def _cuts(varying: int, mask: int, blocks: int) -> list[int]:
+    """The masks of a bucket's parts: its mask with one block each of the bits that vary in it."""
+    free = [b for b in range(BITS) if varying >> b & 1]
+    ends = [len(free) * i // blocks for i in range(blocks + 1)]
+    return [mask | sum(1 << b for b in free[i:j]) for i, j in zip(ends, ends[1:])]
 
 
 def _buckets(codes: DataFrame, distance: int, bound: int) -> DataFrame:
-    """(fp, mask, value): buckets of at most ``bound`` rows in which every link is found."""
+    """(fp, mask, value): buckets of at most ``bound`` rows in which every link is found.
+
+    Two linked codes of a bucket differ in at most ``distance`` of the bits that vary in it,
+    so they agree on one of ``distance + 1`` blocks of these. Bits on which all agree are
+    left out of the blocks: each cut makes buckets smaller.
+    """
     blocks = distance + 1
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            masks = batch.column("mask").to_numpy(zero_copy_only=False).view(np.uint64)
+            fps, masks, bits = (
+                batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "mask", "varying")
+            )
+            kinds, owner = np.unique(np.stack([masks, bits]), axis=1, return_inverse=True)
             parts = []
-            for held in np.unique(masks):
-                own = fps[masks == held]
-                for new, _ in _cut(0, int(held), blocks):
+            for number, (held, varying) in enumerate(kinds.T.tolist()):
+                own = fps[owner.reshape(-1) == number]
+                for new in _cuts(varying, held, blocks):
                     parts.append((own, np.full(len(own), new, np.uint64), own & np.uint64(new)))
             if parts:
                 columns = [np.concatenate(c).view(np.int64) for c in zip(*parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "mask", "value"])
 
     schema = "fp long, mask long, value long"
-    todo = codes.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("value"))
+    keys = ["mask", "value"]
+    todo = codes.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(-1).cast("long").alias("varying"))
     done = None
     while True:
         rows = todo.mapInArrow(spread, schema).checkpoint()
-        # With fewer free bits than blocks a bucket is at most 2^distance codes: small already.
-        large = rows.groupBy("mask", "value").count().filter(F.col("count") > bound).select("mask", "value")
-        large = large.checkpoint()
+        size = rows.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.expr("bit_or(fp) & ~bit_and(fp)").alias("varying")
+        )
+        # Where no more than ``distance`` bits vary a bucket has few codes anyway.
+        large = size.filter((F.col("n") > bound) & (F.bit_count("varying") > distance)).drop("n").checkpoint()
         if large.isEmpty():
             return rows if done is None else done.union(rows)
-        keys = ["mask", "value"]
         fine = rows.join(large, keys, "left_anti").select("fp", *keys)
         done = fine if done is None else done.union(fine)
-        todo = rows.join(large, keys, "left_semi").select("fp", *keys)
+        todo = rows.join(large, keys).select("fp", "mask", "varying")
 
 
 def links(codes: DataFrame, distance: int = DISTANCE, bound: int = BUCKET_ROWS) -> DataFrame:

@@ -106,13 +106,20 @@ class Automaton:
 
 
 def solve(segments: list[bytes], times: np.ndarray, least: np.ndarray, width: int = WIDTH) -> list[bytes]:
-    """Per segment, the first document of each of its windows, as 64-bit integers."""
+    """Per segment, the first document of each of its windows, as 64-bit integers.
+
+    Nothing where the segment occurs once and no window has an earlier document.
+    """
     automaton = Automaton()
     split = [s.split(b" ") for s in segments]
     for words, number in zip(split, least.tolist()):
         automaton.add(words, number)
     automaton.finish()
-    return [np.array(automaton.first_documents(words, width), np.int64).tobytes() for words in split]
+    out = []
+    for words, number, n in zip(split, least.tolist(), times.tolist()):
+        found = automaton.first_documents(words, width)
+        out.append(np.array(found, np.int64).tobytes() if n > 1 or min(found) < number else b"")
+    return out
 
 
 def covered(spans: list[dict] | None, doc_id: int, n_words: int, width: int) -> np.ndarray:
