@@ -59,7 +59,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.removals(_documents(spark, sf_dir)).drop("kept")
+    return substring.removals(_documents(spark, sf_dir))
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -517,6 +517,17 @@ def unpacked(column: pa.Array) -> list[bytes]:
     return [loose(value) for value in column.to_pylist()]
 
 
+def spans_of(column: pa.ListArray) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Per row of ``spans``: the units at which its answers start, and the answers; none for null."""
+    bounds = column.offsets.to_numpy()
+    inner = column.values.slice(bounds[0], bounds[-1] - bounds[0])
+    first = inner.field("first").to_numpy(zero_copy_only=False)
+    answers = inner.field("answer").to_pylist()
+    bounds = (bounds - bounds[0]).tolist()
+    for a, b in zip(bounds, bounds[1:]):
+        yield first[a:b], answers[a:b]
+
+
 def with_answers(docs: DataFrame, found: DataFrame, *others: Column) -> DataFrame:
     """(doc_id, text, spans array<struct<first, answer>>, others...) of every row of ``docs``.
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.llm.arrow import pieces
-from spendlens.llm.repeats import KEY_SEGMENTS, Method, answered, as_words, unpacked, with_answers
+from spendlens.llm.repeats import KEY_SEGMENTS, Method, answered, as_words, spans_of, unpacked, with_answers
 from spendlens.llm.tables import NO_ID
 
 WIDTH = 13
@@ -122,15 +122,14 @@ def solve(segments: list[bytes], times: np.ndarray, least: np.ndarray, width: in
     return out
 
 
-def covered(spans: list[dict] | None, doc_id: int, n_words: int, width: int) -> np.ndarray:
+def covered(first: np.ndarray, answers: list[bytes], doc_id: int, n_words: int, width: int) -> np.ndarray:
     """Which words lie in a window whose first document is smaller than ``doc_id``."""
-    edge = np.zeros(n_words + 1, np.int64)
-    for span in spans or ():
-        early = span["first"] + np.flatnonzero(np.frombuffer(span["answer"], np.int64) < doc_id)
-        edge[early] += 1
-        edge[np.minimum(early + width, n_words)] -= 1
-    # Windows are at most one a start, spans of one text don't overlap in their starts.
-    return np.cumsum(edge[:-1]) > 0
+    sizes = np.fromiter(map(len, answers), np.int64, len(answers)) // 8
+    ends = np.cumsum(sizes)
+    start = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    early = start[np.frombuffer(b"".join(answers), np.int64) < doc_id]
+    edge = np.bincount(early, minlength=n_words + 1) - np.bincount(early + width, minlength=n_words + 1)
+    return np.cumsum(edge[:n_words]) > 0
 
 
 def _method(width: int) -> Method:
@@ -153,45 +152,41 @@ def without(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _kept(text: bytes, spans: list[dict] | None, doc_id: int, width: int) -> tuple[bytes, list[bytes], int]:
-    """(the text without removed words, the kept words, the number of removed ones)."""
-    words = text.split()
-    if spans:
-        gone = covered(spans, doc_id, len(words), width)
-        lost = int(gone.sum())
-        if lost:
-            return without(text, gone), [w for w, drop in zip(words, gone.tolist()) if not drop], lost
-    return text, words, 0
+def _gone(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, bytes, list[bytes], np.ndarray | None]]:
+    """(id, text, words, which of them go: None for none) of every row."""
+    for doc_id, text, (first, answers) in zip(
+        batch.column("doc_id").to_pylist(), unpacked(batch.column("text")), spans_of(batch.column("spans"))
+    ):
+        words = text.split()
+        gone = covered(first, answers, doc_id, len(words), width) if answers else None
+        yield doc_id, text, words, gone if gone is not None and gone.any() else None
 
 
 def removals(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept) of every row of (doc_id, text).
+    """(doc_id, n_words, n_removed, kept_sha256) of every row of (doc_id, text).
 
     Words are what stands between ASCII white space. A word goes if a window of ``width``
     words that covers it also starts in a document with a smaller id; windows are those of the
     input. A null or empty text has no words. A null id counts as larger than any other. Rows
-    that share an id are no earlier documents to each other. ``kept`` is the text without the
-    words, ``kept_sha256`` of the kept words joined by one blank.
+    that share an id are no earlier documents to each other. ``kept_sha256`` is of the kept
+    words joined by one blank; ``rewritten`` gives the texts.
     """
     found = with_answers(docs, answered(docs, _method(width), bound))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             rows = []
-            for doc_id, text, spans in zip(
-                batch.column("doc_id").to_pylist(), unpacked(batch.column("text")), batch.column("spans").to_pylist()
-            ):
-                kept, words, lost = _kept(text, spans, doc_id, width)
-                name = None if doc_id == NO_ID else doc_id
-                rows.append((name, len(words) + lost, lost, hashlib.sha256(b" ".join(words)).hexdigest(), kept.decode()))
-            ids, counts, removed, prints, kept = zip(*rows)
+            for doc_id, _, words, gone in _gone(batch, width):
+                kept = words if gone is None else [words[i] for i in np.flatnonzero(~gone).tolist()]
+                digest = hashlib.sha256(b" ".join(kept)).hexdigest()
+                rows.append((None if doc_id == NO_ID else doc_id, len(words), len(words) - len(kept), digest))
+            ids, counts, removed, prints = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array(prints), pa.array(kept)],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-            )
+                [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(prints)],
+                ["doc_id", "n_words", "n_removed", "kept_sha256"],
+            )
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def rewritten(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) -> DataFrame:
@@ -205,12 +200,9 @@ def rewritten(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             new, changed = [], []
-            for doc_id, text, spans in zip(
-                batch.column("doc_id").to_pylist(), unpacked(batch.column("text")), batch.column("spans").to_pylist()
-            ):
-                kept, _, lost = _kept(text, spans, doc_id, width)
-                new.append(kept.decode())
-                changed.append(lost > 0)
+            for _, text, _, gone in _gone(batch, width):
+                new.append((text if gone is None else without(text, gone)).decode())
+                changed.append(gone is not None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(new, pa.string()), pa.array(changed, pa.bool_())],
                 ["row", "kept", "changed"],

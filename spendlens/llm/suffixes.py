@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from spendlens.llm.arrow import pieces
-from spendlens.llm.repeats import KEY_SEGMENTS, Laid, Method, answered, as_bytes, unpacked, with_answers
+from spendlens.llm.repeats import KEY_SEGMENTS, Laid, Method, answered, as_bytes, spans_of, unpacked, with_answers
 from spendlens.llm.tables import NO_ID
 
 WIDTH = 200
@@ -146,20 +146,16 @@ def solve(segments: list[bytes], times: np.ndarray, least: np.ndarray, width: in
     return out
 
 
-def removed_spans(spans: list[dict] | None, width: int) -> np.ndarray:
+def removed_spans(first: np.ndarray, answers: list[bytes], width: int) -> np.ndarray:
     """The maximal removed runs of a text, as (start, end) rows."""
-    if not spans:
+    if not answers:
         return np.zeros((0, 2), np.int64)
-    pairs = np.concatenate(
-        [np.frombuffer(s["answer"], np.int32).reshape(-1, 2).astype(np.int64) + s["first"] for s in spans]
-    )
+    sizes = np.fromiter(map(len, answers), np.int64, len(answers)) // 8
+    pairs = np.frombuffer(b"".join(answers), np.int32).reshape(-1, 2) + np.repeat(first, sizes)[:, None].astype(np.int64)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    if not len(pairs):
-        return pairs
     pairs[:, 1] += width - 1  # the last window's end
     reach = np.maximum.accumulate(pairs[:, 1])
-    new = np.concatenate([[True], pairs[1:, 0] > reach[:-1]])
-    heads = np.flatnonzero(new)
+    heads = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > reach[:-1]]))
     return np.stack([pairs[heads, 0], reach[np.concatenate([heads[1:] - 1, [len(pairs) - 1]])]], axis=1)
 
 
@@ -183,8 +179,8 @@ def removals(docs: DataFrame, width: int = WIDTH, bound: int = KEY_SEGMENTS) ->
         for batch in pieces(batches):
             ids = [None if i == NO_ID else i for i in batch.column("doc_id").to_pylist()]
             rows = []
-            for text, spans in zip(unpacked(batch.column("text")), batch.column("spans").to_pylist()):
-                cuts = removed_spans(spans, width)
+            for text, (first, answers) in zip(unpacked(batch.column("text")), spans_of(batch.column("spans"))):
+                cuts = removed_spans(first, answers, width)
                 edges = [0, *cuts.reshape(-1).tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 rows.append((len(text), len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept))

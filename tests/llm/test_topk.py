@@ -47,3 +47,16 @@ def test_fewer_candidates_than_k_and_none(spark):
     assert [tuple(r) for r in top_k(vectors, queries).collect()] == [(0, 1, 1, 1024 * 2048)]
     empty = vectors.filter("false")
     assert top_k(vectors, empty).collect() == [] and top_k(empty, queries).collect() == []
+
+
+def test_query_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    from spendlens.llm.queries import ORACLE_SQL, QUERIES
+
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
+    result = connection.execute(ORACLE_SQL["op6_topk"])
+    names = [c[0] for c in result.description]
+    expected = sorted_rows(result.fetchall())
+    assert sorted_rows(QUERIES["op6_topk"](spark, sf_dir).select(*names).collect()) == expected
