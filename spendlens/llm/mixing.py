@@ -4,10 +4,11 @@ A text is a sequence of tokens: its words, A-Z in lower case, then one end. A fr
 is a path in a Huffman tree, bit by bit; any other is an escape, followed by its bytes, bit
 by bit, where the text itself is coded (bits per byte), or by its share among rare
 training words, all unseen words being one type, where tokens are scored as the base does.
-Several predictors see the same bit under hashed contexts: the node alone; with the word before; with the two last common words. A match predictor expects the word
-that came last time after the same two words in this text. Their logits are mixed
-by a weight set that a gate chooses (depth, match), learnt online, and the mix is refined by an
-adaptive map from gate and logit to what bits came out.
+Several predictors see the same bit under hashed contexts: the node alone; with the word
+before; with the two last common words. A match predictor expects the word that came last
+time after the same two words in this text. Their logits are mixed by a weight set that a
+gate chooses (depth, match), learnt online, and the mix is refined by an adaptive map from
+gate and logit to what bits came out.
 
 The bit counts of each hashed context are gathered from all training documents: every
 task fills tables of fixed size, and chunks of these are added up after a shuffle. The mixing
@@ -17,16 +18,16 @@ weights are learnt from a bounded sample of training documents that the tables l
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.arrow import pieces, texts
+from spendlens.llm.arrow import pieces
 
 #: Words that have a path of their own, at most; those with one occurrence have none.
 VOCABULARY = 1 << 18
@@ -36,16 +37,24 @@ WORD_SLOTS, LETTER_SLOTS = 1 << 20, 1 << 18
 COMMON = 96
 #: Documents that the mixing weights are learnt from, about, and the longest of them in bytes.
 SAMPLE, SAMPLE_BYTES = 250, 100_000
-#: Text bytes laid out at a time, entries of a shuffled chunk, bits of an online step.
-AT_ONCE, CHUNK, STEP = 1 << 19, 1 << 16, 1024
+#: Text bytes split at a time, tokens coded at a time, entries of a shuffled chunk.
+AT_ONCE, TOKENS, CHUNK = 4 << 20, 20_000, 1 << 16
+#: Bits of an online step, and rounds over the sample.
+STEP, ROUNDS = 1024, 3
 RATE, MAP_RATE, PRIOR = 0.005, 0.02, 0.4
 DEPTHS, BINS, LIMIT = 12, 33, 12.0
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as one binary array, and each text's number of them."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    words = parts.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # white space at the ends leaves empty ones
+    marks = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    bounds = parts.offsets.to_numpy()
+    return words.filter(full).cast(pa.binary()), np.diff(marks[bounds - bounds[0]])
 
 
 # The code of the words.
@@ -173,8 +182,9 @@ def word_bits(code: Code, ids: np.ndarray, starts: np.ndarray) -> Bits:
     return Bits(bit, slots, extra, gate, first)
 
 
-def letter_bits(words: list[bytes]) -> Bits:
+def letter_bits(words: pa.Array) -> Bits:
     """Of words spelled byte by byte, a blank at the end of each; a token is a word."""
+    words = words.to_pylist()
     data = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.int64)
     n = len(data)
     sizes = np.array([len(w) + 1 for w in words], np.int64)
@@ -233,23 +243,22 @@ class Mixer:
     def _bin(logit: np.ndarray) -> np.ndarray:
         return ((logit + np.float32(LIMIT)) * np.float32((BINS - 1) / (2 * LIMIT)) + np.float32(0.5)).astype(np.int32)
 
-    def learn(self, bits: Bits, rounds: int = 3) -> None:
+    def learn(self, bits: Bits) -> None:
         """Online, bit by bit in steps of ``STEP``: weights by the gradient, map by what came."""
-        for _ in range(rounds):
-            for i in range(0, len(bits.bit), STEP):
-                part = slice(i, i + STEP)
-                x, gate, y = self.inputs(bits, part), bits.gate[part], bits.bit[part]
-                logit = self._mixed(x, gate)
-                error = y - 1 / (1 + np.exp(-logit))
-                n = np.maximum(np.bincount(gate, minlength=self.gates), 16)
-                for k, own in enumerate([*x, 1.0]):
-                    step = np.bincount(gate, weights=error * own, minlength=self.gates) / n
-                    self.weights[:, k] += (RATE * 8 * step).astype(np.float32)
-                at = gate * BINS + self._bin(logit)
-                came = np.bincount(at, weights=y, minlength=self.refined.size)
-                seen = np.bincount(at, minlength=self.refined.size)
-                flat = self.refined.reshape(-1)
-                flat += (came - seen * flat) * np.minimum(MAP_RATE, 1 / np.maximum(seen, 1))
+        for i in range(0, len(bits.bit), STEP):
+            part = slice(i, i + STEP)
+            x, gate, y = self.inputs(bits, part), bits.gate[part], bits.bit[part]
+            logit = self._mixed(x, gate)
+            error = y - 1 / (1 + np.exp(-logit))
+            n = np.maximum(np.bincount(gate, minlength=self.gates), 16)
+            for k, own in enumerate([*x, 1.0]):
+                step = np.bincount(gate, weights=error * own, minlength=self.gates) / n
+                self.weights[:, k] += (RATE * 8 * step).astype(np.float32)
+            at = gate * BINS + self._bin(logit)
+            came = np.bincount(at, weights=y, minlength=self.refined.size)
+            seen = np.bincount(at, minlength=self.refined.size)
+            flat = self.refined.reshape(-1)
+            flat += (came - seen * flat) * np.minimum(MAP_RATE, 1 / np.maximum(seen, 1))
 
     def log2(self, bits: Bits) -> np.ndarray:
         """Per token, the sum of its bits' log2 probabilities."""
@@ -289,26 +298,31 @@ class Model:
         self.unseen = (self.single + 1.0) / (self.rare + 2.0)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "numbers"}
-
-    def numbering(self) -> dict[bytes, int]:
-        if "numbers" not in self.__dict__:
-            self.numbers = {w: i for i, w in enumerate(self.code.words)}
-        return self.numbers
-
-    def laid_out(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(token numbers, first token of each text, the words that are escapes)."""
-        get, escape, end = self.numbering().get, self.code.escape, self.code.end
-        words: list[bytes] = []
-        ends: list[int] = []
-        for text in docs:
-            words += tokens_of(text)
-            ends.append(len(words))
-            words.append(b"")  # the end
-        ids = np.fromiter([get(w, escape) for w in words], np.int64, len(words))
-        ids[ends] = end
-        starts = np.concatenate([[0], np.array(ends, np.int64)[:-1] + 1])
-        return ids, starts, [words[i] for i in np.flatnonzero(ids == escape).tolist()]
+        return {k: v for k, v in self.__dict__.items() if k != "words_"}
+
+    def vocabulary(self) -> pa.Array:
+        if "words_" not in self.__dict__:
+            self.words_ = pa.array(self.code.words, pa.binary())
+        return self.words_
+
+    def laid_out(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+        """(token numbers, first token of each text, the words that are escapes), some texts at a time."""
+        words, counts = split_words(column)
+        found = pc.index_in(words, value_set=self.vocabulary())
+        numbers = pc.fill_null(found, self.code.escape).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(counts)
+        tokens = np.insert(numbers, ends, self.code.end)
+        after = ends + np.arange(1, len(ends) + 1)
+        text = 0
+        while text < len(counts):
+            begin = after[text - 1] if text else 0
+            stop = max(int(np.searchsorted(after, begin + TOKENS, "right")), text + 1)
+            own = tokens[begin : after[stop - 1]]
+            starts = np.concatenate([[0], after[text : stop - 1] - begin])
+            low, high = ends[text] - counts[text], ends[stop - 1]
+            rare = words.slice(low, high - low).take(np.flatnonzero(numbers[low:high] == self.code.escape))
+            yield own, starts, rare
+            text = stop
 
 
 def _sizes(code: Code) -> list[int]:
@@ -324,11 +338,11 @@ def _gathered(docs: DataFrame, model: Model) -> list[np.ndarray]:
         own: Model = shared.value
         tables = [np.zeros(2 * n, np.int32) for n in sizes]
         for batch in pieces(batches, limit=AT_ONCE):
-            ids, starts, rare = own.laid_out(texts(batch.column("text")))
-            for at, bits in ((0, word_bits(own.code, ids, starts)), (3, letter_bits(rare) if rare else None)):
-                if bits is not None:
-                    for k, slots in enumerate(bits.slots):
-                        np.add.at(tables[at + k], 2 * slots + bits.bit, np.int32(1))
+            for ids, starts, rare in own.laid_out(batch.column("text")):
+                for at, bits in ((0, word_bits(own.code, ids, starts)), (3, letter_bits(rare) if len(rare) else None)):
+                    if bits is not None:
+                        for k, slots in enumerate(bits.slots):
+                            np.add.at(tables[at + k], 2 * slots + bits.bit, np.int32(1))
         for k, table in enumerate(tables):
             for i in range(0, len(table), CHUNK):
                 part = table[i : i + CHUNK]
@@ -366,15 +380,10 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, n) over all tokens of all texts; the end is the empty word."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=4 << 20):
-            found: Counter = Counter()
-            for text in texts(batch.column("text")):
-                found.update(tokens_of(text))
-            if batch.num_rows:
-                found[b""] = batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"]
-                )
+        for batch in pieces(batches, limit=8 << 20):
+            found = pc.value_counts(split_words(batch.column("text"))[0])
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([b""]), pa.array([batch.num_rows], pa.int64())], ["word", "n"])
 
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -420,11 +429,11 @@ def train(docs: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY) -> M
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     model.words = Mixer(tables[:3], 2 * DEPTHS, True)
     model.letters = Mixer(tables[3:], 16, False)
-    if rows:
-        ids, starts, rare = model.laid_out([r["text"].encode() for r in rows])
-        model.words.learn(word_bits(code, ids, starts))
-        if rare:
-            model.letters.learn(letter_bits(rare))
+    for _ in range(ROUNDS if rows else 0):
+        for ids, starts, rare in model.laid_out(pa.array([r["text"] for r in rows])):
+            model.words.learn(word_bits(code, ids, starts))
+            if len(rare):
+                model.letters.learn(letter_bits(rare))
     return model
 
 
@@ -435,24 +444,25 @@ def _rare(docs: DataFrame, counts: DataFrame, shared) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shared.value.numbering()
+        known = shared.value.vocabulary()
         for batch in pieces(batches, limit=AT_ONCE):
-            ids, prints, words, times = [], [], [], []
-            for doc_id, mark, text in zip(
-                batch.column("doc_id").to_pylist(), batch.column("print").to_pylist(), texts(batch.column("text"))
-            ):
-                found = Counter(w for w in tokens_of(text) if w not in numbers)
-                if found:
-                    found[b""] = 1  # counts the rows that share an id and a text
-                    ids += [doc_id] * len(found)
-                    prints += [mark] * len(found)
-                    words += found
-                    times += found.values()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(words, pa.binary()),
-                 pa.array(times, pa.int64())],
-                ["doc_id", "print", "word", "times"],
-            )
+            words, counts = split_words(batch.column("text"))
+            rare = np.flatnonzero(pc.index_in(words, value_set=known).is_null().to_numpy(zero_copy_only=False))
+            owner = np.repeat(np.arange(len(counts)), counts)[rare]
+            # An empty word for each text that has any: it counts the rows that share an id and a text.
+            having = np.unique(owner)
+            rows = pa.array(np.concatenate([owner, having]))
+            table = pa.Table.from_arrays(
+                [rows, pa.concat_arrays([words.take(rare), pa.array([b""] * len(having), pa.binary())])], ["row", "word"]
+            )
+            table = table.group_by(["row", "word"]).aggregate([([], "count_all")])
+            for part in table.to_batches():
+                row = part.column("row")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(row), batch.column("print").take(row), part.column("word"),
+                     part.column("count_all")],
+                    ["doc_id", "print", "word", "times"],
+                )
 
     rows = docs.mapInArrow(run, "doc_id long, print long, word binary, times long")
     joined = rows.join(counts, "word", "left")
@@ -488,21 +498,23 @@ def score(docs: DataFrame, held_out: Column, vocabulary: int = VOCABULARY) -> Da
         own: Model = shared.value
         whole = np.log10(own.total + own.types + 1.0)
         for batch in pieces(batches, limit=AT_ONCE):
-            raw = texts(batch.column("text"))
-            ids, starts, rare = own.laid_out(raw)
-            logs = own.words.log2(word_bits(own.code, ids, starts))
-            tokens = np.add.reduceat(logs, starts)
-            if rare:
-                logs[np.flatnonzero(ids == own.code.escape)] += own.letters.log2(letter_bits(rare))
-            spelled = np.add.reduceat(logs, starts)
-            n = np.diff(np.concatenate([starts, [len(ids)]]))
-            base = np.add.reduceat(own.known[ids], starts) - n * whole
-            is_known = np.add.reduceat((own.counts[ids] > 0).astype(np.int64), starts)
-            sizes = np.array([len(t) for t in raw], np.float64)
+            column = batch.column("text")
+            parts = []
+            for ids, starts, rare in own.laid_out(column):
+                logs = own.words.log2(word_bits(own.code, ids, starts))
+                tokens = np.add.reduceat(logs, starts)
+                if len(rare):
+                    logs[np.flatnonzero(ids == own.code.escape)] += own.letters.log2(letter_bits(rare))
+                n = np.diff(np.concatenate([starts, [len(ids)]]))
+                base = np.add.reduceat(own.known[ids], starts) - n * whole
+                seen = np.add.reduceat((own.counts[ids] > 0).astype(np.int64), starts)
+                parts.append((n, seen, base, tokens * np.log10(2.0), np.add.reduceat(logs, starts)))
+            n, seen, base, tokens, spelled = (np.concatenate(c) for c in zip(*parts))
+            sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.float64)
             per_byte = pa.array(-spelled / np.maximum(sizes, 1), mask=sizes == 0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("print"), batch.column("held_out"), pa.array(n),
-                 pa.array(is_known), pa.array(base), pa.array(tokens * np.log10(2.0)), per_byte],
+                 pa.array(seen), pa.array(base), pa.array(tokens), per_byte],
                 ["doc_id", "print", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"],
             )
 

@@ -183,6 +183,20 @@ def test_model_beats_the_base_on_held_out_documents(spark, sf_dir):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows)
 
 
+def test_words_are_those_between_ascii_white_space():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = ["", " ", " A  b\n", "x\x0by\x0cz\rw\tq ", "é b\x1c\x1fd", "ÄÖ İ K", "\x00 \x85"]
+    texts += ["".join(rng.choice(" \n\tabÉ\x0b\x0c\r") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    words, counts = mixing.split_words(pa.array(["q w", *texts]).slice(1))
+    expected = [t.encode().lower().split() for t in texts]
+    assert counts.tolist() == [len(e) for e in expected]
+    assert words.to_pylist() == [w for e in expected for w in e]
+
+
 def test_empty_corpus(spark):
     none = documents(spark, []).select("doc_id", "text")
     assert mixing.score(none, F.lit(False)).collect() == []
