@@ -12,7 +12,10 @@ gate and logit to what bits came out.
 
 The bit counts of each hashed context are gathered from all training documents: every
 task fills tables of fixed size, and chunks of these are added up after a shuffle. The mixing
-weights are learnt from a bounded sample of training documents that the tables leave out.
+weights and maps are learnt from all training documents too: each task goes online through its
+own, against tables that leave their fold out, and what the tasks have learnt is averaged by the
+bits that each has seen. When texts are scored both stay as they are, so that no
+row's score depends on other rows scored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +39,12 @@ VOCABULARY = 1 << 18
 WORD_SLOTS, LETTER_SLOTS = 1 << 20, 1 << 18
 #: Words with the lowest numbers (the most frequent ones) that count as common.
 COMMON = 96
-#: Documents that the mixing weights are learnt from, about, and the longest of them in bytes.
-SAMPLE, SAMPLE_BYTES = 250, 100_000
+#: Parts of the training documents; weights are learnt on each against the counts of the others.
+FOLDS = 2
 #: Text bytes split at a time, tokens coded at a time, entries of a shuffled chunk.
 AT_ONCE, TOKENS, CHUNK = 4 << 20, 20_000, 1 << 16
-#: Bits of an online step, and rounds over the sample.
-STEP, ROUNDS = 1024, 3
+#: Bits of an online step.
+STEP = 1024
 RATE, MAP_RATE, PRIOR = 0.005, 0.02, 0.4
 DEPTHS, BINS, LIMIT = 12, 33, 12.0
 
@@ -218,8 +222,11 @@ class Mixer:
     extra: bool
     weights: np.ndarray = field(default=None)
     refined: np.ndarray = field(default=None)
+    seen: np.ndarray = field(default=None)  # bits learnt from, per gate and place of its map
 
     def __post_init__(self):
+        if self.seen is None:
+            self.seen = np.zeros((self.gates, BINS), np.int64)
         if self.weights is None:
             k = len(self.tables) + self.extra + 1
             self.weights = np.full((self.gates, k), 0.35, np.float32)
@@ -228,7 +235,9 @@ class Mixer:
             self.refined = np.tile(1 / (1 + np.exp(-middle)), (self.gates, 1)).astype(np.float32)
 
     def inputs(self, bits: Bits, chosen: slice = slice(None)) -> list[np.ndarray]:
-        found = [table.take(slots[chosen]) for table, slots in zip(self.tables, bits.slots)]
+        found = [
+            table.take(slots[chosen]).astype(np.float32, copy=False) for table, slots in zip(self.tables, bits.slots)
+        ]
         if self.extra:
             found.append(bits.extra[chosen] * np.float32(4.0))
         return found
@@ -257,6 +266,7 @@ class Mixer:
             at = gate * BINS + self._bin(logit)
             came = np.bincount(at, weights=y, minlength=self.refined.size)
             seen = np.bincount(at, minlength=self.refined.size)
+            self.seen += seen.reshape(self.seen.shape)
             flat = self.refined.reshape(-1)
             flat += (came - seen * flat) * np.minimum(MAP_RATE, 1 / np.maximum(seen, 1))
 
@@ -329,53 +339,126 @@ def _sizes(code: Code) -> list[int]:
     return [code.n_nodes, WORD_SLOTS, WORD_SLOTS, 1 << 16, LETTER_SLOTS, LETTER_SLOTS]
 
 
-def _gathered(docs: DataFrame, model: Model) -> list[np.ndarray]:
-    """The logit tables: bit counts of all texts, per slot, added up chunk by chunk."""
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).cast("int")
+
+
+def _by_fold(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
+    folds = batch.column("fold")
+    for number in range(FOLDS):
+        own = batch.column("text").filter(pc.equal(folds, number))
+        if len(own):
+            yield number, own
+
+
+def _gathered(docs: DataFrame, model: Model) -> list[list[np.ndarray]]:
+    """The logit tables: bit counts of all texts, per slot, added up chunk by chunk.
+
+    First of all texts, then of all but those of each fold; the latter as float16.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     sizes = _sizes(model.code)
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value
-        tables = [np.zeros(2 * n, np.int32) for n in sizes]
+        tables: dict[int, list[np.ndarray]] = {}
         for batch in pieces(batches, limit=AT_ONCE):
-            for ids, starts, rare in own.laid_out(batch.column("text")):
-                for at, bits in ((0, word_bits(own.code, ids, starts)), (3, letter_bits(rare) if len(rare) else None)):
-                    if bits is not None:
-                        for k, slots in enumerate(bits.slots):
-                            np.add.at(tables[at + k], 2 * slots + bits.bit, np.int32(1))
-        for k, table in enumerate(tables):
-            for i in range(0, len(table), CHUNK):
-                part = table[i : i + CHUNK]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k], pa.int32()), pa.array([i // CHUNK], pa.int32()), pa.array([part.tobytes()])],
-                        ["number", "chunk", "counts"],
-                    )
+            for fold, column in _by_fold(batch):
+                if fold not in tables:
+                    tables[fold] = [np.zeros(2 * n, np.int32) for n in sizes]
+                for ids, starts, rare in own.laid_out(column):
+                    spelled = letter_bits(rare) if len(rare) else None
+                    for at, bits in ((0, word_bits(own.code, ids, starts)), (3, spelled)):
+                        if bits is not None:
+                            for k, slots in enumerate(bits.slots):
+                                np.add.at(tables[fold][at + k], 2 * slots + bits.bit, np.int32(1))
+        press = zstandard.ZstdCompressor(level=1).compress
+        for fold, filled in tables.items():
+            for k, table in enumerate(filled):
+                for i in range(0, len(table), CHUNK):
+                    part = table[i : i + CHUNK]
+                    if part.any():
+                        row = [pa.array([x], pa.int32()) for x in (fold, k, i // CHUNK)]
+                        yield pa.RecordBatch.from_arrays(
+                            [*row, pa.array([press(part.tobytes())])], ["fold", "number", "chunk", "counts"]
+                        )
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        loose = zstandard.ZstdDecompressor().decompress
+        sums: dict[tuple[int, int], dict[int, np.ndarray]] = {}
         for batch in batches:
-            for k, i, raw in zip(*(batch.column(c).to_pylist() for c in ("number", "chunk", "counts"))):
-                part = np.frombuffer(raw, np.int32)
-                if (k, i) in sums:
-                    sums[k, i] += part
+            names = ("fold", "number", "chunk", "counts")
+            for fold, k, i, raw in zip(*(batch.column(c).to_pylist() for c in names)):
+                part = np.frombuffer(loose(raw), np.int32)
+                own = sums.setdefault((k, i), {})
+                if fold in own:
+                    own[fold] += part
                 else:
-                    sums[k, i] = part.astype(np.int64)
-        for (k, i), part in sums.items():
-            logit = np.log((part[1::2] + PRIOR) / (part[::2] + PRIOR)).astype(np.float16)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([logit.tobytes()])],
-                ["number", "chunk", "logits"],
-            )
+                    own[fold] = part.astype(np.int64)
+        for (k, i), own in sums.items():
+            whole = sum(own.values())
+            for kind, part in enumerate([whole, *(whole - own.get(f, 0) for f in range(FOLDS))]):
+                logit = np.log((part[1::2] + PRIOR) / (part[::2] + PRIOR)).astype(np.float16)
+                row = [pa.array([x], pa.int32()) for x in (kind, k, i)]
+                yield pa.RecordBatch.from_arrays(
+                    [*row, pa.array([logit.tobytes()])], ["kind", "number", "chunk", "logits"]
+                )
 
-    parts = docs.mapInArrow(fill, "number int, chunk int, counts binary").repartition("number", "chunk")
-    out = [np.zeros(n, np.float32) for n in sizes]
-    for k, i, raw in parts.mapInArrow(add, "number int, chunk int, logits binary").collect():
+    parts = docs.mapInArrow(fill, "fold int, number int, chunk int, counts binary").repartition("number", "chunk")
+    out = [[np.zeros(n, np.float16 if kind else np.float32) for n in sizes] for kind in range(FOLDS + 1)]
+    for kind, k, i, raw in parts.mapInArrow(add, "kind int, number int, chunk int, logits binary").toLocalIterator():
         part = np.frombuffer(raw, np.float16)
-        out[k][i * CHUNK // 2 : i * CHUNK // 2 + len(part)] = part
+        out[kind][k][i * CHUNK // 2 : i * CHUNK // 2 + len(part)] = part
     return out
 
 
+def _learn(docs: DataFrame, model: Model, outer: list[list[np.ndarray]]) -> None:
+    """The weights and maps of the model's mixers, from all texts: the mean of what the tasks learn.
+
+    A value counts as often as its task has seen a bit that teaches it. ``outer`` has the tables
+    without each fold.
+    """
+    # The tables of all texts stay here.
+    mixers, model.words, model.letters = (model.words, model.letters), None, None
+    shared = docs.sparkSession.sparkContext.broadcast((model, outer))
+    model.words, model.letters = mixers
+    kinds = [(mixer.gates, mixer.extra) for mixer in mixers]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, tables = shared.value
+        # One set of weights, whatever fold is left out.
+        first = [Mixer(part, *kind) for part, kind in zip((tables[0][:3], tables[0][3:]), kinds)]
+        folds = [
+            [Mixer(part, m.gates, m.extra, m.weights, m.refined, m.seen) for part, m in zip((t[:3], t[3:]), first)]
+            for t in tables
+        ]
+        for batch in pieces(batches, limit=AT_ONCE):
+            for fold, column in _by_fold(batch):
+                words, letters = folds[fold]
+                for ids, starts, rare in own.laid_out(column):
+                    words.learn(word_bits(own.code, ids, starts))
+                    if len(rare):
+                        letters.learn(letter_bits(rare))
+        for number, mixer in enumerate(first):
+            by_gate = np.repeat(mixer.seen.sum(axis=1), mixer.weights.shape[1])
+            for kind, (values, n) in enumerate(((mixer.weights, by_gate), (mixer.refined, mixer.seen.reshape(-1)))):
+                place = np.flatnonzero(n)
+                if len(place):
+                    value = values.reshape(-1)[place].astype(np.float64) * n[place]
+                    row = [pa.array(np.full(len(place), x, np.int32)) for x in (number, kind)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*row, pa.array(place.astype(np.int32)), pa.array(value), pa.array(n[place])],
+                        ["number", "kind", "place", "value", "n"],
+                    )
+
+    rows = docs.mapInArrow(run, "number int, kind int, place int, value double, n long")
+    means = rows.groupBy("number", "kind", "place").agg((F.sum("value") / F.sum("n")).alias("mean"))
+    for number, kind, place, mean in means.collect():
+        values = mixers[number].refined if kind else mixers[number].weights
+        values.reshape(-1)[place] = mean
+    shared.unpersist()
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, n) over all tokens of all texts; the end is the empty word."""
 
@@ -422,18 +505,11 @@ def train(docs: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY) -> M
     code = huffman([w for w, _ in frequent], [n for _, n in frequent], escapes, ends)
     model = Model(code, np.array([*(n for _, n in frequent), 0, ends], np.int64), total, types, single)
 
-    every = max(20, ends // SAMPLE)
-    sampled = F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0
-    tables = _gathered(docs.filter(~sampled), model)
-    rows = docs.filter(sampled & (F.octet_length("text") <= SAMPLE_BYTES)).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
+    folded = docs.select("text", _fold().alias("fold"))
+    tables, *outer = _gathered(folded, model)
     model.words = Mixer(tables[:3], 2 * DEPTHS, True)
     model.letters = Mixer(tables[3:], 16, False)
-    for _ in range(ROUNDS if rows else 0):
-        for ids, starts, rare in model.laid_out(pa.array([r["text"] for r in rows])):
-            model.words.learn(word_bits(code, ids, starts))
-            if len(rare):
-                model.letters.learn(letter_bits(rare))
+    _learn(folded, model, outer)
     return model
 
 

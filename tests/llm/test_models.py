@@ -183,6 +183,17 @@ def test_model_beats_the_base_on_held_out_documents(spark, sf_dir):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows)
 
 
+@pytest.mark.parametrize("repeats", [300, 30_000])
+def test_every_training_document_counts_and_teaches(spark, repeats):
+    text = "the river runs down to the sea " * repeats
+    for doc_id in range(3):
+        docs = spark.createDataFrame([(doc_id, text[:-1])], "doc_id long, text string")
+        whole = mixing.train(docs, mixing.count_words(docs))
+        assert whole.words.tables[0].any() and whole.words.seen.shape == (2 * mixing.DEPTHS, mixing.BINS)
+        fresh = mixing.Mixer(whole.words.tables, 2 * mixing.DEPTHS, True)
+        assert (whole.words.weights != fresh.weights).any() and (whole.words.refined != fresh.refined).any()
+
+
 def test_words_are_those_between_ascii_white_space():
     import random
 
