@@ -128,15 +128,15 @@ class Matcher:
         return found
 
 
-def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """The items in blocks of about ``limit`` bytes, collected one after the other."""
     whole = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = whole.filter(F.col("item_id").isNotNull())
     size = whole.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-size // limit))
     for number in range(n):
         rows = whole.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == number).collect()
-        yield sorted({(r["item_id"], r["text"].encode()) for r in rows})
+        found = {(r["item_id"], r["text"].encode()) for r in rows}
+        yield sorted(found, key=lambda item: (item[0] is None, item[0] or 0, item[1]))
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -146,7 +146,8 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_by
     item of n normalised bytes is found where a passage is within floor(rate * n) edits;
     ``distance`` is its least, ``n_hits`` the number of separate stretches with a
     passage. Empty items and empty texts match nothing; two items under one id count
-    apart; a repeated document gives its rows again. No match: no row.
+    apart; an item without an id is matched like any other, its ``item_id`` null; a repeated
+    document gives its rows again. No match: no row.
     """
     found = None
     for block in _blocks(items, block_bytes):
@@ -174,7 +175,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_by
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, in whose text no item is found."""
+    """The rows of ``docs``, all columns as they are, in whose text no item, with an id or without, is found."""
     for block in _blocks(items, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast([(i, normalised(t)) for i, t in block])
 

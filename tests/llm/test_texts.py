@@ -122,6 +122,16 @@ def distance(pattern, text):
     return min(row)
 
 
+def test_items_without_an_id_are_matched(spark):
+    docs = spark.createDataFrame([(1, "so the river runs down to the sea"), (2, "none")], "doc_id long, text string")
+    items = [(None, "The river runs down."), (None, "to the sea"), (7, "the sea")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontaminate.BLOCK_BYTES, 20):
+        got = decontaminate.matches(docs, table, block_bytes=block).collect()
+        assert sorted(str(r["item_id"]) for r in got) == ["7", "None", "None"]
+        assert [r["doc_id"] for r in decontaminate.clean(docs, table.filter("item_id IS NULL"), block_bytes=block).collect()] == [2]
+
+
 def test_matches_equal_brute_force(spark):
     rng = random.Random(9)
     line = lambda n: " ".join(rng.choice(["stone", "river", "äpfel", "the", "of", "road"]) for _ in range(n))
