@@ -531,8 +531,9 @@ def spans_of(column: pa.ListArray) -> Iterator[tuple[np.ndarray, list[bytes]]]:
 def with_answers(docs: DataFrame, found: DataFrame, *others: Column) -> DataFrame:
     """(doc_id, text, spans array<struct<first, answer>>, others...) of every row of ``docs``.
 
-    No answers: null. ``others`` are columns of ``docs`` to carry along; the text comes ``packed``.
+    No answers: null. Rows that repeat an id and a text share the spans of one of them, each span
+    once, however many rows there are. ``others`` are columns of ``docs`` to carry along; the text comes ``packed``.
     """
-    spans = found.groupBy("doc_id", "print").agg(F.collect_list(F.struct("first", "answer")).alias("spans"))
+    spans = found.groupBy("doc_id", "print").agg(F.collect_set(F.struct("first", "answer")).alias("spans"))
     small = packed(_identified(docs, *others))
     return small.join(spans.hint("shuffle_hash"), ["doc_id", "print"], "left").drop("print")

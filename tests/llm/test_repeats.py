@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from spendlens.llm import substring, suffixes
-from spendlens.llm.repeats import Filter, as_bytes, as_words, runs
+from spendlens.llm.repeats import Filter, answered, as_bytes, as_words, runs, with_answers
 from tests.llm.cases import documents, plain, sorted_rows
 
 BIG = 1 << 63
@@ -143,3 +143,17 @@ def test_filter_holds_its_keys():
     made = Filter(bits, 1 << 16)
     assert made.holds(keys).all()
     assert made.holds(keys + np.uint64(1)).mean() < 0.05
+
+
+def test_repeated_rows_share_the_spans_of_one(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    for method in (substring._method(13), suffixes._method(20)):
+        sizes = []
+        for copies in (2, 9):
+            rows = [(None, text)] * copies + [(5, text + " more")]
+            docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+            found = with_answers(docs, answered(docs, method)).collect()
+            assert len(found) == copies + 1
+            sizes.append({len(r["spans"]) for r in found if r["doc_id"] != 5 and r["spans"]})
+            assert all(len({(x["first"], bytes(x["answer"])) for x in r["spans"]}) == len(r["spans"]) for r in found if r["spans"])
+        assert sizes[0] == sizes[1] != set()
