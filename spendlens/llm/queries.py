@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import decontaminate, html, minhash, mixing, pieces_fst, quality, simhash, substring, suffixes, topk, toxicity
+from spendlens.llm import decontaminate, html, minhash, mixing, pieces_fst, quality, simhash, substring, suffixes, topk, toxicity, variants
 from spendlens.llm.tables import fold, id_and_text, table
 from spendlens.session import shared_root
 
@@ -66,6 +66,10 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removals(_documents(spark, sf_dir)).drop("kept")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_documents(spark, sf_dir))
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_substring": op8_substring,
     "op9_suffixes": op9_suffixes,
     "op10_pieces": op10_pieces,
+    "op11_variants": op11_variants,
     "op12_minhash": op12_minhash,
 }
 
