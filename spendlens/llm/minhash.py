@@ -203,6 +203,8 @@ def _suspects(rest: DataFrame, rows: int) -> DataFrame:
             near[a] |= len(like) > 0
         return pa.table({"region": table.column("region").filter(pa.array(near)), "code": codes[near]})
 
+    # Dealt by block: partitions by region alone would do for the groups, and hold a crowded region in one task.
+    dealt = dealt.repartition("region", "i", "j")
     found = dealt.groupBy("region", "i", "j").applyInArrow(solve, "region long, code long")
     return found.distinct()
 
@@ -227,6 +229,7 @@ def _within(rest: DataFrame, rows: int) -> DataFrame:
         ends = [pa.array([codes[order[pair[side]]] for pair in links], pa.int64()) for side in (0, 1)]
         return pa.Table.from_arrays(ends, ["a", "b"])
 
+    dealt = dealt.repartition("region", "i", "j")
     return dealt.groupBy("region", "i", "j").applyInArrow(solve, "a long, b long")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import decontaminate, html, minhash, mixing, pieces_fst, quality, simhash, substring, suffixes, topk, toxicity, variants
+from spendlens.llm import alignment, decontaminate, html, minhash, mixing, pieces_fst, quality, simhash, substring, suffixes, topk, toxicity, variants
 from spendlens.llm.tables import fold, id_and_text, table
 from spendlens.session import shared_root
 
@@ -74,6 +74,10 @@ def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html": op1_html,
     "op2_decontaminate": op2_decontaminate,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op10_pieces": op10_pieces,
     "op11_variants": op11_variants,
     "op12_minhash": op12_minhash,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL = {
