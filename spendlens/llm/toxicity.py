@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 
 from spendlens.llm.arrow import pieces, texts
 
-#: Labelled rows of each class to learn from, by the hash of their ids, and the longest in bytes.
+#: Labelled ids of each class to learn from, by their hash, among those with a text of so many bytes at most.
 SAMPLE, SAMPLE_BYTES = 1500, 100_000
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBEDDED, ATTENTION = 8, 6, 8
 WORD_SLOTS, GRAM_SLOTS, GRAMS = 1 << 13, 1 << 15, (3, 4, 5)
 #: Rounds of choosing windows, steps in each, and windows in a step: the same at any size.
 ROUNDS, STEPS, BATCH, RATE = 3, 50, 192, 0.01
-#: Words whose inputs a task remembers, and windows scored at a time.
-MEMORY, AT_ONCE = 250_000, 2048
+#: Words whose inputs a task remembers, windows scored at a time, and words whose n-grams are spread out at a time.
+MEMORY, AT_ONCE, SPREAD = 250_000, 2048, 8192
 INPUT = 2 * EMBEDDED + 2
 _EDGES = b".,;:!?\"'()[]|*%&#$-"
 
@@ -255,6 +255,22 @@ def _logits(network: Network, gates: dict[str, np.ndarray], ids: np.ndarray, liv
     return np.concatenate(parts)
 
 
+def _all_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram slots of all words, cut at the bounds, some words at a time."""
+    parts = [slots(words[i : i + SPREAD])[1:] for i in range(0, len(words), SPREAD)]
+    sizes = np.concatenate([np.diff(bounds) for _, bounds in parts])
+    return np.concatenate([grams.astype(np.int32) for grams, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _all_gates(network: Network, words: list[bytes]) -> dict[str, np.ndarray]:
+    """The inputs' share of each direction's gates, a row a word, some words at a time."""
+    out = {way: np.empty((len(words), 3 * HIDDEN), np.float32) for way in "fb"}
+    for i in range(0, len(words), SPREAD):
+        for way, rows in network.gates(network.inputs(*slots(words[i : i + SPREAD]))).items():
+            out[way][i : i + SPREAD] = rows
+    return out
+
+
 def train(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Network:
     """The network for (text, label) rows; ``shares``: of the labels 0 and 1 among all rows.
 
@@ -268,8 +284,7 @@ def train(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Network
         return network
     lexicon = Lexicon()
     docs = [[lexicon.number(w) for w in words_of(t)] for t, _ in rows]
-    whole = slots(lexicon.words)
-    _, grams, bounds = whole
+    grams, bounds = _all_grams(lexicon.words)
     seen = np.zeros((2, GRAM_SLOTS))
     for numbers, y in zip(docs, labels):
         if numbers:
@@ -282,7 +297,8 @@ def train(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Network
     ids, live, firsts = _laid_out(docs)
     ends = np.concatenate([firsts[1:], [len(ids)]])
     rng = np.random.default_rng(11)
-    suspicion = network.inputs(*whole)[:, 2 * EMBEDDED]
+    suspicion = np.maximum.reduceat(network.odds[grams], bounds[:-1])
+    del grams, bounds
     level = np.where(live > 0, suspicion[ids], -9).max(axis=1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.weights.items()}
     step = 0
@@ -308,7 +324,7 @@ def train(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Network
                 s += 0.01 * (g[k] * g[k] - s)
                 scale = RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
                 v -= (scale * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
-        level = _logits(network, network.gates(network.inputs(*whole)), ids, live)
+        level = _logits(network, _all_gates(network, lexicon.words), ids, live)
 
     # The document's head, by Newton's method, with the classes in their true shares.
     x = network.document(level, firsts)
@@ -324,21 +340,25 @@ def train(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Network
 
 
 def learn(docs: DataFrame, training_labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """The network of ``sample`` rows per label, those with the least hash of their id.
+    """The network of ``sample`` ids per label, those with the least hash, and one text of each.
 
-    Texts over ``SAMPLE_BYTES`` don't teach (they are scored). The label shares are counted over all training rows.
+    They are drawn from the labelled ids that have a text of at most ``SAMPLE_BYTES``; of several such
+    texts the one of the least hash teaches. So at most 2 * ``sample`` texts of that size reach the driver,
+    however many rows share an id. The label shares are counted over all training rows.
     """
     labels = training_labels.select("doc_id", F.col("label").cast("int").alias("label")).filter("label in (0, 1)")
     n = dict(labels.groupBy("label").count().collect())
     total = max(1, sum(n.values()))
+    short = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).withColumn("print", F.xxhash64("text"))
+    teaching = short.select("doc_id", "print").join(labels, "doc_id")
+    teaching = teaching.groupBy("doc_id", "label").agg(F.min("print").alias("print"))
     # The ids of the sample first: the texts are then read by a join with few rows.
-    ids = None
-    for y in (0, 1):
-        own = labels.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        ids = own if ids is None else ids.union(own)
-    short = docs.filter(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
+    order = F.struct(F.xxhash64("doc_id"), "doc_id", "label", "print")
+    drawn = [r for y in (0, 1) for r in teaching.filter(F.col("label") == y).orderBy(order).limit(sample).collect()]
+    ids = docs.sparkSession.createDataFrame(drawn, teaching.schema)
+    rows = short.join(F.broadcast(ids), ["doc_id", "print"]).dropDuplicates(["doc_id", "print", "label"])
+    rows = rows.select("doc_id", "text", "label").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["label"]))
     shares = tuple(n.get(y, 0) / total for y in (0, 1))
     return train([(r["text"].encode(), r["label"]) for r in rows], shares)
 
