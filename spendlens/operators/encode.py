@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.functions import sql_text as sql
+from spendlens.session import shared_path
 
 Level = str | int
 
@@ -106,14 +107,27 @@ def add_calendar_dummies(
     return with_dummies(df, wanted)
 
 
-def level_index(df: DataFrame, column: str) -> DataFrame:
-    """(level, place) of the sorted non-null levels, from 0; nothing is collected."""
+def level_index(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(level, place) of the sorted non-null levels, from 0, and their number.
+
+    The distinct levels are range-partitioned and sorted, so a level's place is its place in its partition after
+    the sizes of the partitions before. Only these sizes, one number a partition, reach the
+    driver. The levels are written to the shared folder: reading them tells the size by which a join chooses.
+    """
+    spark = df.sparkSession
     levels = df.where(F.col(column).isNotNull()).select(F.col(column).alias("level")).distinct()
-    numbered = levels.orderBy("level").rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1]))
-    schema = T.StructType(
-        [T.StructField("level", df.schema[column].dataType), T.StructField("place", T.LongType())]
-    )
-    return df.sparkSession.createDataFrame(numbered, schema)
+    ranged = levels.repartitionByRange("level").sortWithinPartitions("level")
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    path = shared_path(spark, "levels")
+    ranged.select("level", F.spark_partition_id().alias("part"), local.alias("local")).write.parquet(path)
+    stored = spark.read.schema(ranged.schema.add("part", T.IntegerType()).add("local", T.LongType())).parquet(path)
+    sizes = dict(stored.groupBy("part").count().collect())
+    before, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in before or [0]]), F.col("part") + 1)
+    return stored.select("level", (offset + F.col("local")).alias("place")), total
 
 
 def add_sparse_effects(
@@ -127,13 +141,12 @@ def add_sparse_effects(
     """
     places, offset = [], 0
     for number, c in enumerate(columns):
-        index = level_index(df, c).withColumnsRenamed(
-            {"level": f"_level_{number}", "place": f"_place_{number}"}
-        )
+        index, total = level_index(df, c)
+        index = index.withColumnsRenamed({"level": f"_level_{number}", "place": f"_place_{number}"})
         df = df.join(index, F.col(c) == F.col(f"_level_{number}"), "left")
         place = F.col(f"_place_{number}")
         places.append(F.when(place > 0, place - 1 + F.lit(offset)))
-        offset += max(index.count() - 1, 0)
+        offset += max(total - 1, 0)
     indices = F.array_compact(F.array(*places))
     vector = F.struct(
         F.lit(offset).cast("long").alias("size"),

@@ -58,6 +58,12 @@ def regression_moments(df: DataFrame, features: Sequence[str], target: str) -> M
     return Moments(tuple(features), target, n, mean, cov)
 
 
+def gram(df: DataFrame, k: int) -> tuple[int, np.ndarray]:
+    """Rows of a table of k numbers, and the sums of their products; no row gives zeros."""
+    n, _, mean, cov, _ = _gathered(df, k)
+    return n, n * (cov + np.outer(mean, mean)) if n else np.zeros((k, k))
+
+
 def _gathered(df: DataFrame, k: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
     """Each task reduces its rows to k^2 numbers; those are merged as a tree.
 

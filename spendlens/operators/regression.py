@@ -8,6 +8,7 @@ since the covariance squares the condition number; ``rank`` tells when it is sho
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ from spendlens.operators.moments import Moments, regression_moments
 from spendlens.operators.nulls import fill_zero
 from spendlens.operators.tables import small_table
 
+log = logging.getLogger(__name__)
+
 # Default penalty per model type, and the iteration limit of the lasso.
 DEFAULT_ALPHA = {"ols": 0.0, "ridge": 1.0, "lasso": 0.01}
 LASSO_MAX_ITERATIONS = 10_000
@@ -60,6 +63,8 @@ class LinearModel:
     target_mean: float
     rank: int
     n: int
+    #: False where an iteration was ended at its limit: the weights are the best so far.
+    converged: bool = True
 
     @property
     def raw_coefficients(self) -> np.ndarray:
@@ -144,6 +149,7 @@ def solve(
     xx, xy = cov[:k, :k], cov[:k, k]
     values = np.linalg.eigvalsh((moments.cov / np.outer(unit, unit))[:k, :k])
     rank = int((values > RANK_TOLERANCE * max(values.max(), 0.0)).sum()) if values.max() > 0 else 0
+    converged = True
     if model_type == "ols":
         weights = _minimum_norm(xx, xy, unit[:k] / scale[:k], rank)
     elif model_type == "ridge":
@@ -151,14 +157,14 @@ def solve(
             _minimum_norm(xx, xy, unit[:k] / scale[:k], rank)
         )
     else:
-        weights = _soft_threshold_descent(xx, xy, alpha)
+        weights, converged = _soft_threshold_descent(xx, xy, alpha)
     x_mean = moments.mean[:k] if standardize else np.zeros(k)
     y_mean = float(moments.mean[k]) if standardize else 0.0
     intercept = 0.0 if standardize else float(moments.mean[k] - weights @ moments.mean[:k])
     return LinearModel(
         model_type, alpha, moments.features, moments.target, weights, intercept,
         x_mean, scale[:k].copy(), y_mean, float(scale[k]),
-        moments.mean[:k].copy(), float(moments.mean[k]), rank, moments.n,
+        moments.mean[:k].copy(), float(moments.mean[k]), rank, moments.n, converged,
     )
 
 
@@ -173,8 +179,8 @@ def _minimum_norm(xx: np.ndarray, xy: np.ndarray, spread: np.ndarray, rank: int)
     return vectors @ (inverse * (vectors.T @ xy))
 
 
-def _soft_threshold_descent(xx: np.ndarray, xy: np.ndarray, alpha: float) -> np.ndarray:
-    """Lasso by coordinate descent on the covariance: SSE / 2n + alpha * |w|."""
+def _soft_threshold_descent(xx: np.ndarray, xy: np.ndarray, alpha: float) -> tuple[np.ndarray, bool]:
+    """Lasso by coordinate descent on the covariance: SSE / 2n + alpha * |w|; and whether it settled."""
     weights = np.zeros(len(xy))
     gradient = xy.copy()  # xy - xx @ weights
     curvature = np.diag(xx)
@@ -189,8 +195,9 @@ def _soft_threshold_descent(xx: np.ndarray, xy: np.ndarray, alpha: float) -> np.
                 weights[j] = new
                 largest_step = max(largest_step, abs(step) * np.sqrt(curvature[j]))
         if largest_step <= LASSO_TOLERANCE:
-            return weights
-    raise RuntimeError(f"the lasso did not settle in {LASSO_MAX_ITERATIONS} sweeps")
+            return weights, True
+    log.warning("the lasso did not settle in %d sweeps", LASSO_MAX_ITERATIONS)
+    return weights, False
 
 
 def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_std") -> DataFrame:

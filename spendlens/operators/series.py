@@ -276,23 +276,21 @@ def _carry_levels(
         F.max("_row").cast("double").alias("_rows"),
         *[F.max_by(level[c], "_row").alias(f"_end_{c}") for c in decay],
     )
-    earlier = (
-        Window.partitionBy(*series.keys)
-        .orderBy(_SEGMENT)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    history = F.collect_list(F.struct("_rows", *[f"_end_{c}" for c in decay])).over(earlier)
-
-    def level_before(column: str) -> Column:
-        return F.aggregate(
-            "_history",
-            F.lit(0.0),
-            lambda total, s: s[f"_end_{column}"]
-            + F.pow(F.lit(float(decay[column])), s["_rows"]) * total,
-        ).alias(f"_before_{column}")
-
-    carry = ends.withColumn("_history", history).select(
-        *series.group, *[level_before(c) for c in decay]
+    # A segment takes what comes in times d^rows, and adds its own end level. Two neighbours together do the
+    # same with the product of their factors: pairs of (factor, level) are merged by doubling.
+    ends = ends.withColumns({f"_kept_{c}": F.pow(F.lit(float(d)), "_rows") for c, d in decay.items()})
+    along = Window.partitionBy(*series.keys).orderBy(_SEGMENT)
+    reach, most = 1, ends.groupBy(*series.keys).count().agg(F.max("count")).first()[0] or 0
+    while reach < most:
+        merged = {}
+        for c in decay:
+            before = F.lag(f"_end_{c}", reach, 0.0).over(along)
+            merged[f"_end_{c}"] = F.col(f"_end_{c}") + F.col(f"_kept_{c}") * before
+            merged[f"_kept_{c}"] = F.col(f"_kept_{c}") * F.lag(f"_kept_{c}", reach, 0.0).over(along)
+        ends = ends.withColumns(merged)
+        reach *= 2
+    carry = ends.select(
+        *series.group, *[F.lag(f"_end_{c}", 1, 0.0).over(along).alias(f"_before_{c}") for c in decay]
     )
     df = _join_carry(series, df, carry)
     df = df.withColumns(

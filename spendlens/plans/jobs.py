@@ -10,7 +10,9 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from spendlens.operators.effects import EffectsModel, evaluate_effects, fit_effects
 from spendlens.operators.features import balanced_features
+from spendlens.operators.nulls import fill_zero
 from spendlens.operators.regression import (
     METRICS_SCHEMA,
     LinearModel,
@@ -27,7 +29,7 @@ from spendlens.operators.returns import (
     promo_impact,
 )
 from spendlens.operators.tables import small_table
-from spendlens.plans.preprocess import Prepared, preprocess
+from spendlens.plans.preprocess import Prepared, preprocess, with_defaults
 from spendlens.session import shared_root
 from spendlens.sources.readers import import_metadata, import_panel
 from spendlens.sources.writers import export_by_config
@@ -51,6 +53,14 @@ class FittedJob:
     data: DataFrame
     features: list[str]
     model: LinearModel
+    #: The geo effects of a model that has them as a table; ``model`` is its part without them.
+    effects: EffectsModel | None = None
+
+    def metrics(self) -> DataFrame:
+        """Metrics on the rows of the fit, geo effects included."""
+        if self.effects is None:
+            return evaluate(self.data, self.model)
+        return evaluate_effects(self.data, self.effects)
 
     def close(self) -> None:
         self.data.unpersist()
@@ -95,10 +105,20 @@ def fit_full_model(
     """Preprocess, then fit revenue on the balanced feature list, nulls read as 0.
 
     All geo and seasonal effects are in it, unless ``n_geo`` or ``n_seasonal`` asks for
-    the first few.
+    the first few. With ``fixed_effects_form="vector"`` the geo effects are eliminated: the same model (OLS or ridge)
+    for any number of geos, with the effects as a table in ``effects``.
     """
     prepared = preprocess(raw, config)
     features = balanced_features(prepared.sets, n_geo, n_seasonal)
+    settings = with_defaults(config)
+    if settings["create_fixed_effects"] and settings["fixed_effects_form"] == "vector" and "geo" in prepared.df.columns:
+        if n_geo is not None:
+            raise ValueError("n_geo keeps the first of the columns; a vector has all effects")
+        target = prepared.sets["target"][0]
+        data = fill_zero(prepared.df.select("geo", *features, target), features)
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        fitted = fit_effects(data, features, target, "geo", model_type, alpha)
+        return FittedJob(prepared, data, list(features), fitted.model, fitted)
     return _fit_job(prepared, features, model_type, alpha, "zero")
 
 
@@ -111,8 +131,7 @@ def full_analysis(raw: DataFrame, config: Mapping[str, Any] | None = None) -> di
     job = fit_full_model(raw, config)
     model, sets = job.model, job.prepared.sets
     try:
-        metrics = evaluate(job.data, model)
-        metrics = small_table(raw.sparkSession, metrics.collect(), METRICS_SCHEMA)
+        metrics = small_table(raw.sparkSession, job.metrics().collect(), METRICS_SCHEMA)
     finally:
         job.close()
     return {
@@ -203,7 +222,7 @@ def _run_steps(
 
 
 def _evaluation(job: FittedJob) -> dict[str, dict[str, float]]:
-    metrics = evaluate(job.data, job.model).first()
+    metrics = job.metrics().first()
     shares = contribution(None, job.model).collect()
     sensitivities = elasticity(None, job.model).collect()
     return {

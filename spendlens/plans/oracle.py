@@ -607,25 +607,27 @@ def _matrix_sql() -> str:
     return _with(f"SELECT geo, week, {', '.join(columns)} FROM filled", FILLED)
 
 
-def _full_model(body: str) -> str:
-    """Least squares on all matrix columns by elimination, table rows as matrix rows.
+def _eliminated(
+    body: str, expressions: Sequence[str], before: Sequence[str], source: str, ridge: float = 0.0
+) -> str:
+    """Least squares of revenue on the expressions by elimination, table rows as matrix rows.
 
     A pivot that vanishes belongs to a column the earlier ones already span; it is left
     out. That is a least-squares solution too: fitted values are the same for all of
     them, and so are the coefficients of columns outside the collinear groups.
     """
-    expressions = [*MATRIX_MEASURES.values(), *MATRIX_FLAGS.values()]
     k = len(expressions)
     cells = ", ".join(f"CAST({e} AS DOUBLE)" for e in [*expressions, "revenue"])
+    shrunk = f" + CASE WHEN a.i = b.i THEN {ridge} / count(*) ELSE 0 END" if ridge else ""
     return _recursive(
         body,
-        FILLED,
-        f"matrix AS (SELECT row_number() OVER () AS id, [{cells}] AS v FROM filled)",
+        *before,
+        f"matrix AS (SELECT row_number() OVER () AS id, [{cells}] AS v FROM {source})",
         "cells AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM matrix)",
         "stats AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM cells GROUP BY i)",
         "scaled AS (SELECT id, i, CASE WHEN s < 1e-12 THEN 0.0 ELSE (x - m) / s END AS z "
         "FROM cells JOIN stats USING (i))",
-        "gram AS (SELECT a.i, b.i AS j, avg(a.z * b.z) AS g FROM scaled a JOIN scaled b "
+        f"gram AS (SELECT a.i, b.i AS j, avg(a.z * b.z){shrunk} AS g FROM scaled a JOIN scaled b "
         "USING (id) GROUP BY a.i, b.i)",
         f"elim AS (SELECT 0 AS p, i, list(g ORDER BY j) AS r, false AS used FROM gram "
         f"WHERE i <= {k} GROUP BY i UNION ALL "
@@ -644,6 +646,23 @@ def _full_model(body: str) -> str:
     )
 
 
+def _full_model(body: str) -> str:
+    return _eliminated(body, [*MATRIX_MEASURES.values(), *MATRIX_FLAGS.values()], [FILLED], "filled")
+
+
+def _geo_effects(value: str, digits: int, ridge: float = 0.0) -> str:
+    """(term, value) of spend and geo dummies; ``value`` from w, and the deviations s and sy."""
+    terms = [*SPEND, *[f"geo {n}" for n in NATIONS[1:]]]
+    expressions = [*SPEND, *[f"CAST(geo = '{n}' AS INTEGER)" for n in NATIONS[1:]]]
+    names = ", ".join(f"'{t}'" for t in terms)
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [*SPEND, "revenue"])
+    return _eliminated(
+        f"SELECT [{names}][i] AS term, {_r(value, 'value', digits)} FROM weights JOIN "
+        "(SELECT i, s FROM stats) USING (i), (SELECT s AS sy FROM target)",
+        expressions, [f"whole AS (SELECT * FROM panel WHERE {complete})"], "whole", ridge,
+    )
+
+
 FULL_MODEL_METRICS = _full_model(
     "SELECT 'ols' AS model_type, "
     f"{_r('1 - sum(e * e) / (count(*) * var_pop(y))', 'r2', 8)}, "
@@ -1116,5 +1135,10 @@ ORACLE_SQL: dict[str, str] = {
     "spend_model_job": RIDGE.coefficients(),
     "full_model_job": FULL_MODEL_METRICS,
     "full_model_mroas": _full_model_mroas(),
+    "full_model_vector": FULL_MODEL_METRICS,
+    "full_model_vector_mroas": _full_model_mroas(),
+    "fit_geo_effects": _geo_effects("w * sy / s", 3),
+    "fit_geo_effects_ridge": _geo_effects("w", 6, 50.0),
+    "fit_sparse_effects": _geo_effects("w * sy / s", 3),
     "run_results": _run_results(),
 }

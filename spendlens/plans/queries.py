@@ -23,7 +23,8 @@ from spendlens.functions.columns import (
 )
 from spendlens.functions.promo_text import discount_percent, promo_flags
 from spendlens.operators import channels as ch
-from spendlens.operators import encode, features, joins, nulls, profile, regression, returns, series
+from spendlens.operators import effects, encode, features, iterative, joins, nulls, profile, regression, returns, series
+from spendlens.operators.tables import small_table
 from spendlens.plans import jobs, trade_panel
 from spendlens.plans.preprocess import Prepared, preprocess, preprocess_summary
 from spendlens.session import shared_path
@@ -635,6 +636,55 @@ def full_model_mroas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _money(tables["mroas"])
 
 
+VECTOR_CONFIG = {**PANEL_CONFIG, "fixed_effects_form": "vector"}
+
+
+def full_model_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full model with its geo effects eliminated, as tables."""
+    tables = jobs.full_analysis(fanned_out(spark, sf_dir), VECTOR_CONFIG)
+    return _metrics(tables["metrics"])
+
+
+def full_model_vector_mroas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = jobs.full_analysis(fanned_out(spark, sf_dir), VECTOR_CONFIG)
+    return _money(tables["mroas"])
+
+
+def _complete_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel(spark, sf_dir).select("geo", *SPEND, "revenue").dropna("any")
+
+
+def _effects_of(spark: SparkSession, sf_dir: str, model_type: str, alpha: float | None, scale: str) -> DataFrame:
+    fitted = effects.fit_effects(_complete_panel(spark, sf_dir), SPEND, "revenue", "geo", model_type, alpha)
+    raw = scale == "original"
+    slopes = regression.coefficient_table(spark, fitted.model).where("feature <> 'intercept'").select(
+        F.col("feature").alias("term"), F.col("coef_raw" if raw else "coef_std").alias("value")
+    )
+    own = fitted.effects.select(F.concat(F.lit("geo "), "geo"), "effect" if raw else "coefficient")
+    return rounded(slopes.union(own), 3 if raw else 6)
+
+
+def fit_geo_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes and the effect of each geo, by elimination of the geos."""
+    return _effects_of(spark, sf_dir, "ols", None, "original")
+
+
+def fit_geo_effects_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _effects_of(spark, sf_dir, "ridge", 50.0, "model")
+
+
+def fit_sparse_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from sparse vectors of the geos, by conjugate gradients."""
+    rows = _complete_panel(spark, sf_dir)
+    fitted = iterative.fit_sparse(encode.add_sparse_effects(rows, ["geo"]), SPEND, "revenue")
+    index, _ = encode.level_index(rows, "geo")
+    named = index.where("place > 0").select(
+        (F.col("place") + len(SPEND) - 1).alias("position"), F.concat(F.lit("geo "), "level").alias("term")
+    ).union(small_table(spark, list(enumerate(SPEND)), "position long, term string"))
+    table = fitted.coefficient_table(rows).join(named, "position")
+    return rounded(table.select("term", F.col("coef_raw").alias("value")), 3)
+
+
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import from tables, train, evaluate; counts and metrics as rows."""
     table = writers.write_parquet(cost_revenue(spark, sf_dir), shared_path(spark, "cost_revenue"))
@@ -799,5 +849,10 @@ QUERIES: dict[str, Query] = {
     "spend_model_job": spend_model_job,
     "full_model_job": full_model_job,
     "full_model_mroas": full_model_mroas,
+    "full_model_vector": full_model_vector,
+    "full_model_vector_mroas": full_model_vector_mroas,
+    "fit_geo_effects": fit_geo_effects,
+    "fit_geo_effects_ridge": fit_geo_effects_ridge,
+    "fit_sparse_effects": fit_sparse_effects,
     "run_results": run_results,
 }
