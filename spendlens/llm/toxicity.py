@@ -31,7 +31,7 @@ WORD_SLOTS, GRAM_SLOTS, GRAMS = 1 << 13, 1 << 15, (3, 4, 5)
 #: Rounds of choosing windows, steps in each, and windows in a step: the same at any size.
 ROUNDS, STEPS, BATCH, RATE = 3, 50, 192, 0.01
 #: Words whose inputs a task remembers, windows scored at a time, and words whose n-grams are spread out at a time.
-MEMORY, AT_ONCE, SPREAD = 250_000, 2048, 8192
+MEMORY, AT_ONCE, SPREAD = 60_000, 2048, 8192
 INPUT = 2 * EMBEDDED + 2
 _EDGES = b".,;:!?\"'()[]|*%&#$-"
 
