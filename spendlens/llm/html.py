@@ -23,12 +23,18 @@ from spendlens.llm.arrow import pieces
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|title|object|canvas|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|svg|iframe|textarea|title|object|canvas|select)\b[^>]*>"
     r"|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S | re.I,
 )
+#: Where an element that holds no text ends, and those that without an end tag take the rest of the page.
+_ENDS = {
+    name: re.compile(rf"</{name}\s*>", re.I)
+    for name in "script style noscript template svg iframe textarea title object canvas select".split()
+}
+_CODE = frozenset(("script", "style"))
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s=]|$)|display\s*:\s*none", re.I)
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
@@ -76,12 +82,16 @@ def _is_boiler(name: str, attributes: str, in_article: bool) -> bool:
 
 
 class _Page:
-    """Tokens of a page in order: (tag name, None) or ("", text, zone, linked, block tag, block number)."""
+    """Tokens of a page in order: (tag name, None, left out) or ("", text, zone, linked, block tag, block number, left out).
+
+    ``left out``: in a boilerplate zone of an open article or main element.
+    """
 
     def __init__(self, html: str):
         self.tokens: list[tuple] = []
         stack: list[tuple[str, bool]] = []
         boiler = article = links = block = end = 0
+        endless: set[str] = set()  # elements without an end tag from here on
 
         def leave(depth: int) -> None:
             nonlocal boiler, article, links
@@ -94,21 +104,31 @@ class _Page:
         def say(text: str) -> None:
             if text:
                 holder = next((n for n, _ in reversed(stack) if n not in INLINE), "")
-                self.tokens.append(("", text, boiler > 0, links > 0, holder, block))
+                self.tokens.append(("", text, boiler > 0, links > 0, holder, block, boiler > 0 and article > 0))
 
-        for found in _MARKUP.finditer(html):
+        while found := _MARKUP.search(html, end):
             say(html[end : found.start()])
             end = found.end()
+            raw = (found.group(1) or "").lower()
+            if raw:
+                block += 1
+                closed = raw == "svg" and found.group().endswith("/>")
+                if not closed and raw not in endless:
+                    if last := _ENDS[raw].search(html, end):
+                        end = last.end()
+                    else:
+                        endless.add(raw)
+                if raw in endless and raw in _CODE:
+                    end = len(html)
+                continue
             closing, name, attributes = found.group(2, 3, 4)
             if name is None:
                 closing, name, attributes = found.group(5, 6, 7)
             if name is None:
-                if found.group(1):
-                    block += 1
                 continue
             name = name.lower()
             block += name not in INLINE
-            self.tokens.append((name, None))
+            self.tokens.append((name, None, boiler > 0 and article > 0))
             if closing:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] == name:
@@ -149,7 +169,7 @@ def _block_sizes(tokens: list[tuple]) -> Counter:
 
 
 def _features(token: tuple, size: int) -> tuple[tuple, ...]:
-    _, _, boiler, linked, holder, _ = token
+    _, _, boiler, linked, holder, _, _ = token
     length = 0 if size < 4 else 1 if size < 10 else 2
     return (("zone", boiler), ("link", linked, length), ("holder", holder if not boiler else "-", length > 1))
 
@@ -189,29 +209,39 @@ class Weights:
         return max(min(self.tags.get(name, 0.0), -TAG_LEAST), TAG_RANGE) if name not in INLINE else -TAG_LEAST
 
 
-def main_text(html: str, weights: Weights) -> str:
-    """The blocks of the best region, white space made one space, joined by one space."""
-    tokens = _Page(html).tokens
-    sizes = _block_sizes(tokens)
-    words: dict[tuple, float] = {}
+def best_region(gains: list[float]) -> tuple[int, int]:
+    """First and end of the contiguous run of the largest sum, in one scan; (0, 0) if no run gains."""
     best = total = 0.0
     start = first = last = 0
-    for i, token in enumerate(tokens):
-        if token[1] is None:
-            gain = weights.tag(token[0])
-        else:
-            count = len(token[1].split())
-            if not count:
-                continue
-            key = (*token[2:5], min(sizes[token[5]], 10))
-            if key not in words:
-                words[key] = weights.word(_features(token, sizes[token[5]]))
-            gain = count * words[key]
+    for i, gain in enumerate(gains):
         if total <= 0:
             total, start = 0.0, i
         total += gain
         if total > best:
             best, first, last = total, start, i + 1
+    return first, last
+
+
+def main_text(html: str, weights: Weights) -> str:
+    """The blocks of the best region, white space made one space, joined by one space."""
+    tokens = _Page(html).tokens
+    sizes = _block_sizes(tokens)
+    words: dict[tuple, float] = {}
+
+    def gain(token: tuple) -> float:
+        if token[-1]:
+            return 0.0  # not in the text anyway: an advert within the article does not cut it in two
+        if token[1] is None:
+            return weights.tag(token[0])
+        count = len(token[1].split())
+        if not count:
+            return 0.0
+        key = (*token[2:5], min(sizes[token[5]], 10))
+        if key not in words:
+            words[key] = weights.word(_features(token, sizes[token[5]]))
+        return count * words[key]
+
+    first, last = best_region([gain(token) for token in tokens])
     blocks: dict[int, list[str]] = {}
     for token in tokens[first:last]:
         if token[1] is not None and not token[2]:
@@ -223,7 +253,8 @@ def main_text(html: str, weights: Weights) -> str:
 def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the main text of the whole html.
 
-    A null html is empty. No main text gives the empty string and 0; repeated rows give
+    A script or style without an end tag takes the rest of the page; of other elements that hold no text only the tag goes.
+    Blocks in boilerplate zones of an article neither gain nor cost. A null html is empty. No main text gives the empty string and 0; repeated rows give
     repeated results. Ids and urls pass as they are, null included.
     """
     learnt = weights or Weights()

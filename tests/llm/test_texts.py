@@ -196,3 +196,36 @@ def test_pipeline(spark, tmp_path):
     none = docs.filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).collect() == []
+
+
+ONE = "The first paragraph of this article has some nineteen words in it so that the probe is quite fair."
+TWO = "And the second paragraph goes on for eighteen words more, which must all be in the text too."
+
+
+@pytest.mark.parametrize(
+    "between",
+    [
+        f'<div class="ad">{"buy now " * 7}</div>', f'<div class="ad">{"buy now cheap " * 40}</div>',
+        f'<div class="related"><ul>{"<li><a href=x>more of this</a></li>" * 30}</ul></div>',
+        '<svg width="3"/>', "<svg><text>3 km</text></svg>", '<object data="x">', "<noscript>", "<iframe/>",
+    ],
+)
+def test_the_whole_article_is_kept(between):
+    page = f'<body><nav><a href="/">Home</a></nav><article><p>{ONE}</p>{between}<p>{TWO}</p></article><footer>c</footer>'
+    assert html.main_text(page, html.Weights()) == f"{ONE} {TWO}"
+    assert html.main_text(f"<svg/>{page}", html.Weights()) == f"{ONE} {TWO}"
+
+
+def test_many_elements_without_an_end_take_linear_time():
+    page = "<select>" * 20_000 + f"<article><p>{ONE}</p><p>{TWO}</p></article>"
+    assert ONE in html.main_text(page, html.Weights())
+    assert html.main_text(f"<article><p>{ONE}</p><script>var a = '<p>{TWO}</p>'", html.Weights()) == ONE
+
+
+def test_best_region_equals_all_regions():
+    rng = random.Random(9)
+    for _ in range(300):
+        gains = [rng.choice([-2.5, -1.0, -0.25, 0.0, 0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 25))]
+        first, last = html.best_region(gains)
+        sums = [sum(gains[a:b]) for a in range(len(gains)) for b in range(a, len(gains) + 1)]
+        assert sum(gains[first:last]) == max(sums, default=0.0)
