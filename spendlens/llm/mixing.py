@@ -12,10 +12,11 @@ gate and logit to what bits came out.
 
 The bit counts of each hashed context are gathered from all training documents: every
 task fills tables of fixed size, and chunks of these are added up after a shuffle. The mixing
-weights and maps are learnt from all training documents too: each task goes online through its
-own, against tables that leave their fold out, and what the tasks have learnt is averaged by the
-bits that each has seen. When texts are scored both stay as they are, so that no
-row's score depends on other rows scored.
+weights and maps are learnt from all training documents too. A hash deals them to units and orders
+them there; each unit is gone through online, against tables that leave a document's fold out, and
+what the units have learnt is averaged by the bits that each has seen, in exact decimals. So the model does not
+depend on how rows lie in partitions. Rows that repeat both id and text share a unit, which streams
+them. When texts are scored both stay as they are, so that no row's score depends on other rows scored.
 """
 
 from __future__ import annotations
@@ -43,9 +44,12 @@ COMMON = 96
 FOLDS = 2
 #: Text bytes split at a time, tokens coded at a time, entries of a shuffled chunk.
 AT_ONCE, TOKENS, CHUNK = 4 << 20, 20_000, 1 << 16
-#: Bits of an online step.
-STEP = 1024
-RATE, MAP_RATE, PRIOR = 0.005, 0.02, 0.4
+#: Tokens of a unit that is learnt from online; the most units, which are larger beyond that.
+UNIT_TOKENS, UNITS = 1 << 20, 10_000
+#: Bits of an online step of one weight set.
+STEP = 4096
+#: Rate of a step, weight of the map's start in bits, count of a slot's start.
+RATE, MAP_PRIOR, PRIOR = 0.1, 50.0, 0.4
 DEPTHS, BINS, LIMIT = 12, 33, 12.0
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -77,7 +81,9 @@ class Code:
         self.escape, self.end = len(self.words), len(self.words) + 1
         self.n_nodes = len(self.words) + 1
         size = np.diff(self.first)
-        self.depth = (np.arange(self.first[-1]) - np.repeat(self.first[:-1], size)).astype(np.int8)
+        depth = np.arange(self.first[-1]) - np.repeat(self.first[:-1], size)
+        # Node, depth as far as gates tell it, and bit of a step in one number: one lookup a bit.
+        self.steps = (self.nodes.astype(np.int64) << 5 | np.minimum(depth, DEPTHS - 1) << 1 | self.bits).astype(np.int32)
 
 
 def huffman(words: list[bytes], counts: list[int], escapes: int, ends: int) -> Code:
@@ -162,7 +168,8 @@ def word_bits(code: Code, ids: np.ndarray, starts: np.ndarray) -> Bits:
     total = int(first[-1] + size[-1]) if n else 0
     at = np.repeat(start - first, size)
     at += np.arange(total)
-    node, bit, depth = code.nodes.take(at), code.bits.take(at), code.depth.take(at)
+    steps = code.steps.take(at)
+    node, bit = steps >> 5, (steps & 1).astype(np.int8)
     spread = node.astype(np.uint64)
     spread += np.uint64(1)
     spread *= _K[1]
@@ -181,8 +188,8 @@ def word_bits(code: Code, ids: np.ndarray, starts: np.ndarray) -> Bits:
         there = code.first[word] + np.minimum(step, code.first[word + 1] - code.first[word] - 1)
         agrees = code.nodes[there] == node[own + step]
         extra[(own + step)[agrees]] = 2 * code.bits[there[agrees]] - 1
-    gate = np.minimum(depth, DEPTHS - 1).astype(np.int32)
-    gate += DEPTHS * (extra != 0)
+    gate = (steps >> 1 & 15).astype(np.uint8)
+    gate[extra != 0] += np.uint8(DEPTHS)
     return Bits(bit, slots, extra, gate, first)
 
 
@@ -206,7 +213,7 @@ def letter_bits(words: pa.Array) -> Bits:
     two = a.astype(np.uint64) * _K[0] + (b.astype(np.uint64) + np.uint64(1)) * _K[2]
     three = two ^ ((c.astype(np.uint64) + np.uint64(9)) * _K[3])
     slots = [np.repeat(a * 256, 8) + partial, *(_slot(np.repeat(x, 8), spread, LETTER_SLOTS) for x in (two, three))]
-    gate = np.tile(np.arange(8, dtype=np.int32), n) + np.repeat(8 * np.minimum(place, 1), 8).astype(np.int32)
+    gate = np.tile(np.arange(8, dtype=np.uint8), n) + np.repeat((8 * np.minimum(place, 1)).astype(np.uint8), 8)
     return Bits(bit, slots, None, gate, 8 * first)
 
 
@@ -234,12 +241,10 @@ class Mixer:
             middle = (np.arange(BINS) - BINS // 2) * (2 * LIMIT / (BINS - 1))
             self.refined = np.tile(1 / (1 + np.exp(-middle)), (self.gates, 1)).astype(np.float32)
 
-    def inputs(self, bits: Bits, chosen: slice = slice(None)) -> list[np.ndarray]:
-        found = [
-            table.take(slots[chosen]).astype(np.float32, copy=False) for table, slots in zip(self.tables, bits.slots)
-        ]
+    def inputs(self, bits: Bits) -> list[np.ndarray]:
+        found = [table.take(slots).astype(np.float32, copy=False) for table, slots in zip(self.tables, bits.slots)]
         if self.extra:
-            found.append(bits.extra[chosen] * np.float32(4.0))
+            found.append(bits.extra * np.float32(4.0))
         return found
 
     def _mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
@@ -253,22 +258,32 @@ class Mixer:
         return ((logit + np.float32(LIMIT)) * np.float32((BINS - 1) / (2 * LIMIT)) + np.float32(0.5)).astype(np.int32)
 
     def learn(self, bits: Bits) -> None:
-        """Online, bit by bit in steps of ``STEP``: weights by the gradient, map by what came."""
-        for i in range(0, len(bits.bit), STEP):
-            part = slice(i, i + STEP)
-            x, gate, y = self.inputs(bits, part), bits.gate[part], bits.bit[part]
-            logit = self._mixed(x, gate)
-            error = y - 1 / (1 + np.exp(-logit))
-            n = np.maximum(np.bincount(gate, minlength=self.gates), 16)
-            for k, own in enumerate([*x, 1.0]):
-                step = np.bincount(gate, weights=error * own, minlength=self.gates) / n
-                self.weights[:, k] += (RATE * 8 * step).astype(np.float32)
-            at = gate * BINS + self._bin(logit)
-            came = np.bincount(at, weights=y, minlength=self.refined.size)
-            seen = np.bincount(at, minlength=self.refined.size)
-            self.seen += seen.reshape(self.seen.shape)
-            flat = self.refined.reshape(-1)
-            flat += (came - seen * flat) * np.minimum(MAP_RATE, 1 / np.maximum(seen, 1))
+        """Online: weights by the gradient of steps of ``STEP`` bits, map by what came.
+
+        A weight set changes by the bits of its own gate only, so the gates are gone through one
+        by one, the bits of each in their order.
+        """
+        order = np.argsort(bits.gate, kind="stable")
+        ends = np.cumsum(np.bincount(bits.gate, minlength=self.gates))
+        y = bits.bit.take(order).astype(np.float32)
+        x = np.ones((self.weights.shape[1], len(order)), np.float32)
+        for own, values in zip(x, self.inputs(bits)):
+            values.take(order, out=own)
+        logit = np.empty(len(order), np.float32)
+        rate = np.float32(RATE / STEP)
+        for gate, end in enumerate(ends):
+            weights = self.weights[gate]
+            for i in range(ends[gate - 1] if gate else 0, end, STEP):
+                part = slice(i, min(i + STEP, end))
+                own = x[:, part]
+                mixed = np.clip(weights @ own, -LIMIT, LIMIT, out=logit[part])
+                weights += rate * (own @ (y[part] - 1 / (1 + np.exp(-mixed))))
+        at = self._bin(logit)
+        at += np.repeat(np.arange(self.gates, dtype=np.int32) * BINS, np.diff(ends, prepend=0))
+        came = np.bincount(at, weights=y, minlength=self.refined.size).reshape(self.refined.shape)
+        seen = np.bincount(at, minlength=self.refined.size).reshape(self.refined.shape)
+        self.seen += seen
+        self.refined += ((came - seen * self.refined) / (self.seen + MAP_PRIOR)).astype(np.float32)
 
     def log2(self, bits: Bits) -> np.ndarray:
         """Per token, the sum of its bits' log2 probabilities."""
@@ -340,7 +355,7 @@ def _sizes(code: Code) -> list[int]:
 
 
 def _fold() -> Column:
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).cast("int")
+    return F.pmod("mark", F.lit(FOLDS)).cast("int")
 
 
 def _by_fold(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
@@ -362,16 +377,24 @@ def _gathered(docs: DataFrame, model: Model) -> list[list[np.ndarray]]:
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value
         tables: dict[int, list[np.ndarray]] = {}
+        tokens: dict[int, np.ndarray] = {}
         for batch in pieces(batches, limit=AT_ONCE):
             for fold, column in _by_fold(batch):
                 if fold not in tables:
                     tables[fold] = [np.zeros(2 * n, np.int32) for n in sizes]
+                    tokens[fold] = np.zeros(len(own.counts), np.int32)
                 for ids, starts, rare in own.laid_out(column):
+                    np.add.at(tokens[fold], ids, np.int32(1))
+                    words = word_bits(own.code, ids, starts)
                     spelled = letter_bits(rare) if len(rare) else None
-                    for at, bits in ((0, word_bits(own.code, ids, starts)), (3, spelled)):
+                    # The first table of words follows from the tokens.
+                    for at, bits, skip in ((0, words, 1), (3, spelled, 0)):
                         if bits is not None:
-                            for k, slots in enumerate(bits.slots):
+                            for k, slots in list(enumerate(bits.slots))[skip:]:
                                 np.add.at(tables[fold][at + k], 2 * slots + bits.bit, np.int32(1))
+        for fold, n in tokens.items():
+            passed = np.repeat(n, np.diff(own.code.first))
+            np.add.at(tables[fold][0], 2 * own.code.nodes.astype(np.int64) + own.code.bits, passed)
         press = zstandard.ZstdCompressor(level=1).compress
         for fold, filled in tables.items():
             for k, table in enumerate(filled):
@@ -412,11 +435,40 @@ def _gathered(docs: DataFrame, model: Model) -> list[list[np.ndarray]]:
     return out
 
 
+def _unit_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(unit, rows), cut by the unit's own bytes only; the rows come sorted by unit."""
+    held: list[pa.RecordBatch] = []
+    size, unit = 0, None
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        units = batch.column("unit").to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < batch.num_rows:
+            if held and units[start] != unit:
+                yield unit, whole()
+                held, size = [], 0
+            unit = int(units[start])
+            ends = size + np.cumsum(sizes[start : int(np.searchsorted(units, unit, "right"))], dtype=np.int64)
+            n = min(int(np.searchsorted(ends, AT_ONCE)) + 1, len(ends))
+            held.append(batch.slice(start, n))
+            size = int(ends[n - 1])
+            if size >= AT_ONCE:
+                yield unit, whole()
+                held, size = [], 0
+            start += n
+    if held:
+        yield unit, whole()
+
+
 def _learn(docs: DataFrame, model: Model, outer: list[list[np.ndarray]]) -> None:
-    """The weights and maps of the model's mixers, from all texts: the mean of what the tasks learn.
+    """The weights and maps of the model's mixers, from all texts: the mean of what the units learn.
 
-    A value counts as often as its task has seen a bit that teaches it. ``outer`` has the tables
-    without each fold.
+    A value counts as often as its unit has seen a bit that teaches it. ``outer`` has the tables
+    without each fold; ``docs`` has (text, fold, mark), whose mark deals out and orders the texts.
     """
     # The tables of all texts stay here.
     mixers, model.words, model.letters = (model.words, model.letters), None, None
@@ -424,21 +476,7 @@ def _learn(docs: DataFrame, model: Model, outer: list[list[np.ndarray]]) -> None
     model.words, model.letters = mixers
     kinds = [(mixer.gates, mixer.extra) for mixer in mixers]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tables = shared.value
-        # One set of weights, whatever fold is left out.
-        first = [Mixer(part, *kind) for part, kind in zip((tables[0][:3], tables[0][3:]), kinds)]
-        folds = [
-            [Mixer(part, m.gates, m.extra, m.weights, m.refined, m.seen) for part, m in zip((t[:3], t[3:]), first)]
-            for t in tables
-        ]
-        for batch in pieces(batches, limit=AT_ONCE):
-            for fold, column in _by_fold(batch):
-                words, letters = folds[fold]
-                for ids, starts, rare in own.laid_out(column):
-                    words.learn(word_bits(own.code, ids, starts))
-                    if len(rare):
-                        letters.learn(letter_bits(rare))
+    def learnt(first: list[Mixer]) -> Iterator[pa.RecordBatch]:
         for number, mixer in enumerate(first):
             by_gate = np.repeat(mixer.seen.sum(axis=1), mixer.weights.shape[1])
             for kind, (values, n) in enumerate(((mixer.weights, by_gate), (mixer.refined, mixer.seen.reshape(-1)))):
@@ -451,8 +489,34 @@ def _learn(docs: DataFrame, model: Model, outer: list[list[np.ndarray]]) -> None
                         ["number", "kind", "place", "value", "n"],
                     )
 
-    rows = docs.mapInArrow(run, "number int, kind int, place int, value double, n long")
-    means = rows.groupBy("number", "kind", "place").agg((F.sum("value") / F.sum("n")).alias("mean"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, tables = shared.value
+        at, first = None, []
+        for unit, batch in _unit_parts(batches):
+            if unit != at:
+                yield from learnt(first)
+                # One set of weights, whatever fold is left out.
+                at, first = unit, [Mixer(part, *kind) for part, kind in zip((tables[0][:3], tables[0][3:]), kinds)]
+                folds = [
+                    [Mixer(part, m.gates, m.extra, m.weights, m.refined, m.seen) for part, m in zip((t[:3], t[3:]), first)]
+                    for t in tables
+                ]
+            for fold, column in _by_fold(batch):
+                words, letters = folds[fold]
+                for ids, starts, rare in own.laid_out(column):
+                    words.learn(word_bits(own.code, ids, starts))
+                    if len(rare):
+                        letters.learn(letter_bits(rare))
+        yield from learnt(first)
+
+    units = min(max(model.total // UNIT_TOKENS, 1), UNITS)
+    unit = F.pmod(F.shiftright("mark", 8), F.lit(units)).cast("int")
+    dealt = docs.select("text", "fold", "mark", unit.alias("unit")).repartitionById(units, "unit")
+    rows = dealt.sortWithinPartitions("unit", "mark", "text").mapInArrow(
+        run, "number int, kind int, place int, value double, n long"
+    )
+    total = F.sum(F.col("value").cast("decimal(28,10)")).cast("double")
+    means = rows.groupBy("number", "kind", "place").agg((total / F.sum("n")).alias("mean"))
     for number, kind, place, mean in means.collect():
         values = mixers[number].refined if kind else mixers[number].weights
         values.reshape(-1)[place] = mean
@@ -505,7 +569,8 @@ def train(docs: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY) -> M
     code = huffman([w for w, _ in frequent], [n for _, n in frequent], escapes, ends)
     model = Model(code, np.array([*(n for _, n in frequent), 0, ends], np.int64), total, types, single)
 
-    folded = docs.select("text", _fold().alias("fold"))
+    marked = docs.select("text", F.xxhash64("doc_id", "text").alias("mark"))
+    folded = marked.select("text", "mark", _fold().alias("fold"))
     tables, *outer = _gathered(folded, model)
     model.words = Mixer(tables[:3], 2 * DEPTHS, True)
     model.letters = Mixer(tables[3:], 16, False)

@@ -194,6 +194,61 @@ def test_every_training_document_counts_and_teaches(spark, repeats):
         assert (whole.words.weights != fresh.weights).any() and (whole.words.refined != fresh.refined).any()
 
 
+def test_scores_do_not_depend_on_partitions_or_order(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "UNIT_TOKENS", 4_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.filter("doc_id < 3"))  # rows that repeat
+    found = []
+    for dealt in (docs.coalesce(1), docs.repartition(7, F.rand(3)).sortWithinPartitions(F.rand(4))):
+        rows = mixing.score(dealt, fold("doc_id", 7) == 2).collect()
+        found.append(sorted((r["doc_id"], r["n_tokens"], r["score"], r["bits_per_byte"] or 0.0) for r in rows))
+    assert len(found[0]) == docs.count()
+    for one, other in zip(*found):
+        assert one[:2] == other[:2]
+        assert one[2:] == pytest.approx(other[2:], rel=1e-9)
+
+
+def test_units_are_cut_by_their_own_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(mixing, "AT_ONCE", 10)
+    units = [0, 0, 0, 0, 2, 2, 3, 3, 3]
+    texts = ["abcd", "abcd", "abcd", "x", "a" * 30, None, "", "ab", "abcdefghijk"]
+    expected = [(0, texts[:3]), (0, texts[3:4]), (2, texts[4:5]), (2, texts[5:6]), (3, texts[6:])]
+    whole = pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(texts)], ["unit", "text"])
+    for size in (1, 2, 4, 9):
+        batches = [whole.slice(i, size) for i in range(0, 9, size)]
+        got = [(unit, part.column("text").to_pylist()) for unit, part in mixing._unit_parts(batches)]
+        assert got == expected
+
+
+def test_learning_goes_through_each_gate_in_order():
+    rng = np.random.default_rng(8)
+    n, gates = 30_000, 3
+    tables = [rng.normal(0, 2, 50), rng.normal(0, 2, 70)]
+    slots = [rng.integers(0, len(t), n) for t in tables]
+    gate, bit = rng.integers(0, gates, n).astype(np.uint8), rng.integers(0, 2, n).astype(np.int8)
+    mixer = mixing.Mixer(tables, gates, False)
+    expected, map_ = mixer.weights.astype(np.float64), mixer.refined.astype(np.float64)
+    came, seen = np.zeros(map_.shape), np.zeros(map_.shape)
+    for g in range(gates):
+        own = np.flatnonzero(gate == g)
+        for i in range(0, len(own), mixing.STEP):
+            step = np.zeros(3)
+            for j in own[i : i + mixing.STEP]:
+                x = np.array([tables[0][slots[0][j]], tables[1][slots[1][j]], 1.0])
+                logit = min(max(float(expected[g] @ x), -mixing.LIMIT), mixing.LIMIT)
+                step += (bit[j] - 1 / (1 + np.exp(-logit))) * x
+                place = int((logit + mixing.LIMIT) * (mixing.BINS - 1) / (2 * mixing.LIMIT) + 0.5)
+                came[g, place] += bit[j]
+                seen[g, place] += 1
+            expected[g] += mixing.RATE / mixing.STEP * step
+    mixer.learn(mixing.Bits(bit, slots, None, gate, np.arange(n)))
+    assert mixer.weights == pytest.approx(expected, abs=1e-4)
+    assert np.abs(mixer.seen - seen).sum() <= 10  # a logit at a bin's edge may fall either way
+    assert mixer.refined == pytest.approx(map_ + (came - seen * map_) / (seen + mixing.MAP_PRIOR), abs=0.02)
+
+
 def test_words_are_those_between_ascii_white_space():
     import random
 
