@@ -70,20 +70,24 @@ def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 @dataclass
 class Code:
-    """Word i's path: nodes[first[i]:first[i + 1]] and the bits taken there."""
+    """Word i's path: steps[first[i]:first[i + 1]], each a node, its depth and the bit taken there."""
 
     words: list[bytes]  # by falling frequency; then the escape, then the end
     first: np.ndarray
-    nodes: np.ndarray
-    bits: np.ndarray
+    #: Node << 5 | depth as far as gates tell it << 1 | bit: one lookup a bit.
+    steps: np.ndarray
 
     def __post_init__(self):
         self.escape, self.end = len(self.words), len(self.words) + 1
         self.n_nodes = len(self.words) + 1
-        size = np.diff(self.first)
-        depth = np.arange(self.first[-1]) - np.repeat(self.first[:-1], size)
-        # Node, depth as far as gates tell it, and bit of a step in one number: one lookup a bit.
-        self.steps = (self.nodes.astype(np.int64) << 5 | np.minimum(depth, DEPTHS - 1) << 1 | self.bits).astype(np.int32)
+
+    @property
+    def nodes(self) -> np.ndarray:
+        return self.steps >> 5
+
+    @property
+    def bits(self) -> np.ndarray:
+        return (self.steps & 1).astype(np.int8)
 
 
 def huffman(words: list[bytes], counts: list[int], escapes: int, ends: int) -> Code:
@@ -112,11 +116,11 @@ def huffman(words: list[bytes], counts: list[int], escapes: int, ends: int) -> C
     for who, _, _ in steps:
         length[who] += 1
     first = np.concatenate([[0], np.cumsum(length)])
-    nodes, bits = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.int8)
+    path = np.zeros(first[-1], np.int32)
     for k, (who, node, bit) in enumerate(steps):
-        place = first[who] + length[who] - 1 - k
-        nodes[place], bits[place] = node, bit
-    return Code(words, first, nodes, bits)
+        depth = length[who] - 1 - k
+        path[first[who] + depth] = node << 5 | np.minimum(depth, DEPTHS - 1) << 1 | bit
+    return Code(words, first, path)
 
 
 # Bits in their contexts.
@@ -186,8 +190,9 @@ def word_bits(code: Code, ids: np.ndarray, starts: np.ndarray) -> Bits:
         step = np.arange(len(own)) - np.repeat(np.cumsum(size[hoped]) - size[hoped], size[hoped])
         word = np.repeat(expected[hoped], size[hoped])
         there = code.first[word] + np.minimum(step, code.first[word + 1] - code.first[word] - 1)
-        agrees = code.nodes[there] == node[own + step]
-        extra[(own + step)[agrees]] = 2 * code.bits[there[agrees]] - 1
+        hope = code.steps[there]
+        agrees = hope >> 5 == node[own + step]
+        extra[(own + step)[agrees]] = 2 * (hope[agrees] & 1) - 1
     gate = (steps >> 1 & 15).astype(np.uint8)
     gate[extra != 0] += np.uint8(DEPTHS)
     return Bits(bit, slots, extra, gate, first)
@@ -394,7 +399,7 @@ def _gathered(docs: DataFrame, model: Model) -> list[list[np.ndarray]]:
                                 np.add.at(tables[fold][at + k], 2 * slots + bits.bit, np.int32(1))
         for fold, n in tokens.items():
             passed = np.repeat(n, np.diff(own.code.first))
-            np.add.at(tables[fold][0], 2 * own.code.nodes.astype(np.int64) + own.code.bits, passed)
+            np.add.at(tables[fold][0], 2 * own.code.nodes + own.code.bits, passed)
         press = zstandard.ZstdCompressor(level=1).compress
         for fold, filled in tables.items():
             for k, table in enumerate(filled):
@@ -432,6 +437,7 @@ def _gathered(docs: DataFrame, model: Model) -> list[list[np.ndarray]]:
     for kind, k, i, raw in parts.mapInArrow(add, "kind int, number int, chunk int, logits binary").toLocalIterator():
         part = np.frombuffer(raw, np.float16)
         out[kind][k][i * CHUNK // 2 : i * CHUNK // 2 + len(part)] = part
+    shared.unpersist()
     return out
 
 
