@@ -43,7 +43,7 @@ COMMON = 96
 #: Parts of the training documents; weights are learnt on each against the counts of the others.
 FOLDS = 2
 #: Text bytes split at a time, tokens coded at a time, entries of a shuffled chunk.
-AT_ONCE, TOKENS, CHUNK = 4 << 20, 20_000, 1 << 16
+AT_ONCE, TOKENS, CHUNK = 16 << 20, 20_000, 1 << 16
 #: Tokens of a unit that is learnt from online; the most units, which are larger beyond that.
 UNIT_TOKENS, UNITS = 1 << 20, 10_000
 #: Bits of an online step of one weight set.
@@ -252,10 +252,17 @@ class Mixer:
             found.append(bits.extra * np.float32(4.0))
         return found
 
-    def _mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+    def _mixed(self, bits: Bits) -> np.ndarray:
+        gate = bits.gate.astype(np.intp)
         total = self.weights[:, -1].take(gate)
-        for k, own in enumerate(x):
-            total += self.weights[:, k].take(gate) * own
+        for k, (table, slots) in enumerate(zip(self.tables, bits.slots)):
+            own = table.take(slots).astype(np.float32, copy=False)
+            own *= self.weights[:, k].take(gate)
+            total += own
+        if self.extra:
+            expected = np.flatnonzero(bits.extra)
+            weight = self.weights[:, -2].take(gate[expected])
+            total[expected] += weight * (bits.extra[expected] * np.float32(4.0))
         return np.clip(total, -LIMIT, LIMIT, out=total)
 
     @staticmethod
@@ -269,8 +276,9 @@ class Mixer:
         by one, the bits of each in their order.
         """
         order = np.argsort(bits.gate, kind="stable")
-        ends = np.cumsum(np.bincount(bits.gate, minlength=self.gates))
-        y = bits.bit.take(order).astype(np.float32)
+        ends = np.searchsorted(bits.gate.take(order), np.arange(self.gates, dtype=np.uint8), "right")
+        bit = bits.bit.take(order)
+        y = bit.astype(np.float32)
         x = np.ones((self.weights.shape[1], len(order)), np.float32)
         for own, values in zip(x, self.inputs(bits)):
             values.take(order, out=own)
@@ -285,14 +293,16 @@ class Mixer:
                 weights += rate * (own @ (y[part] - 1 / (1 + np.exp(-mixed))))
         at = self._bin(logit)
         at += np.repeat(np.arange(self.gates, dtype=np.int32) * BINS, np.diff(ends, prepend=0))
-        came = np.bincount(at, weights=y, minlength=self.refined.size).reshape(self.refined.shape)
-        seen = np.bincount(at, minlength=self.refined.size).reshape(self.refined.shape)
+        at <<= 1
+        at += bit
+        zeros, came = np.bincount(at, minlength=2 * self.refined.size).reshape(*self.refined.shape, 2).transpose(2, 0, 1)
+        seen = zeros + came
         self.seen += seen
         self.refined += ((came - seen * self.refined) / (self.seen + MAP_PRIOR)).astype(np.float32)
 
     def log2(self, bits: Bits) -> np.ndarray:
         """Per token, the sum of its bits' log2 probabilities."""
-        logit = self._mixed(self.inputs(bits), bits.gate)
+        logit = self._mixed(bits)
         at = self._bin(logit)
         at += bits.gate * np.int32(BINS)
         refined = self.refined.reshape(-1).take(at)
@@ -304,7 +314,7 @@ class Mixer:
         logit *= np.float32(0.5)  # the probability that the bit is 1
         p = np.abs((1 - bits.bit) - logit)
         np.maximum(p, np.float32(1e-7), out=p)
-        return np.add.reduceat(np.log2(p, out=p), bits.first, dtype=np.float64)
+        return np.add.reduceat(np.log(p, out=p), bits.first, dtype=np.float64) / np.log(2.0)
 
 
 # The whole model.
@@ -396,7 +406,9 @@ def _gathered(docs: DataFrame, model: Model) -> list[list[np.ndarray]]:
                     for at, bits, skip in ((0, words, 1), (3, spelled, 0)):
                         if bits is not None:
                             for k, slots in list(enumerate(bits.slots))[skip:]:
-                                np.add.at(tables[fold][at + k], 2 * slots + bits.bit, np.int32(1))
+                                place = slots << 1
+                                place += bits.bit
+                                np.add.at(tables[fold][at + k], place, np.int32(1))
         for fold, n in tokens.items():
             passed = np.repeat(n, np.diff(own.code.first))
             np.add.at(tables[fold][0], 2 * own.code.nodes + own.code.bits, passed)
@@ -497,6 +509,7 @@ def _learn(docs: DataFrame, model: Model, outer: list[list[np.ndarray]]) -> None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tables = shared.value
+        tables = [[table.astype(np.float32) for table in of_fold] for of_fold in tables]
         at, first = None, []
         for unit, batch in _unit_parts(batches):
             if unit != at:
