@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spendlens.operators.features import balanced_features
 from spendlens.operators.regression import predict
@@ -207,6 +208,47 @@ def test_run_from_csv_to_files(spark, raw):
     assert ("model_training", "model_type") in short
 
 
+def test_outputs_appear_together_or_not_at_all(spark, raw, monkeypatch):
+    import os
+
+    job = jobs.fit_spend_model(raw)
+    table = job.prepared.df.withColumn("mark", F.expr("uuid()"))
+    results = jobs.results_table(spark, {"run": {"status": "SUCCESS"}})
+    folders = [shared_path(spark, "one"), shared_path(spark, "two")]
+    places = {"local": {"dir": folders[0]}, "remote": {"enabled": True, "path": folders[1]}, "output_prefix": "out"}
+
+    def visible():
+        return [sorted(n for n in os.listdir(f) if n[0] not in "_.") if os.path.isdir(f) else [] for f in folders]
+
+    save, calls = writers.save_model, []
+
+    def failing(*given):
+        calls.append(given)
+        if len(calls) == 2:  # in the second place
+            raise OSError("disk full")
+        return save(*given)
+
+    monkeypatch.setattr(writers, "save_model", failing)
+    with pytest.raises(OSError, match="disk full"):
+        writers.export_by_config(spark, table, job.model, results, places)
+    assert visible() == [[], []]
+    for _ in range(2):  # the second time over the outputs of the first
+        files = writers.export_by_config(spark, table, job.model, results, places)
+    assert [n for n in os.listdir(folders[0]) if n.startswith("_staged")] == []
+    names = ["out_manifest.json", "out_model.parquet", "out_processed_data.csv", "out_processed_data.parquet", "out_results.json"]
+    assert visible() == [names, names]
+    # One computation feeds both forms in both places: random values agree.
+    marks = [
+        {r["mark"] for r in stored.select("mark").collect()}
+        for f in files.values()
+        for stored in (spark.read.parquet(f["processed_data_parquet"]), readers.read_csv(spark, f["processed_data_csv"]))
+    ]
+    assert len(marks[0]) == 720 and all(m == marks[0] for m in marks)
+    manifest = {r["output"]: r["path"] for r in spark.read.json(files["local"]["manifest"]).collect()}
+    assert manifest == {k: v for k, v in files["local"].items() if k != "manifest"}
+    job.close()
+
+
 def test_steps_can_be_switched_off(spark, raw):
     off = {"enabled": False}
     only_import = jobs.run(

@@ -64,6 +64,20 @@ def test_lags_of_all_columns_share_one_window(stored):
     assert len(re.findall(r"\bWindow \[", tree(lagged))) == 1
 
 
+def test_series_tables_need_no_shuffle(stored):
+    spark = stored.sparkSession
+    name = writers.write_series_table(stored, "stored_series", shared_path(spark, "series"), 8)
+    table = spark.table(name)
+    lagged = features.add_spend_lags(series.as_series(table), queries.SPEND).result()
+    assert shuffles(lagged) == 0
+    assert shuffles(preprocess(table, queries.PANEL_CONFIG).df) == 0
+    plain = features.add_spend_lags(series.as_series(stored.where("geo is not null")), queries.SPEND).result()
+    columns = ["geo", "week", *[c for c in plain.columns if "_lag" in c]]
+    unique = lagged.where("geo is not null").select(*columns)
+    assert unique.groupBy("geo", "week").count().count() == plain.groupBy("geo", "week").count().count()
+    assert unique.exceptAll(plain.select(*columns)).count() == 0
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     shown = plan(trade_panel.build_promotions(spark, sf_dir))
     assert "GreaterThanOrEqual(l_discount,0.085)" in shown
