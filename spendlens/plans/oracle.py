@@ -1026,6 +1026,7 @@ ORACLE_SQL: dict[str, str] = {
     "preprocess_summary": PREPROCESS_SUMMARY,
     "spend_lags": _panel(LAGS),
     "spend_lags_segmented": _panel(LAGS),
+    "spend_lags_stored": _panel(LAGS),
     "organic_lag": ORGANIC_LAG,
     "organic_lag_segmented": ORGANIC_LAG,
     "promo_intensity": INTENSITY,

@@ -49,6 +49,7 @@ PROMO_MODEL = [
 ]
 SCENARIO = {"cost_urgent": 1.2, "cost_high": 1.2, "cost_low": 0.8}
 SEGMENT_ROWS = 100  # makes the registered segmented variants cut every geo
+STORED_BUCKETS = 64  # of the stored series
 
 _cached: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -344,6 +345,15 @@ def _spend_lags(max_rows: int) -> Query:
     return query
 
 
+def spend_lags_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags on the panel stored in buckets of geo: no shuffle between scan and window."""
+    narrow = panel(spark, sf_dir).select("geo", "week", *SPEND)
+    path = shared_path(spark, "series")
+    name = writers.write_series_table(narrow, path.rsplit("/", 1)[1].replace("-", "_"), path, STORED_BUCKETS)
+    lagged = features.add_spend_lags(series.as_series(spark.table(name)), SPEND).result()
+    return _keyed(lagged, list(features.lag_names(SPEND, [1, 2])))
+
+
 def _organic_lag(max_rows: int) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         narrow = panel(spark, sf_dir).select("geo", "week", "impression_organic")
@@ -757,6 +767,7 @@ QUERIES: dict[str, Query] = {
     "preprocess_summary": preprocess_summary_query,
     "spend_lags": _spend_lags(series.MAX_SERIES_ROWS),
     "spend_lags_segmented": _spend_lags(SEGMENT_ROWS),
+    "spend_lags_stored": spend_lags_stored,
     "organic_lag": _organic_lag(series.MAX_SERIES_ROWS),
     "organic_lag_segmented": _organic_lag(SEGMENT_ROWS),
     "promo_intensity": _promo_intensity(series.MAX_SERIES_ROWS),
