@@ -96,17 +96,17 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL = {
     "op6_topk": """
-        WITH usable AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+        WITH usable AS MATERIALIZED (
+            SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+            SELECT q.own, q.vec_id AS query_id, c.vec_id AS vec_id,
                    CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
-            FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+            FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.own <> c.own
         ), ranked AS (
-            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank,
+            SELECT query_id, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS rank,
                    vec_id, score
             FROM scored
         )

@@ -11,13 +11,11 @@ def brute(rows, k):
         (i, [math.floor(1024 * x) for x in v]) for i, v in rows
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
     ]
-    asked = {}
-    for i, v in ok:
-        if i % 100 == 0:
-            asked[i] = min(v, asked.get(i, v))
     out = []
-    for q, w in asked.items():
-        found = sorted((-sum(a * b for a, b in zip(w, v)), i) for i, v in ok if i != q)[:k]
+    for own, (q, w) in enumerate(ok):
+        if q % 100:
+            continue
+        found = sorted((-sum(a * b for a, b in zip(w, v)), i) for at, (i, v) in enumerate(ok) if at != own)[:k]
         out += [(q, rank, i, -s) for rank, (s, i) in enumerate(found, 1)]
     return out
 
@@ -41,6 +39,17 @@ def test_equals_brute_force_with_ties_and_awkward_rows(spark):
     assert sorted_rows(top_k(vectors, queries, block=3).collect()) == expected
 
 
+def test_rows_that_share_an_id_are_queries_and_candidates_of_their_own(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 1.0]), (200, [2.0, 2.0])]
+    rows += [(300, [1.0])] * 15 + [(300, [1.0, 0.0])]
+    vectors = quantised(table(spark, [(i, v, 0, 0) for i, v in rows]))
+    queries = vectors.filter("vec_id % 100 = 0")
+    for k in (1, 3, 10):
+        expected = sorted_rows(brute(rows, k))
+        assert sorted_rows(top_k(vectors, queries, k).collect()) == expected
+        assert sorted_rows(top_k(vectors, queries, k, block=2).collect()) == expected
+
+
 def test_fewer_candidates_than_k_and_none(spark):
     vectors = quantised(table(spark, [(0, [1.0], 0, 0), (1, [2.0], 0, 0)]))
     queries = vectors.filter("vec_id % 100 = 0")
