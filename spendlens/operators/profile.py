@@ -254,7 +254,11 @@ def promo_flag_counts(
 
 
 def describe_numeric(df: DataFrame, decimals: int | None = 2) -> DataFrame:
-    """Count, mean, deviation (n-1), extremes and exact quartiles per numeric column."""
+    """Count, mean, deviation (n-1), extremes and exact quartiles per numeric column.
+
+    NaN counts as missing. Infinities are values: they sort to the ends, and make the mean
+    infinite and the deviation NaN.
+    """
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     stats = column_stats(df, numeric)
     quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], stats=stats)

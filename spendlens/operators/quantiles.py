@@ -36,34 +36,70 @@ class _Range:
 
 @dataclass(frozen=True)
 class ColumnStats:
-    """One pass worth of facts about a column; None where it has no values."""
+    """One pass worth of facts about a column; None where it has no values.
+
+    NaN is no value. Infinities are values, sorted to the ends; ``least`` and ``most`` are
+    the extremes of the others.
+    """
 
     rows: int
     mean: float | None
     std: float | None
     low: float | None
     high: float | None
+    least: float | None
+    most: float | None
+    below: int = 0  # values of minus infinity
+    above: int = 0
+    odd: bool = False  # holds a NaN or an infinity
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats]:
-    """Count, mean, sample deviation and extremes of all columns in one aggregation."""
+    """Count, mean, sample deviation and extremes of all columns in one aggregation.
+
+    Spark holds NaN to be above every number, so the extremes tell which columns hold a NaN
+    or an infinity; only those are read once more.
+    """
     if not columns:
         return {}
+    values = {c: f"CAST({sql.name(c)} AS DOUBLE)" for c in columns}
+    wanted = [part for i, v in enumerate(values.values()) for part in _facts(v, i)]
+    row = df.selectExpr(*wanted).first()
+    parts = ("rows", "mean", "std", "low", "high", "low", "high")
+    found = {c: ColumnStats(*[row[f"{p}_{i}"] for p in parts]) for i, c in enumerate(columns)}
+    odd = [
+        c for c, known in found.items()
+        if not all(math.isfinite(end or 0.0) for end in (known.low, known.high))
+    ]
+    if not odd:
+        return found
     wanted = []
-    for i, c in enumerate(columns):
-        value = f"CAST({sql.name(c)} AS DOUBLE)"
+    for i, c in enumerate(odd):
+        value = f"nullif({values[c]}, double('NaN'))"
+        finite = f"CASE WHEN abs({value}) < double('Infinity') THEN {value} END"
         wanted += [
-            f"count({value}) AS rows_{i}",
-            f"avg({value}) AS mean_{i}",
-            f"stddev_samp({value}) AS std_{i}",
-            f"min({value}) AS low_{i}",
-            f"max({value}) AS high_{i}",
+            *_facts(value, i),
+            f"min({finite}) AS least_{i}",
+            f"max({finite}) AS most_{i}",
+            f"count_if({value} = double('-Infinity')) AS below_{i}",
+            f"count_if({value} = double('Infinity')) AS above_{i}",
         ]
     row = df.selectExpr(*wanted).first()
-    return {
-        c: ColumnStats(*[row[f"{part}_{i}"] for part in ("rows", "mean", "std", "low", "high")])
-        for i, c in enumerate(columns)
-    }
+    parts = ("rows", "mean", "std", "low", "high", "least", "most", "below", "above")
+    found.update(
+        {c: ColumnStats(*[row[f"{p}_{i}"] for p in parts], odd=True) for i, c in enumerate(odd)}
+    )
+    return found
+
+
+def _facts(value: str, number: int) -> list[str]:
+    return [
+        f"count({value}) AS rows_{number}",
+        f"avg({value}) AS mean_{number}",
+        f"stddev_samp({value}) AS std_{number}",
+        f"min({value}) AS low_{number}",
+        f"max({value}) AS high_{number}",
+    ]
 
 
 def exact_quantiles(
@@ -73,23 +109,32 @@ def exact_quantiles(
     max_sorted_rows: int = MAX_SORTED_ROWS,
     stats: Mapping[str, ColumnStats] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each column, nulls skipped.
+    """Linearly interpolated quantiles of each column, nulls and NaN skipped.
 
     The result has one list per column, in the order of ``fractions``; a column
-    without values gives None. ``stats`` saves a pass if they are known.
+    without values gives None. Infinities are the first and last values; a quantile
+    between an infinity and a number is that infinity (NaN between both infinities).
+    ``stats`` saves a pass if they are known.
     """
     stats = column_stats(df, columns) if stats is None else stats
     wanted: dict[_Range, set[int]] = {}
+    ends: dict[tuple[str, int], float] = {}
     for c in columns:
         known = stats[c]
         if known.rows == 0:
             continue
-        if not (math.isfinite(known.low) and math.isfinite(known.high)):
-            raise ValueError(f"column {c} holds infinite or NaN values")
         ranks = {r for f in fractions for r in _ranks(f, known.rows)}
-        wanted[_Range(c, known.low, known.high, 0, known.rows)] = ranks
-    wanted = _bracketed(df, wanted, max_sorted_rows)
-    values = _select_ranks(df, wanted, max_sorted_rows)
+        ends.update({(c, r): -math.inf for r in ranks if r < known.below})
+        ends.update({(c, r): math.inf for r in ranks if r >= known.rows - known.above})
+        ranks = {r for r in ranks if (c, r) not in ends}
+        if ranks:
+            finite = known.rows - known.below - known.above
+            wanted[_Range(c, known.least, known.most, known.below, finite)] = ranks
+    regular = {span: ranks for span, ranks in wanted.items() if not stats[span.column].odd}
+    # NaN and infinities would mislead the sketch: other columns start from the whole range.
+    closer = _bracketed(df, regular, max_sorted_rows)
+    closer.update({span: ranks for span, ranks in wanted.items() if span not in regular})
+    values = {**ends, **_select_ranks(df, closer, max_sorted_rows)}
     return {c: [_interpolate(values, c, f, stats[c].rows) for f in fractions] for c in columns}
 
 
@@ -109,6 +154,8 @@ def _interpolate(
         return None
     low, high = _ranks(fraction, rows)
     a, b = values[column, low], values[column, high]
+    if a == b:
+        return a
     return a + (b - a) * (fraction * (rows - 1) - low)
 
 

@@ -3,7 +3,7 @@ import pytest
 
 from spendlens.operators.nulls import fill_column, median_fill
 from spendlens.operators.profile import describe_numeric
-from spendlens.operators.quantiles import exact_median, exact_quantiles
+from spendlens.operators.quantiles import exact_quantiles
 
 FRACTIONS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
 
@@ -46,9 +46,29 @@ def test_several_columns_at_once(spark):
     assert got["c"] == [None, None]
 
 
-def test_infinite_values_are_an_error(spark):
-    with pytest.raises(ValueError, match="infinite"):
-        exact_median(frame(spark, [1, float("inf")]), "x")
+INF, NAN = float("inf"), float("nan")
+
+
+@pytest.mark.parametrize("max_sorted_rows", [0, 10, 100_000])
+def test_nan_is_missing_and_infinities_sort_to_the_ends(spark, max_sorted_rows):
+    def quantiles(values, fractions):
+        return exact_quantiles(frame(spark, values), ["x"], fractions, max_sorted_rows)["x"]
+
+    many = [-INF] * 3 + list(range(20)) + [INF] * 2 + [NAN, None, NAN]
+    assert quantiles(many, [0.0, 2 / 24, 3 / 24, 12 / 24, 22 / 24, 23 / 24, 1.0]) == [-INF, -INF, 0, 9, 19, INF, INF]
+    assert quantiles([1, INF], [0.0, 0.5, 1.0]) == [1, INF, INF]
+    assert quantiles([INF, INF], [0.5]) == [INF]
+    assert quantiles([NAN, None], [0.5]) == [None]
+    assert quantiles([NAN, 3, NAN, 5], [0.5]) == [4]
+    assert np.isnan(quantiles([-INF, INF], [0.5])[0])
+
+
+def test_describe_with_nan_and_infinity(spark):
+    df = spark.createDataFrame([(1.0, NAN), (2.0, 1.0), (INF, 3.0)], "a double, b double")
+    rows = {r["column_name"]: r for r in describe_numeric(df).collect()}
+    assert (rows["a"]["n_values"], rows["a"]["mean"], rows["a"]["p50"], rows["a"]["max"]) == (3, INF, 2.0, INF)
+    assert np.isnan(rows["a"]["std"])
+    assert (rows["b"]["n_values"], rows["b"]["mean"], rows["b"]["p50"], rows["b"]["max"]) == (2, 2.0, 2.0, 3.0)
 
 
 def test_median_fill(spark):
