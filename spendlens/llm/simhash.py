@@ -7,10 +7,15 @@ bucket the fingerprints are sorted by Gray rank and grouped, eight by eight, int
 a node holds the bits on which all below it agree and which its parent does not hold yet.
 A search adds up differences from the root down, drops a group once they exceed the
 distance, and takes a group whole when even its free bits cannot exceed it.
+
+Blocks do not carry a wide distance: with every third bit free they part nothing. For such a
+distance fingerprints are wide too, and filed in many tables, each under some of their bits
+drawn at random; the index searches every bucket of these.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +33,12 @@ SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
 BUCKET_ROWS = 4096
 FAN = 8  # children of a node
 PAIRS_AT_ONCE = 4_000_000
+#: Words of a wide fingerprint; those of them that are compared.
+WIDE, COMPARED = 8, 2
+#: Mean members of a bucket of a table, as a power of two; rows above which a bucket is held against its first one.
+ROOM, CROWD = 6, 512
+#: The chance that no table joins two codes whose bits differ at the rate that the tables are made for.
+LOST = 1e-4
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -75,6 +86,21 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> Dat
     return docs.mapInArrow(run, docs.select(*others).schema.add("fp", "long"))
 
 
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """``WIDE`` words, each a fingerprint of the hashes mixed in a way of its own; zeros for none."""
+    sums = np.zeros(BITS * WIDE, np.int64)
+    for start in range(0, len(hashes), 1 << 14):
+        words = hashes[start : start + (1 << 14), None] * _ODD
+        words ^= words >> np.uint64(32)
+        words *= _ODD[0]
+        words ^= words >> np.uint64(29)
+        sums += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * sums > len(hashes), bitorder="little").view(np.uint64)
+
+
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """The place of each code in the reflected Gray sequence."""
     rank = codes.copy()
@@ -83,15 +109,33 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _ones(codes: np.ndarray) -> np.ndarray:
+    """The bits set in each code, a word or a row of words."""
+    n = np.bitwise_count(codes)
+    return n if codes.ndim == 1 else n.sum(axis=1, dtype=np.int64)
+
+
 class GrayIndex:
-    """The trees of several buckets at once. ``codes`` must be distinct within a bucket."""
+    """The trees of several buckets at once; ``codes`` are words, or rows of words.
+
+    Only leaves that ``ask`` (all by default) are searched for; where not all of a bucket ask, ``both``
+    must be set for it, and its pairs come in both orders.
+    """
 
-    def __init__(self, buckets: np.ndarray, codes: np.ndarray):
-        order = np.lexsort((gray_rank(codes), buckets))
+    def __init__(
+        self, buckets: np.ndarray, codes: np.ndarray, ask: np.ndarray | None = None, both: np.ndarray | None = None
+    ):
+        words = codes.reshape(len(codes), -1)
+        order = np.lexsort((*(gray_rank(words[:, k]) for k in reversed(range(words.shape[1]))), buckets))
+        self.bits = BITS * words.shape[1]
+        # A wide distance passes over next to nothing: all pairs of a block of leaves are held at once.
+        self.at_once = PAIRS_AT_ONCE if codes.ndim == 1 else PAIRS_AT_ONCE // 16
+        self.ask = None if ask is None else ask[order]
+        self.both = None if both is None else both[order]
         self.order, self.codes = order, codes[order]
         owner = buckets[order]
         first = np.arange(len(codes))
-        mask, value = np.full(len(codes), ALL), self.codes
+        mask, value = np.full(codes.shape, ALL), self.codes
         self.levels = [(mask, value, first, first + 1)]  # masks, values, first and end leaf
         self.children: list[tuple[np.ndarray, np.ndarray]] = []
         last = first + 1
@@ -124,25 +168,32 @@ class GrayIndex:
         start = 0
         while start < len(self.codes):
             base = cost[start - 1] if start else 0
-            stop = max(int(np.searchsorted(cost, base + PAIRS_AT_ONCE, "right")), start + 1)
+            stop = max(int(np.searchsorted(cost, base + self.at_once, "right")), start + 1)
             leaves = np.arange(start, stop)
+            if self.ask is not None:
+                leaves = leaves[self.ask[start:stop]]
             node = np.searchsorted(first, leaves, "right") - 1
             yield from self._search(leaves, node, top, distance)
             start = stop
 
     def _search(self, leaf, node, level, distance):
         away = np.zeros(len(leaf), np.int64)
-        above = np.zeros(len(leaf), np.uint64)  # bits judged further up
+        above = np.zeros((len(leaf), *self.codes.shape[1:]), np.uint64)  # bits judged further up
         while len(leaf):
             mask, value, first, last = self.levels[level]
             mine, end = mask[node], last[node]
-            away = away + np.bitwise_count((self.codes[leaf] ^ value[node]) & mine & ~above)
-            free = BITS - np.bitwise_count(mine).astype(np.int64)
-            keep = (away <= distance) & (end > leaf + 1)
+            away = away + _ones((self.codes[leaf] ^ value[node]) & mine & ~above)
+            free = self.bits - _ones(mine).astype(np.int64)
+            later = end > leaf + 1
+            if self.both is not None:
+                later |= self.both[leaf]
+            keep = (away <= distance) & later
             # The leaf alone needs no search; a group it can't miss is taken whole.
             whole = keep & (away + free <= distance)
-            inside = whole & (first[node] <= leaf)
+            inside = whole & (first[node] <= leaf) & (leaf < end)
             lead = inside & (first[node] == leaf)
+            if self.both is not None:
+                lead |= inside & self.both[leaf]
             out = (whole & ~inside) | lead
             if out.any():
                 yield leaf[out], first[node[out]], end[out]
@@ -154,7 +205,7 @@ class GrayIndex:
             n = ends[node] - heads[node]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             node_down = np.repeat(heads[node], n) + step
-            leaf, away, above = np.repeat(leaf, n), np.repeat(away, n), np.repeat(above, n)
+            leaf, away, above = np.repeat(leaf, n), np.repeat(away, n), np.repeat(above, n, axis=0)
             node, level = node_down, level - 1
 
 
@@ -269,6 +320,91 @@ def links(codes: DataFrame, distance: int = DISTANCE, bound: int = BUCKET_ROWS)
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def tables(n: int, differ: float, lost: float = LOST) -> np.ndarray:
+    """The bits under which each table files ``n`` wide fingerprints, a row a table.
+
+    Two codes whose bits differ at the rate ``differ``, each by itself, agree on the bits of no table with a
+    chance of ``lost`` at most.
+    """
+    bits, held = BITS * WIDE, max(0, n.bit_length() - ROOM)
+    places = [math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1) for d in range(bits + 1)]
+    chance = np.exp([p + d * math.log(differ) + (bits - d) * math.log1p(-differ) for d, p in enumerate(places)])
+    agree = np.array([math.prod((bits - d - i) / (bits - i) for i in range(held)) if d + held <= bits else 0.0 for d in range(bits + 1)])
+    number = 1
+    while (chance * (1 - agree) ** number).sum() > lost:
+        number += 1
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(bits, held, replace=False) for _ in range(number)])
+
+
+def _joined(buckets: np.ndarray, codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that connect all codes of a bucket that differ in at most ``distance`` bits.
+
+    In a crowded bucket those as near to the first member are joined with it, and ask no further.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(buckets)]]))
+    head = np.repeat(starts, sizes)
+    crowded = np.repeat(sizes > CROWD, sizes)
+    near = crowded & (_ones(codes ^ codes[head]) <= distance)
+    index = GrayIndex(buckets, codes, ~near, crowded)
+    a, b = _forest(index, distance)
+    joined = np.flatnonzero(near & (head != np.arange(len(head))))
+    return np.concatenate([index.order[a], joined]), np.concatenate([index.order[b], head[joined]])
+
+
+def wide_links(codes: DataFrame, distance: int, differ: float, at_once: int = 1 << 16) -> DataFrame:
+    """(a, b) pairs of names that connect the codes that differ in at most ``distance`` of the compared bits.
+
+    ``codes`` has (code, fp): a name (long) and the bytes of a wide fingerprint; it is read twice. The tables are made
+    for pairs whose bits differ at the rate ``differ`` (see ``tables``); nearer ones are found with
+    a greater chance. A bucket's pairs are found by the index.
+    """
+    files = tables(codes.count(), differ)
+    names = [f"w{k}" for k in range(COMPARED)]
+
+    def file(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, at_once // len(files))
+        weight = np.int64(1) << np.arange(files.shape[1], dtype=np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                words = flat(part.column("fp"))[0].view(np.uint64).reshape(-1, WIDE)
+                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+                key = np.stack([bits[:, own] @ weight + (k << 40) for k, own in enumerate(files)]).astype(np.int64)
+                code = part.column("code").to_numpy()
+                own = [np.tile(x, len(files)) for x in (code, *words[:, :COMPARED].view(np.int64).T)]
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *map(pa.array, own)], ["key", "code", *names])
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        key, code, *words = (table.column(c).to_numpy() for c in ("key", "code", *names))
+        a, b = _joined(key, np.stack(words, axis=1).view(np.uint64), distance)
+        return pa.RecordBatch.from_arrays([pa.array(code[a]), pa.array(code[b])], ["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < at_once:
+                continue
+            table = pa.Table.from_batches(held)
+            # The last bucket may go on in the next batch.
+            key = table.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield solve(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            rows = table.num_rows - cut
+        if rows:
+            yield solve(pa.Table.from_batches(held))
+
+    schema = ", ".join(f"{c} long" for c in ("key", "code", *names))
+    dealt = codes.select("code", "fp").mapInArrow(file, schema).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _rooted(classes: DataFrame, distance: int, bound: int) -> DataFrame:
     """(fp, least, root) of (fp, least) rows, one a fingerprint: root names its component."""
     found = components(links(classes.select("fp"), distance, bound))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from spendlens.llm import shingles
+from spendlens.llm import shingles, simhash
 from tests.llm.cases import documents
 
 
@@ -66,3 +66,29 @@ def test_all_columns_and_empty_table(spark):
     docs = documents(spark)
     assert shingles.representatives(docs).schema == docs.schema
     assert shingles.representatives(documents(spark, [])).collect() == []
+
+
+def test_candidates_are_links_of_fingerprints(spark, monkeypatch):
+    words = [f"word{i}" for i in range(100)]
+    near = [(i, " ".join([*words[:i], "new", *words[i + 1 :]])) for i in range(1, 9)]
+    docs = spark.createDataFrame(near, "doc_id long, text string")
+    calls = []
+
+    def nothing(codes, distance, differ):
+        calls.append((distance, codes.count()))
+        return simhash.wide_links(codes, 0, differ).limit(0)
+
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [1]
+    monkeypatch.setattr(shingles, "wide_links", nothing)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert len(kept) == 8 and calls == [(shingles.DISTANCE, 8)]
+
+
+def test_links_of_fingerprints_hold_pairs_of_least_similarity(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        text = [f"x{rng.randrange(10**9)}" for _ in range(84)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, *(f"y{rng.randrange(10**9)}" for _ in range(20))]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")  # 80 of 100 shingles
+    assert sorted(r["doc_id"] for r in shingles.representatives(frame).collect()) == list(range(0, 800, 2))

@@ -79,3 +79,35 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99), (5, 5)], "a long, b long")
     found = {r["node"]: r["root"] for r in components(links).collect()}
     assert found == {**dict.fromkeys(range(61), 0), 99: 99, 100: 99}
+
+
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 8])
+def test_wide_codes_of_a_bucket_are_joined_as_by_brute_force(monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = np.random.default_rng(1)
+    made = [rng.integers(0, 2, 128) for _ in range(12)]
+    while len(made) < 150:
+        code = made[rng.integers(0, len(made))].copy()
+        code[rng.choice(128, rng.integers(1, 60), replace=False)] ^= 1
+        made.append(code)
+    codes = np.packbits(np.array(made, np.uint8), axis=1).view(np.uint64)
+    buckets = np.sort(rng.integers(0, 5, len(codes)))
+    a, b = simhash._joined(buckets, codes, 40)
+    assert (buckets[a] == buckets[b]).all()
+
+    def labels(pairs):
+        root = list(range(len(codes)))
+        for x, y in pairs:
+            old, new = root[x], root[y]
+            root = [new if r == old else r for r in root]
+        return [root.index(r) for r in root]
+
+    apart = np.bitwise_count(codes[:, None] ^ codes).sum(axis=2)
+    assert labels(zip(a, b)) == labels(np.argwhere((apart <= 40) & (buckets[:, None] == buckets)))
+
+
+def test_tables_are_many_enough():
+    rng = np.random.default_rng(2)
+    files = simhash.tables(50_000, 0.15)
+    lost = [(rng.random(64 * simhash.WIDE) < 0.15)[files].any(axis=1).all() for _ in range(3000)]
+    assert files.shape[1] == 10 and sum(lost) <= 3
