@@ -4,8 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from spendlens.llm import substring, suffixes
+from spendlens.llm import repeats, substring, suffixes
 from spendlens.llm.repeats import Filter, answered, as_bytes, as_words, runs, with_answers
 from tests.llm.cases import documents, plain, sorted_rows
 
@@ -157,3 +158,12 @@ def test_repeated_rows_share_the_spans_of_one(spark):
             sizes.append({len(r["spans"]) for r in found if r["doc_id"] != 5 and r["spans"]})
             assert all(len({(x["first"], bytes(x["answer"])) for x in r["spans"]}) == len(r["spans"]) for r in found if r["spans"])
         assert sizes[0] == sizes[1] != set()
+
+
+def test_filter_reaches_the_driver_in_parts(spark):
+    keys = spark.range(20_000).selectExpr("xxhash64(id) AS key")
+    chunks = repeats._chunks(keys, 1 << 22, 1 << 14).withColumn("part", F.spark_partition_id())
+    sizes = [r["count"] for r in chunks.groupBy("part").count().collect()]
+    assert sum(sizes) == 256 and max(sizes) <= 4 * repeats.PART_CHUNKS
+    known = np.array([r["key"] for r in keys.collect()]).view(np.uint64)
+    assert repeats.filter_of(keys, 1 << 22).holds(known).all()
