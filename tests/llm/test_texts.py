@@ -4,9 +4,11 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from spendlens import session
 from spendlens.llm import decontaminate, html, html_samples, pieces_fst
 from tests.llm.cases import documents, plain
 
@@ -179,6 +181,28 @@ def test_bit_parallel_distance(seed):
 # --- pipeline ----------------------------------------------------------------------
 
 
+def test_pipeline_gives_python_workers_little_at_a_time(spark, monkeypatch):
+    def largest(docs, *rest):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+        return docs.mapInArrow(run, "n long, size long")
+
+    docs = spark.range(64).repartition(1).selectExpr("id AS doc_id", "repeat('abc ', 1 << 17) AS text")
+    monkeypatch.setattr(corpus_pipeline.substring, "rewritten", largest)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(setting)
+    try:
+        found = corpus_pipeline.drop_repeated_passages(spark, docs, "").collect()
+        assert sum(r["n"] for r in found) == 64
+        assert max(r["size"] for r in found) <= session.BATCH_BYTES + (1 << 20)
+        spark.conf.set(setting, f"{1 << 20}b")  # the user's own
+        assert max(r["n"] for r in corpus_pipeline.drop_repeated_passages(spark, docs, "").collect()) <= 3
+    finally:
+        spark.conf.unset(setting)
+
+
 @needs_model
 def test_pipeline(spark, tmp_path):
     docs = documents(spark)
