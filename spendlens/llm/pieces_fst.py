@@ -251,6 +251,10 @@ class Transducer:
             self.known[text] = found
         return found
 
+    def forget(self) -> None:
+        """All parts and arcs met; what the model alone says stays."""
+        self.known, self.older, self.arcs = {}, {}, {}
+
     def encode(self, text: str) -> bytes:
         """The ids, as little-endian 32-bit integers; none for the empty text."""
         if not text:
@@ -287,7 +291,7 @@ _machines: dict[str, Transducer] = {}
 
 
 def _machine(model: Model) -> Transducer:
-    """One compiled transducer a Python worker and model."""
+    """One compiled transducer a Python worker and model. Workers outlive a job: what a task has met is not kept."""
     if model.digest not in _machines:
         _machines.clear()
         _machines[model.digest] = Transducer(model)
@@ -305,17 +309,20 @@ def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(compiled.value)
-        for batch in text_pieces(batches, limit=1 << 21):
-            raw = texts(batch.column("text"))
-            ids = [machine.encode(t.decode()) for t in raw]
-            mark = MARK.encode()
-            same = [machine.decode(i) == t.replace(mark, b" ") for i, t in zip(ids, raw)]
-            counts = np.array([len(i) // ID.itemsize for i in ids], np.int64)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), ID))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(ends, flat), pa.array(counts), pa.array(same)],
-                ["doc_id", "ids", "n_tokens", "round_trip"],
-            )
+        try:
+            for batch in text_pieces(batches, limit=1 << 21):
+                raw = texts(batch.column("text"))
+                ids = [machine.encode(t.decode()) for t in raw]
+                mark = MARK.encode()
+                same = [machine.decode(i) == t.replace(mark, b" ") for i, t in zip(ids, raw)]
+                counts = np.array([len(i) // ID.itemsize for i in ids], np.int64)
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(ids), ID))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.ListArray.from_arrays(ends, flat), pa.array(counts), pa.array(same)],
+                    ["doc_id", "ids", "n_tokens", "round_trip"],
+                )
+        finally:
+            machine.forget()
 
     return docs.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")

@@ -178,6 +178,19 @@ def test_bit_parallel_distance(seed):
         assert decontaminate.least_distance(masks, len(pattern), text)[0] == distance(pattern, text)
 
 
+@needs_model
+def test_workers_keep_nothing_of_the_texts_they_have_encoded(spark):
+    def kept(batches):
+        for _ in batches:
+            pass
+        held = [len(m.known) + len(m.older) + len(m.arcs) for m in pieces_fst._machines.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(held)])], ["held"])
+
+    docs = spark.range(400).repartition(8).selectExpr("id AS doc_id", "concat('word', id, ' other', id * id) AS text")
+    assert pieces_fst.encode(docs).filter("round_trip").count() == 400
+    assert {r["held"] for r in spark.range(8).repartition(8).mapInArrow(kept, "held long").collect()} == {0}
+
+
 # --- pipeline ----------------------------------------------------------------------
 
 
