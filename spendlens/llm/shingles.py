@@ -22,14 +22,16 @@ from spendlens.llm.arrow import flat, pieces
 from spendlens.llm.components import components
 from spendlens.llm.simhash import _hashes, wide_fingerprint, wide_links
 from spendlens.llm.tables import NO_ID
+from spendlens.session import free_shuffles
 
 #: Words of a shingle, and the similarity from which two documents are linked, as a fraction.
 WIDTH, SEED, LEAST = 5, 42, (4, 5)
-#: The rate at which bits of fingerprints differ at the least similarity, and the most of the 128 compared bits: at that rate
-#: more of them differ with a chance of 1e-6, and two unlike texts agree as well with one of 2e-5.
-DIFFER, DISTANCE = math.acos(8 / 9) / math.pi, 40
-#: Members and shingles of a block of a candidate component.
-BLOCK_ROWS, BLOCK_UNITS = 256, 1 << 20
+#: The rate at which bits of fingerprints differ at the least similarity, and the most of the 256 compared bits: at that rate
+#: more of them differ with a chance of 1e-6, and two unlike texts agree as well with one of 1e-14. (Of 128 bits they would
+#: with one of 2e-5: chains of such chance pairs join ever more of the corpus to one candidate component as it grows.)
+DIFFER, DISTANCE = math.acos(8 / 9) / math.pi, 68
+#: Members and shingles of a block of a candidate component: each member is sent once per block, so blocks are large.
+BLOCK_ROWS, BLOCK_UNITS = 2048, 1 << 19
 
 
 def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -193,9 +195,12 @@ def representatives(docs: DataFrame, width: int = WIDTH, rows: int = BLOCK_ROWS)
     candidates = components(wide_links(nodes.filter("fp IS NOT NULL"), DISTANCE, DIFFER))
     members = nodes.select("code", "least.id", "least.print").join(candidates.withColumnRenamed("node", "code"), "code")
     texts = named.select("id", "print", "text").join(members, ["id", "print"]).dropDuplicates(["code"])
-    found = components(_links(_with_sets(texts, width).checkpoint(), rows))
+    sets = _with_sets(texts, width).checkpoint()
+    free_shuffles(docs.sparkSession)
+    found = components(_links(sets, rows))
     rooted = nodes.select("code", "least").join(found.withColumnRenamed("node", "code"), "code", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "code"))
     stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.print")
     kept = named.drop("text").join(stay, ["id", "print"], "left_semi").dropDuplicates(["id", "print"])
+    free_shuffles(docs.sparkSession)
     return kept.select("row.*")

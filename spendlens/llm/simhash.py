@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from spendlens.llm.arrow import flat, pieces
 from spendlens.llm.components import components
 from spendlens.llm.tables import NO_ID
+from spendlens.session import free_shuffles
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
 #: Rows of a bucket above which it is cut again.
@@ -34,7 +35,9 @@ BUCKET_ROWS = 4096
 FAN = 8  # children of a node
 PAIRS_AT_ONCE = 4_000_000
 #: Words of a wide fingerprint; those of them that are compared.
-WIDE, COMPARED = 8, 2
+WIDE, COMPARED = 8, 4
+#: Tables that are filed at a time: the files of their shuffle go before the next ones are written.
+TABLES_AT_ONCE = 32
 #: Mean members of a bucket of a table, as a power of two; rows above which a bucket is held against its first one.
 ROOM, CROWD = 6, 512
 #: The chance that no table joins two codes whose bits differ at the rate that the tables are made for.
@@ -356,11 +359,21 @@ def _joined(buckets: np.ndarray, codes: np.ndarray, distance: int) -> tuple[np.n
 def wide_links(codes: DataFrame, distance: int, differ: float, at_once: int = 1 << 16) -> DataFrame:
     """(a, b) pairs of names that connect the codes that differ in at most ``distance`` of the compared bits.
 
-    ``codes`` has (code, fp): a name (long) and the bytes of a wide fingerprint; it is read twice. The tables are made
-    for pairs whose bits differ at the rate ``differ`` (see ``tables``); nearer ones are found with
-    a greater chance. A bucket's pairs are found by the index.
+    ``codes`` has (code, fp): a name (long) and the bytes of a wide fingerprint; it is read again and again. The tables
+    are made for pairs whose bits differ at the rate ``differ`` (see ``tables``); nearer ones are found with
+    a greater chance. A bucket's pairs are found by the index. ``TABLES_AT_ONCE`` tables are on disk at a time, whatever
+    their number.
     """
-    files = tables(codes.count(), differ)
+    files, found = tables(codes.count(), differ), None
+    for first in range(0, len(files), TABLES_AT_ONCE):
+        links = _filed(codes, files[first : first + TABLES_AT_ONCE], distance, at_once).distinct().checkpoint()
+        found = links if found is None else found.union(links)
+        free_shuffles(codes.sparkSession)
+    return found
+
+
+def _filed(codes: DataFrame, files: np.ndarray, distance: int, at_once: int) -> DataFrame:
+    """The links that some of the tables give; see ``wide_links``."""
     names = [f"w{k}" for k in range(COMPARED)]
 
     def file(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,12 @@
 import random
+import time
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
 from spendlens.llm import shingles, simhash
+from spendlens.session import free_shuffles
 from tests.llm.cases import documents
 
 
@@ -92,3 +95,60 @@ def test_links_of_fingerprints_hold_pairs_of_least_similarity(spark):
         rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, *(f"y{rng.randrange(10**9)}" for _ in range(20))]))]
     frame = spark.createDataFrame(rows, "doc_id long, text string")  # 80 of 100 shingles
     assert sorted(r["doc_id"] for r in shingles.representatives(frame).collect()) == list(range(0, 800, 2))
+
+
+def fingerprinted(spark, texts):
+    frame = spark.createDataFrame([(i, i, text) for i, text in enumerate(texts)], "id long, print long, text string")
+    return shingles._marked(frame.repartition(3), shingles.WIDTH).select("code", "fp").checkpoint()
+
+
+def test_texts_without_a_common_shingle_are_no_candidates(spark):
+    """Chance pairs, of short texts above all, would chain the corpus to one candidate component."""
+    rng = random.Random(7)
+    texts = [" ".join(f"x{rng.randrange(10**9)}" for _ in range(rng.choice([6, 8, 10, 40]))) for _ in range(3000)]
+    links = simhash.wide_links(fingerprinted(spark, texts), shingles.DISTANCE, shingles.DIFFER)
+    assert links.count() < 100
+
+
+def test_tables_a_few_at_a_time_give_the_same(spark, monkeypatch):
+    docs = corpus(4)
+    monkeypatch.setattr(simhash, "TABLES_AT_ONCE", 3)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in shingles.representatives(frame).collect()) == brute(docs)
+
+
+def test_family_of_like_texts_is_not_sent_in_squares(spark, monkeypatch):
+    """520 texts that are candidates of one another, most of them not similar to the least: each is sent once."""
+    rng = random.Random(9)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for _ in range(520):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(150)] = f"new{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    sent, solved = [], shingles._solved
+
+    def noted(groups):
+        sent.append(groups.count())
+        return solved(groups)
+
+    monkeypatch.setattr(shingles, "_solved", noted)
+    docs = list(enumerate(texts))
+    kept = shingles.representatives(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == brute(docs)
+    assert sum(sent) <= len(texts)
+
+
+def test_shuffle_files_go_before_the_next_step(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    kept = spark.range(1000).repartition(3, "id").checkpoint()
+    made = files() - before
+    assert made
+    free_shuffles(spark)
+    for _ in range(50):
+        if not made & files():
+            break
+        time.sleep(0.1)
+    assert not made & files() and kept.count() == 1000
